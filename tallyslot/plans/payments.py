@@ -71,11 +71,11 @@ def balance_steps(ds: Dataset) -> DataFrame:
     """Charges and payments of known customers as one history of signed steps, from a zero balance."""
     known = ds.customers.select("customer_id")
     charges = ds.lessons.select(
-        "customer_id", X.lesson_stamp().alias("at"), F.lit("lesson").alias("kind"), F.col("lesson_id").alias("ref"),
+        "customer_id", X.lesson_stamp().alias("step_at"), F.lit("lesson").alias("kind"), F.col("lesson_id").alias("ref"),
         F.col("price").cast("decimal(12,2)").alias("change"),
     )
     paid = ds.payments.select(
-        "customer_id", F.col("datetime_payment").alias("at"), F.lit("payment").alias("kind"),
+        "customer_id", F.col("datetime_payment").alias("step_at"), F.lit("payment").alias("kind"),
         X.micros("datetime_payment").alias("ref"), (-F.col("amount_payment")).cast("decimal(12,2)").alias("change"),
     )
     return charges.unionByName(paid).join(known, "customer_id", "left_semi").withColumn(
@@ -84,7 +84,7 @@ def balance_steps(ds: Dataset) -> DataFrame:
 
 
 def running_balances(ds: Dataset, steps: DataFrame, scale: Scale = Scale()) -> DataFrame:
-    return running_balance(steps, "customer_id", ["at", "kind", "ref"], scale)
+    return running_balance(steps, "customer_id", ["step_at", "kind", "ref"], scale)
 
 
 def correct(ds: Dataset, requests: DataFrame) -> DataFrame:

@@ -285,12 +285,13 @@ def bind_star_schema(
         )
 
     def address_needles() -> DataFrame:
-        """One search text per customer: the market segment's first letters, spaces, or the nation key."""
+        """One search text per customer: short, long, padded or blank."""
         c = F.col("c_custkey")
         return src("customer").select(
             c.alias("search_id"),
             F.when(c % 7 == 0, F.lit("  "))
             .when(c % 2 == 0, F.concat(F.lit(" z"), F.col("c_nationkey")))
+            .when(c % 3 == 0, F.concat(F.lit("ation_"), F.col("c_nationkey") % 10))
             .otherwise(F.substring("c_mktsegment", 1, 2))
             .alias("needle"),
         )
@@ -341,7 +342,7 @@ def bind_star_schema(
             F.col("s_name").alias("last_name"),
             F.lit(None).cast("date").alias("date_of_birth"),
             F.when(k % 22 != 0, _day("2010-01-01", k % 900)).cast("timestamp_ntz").alias("date_joined_staff"),
-            F.when(k % 6 == 1, _day("2011-01-01", k % 900 * 0)).cast("timestamp_ntz").alias("date_left_staff"),
+            F.when(k % 6 == 1, F.lit("2011-01-01 00:00:00").cast("timestamp_ntz")).alias("date_left_staff"),
             F.lit("changed").alias("other_staff_details"),
         )
 
