@@ -64,31 +64,40 @@ def stream_monthly_revenue(ds: Dataset) -> DataFrame:
 
 
 # --- lesson changes ----------------------------------------------------------
+BLOCK_BITS = 7
+
+
 def _audit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = _rows(batches, ["version"])
-    before = rows["lesson_status_code"].shift()
-    before.iloc[0] = state.get[0] if state.exists else None
-    state.update((rows["lesson_status_code"].iloc[-1],))
-    changed = before.notna() & (before != rows["lesson_status_code"])
-    yield pd.DataFrame(
-        {
-            "lesson_id": rows["lesson_id"],
-            "version": rows["version"],
-            "old_status": before,
-            "new_status": rows["lesson_status_code"],
-            "changed_by": "system",
-        }
-    )[changed]
+    """``state``: last status of each of the 128 lessons of a block, by position."""
+    rows = pd.concat(batches, ignore_index=True)
+    last = list(state.get[0]) if state.exists else [None] * (1 << BLOCK_BITS)
+    changes = []
+    for lesson, version, status in sorted(zip(rows["lesson_id"], rows["version"], rows["lesson_status_code"])):
+        place = lesson & ((1 << BLOCK_BITS) - 1)
+        before, last[place] = last[place], status
+        if before is not None and status != before:
+            changes.append((lesson, version, before, status, "system"))
+    state.update((last,))
+    if changes:
+        yield pd.DataFrame(changes, columns=["lesson_id", "version", "old_status", "new_status", "changed_by"])
 
 
 def stream_lesson_audit(versions: DataFrame) -> DataFrame:
-    """Audit rows of a stream of lesson versions; versions of a lesson arrive in order."""
-    audit = versions.groupBy("lesson_id").applyInPandasWithState(
-        _audit,
-        "lesson_id long, version long, old_status string, new_status string, changed_by string",
-        "status string",
-        "append",
-        NO_TIMEOUT,
+    """Audit rows of a stream of lesson versions; versions of a lesson arrive in order.
+
+    A state entry covers a block of neighbouring lesson ids: calling into Python
+    once per lesson would cost more than the work, and a block stays small.
+    """
+    audit = (
+        versions.withColumn("_block", F.shiftright("lesson_id", BLOCK_BITS))
+        .groupBy("_block")
+        .applyInPandasWithState(
+            _audit,
+            "lesson_id long, version long, old_status string, new_status string, changed_by string",
+            "statuses array<string>",
+            "append",
+            NO_TIMEOUT,
+        )
     )
     return drain(audit, "stream-audit", "append").drop("batch_id")
 
@@ -134,11 +143,8 @@ def stream_login_lockout(ds: Dataset, attempts: DataFrame, lock_minutes: int = S
     )
     shut = F.when(F.col("user_id").isNull(), "no such user").when(~F.col("is_active"), "inactive")
     others = rows.withColumn("detail", shut).where(F.col("detail").isNotNull())
-    parts = [
-        drain(ruled, "stream-lockout", "append"),
-        drain(others.select("attempt_id", "email", "detail"), "stream-shut", "append"),
-    ]
-    return parts[0].unionByName(parts[1]).drop("batch_id")
+    answers = ruled.unionByName(others.select("attempt_id", "email", "detail"))
+    return drain(answers, "stream-lockout", "append").drop("batch_id")
 
 
 # --- bookings ----------------------------------------------------------------
@@ -221,5 +227,5 @@ def stream_booking(ds: Dataset, requests: DataFrame, clock: Clock) -> DataFrame:
             NO_TIMEOUT,
         )
     )
-    parts = [drain(settled, "stream-booking", "append"), drain(rejected, "stream-rejected", "append")]
-    return parts[0].unionByName(parts[1]).select("request_id", F.col("reason").isNull().alias("ok"), "reason")
+    answers = drain(settled.unionByName(rejected), "stream-booking", "append")
+    return answers.select("request_id", F.col("reason").isNull().alias("ok"), "reason")
