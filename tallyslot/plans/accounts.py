@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyslot import settings as S
 from tallyslot.functions import exprs as X
-from tallyslot.operators.keyed import flag_first, flag_known
+from tallyslot.operators.keyed import flag_first, flag_known, insert_absent
 from tallyslot.operators.lockout import lockout
 from tallyslot.operators.sequence import numbered
 from tallyslot.settings import Scale
@@ -117,8 +117,7 @@ def changed_roles(ds: Dataset, answered: DataFrame) -> DataFrame:
         .agg(F.min_by("requested_at", "request_id").alias("assigned_at"))
     )
     kept = ds.app_user_roles.join(revoked, key, "left_anti")
-    new = given.join(kept, key, "left_anti")
-    return kept.unionByName(new.select(*kept.columns))
+    return insert_absent(kept, given, key).select(*ds.app_user_roles.columns)
 
 
 # --- registration ------------------------------------------------------------

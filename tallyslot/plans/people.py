@@ -24,9 +24,9 @@ DEFAULT_COUNTRY = "Canada"
 
 # --- addresses ---------------------------------------------------------------
 def _address_key() -> list[Column]:
-    return [
-        F.coalesce("country", F.lit(DEFAULT_COUNTRY)).alias("country") if c == "country" else F.col(c) for c in ADDRESS
-    ]
+    parts = {c: F.col(c).cast("string") for c in ADDRESS}
+    parts["country"] = F.coalesce(parts["country"], F.lit(DEFAULT_COUNTRY))
+    return [part.alias(c) for c, part in parts.items()]
 
 
 def _same_address(a: DataFrame, b: DataFrame) -> Column:
