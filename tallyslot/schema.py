@@ -126,6 +126,9 @@ TABLES: dict[str, list[Col]] = {
     ],
 }
 
+# Written in lower case without surrounding blanks.
+NORMAL_EMAILS = {("app_users", "email")}
+
 # --- fixed values: code sets -------------------------------------------------
 CUSTOMER_STATUS = [
     ("ACT", "Active"),

@@ -12,6 +12,8 @@ SETTINGS = {
     # Timestamps carry no zone; this keeps text and epoch conversions stable.
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the call site of every column costs driver time in plans with many columns.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

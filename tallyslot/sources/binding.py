@@ -7,32 +7,308 @@ whole source table; remainders of keys only decide which edge case a row shows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyslot import schema
 from tallyslot.sources.dataset import Dataset, conform
 
-# --- fixed values: offsets that make a key unknown ---------------------------
-UNKNOWN_CUSTOMER = 10_000_000
-UNKNOWN_LESSON = 100_000_000
-
-
-def _rows_of(spark: SparkSession, pairs, columns: list[str]) -> DataFrame:
-    """A literal table; Spark knows its size, so joins to it are broadcast by Spark's own rule."""
-    rows = ", ".join("(" + ", ".join(f"'{value}'" for value in pair) + ")" for pair in pairs)
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({', '.join(columns)})")
-
-
-def _day(start: str, offset: Column) -> Column:
-    return F.date_add(F.lit(start).cast("date"), offset.cast("int"))
-
-
-def _pick(key: Column, options: dict[int, str], other: str | None) -> Column:
-    out = None
-    for value, label in options.items():
-        out = F.when(key == value, label) if out is None else out.when(key == value, label)
-    return out.otherwise(other)
+# --- fixed values: event types as payment methods, source kinds as codes -----
+EVENT_METHOD = (
+    "CASE event_type WHEN 'click' THEN 'CASH' WHEN 'error' THEN 'CARD' WHEN 'purchase' THEN 'BANK' "
+    "WHEN 'signup' THEN 'DD' ELSE '{other}' END"
+)
+# Payments are spread over twelve 30-day steps.
+PAYMENT_TIME = "timestampadd(DAY, CAST(event_id % 12 * 30 AS INT), ts)"
+
+
+def day(start: str, offset: str) -> str:
+    return f"date_add(DATE '{start}', CAST({offset} AS INT))"
+
+
+# table: (source table, columns). {suppliers} and {parts} become row counts of those tables.
+DERIVED: dict[str, tuple[str, list[str]]] = {
+    "addresses": (
+        "places",
+        [
+            "n_nationkey AS address_id",
+            "CAST(n_nationkey AS STRING) AS line_1_number_building",
+            "CASE WHEN n_nationkey % 4 <> 0 THEN n_name END AS line_2_number_street",
+            "CASE WHEN n_nationkey % 3 <> 0 THEN concat('Area ', n_regionkey) END AS line_3_area_locality",
+            "r_name AS city",
+            "concat('Z', n_nationkey) AS zip_postcode",
+            "CASE WHEN n_nationkey % 5 <> 0 THEN r_name END AS state_province_county",
+        ],
+    ),
+    "vehicles": (
+        "part",
+        ["p_partkey AS vehicle_id", "concat_ws(' - ', p_name, p_type, concat('Plate ', p_partkey)) AS vehicle_details"],
+    ),
+    "staff": (
+        "supplier",
+        [
+            "s_suppkey AS staff_id",
+            "s_nationkey AS staff_address_id",
+            "IF(s_suppkey % 5 = 0, 'INA', 'ACT') AS customer_status_code",
+            "CASE WHEN s_suppkey % 3 <> 0 THEN concat('Nick', s_suppkey) END AS nickname",
+            "'Staff' AS first_name",
+            "s_name AS last_name",
+            f"CASE WHEN s_suppkey % 9 <> 4 THEN {day('1960-01-01', 's_suppkey * 101 % 12000')} END AS date_of_birth",
+            f"{day('1994-01-01', 's_suppkey * 11 % 1000')} AS date_joined_staff",
+            f"CASE WHEN s_suppkey % 5 = 0 THEN {day('2000-01-01', 's_suppkey % 300')} END AS date_left_staff",
+            "CASE s_suppkey % 7 WHEN 2 THEN 'Office administrator - not an instructor' WHEN 3 THEN NULL "
+            "WHEN 4 THEN 'Administrator' ELSE 'Licensed instructor' END AS other_staff_details",
+        ],
+    ),
+    "customers": (
+        "customer",
+        [
+            "c_custkey AS customer_id",
+            "CASE WHEN c_custkey % 13 <> 0 THEN c_nationkey END AS customer_address_id",
+            "CASE c_custkey % 10 WHEN 6 THEN 'LEAD' WHEN 7 THEN 'INA' WHEN 8 THEN 'SUS' WHEN 9 THEN 'PASS' ELSE 'ACT' END "
+            "AS customer_status_code",
+            f"{day('2022-01-01', 'c_custkey * 7 % 730')} AS date_became_customer",
+            f"{day('1980-01-01', 'c_custkey * 37 % 7000')} AS date_of_birth",
+            "c_mktsegment AS first_name",
+            "c_name AS last_name",
+            "CAST(greatest(c_acctbal, 0) AS DECIMAL(10,2)) AS amount_outstanding",
+            "CASE WHEN c_custkey % 11 <> 0 THEN concat(lower(c_mktsegment), '.', c_custkey, '@example.ca') END AS email_address",
+            "CASE WHEN c_custkey % 6 = 1 THEN 'ext. none' WHEN c_custkey % 6 > 1 "
+            "THEN concat('(587) 555-', 1000 + c_custkey % 9000) END AS cell_mobile_phone_number",
+        ],
+    ),
+    "lessons": (
+        "orders",
+        [
+            "o_orderkey AS lesson_id",
+            "o_custkey AS customer_id",
+            "CASE o_orderkey % 10 WHEN 0 THEN 'BOOK' WHEN 1 THEN 'CONF' WHEN 2 THEN 'CANC' WHEN 3 THEN 'NOSH' "
+            "WHEN 4 THEN 'RESC' ELSE 'COMP' END AS lesson_status_code",
+            "CASE WHEN o_orderkey % 17 <> 0 THEN (o_orderkey * 7 + o_custkey) % {suppliers} END AS staff_id",
+            "CASE WHEN o_orderkey % 19 <> 0 THEN (o_orderkey + o_custkey * 3) % {parts} END AS vehicle_id",
+            "CAST(o_orderdate AS DATE) AS lesson_date",
+            "CAST((9 + o_custkey % 3) * 3600 AS INT) AS lesson_time_sec",
+            "CAST(o_totalprice AS DECIMAL(10,2)) AS price",
+            "o_orderpriority AS other_lesson_details",
+        ],
+    ),
+    "payments": (
+        "events",
+        [
+            "user_id AS customer_id",
+            f"{PAYMENT_TIME} AS datetime_payment",
+            f"{EVENT_METHOD.format(other='VOUCH')} AS payment_method_code",
+            "CAST(value AS DECIMAL(10,2)) AS amount_payment",
+            "props AS other_payment_details",
+        ],
+    ),
+    "app_users": (
+        "supplier",
+        [
+            "s_suppkey AS user_id",
+            "concat('user', s_suppkey, '@example.ca') AS email",
+            "s_name AS full_name",
+            "s_suppkey % 8 <> 3 AS is_active",
+            "CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey END AS staff_id",
+            "CASE WHEN s_suppkey % 2 = 1 THEN s_suppkey END AS customer_id",
+            f"{day('2023-01-01', 's_suppkey % 365')} AS created_at",
+        ],
+    ),
+    "app_user_roles": (
+        "supplier",
+        [
+            "s_suppkey AS user_id",
+            "explode(array_compact(array(IF(s_suppkey % 4 = 0, 'ADMIN', NULL), "
+            "IF((s_suppkey + 1) % 4 = 0 OR s_suppkey % 6 = 0, 'STAFF', NULL), "
+            "IF((s_suppkey + 2) % 4 = 0, 'REPORT', NULL)))) AS role_code",
+            f"{day('2023-06-01', 's_suppkey % 100')} AS assigned_at",
+        ],
+    ),
+    "login_attempts": (
+        "events",
+        [
+            "event_id AS attempt_id",
+            "concat('user', user_id, '@example.ca') AS email",
+            "ts AS attempted_at",
+            "event_type IN ('purchase', 'view') AS password_ok",
+        ],
+    ),
+    "lesson_versions": (
+        "order_versions",
+        [
+            "o_orderkey AS lesson_id",
+            "version",
+            "CASE (o_orderkey + version * (o_orderkey % 3)) % 6 WHEN 0 THEN 'BOOK' WHEN 1 THEN 'CONF' WHEN 2 THEN 'COMP' "
+            "WHEN 3 THEN 'CANC' WHEN 4 THEN 'NOSH' ELSE 'RESC' END AS lesson_status_code",
+        ],
+    ),
+    "booking_requests": (
+        "orders",
+        [
+            "o_orderkey AS request_id",
+            "o_custkey + IF(o_orderkey % 23 = 0, 10000000, 0) AS customer_id",
+            "CASE WHEN o_orderkey % 35 = 0 THEN NULL WHEN o_orderkey % 55 = 0 THEN -1 "
+            "ELSE (o_orderkey * 3 + o_custkey) % {suppliers} END AS staff_id",
+            "CASE WHEN o_orderkey % 65 <> 0 THEN (o_orderkey + o_custkey) % 60 END AS vehicle_id",
+            f"{day('2001-05-30', 'o_orderkey div 5 % 30')} AS lesson_date",
+            "CAST((9 + o_custkey % 7) * 3600 AS INT) AS lesson_time_sec",
+            "CAST(IF(o_orderkey % 29 = 0, -1, o_totalprice) AS DECIMAL(10,2)) AS price",
+        ],
+    ),
+    "payment_requests": (
+        "events",
+        [
+            "event_id AS request_id",
+            "user_id + IF(event_id % 11 = 0, 10000000, 0) AS customer_id",
+            "ts AS datetime_payment",
+            f"{EVENT_METHOD.format(other='XXX')} AS payment_method_code",
+            "CAST(CASE WHEN event_id % 13 = 0 THEN 0 WHEN event_id % 17 = 0 THEN NULL ELSE value END AS DECIMAL(10,2)) AS amount",
+        ],
+    ),
+    "payment_corrections": (
+        "events",
+        [
+            "event_id AS request_id",
+            "user_id AS customer_id",
+            f"timestampadd(SECOND, IF(event_id % 10 = 7, 1, 0), {PAYMENT_TIME}) AS original_datetime",
+            f"timestampadd(MINUTE, IF(event_id % 4 = 1, 5, 0), {PAYMENT_TIME}) AS new_datetime",
+            f"{EVENT_METHOD.format(other='CASH')} AS payment_method_code",
+            "CAST(CASE WHEN event_id % 13 = 0 THEN 0 WHEN event_id % 19 = 0 THEN NULL ELSE value + (event_id % 5 - 2) * 10 END "
+            "AS DECIMAL(10,2)) AS amount",
+        ],
+    ),
+    "cancel_requests": (
+        "order_repeats",
+        ["o_orderkey * 2 + i AS request_id", "o_orderkey + IF(o_orderkey % 31 = 0, 100000000, 0) AS lesson_id"],
+    ),
+    # One update per lesson: a third move a day, a third become cancelled, some become completed.
+    "lesson_changes": (
+        "lessons",
+        [
+            "lesson_id AS request_id",
+            "lesson_id + IF(lesson_id % 37 = 0, 100000000, 0) AS lesson_id",
+            "customer_id",
+            "staff_id",
+            "vehicle_id",
+            "date_add(lesson_date, IF(lesson_id % 3 = 0, 1, 0)) AS lesson_date",
+            "lesson_time_sec",
+            "CAST(IF(lesson_id % 41 = 0, -1, price + lesson_id % 3) AS DECIMAL(10,2)) AS price",
+            "'changed' AS other_lesson_details",
+            "CASE WHEN lesson_id % 3 = 1 THEN 'CANC' WHEN lesson_id % 6 = 2 THEN 'COMP' END AS lesson_status_code",
+        ],
+    ),
+    "address_requests": (
+        "customer_places",
+        [
+            "c_custkey AS request_id",
+            "CAST(n_nationkey AS STRING) AS line_1_number_building",
+            "CASE WHEN n_nationkey % 4 <> 0 THEN n_name END AS line_2_number_street",
+            "CASE WHEN n_nationkey % 3 <> 0 THEN concat('Area ', n_regionkey) END AS line_3_area_locality",
+            "r_name AS city",
+            "IF(c_custkey % 5 = 0, concat('N', c_custkey % 40), concat('Z', n_nationkey)) AS zip_postcode",
+            "CASE WHEN n_nationkey % 5 <> 0 THEN r_name END AS state_province_county",
+            "CASE WHEN c_custkey % 3 <> 0 THEN 'Canada' END AS country",
+        ],
+    ),
+    # Short, long, padded and blank search texts.
+    "address_needles": (
+        "customer",
+        [
+            "c_custkey AS search_id",
+            "CASE WHEN c_custkey % 7 = 0 THEN '  ' WHEN c_custkey % 2 = 0 THEN concat(' z', c_nationkey) "
+            "WHEN c_custkey % 3 = 0 THEN concat('ation_', c_nationkey % 10) ELSE substr(c_mktsegment, 1, 2) END AS needle",
+        ],
+    ),
+    # One add, update or delete per customer, with faults in the form fields.
+    "customer_changes": (
+        "customer",
+        [
+            "c_custkey AS request_id",
+            "CASE c_custkey % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'update' ELSE 'delete' END AS op",
+            "CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS customer_id",
+            "IF(c_custkey % 21 = 0, '  ', concat('New', c_custkey)) AS first_name",
+            "c_name AS last_name",
+            f"CASE WHEN c_custkey % 25 <> 0 THEN {day('1985-01-01', 'c_custkey % 5000')} END AS date_of_birth",
+            f"{day('2024-01-01', 'c_custkey % 300')} AS date_became_customer",
+            "IF(c_custkey % 26 = 0, 'NOPE', 'ACT') AS customer_status_code",
+            "CASE WHEN c_custkey % 12 = 0 THEN 'not-an-address' WHEN c_custkey % 10 = 1 THEN NULL "
+            "WHEN c_custkey % 9 = 2 THEN concat('shared', c_custkey div 50, '@example.ca') "
+            "WHEN c_custkey % 8 = 3 THEN concat(lower(c_mktsegment), '.', c_custkey, '@example.ca') "
+            "ELSE concat('new', c_custkey, '@example.ca') END AS email_address",
+            "CASE c_custkey % 14 WHEN 3 THEN 'call me' WHEN 4 THEN '12345' WHEN 5 THEN NULL ELSE '+1 587 555 0100' END "
+            "AS cell_mobile_phone_number",
+            "CASE WHEN c_custkey % 16 <> 0 THEN concat('B', c_custkey % 90) END AS line_1_number_building",
+            "CAST(NULL AS STRING) AS line_2_number_street",
+            "CAST(NULL AS STRING) AS line_3_area_locality",
+            "CASE WHEN c_custkey % 4 <> 0 THEN 'Calgary' END AS city",
+            "CASE WHEN c_custkey % 4 <> 0 THEN concat('T', c_custkey % 90) END AS zip_postcode",
+            "CAST(NULL AS STRING) AS state_province_county",
+            "CAST(NULL AS STRING) AS country",
+        ],
+    ),
+    "staff_changes": (
+        "supplier",
+        [
+            "s_suppkey AS request_id",
+            "CASE s_suppkey % 4 WHEN 0 THEN 'add' WHEN 3 THEN 'delete' ELSE 'update' END AS op",
+            "CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey END AS staff_id",
+            "CAST(NULL AS BIGINT) AS staff_address_id",
+            "IF(s_suppkey % 18 = 0, 'NOPE', 'ACT') AS customer_status_code",
+            "CAST(NULL AS STRING) AS nickname",
+            "IF(s_suppkey % 15 = 0, '', concat('First', s_suppkey)) AS first_name",
+            "CAST(NULL AS STRING) AS middle_name",
+            "s_name AS last_name",
+            "CAST(NULL AS DATE) AS date_of_birth",
+            f"CAST(CASE WHEN s_suppkey % 22 <> 0 THEN {day('2010-01-01', 's_suppkey % 900')} END AS TIMESTAMP_NTZ) AS date_joined_staff",
+            "CASE WHEN s_suppkey % 6 = 1 THEN TIMESTAMP_NTZ '2011-01-01 00:00:00' END AS date_left_staff",
+            "'changed' AS other_staff_details",
+        ],
+    ),
+    "role_requests": (
+        "events",
+        [
+            "event_id AS request_id",
+            "user_id",
+            "CASE event_id % 5 WHEN 0 THEN 'admin' WHEN 1 THEN 'Staff' WHEN 2 THEN 'REPORT' WHEN 3 THEN 'report' ELSE 'owner' END AS role_code",
+            "IF(event_type = 'error', 'revoke', 'assign') AS action",
+            "ts AS requested_at",
+        ],
+    ),
+    "registration_requests": (
+        "customer",
+        [
+            "c_custkey AS request_id",
+            "CASE WHEN c_custkey % 17 = 0 THEN '@nobody.ca' WHEN c_custkey % 19 = 0 THEN NULL "
+            "WHEN c_custkey % 5 = 0 THEN concat(' USER', c_custkey, '@Example.ca ') "
+            "WHEN c_custkey % 7 = 0 THEN concat('group', c_custkey div 40, '@example.ca') "
+            "ELSE concat('Person', c_custkey, '@example.ca') END AS email",
+            "CASE WHEN c_custkey % 23 <> 0 THEN c_name END AS full_name",
+            "CAST(CASE WHEN c_custkey % 13 <> 0 THEN c_custkey % 30 + 4 END AS INT) AS password_length",
+            "CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'admin' WHEN 2 THEN 'Report' WHEN 3 THEN 'guest' ELSE 'STAFF' END AS role_code",
+        ],
+    ),
+    # Every event asks for the removal of its user, so most users are asked for many times.
+    "user_delete_requests": ("events", ["event_id AS request_id", "user_id"]),
+}
+
+LOOKUPS = {
+    "customer_status": (schema.CUSTOMER_STATUS, "customer_status_code, customer_status_description"),
+    "lesson_status": (schema.LESSON_STATUS, "lesson_status_code, lesson_status_description"),
+    # VOUCH is left out on purpose: payments then carry a method with no lookup row.
+    "payment_methods": (
+        [m for m in schema.PAYMENT_METHODS if m[0] != "VOUCH"], "payment_method_code, payment_method_description"
+    ),
+    "app_roles": (schema.ROLES, "role_code, role_name"),
+}
+
+
+@lru_cache(maxsize=512)
+def _schema_of(application: str, path: str) -> StructType:
+    """A file's schema, read from its footer once per application."""
+    return SparkSession.active().read.parquet(path).schema
 
 
 def bind_star_schema(
@@ -44,378 +320,55 @@ def bind_star_schema(
     name under ``root`` is one arrival, and a trigger admits a bounded number.
     """
 
+    def layout(name: str) -> StructType:
+        return _schema_of(spark.sparkContext.applicationId, f"{root}/{name}.parquet")
+
     def stored(name: str) -> DataFrame:
-        return spark.read.parquet(f"{root}/{name}.parquet")
+        return spark.read.schema(layout(name)).parquet(f"{root}/{name}.parquet")
 
     def src(name: str) -> DataFrame:
         if name not in streamed:
             return stored(name)
         return (
-            spark.readStream.schema(stored(name).schema)
+            spark.readStream.schema(layout(name))
             .option("pathGlobFilter", f"{name}*.parquet")
             .option("recursiveFileLookup", "true")
             .option("maxFilesPerTrigger", files_per_trigger)
             .parquet(root)
         )
 
-    def size_of(name: str) -> Column:
-        return stored(name).agg(F.count(F.lit(1))).scalar()
-
-    def addresses() -> DataFrame:
-        n, region = F.col("n_nationkey"), F.col("r_name")
-        return (
-            src("nation")
-            .join(src("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select(
-                n.alias("address_id"),
-                n.cast("string").alias("line_1_number_building"),
-                F.when(n % 4 != 0, F.col("n_name")).alias("line_2_number_street"),
-                F.when(n % 3 != 0, F.concat(F.lit("Area "), F.col("n_regionkey"))).alias("line_3_area_locality"),
-                region.alias("city"),
-                F.concat(F.lit("Z"), n).alias("zip_postcode"),
-                F.when(n % 5 != 0, region).alias("state_province_county"),
-            )
-        )
-
-    def vehicles() -> DataFrame:
-        details = F.concat_ws(" - ", "p_name", "p_type", F.concat(F.lit("Plate "), F.col("p_partkey")))
-        return src("part").select(F.col("p_partkey").alias("vehicle_id"), details.alias("vehicle_details"))
-
-    def staff() -> DataFrame:
-        k = F.col("s_suppkey")
-        notes = _pick(
-            k % 7, {2: "Office administrator - not an instructor", 3: None, 4: "Administrator"}, "Licensed instructor"
-        )
-        return src("supplier").select(
-            k.alias("staff_id"),
-            F.col("s_nationkey").alias("staff_address_id"),
-            F.when(k % 5 == 0, "INA").otherwise("ACT").alias("customer_status_code"),
-            F.when(k % 3 != 0, F.concat(F.lit("Nick"), k)).alias("nickname"),
-            F.lit("Staff").alias("first_name"),
-            F.col("s_name").alias("last_name"),
-            F.when(k % 9 != 4, _day("1960-01-01", k * 101 % 12000)).alias("date_of_birth"),
-            _day("1994-01-01", k * 11 % 1000).alias("date_joined_staff"),
-            F.when(k % 5 == 0, _day("2000-01-01", k % 300)).alias("date_left_staff"),
-            notes.alias("other_staff_details"),
-        )
-
-    def customers() -> DataFrame:
-        k = F.col("c_custkey")
-        email = F.concat(F.lower("c_mktsegment"), F.lit("."), k, F.lit("@example.ca"))
-        phone = F.concat(F.lit("(587) 555-"), 1000 + k % 9000)
-        return src("customer").select(
-            k.alias("customer_id"),
-            F.when(k % 13 != 0, F.col("c_nationkey")).alias("customer_address_id"),
-            _pick(k % 10, {6: "LEAD", 7: "INA", 8: "SUS", 9: "PASS"}, "ACT").alias("customer_status_code"),
-            _day("2022-01-01", k * 7 % 730).alias("date_became_customer"),
-            _day("1980-01-01", k * 37 % 7000).alias("date_of_birth"),
-            F.col("c_mktsegment").alias("first_name"),
-            F.col("c_name").alias("last_name"),
-            F.greatest(F.col("c_acctbal"), F.lit(0)).cast(schema.MONEY).alias("amount_outstanding"),
-            F.when(k % 11 != 0, email).alias("email_address"),
-            F.when(k % 6 == 1, "ext. none").when(k % 6 != 0, phone).alias("cell_mobile_phone_number"),
-        )
-
-    def lessons() -> DataFrame:
-        k, c = F.col("o_orderkey"), F.col("o_custkey")
-        status = _pick(k % 10, {0: "BOOK", 1: "CONF", 2: "CANC", 3: "NOSH", 4: "RESC"}, "COMP")
-        return src("orders").select(
-            k.alias("lesson_id"),
-            c.alias("customer_id"),
-            status.alias("lesson_status_code"),
-            F.when(k % 17 != 0, (k * 7 + c) % size_of("supplier")).alias("staff_id"),
-            F.when(k % 19 != 0, (k + c * 3) % size_of("part")).alias("vehicle_id"),
-            F.col("o_orderdate").cast("date").alias("lesson_date"),
-            ((9 + c % 3) * 3600).cast("int").alias("lesson_time_sec"),
-            F.col("o_totalprice").cast(schema.MONEY).alias("price"),
-            F.col("o_orderpriority").alias("other_lesson_details"),
-        )
-
-    methods = {"click": "CASH", "error": "CARD", "purchase": "BANK", "signup": "DD"}
-
-    def event_method(other: str) -> Column:
-        out = None
-        for event, code in methods.items():
-            test = F.col("event_type") == event
-            out = F.when(test, code) if out is None else out.when(test, code)
-        return out.otherwise(other)
-
-    def payment_time() -> Column:
-        """Spread the payments over twelve 30-day steps."""
-        return F.timestamp_add("DAY", (F.col("event_id") % 12 * 30).cast("int"), F.col("ts"))
-
-    def payments() -> DataFrame:
-        return src("events").select(
-            F.col("user_id").alias("customer_id"),
-            payment_time().alias("datetime_payment"),
-            event_method("VOUCH").alias("payment_method_code"),
-            F.col("value").cast(schema.MONEY).alias("amount_payment"),
-            F.col("props").alias("other_payment_details"),
-        )
-
-    def app_users() -> DataFrame:
-        k = F.col("s_suppkey")
-        return src("supplier").select(
-            k.alias("user_id"),
-            F.concat(F.lit("user"), k, F.lit("@example.ca")).alias("email"),
-            F.col("s_name").alias("full_name"),
-            (k % 8 != 3).alias("is_active"),
-            F.when(k % 2 == 0, k).alias("staff_id"),
-            F.when(k % 2 == 1, k).alias("customer_id"),
-            _day("2023-01-01", k % 365).alias("created_at"),
-        )
-
-    def app_user_roles() -> DataFrame:
-        k = F.col("s_suppkey")
-        held = [
-            F.when((k + i) % 4 == 0, code) if code != "STAFF" else F.when(((k + i) % 4 == 0) | (k % 6 == 0), code)
-            for i, (code, _) in enumerate(schema.ROLES)
-        ]
-        return src("supplier").select(
-            k.alias("user_id"),
-            F.explode(F.array_compact(F.array(*held))).alias("role_code"),
-            _day("2023-06-01", k % 100).alias("assigned_at"),
-        )
-
-    def login_attempts() -> DataFrame:
-        return src("events").select(
-            F.col("event_id").alias("attempt_id"),
-            F.concat(F.lit("user"), F.col("user_id"), F.lit("@example.ca")).alias("email"),
-            F.col("ts").alias("attempted_at"),
-            F.col("event_type").isin("purchase", "view").alias("password_ok"),
-        )
-
-    def lesson_versions() -> DataFrame:
-        k, v = F.col("o_orderkey"), F.col("version")
-        codes = {i: code for i, code in enumerate(["BOOK", "CONF", "COMP", "CANC", "NOSH"])}
-        return (
-            src("orders")
-            .select("o_orderkey", F.explode(F.array(*[F.lit(i).cast("long") for i in (1, 2, 3)])).alias("version"))
-            .select(k.alias("lesson_id"), v, _pick((k + v * (k % 3)) % 6, codes, "RESC").alias("lesson_status_code"))
-        )
-
-    def booking_requests() -> DataFrame:
-        k, c = F.col("o_orderkey"), F.col("o_custkey")
-        staff_id = F.when(k % 35 == 0, F.lit(None)).when(k % 55 == 0, F.lit(-1)).otherwise(
-            (k * 3 + c) % size_of("supplier")
-        )
-        return src("orders").select(
-            k.alias("request_id"),
-            F.when(k % 23 == 0, c + UNKNOWN_CUSTOMER).otherwise(c).alias("customer_id"),
-            staff_id.cast("long").alias("staff_id"),
-            F.when(k % 65 != 0, (k + c) % 60).alias("vehicle_id"),
-            _day("2001-05-30", F.floor(k / 5) % 30).alias("lesson_date"),
-            ((9 + c % 7) * 3600).cast("int").alias("lesson_time_sec"),
-            F.when(k % 29 == 0, F.lit(-1)).otherwise(F.col("o_totalprice")).cast(schema.MONEY).alias("price"),
-        )
-
-    def payment_requests() -> DataFrame:
-        k, u = F.col("event_id"), F.col("user_id")
-        amount = F.when(k % 13 == 0, F.lit(0)).when(k % 17 == 0, F.lit(None)).otherwise(F.col("value"))
-        return src("events").select(
-            k.alias("request_id"),
-            F.when(k % 11 == 0, u + UNKNOWN_CUSTOMER).otherwise(u).alias("customer_id"),
-            F.col("ts").alias("datetime_payment"),
-            event_method("XXX").alias("payment_method_code"),
-            amount.cast(schema.MONEY).alias("amount"),
-        )
-
-    def payment_corrections() -> DataFrame:
-        k = F.col("event_id")
-        when = payment_time()
-        old_time = F.when(k % 10 == 7, F.timestamp_add("SECOND", F.lit(1), when)).otherwise(when)
-        new_time = F.when(k % 4 == 1, F.timestamp_add("MINUTE", F.lit(5), when)).otherwise(when)
-        amount = F.when(k % 13 == 0, F.lit(0)).when(k % 19 == 0, F.lit(None)).otherwise(
-            F.col("value") + (k % 5 - 2) * 10
-        )
-        return src("events").select(
-            k.alias("request_id"),
-            F.col("user_id").alias("customer_id"),
-            old_time.alias("original_datetime"),
-            new_time.alias("new_datetime"),
-            event_method("CASH").alias("payment_method_code"),
-            amount.cast(schema.MONEY).alias("amount"),
-        )
+    def places() -> DataFrame:
+        return src("nation").join(src("region"), F.expr("n_regionkey = r_regionkey"))
 
-    def cancel_requests() -> DataFrame:
-        k = F.col("o_orderkey")
-        repeats = F.when(k % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        return (
-            src("orders")
-            .select("o_orderkey", F.explode(repeats).alias("i"))
-            .select(
-                (k * 2 + F.col("i")).alias("request_id"),
-                F.when(k % 31 == 0, k + UNKNOWN_LESSON).otherwise(k).alias("lesson_id"),
-            )
-        )
-
-    def lesson_changes() -> DataFrame:
-        """One update per lesson: a third move a day, a third change status, a third change price."""
-        k, c = F.col("o_orderkey"), F.col("o_custkey")
-        base = lessons().withColumn("o_orderkey", F.col("lesson_id"))
-        return base.select(
-            k.alias("request_id"),
-            F.when(k % 37 == 0, k + UNKNOWN_LESSON).otherwise(k).alias("lesson_id"),
-            "customer_id",
-            "staff_id",
-            "vehicle_id",
-            F.when(k % 3 == 0, F.date_add("lesson_date", 1)).otherwise(F.col("lesson_date")).alias("lesson_date"),
-            "lesson_time_sec",
-            F.when(k % 41 == 0, F.lit(-1)).otherwise(F.col("price") + k % 3).cast(schema.MONEY).alias("price"),
-            F.lit("changed").alias("other_lesson_details"),
-            F.when(k % 3 == 1, "CANC").when(k % 6 == 2, "COMP").alias("lesson_status_code"),
-        )
-
-    def address_requests() -> DataFrame:
-        c, n = F.col("c_custkey"), F.col("n_nationkey")
-        return (
-            src("customer")
-            .join(src("nation"), F.col("c_nationkey") == n)
-            .join(src("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select(
-                c.alias("request_id"),
-                n.cast("string").alias("line_1_number_building"),
-                F.when(n % 4 != 0, F.col("n_name")).alias("line_2_number_street"),
-                F.when(n % 3 != 0, F.concat(F.lit("Area "), F.col("n_regionkey"))).alias("line_3_area_locality"),
-                F.col("r_name").alias("city"),
-                F.when(c % 5 == 0, F.concat(F.lit("N"), c % 40)).otherwise(F.concat(F.lit("Z"), n)).alias("zip_postcode"),
-                F.when(n % 5 != 0, F.col("r_name")).alias("state_province_county"),
-                F.when(c % 3 != 0, F.lit("Canada")).alias("country"),
-            )
-        )
-
-    def address_needles() -> DataFrame:
-        """One search text per customer: short, long, padded or blank."""
-        c = F.col("c_custkey")
-        return src("customer").select(
-            c.alias("search_id"),
-            F.when(c % 7 == 0, F.lit("  "))
-            .when(c % 2 == 0, F.concat(F.lit(" z"), F.col("c_nationkey")))
-            .when(c % 3 == 0, F.concat(F.lit("ation_"), F.col("c_nationkey") % 10))
-            .otherwise(F.substring("c_mktsegment", 1, 2))
-            .alias("needle"),
-        )
-
-    def customer_changes() -> DataFrame:
-        """Per customer one add, update or delete, with edge cases in the form fields."""
-        c = F.col("c_custkey")
-        name = F.when(c % 21 == 0, F.lit("  ")).otherwise(F.concat(F.lit("New"), c))
-        email = (
-            F.when(c % 12 == 0, F.lit("not-an-address"))
-            .when(c % 10 == 1, F.lit(None))
-            .when(c % 9 == 2, F.concat(F.lit("shared"), F.floor(c / 50), F.lit("@example.ca")))
-            .when(c % 8 == 3, F.concat(F.lower("c_mktsegment"), F.lit("."), c, F.lit("@example.ca")))
-            .otherwise(F.concat(F.lit("new"), c, F.lit("@example.ca")))
-        )
-        return src("customer").select(
-            c.alias("request_id"),
-            _pick(c % 3, {0: "add", 1: "update"}, "delete").alias("op"),
-            F.when(c % 3 != 0, c).alias("customer_id"),
-            name.alias("first_name"),
-            F.col("c_name").alias("last_name"),
-            F.when(c % 25 != 0, _day("1985-01-01", c % 5000)).alias("date_of_birth"),
-            _day("2024-01-01", c % 300).alias("date_became_customer"),
-            F.when(c % 26 == 0, "NOPE").otherwise("ACT").alias("customer_status_code"),
-            email.alias("email_address"),
-            _pick(c % 14, {3: "call me", 4: "12345", 5: None}, "+1 587 555 0100").alias("cell_mobile_phone_number"),
-            F.when(c % 16 != 0, F.concat(F.lit("B"), c % 90)).alias("line_1_number_building"),
-            F.lit(None).cast("string").alias("line_2_number_street"),
-            F.lit(None).cast("string").alias("line_3_area_locality"),
-            F.when(c % 4 != 0, F.lit("Calgary")).alias("city"),
-            F.when(c % 4 != 0, F.concat(F.lit("T"), c % 90)).alias("zip_postcode"),
-            F.lit(None).cast("string").alias("state_province_county"),
-            F.lit(None).cast("string").alias("country"),
-        )
-
-    def staff_changes() -> DataFrame:
-        """Per staff row one add, update or delete."""
-        k = F.col("s_suppkey")
-        return src("supplier").select(
-            k.alias("request_id"),
-            _pick(k % 4, {0: "add", 1: "update", 2: "update"}, "delete").alias("op"),
-            F.when(k % 4 != 0, k).alias("staff_id"),
-            F.lit(None).cast("long").alias("staff_address_id"),
-            F.when(k % 18 == 0, "NOPE").otherwise("ACT").alias("customer_status_code"),
-            F.lit(None).cast("string").alias("nickname"),
-            F.when(k % 15 == 0, F.lit("")).otherwise(F.concat(F.lit("First"), k)).alias("first_name"),
-            F.lit(None).cast("string").alias("middle_name"),
-            F.col("s_name").alias("last_name"),
-            F.lit(None).cast("date").alias("date_of_birth"),
-            F.when(k % 22 != 0, _day("2010-01-01", k % 900)).cast("timestamp_ntz").alias("date_joined_staff"),
-            F.when(k % 6 == 1, F.lit("2011-01-01 00:00:00").cast("timestamp_ntz")).alias("date_left_staff"),
-            F.lit("changed").alias("other_staff_details"),
-        )
-
-    def role_requests() -> DataFrame:
-        k, u = F.col("event_id"), F.col("user_id")
-        role = _pick(k % 5, {0: "admin", 1: "Staff", 2: "REPORT", 3: "report"}, "owner")
-        return src("events").select(
-            k.alias("request_id"),
-            u.alias("user_id"),
-            role.alias("role_code"),
-            F.when(F.col("event_type") == "error", "revoke").otherwise("assign").alias("action"),
-            F.col("ts").alias("requested_at"),
-        )
-
-    def registration_requests() -> DataFrame:
-        c = F.col("c_custkey")
-        email = (
-            F.when(c % 17 == 0, F.lit("@nobody.ca"))
-            .when(c % 19 == 0, F.lit(None))
-            .when(c % 5 == 0, F.concat(F.lit(" USER"), c, F.lit("@Example.ca ")))
-            .when(c % 7 == 0, F.concat(F.lit("group"), F.floor(c / 40), F.lit("@example.ca")))
-            .otherwise(F.concat(F.lit("Person"), c, F.lit("@example.ca")))
-        )
-        return src("customer").select(
-            c.alias("request_id"),
-            email.alias("email"),
-            F.when(c % 23 != 0, F.col("c_name")).alias("full_name"),
-            F.when(c % 13 == 0, F.lit(None)).otherwise(c % 30 + 4).cast("int").alias("password_length"),
-            _pick(c % 6, {0: None, 1: "admin", 2: "Report", 3: "guest"}, "STAFF").alias("role_code"),
-        )
-
-    def user_delete_requests() -> DataFrame:
-        """Every sign-in event asks for the removal of its user, so most users are asked for many times."""
-        return src("events").select(F.col("event_id").alias("request_id"), F.col("user_id"))
-
-    base = {
-        "customer_status": lambda: _rows_of(
-            spark, schema.CUSTOMER_STATUS, ["customer_status_code", "customer_status_description"]
+    sources: dict[str, object] = {
+        "places": places,
+        "customer_places": lambda: src("customer").join(places(), F.expr("c_nationkey = n_nationkey")),
+        "order_versions": lambda: src("orders").selectExpr("o_orderkey", "explode(array(1L, 2L, 3L)) AS version"),
+        "order_repeats": lambda: src("orders").selectExpr(
+            "o_orderkey", "explode(IF(o_orderkey % 4 = 0, array(0, 1), array(0))) AS i"
         ),
-        "lesson_status": lambda: _rows_of(
-            spark, schema.LESSON_STATUS, ["lesson_status_code", "lesson_status_description"]
-        ),
-        # VOUCH is left out on purpose: payments then carry a method with no lookup row.
-        "payment_methods": lambda: _rows_of(
-            spark,
-            [m for m in schema.PAYMENT_METHODS if m[0] != "VOUCH"],
-            ["payment_method_code", "payment_method_description"],
-        ),
-        "app_roles": lambda: _rows_of(spark, schema.ROLES, ["role_code", "role_name"]),
-        "addresses": addresses,
-        "vehicles": vehicles,
-        "staff": staff,
-        "customers": customers,
-        "lessons": lessons,
-        "payments": payments,
-        "app_users": app_users,
-        "app_user_roles": app_user_roles,
+        "lessons": lambda: derive("lessons"),
     }
-    requests = {
-        "login_attempts": login_attempts,
-        "lesson_versions": lesson_versions,
-        "booking_requests": booking_requests,
-        "payment_requests": payment_requests,
-        "payment_corrections": payment_corrections,
-        "cancel_requests": cancel_requests,
-        "lesson_changes": lesson_changes,
-        "address_requests": address_requests,
-        "address_needles": address_needles,
-        "customer_changes": customer_changes,
-        "staff_changes": staff_changes,
-        "role_requests": role_requests,
-        "registration_requests": registration_requests,
-        "user_delete_requests": user_delete_requests,
-    }
-    builders = {name: (lambda name=name, b=b: conform(b(), name)) for name, b in base.items()}
-    return Dataset(spark, builders | requests)
+
+    def derive(table: str) -> DataFrame:
+        source, columns = DERIVED[table]
+        df = sources[source]() if source in sources else src(source)
+        sizes = {"{suppliers}": "supplier", "{parts}": "part"}
+        for mark, counted in sizes.items():
+            if any(mark in c for c in columns):
+                name = f"_size_{counted}"
+                df = df.withColumn(name, stored(counted).agg(F.count(F.lit(1))).scalar())
+                columns = [c.replace(mark, name) for c in columns]
+        return df.selectExpr(*columns)
+
+    def lookup(table: str) -> DataFrame:
+        """A literal table; Spark knows its size, so joins to it are broadcast by Spark's own rule."""
+        pairs, columns = LOOKUPS[table]
+        rows = ", ".join("(" + ", ".join(f"'{value}'" for value in pair) + ")" for pair in pairs)
+        return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
+
+    def build(table: str) -> DataFrame:
+        df = lookup(table) if table in LOOKUPS else derive(table)
+        return conform(df, table) if table in schema.TABLES else df
+
+    return Dataset(spark, {t: (lambda t=t: build(t)) for t in [*LOOKUPS, *DERIVED]})

@@ -5,10 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyslot import schema
-from tallyslot.functions import exprs as X
 
 
 class SchemaMismatch(ValueError):
@@ -66,23 +64,22 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     have = {f.name: f.dataType for f in df.schema.fields}
     out, missing = [], []
     for c in schema.TABLES[table]:
-        if c.name not in have:
-            if c.required and c.default is None:
-                missing.append(c.name)
-                continue
-            value = F.lit(c.default).cast(c.type)
-        else:
-            value = F.col(c.name)
-            if have[c.name] != c.type:
-                value = value.cast(c.type)
+        kind = c.type.simpleString()
+        if c.name in have:
+            value = f"`{c.name}`" if have[c.name] == c.type else f"CAST(`{c.name}` AS {kind})"
             if c.default is not None:
-                value = F.coalesce(value, F.lit(c.default).cast(c.type))
-        if table == "app_users" and c.name == "email":
-            value = X.normal_email(value)
-        out.append(value.alias(c.name))
+                value = f"coalesce({value}, CAST('{c.default}' AS {kind}))"
+        elif c.required and c.default is None:
+            missing.append(c.name)
+            continue
+        else:
+            value = "CAST(NULL AS " + kind + ")" if c.default is None else f"CAST('{c.default}' AS {kind})"
+        if (table, c.name) in schema.NORMAL_EMAILS:
+            value = f"lower(trim({value}))"
+        out.append(f"{value} AS `{c.name}`")
     if missing:
         raise SchemaMismatch(f"table {table} lacks required columns: {', '.join(missing)}")
-    return df.select(*out)
+    return df.selectExpr(*out)
 
 
 def read_parquet_dataset(spark: SparkSession, root: str) -> Dataset:
