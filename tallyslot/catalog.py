@@ -156,7 +156,7 @@ PLANS: dict[str, Plan] = {
     "apply_payment_corrections": lambda ds: payments.corrected_payments(
         ds, payments.correct(ds, ds.payment_corrections)
     ),
-    "running_balance": lambda ds: payments.running_balances(ds, payments.balance_steps(ds)).select(
+    "running_balance": lambda ds: payments.running_balances(payments.balance_steps(ds)).select(
         "customer_id", "step_at", "kind", "ref", "change", "balance"
     ),
     # people jobs
@@ -180,7 +180,7 @@ PLANS: dict[str, Plan] = {
     "role_assign_batch": lambda ds: accounts.change_roles(ds, ds.role_requests).select(
         "request_id", "user_id", "role_code", "ok", "reason", "result"
     ),
-    "role_holdings": lambda ds: accounts.changed_roles(ds, accounts.change_roles(ds, ds.role_requests)),
+    "role_holdings": lambda ds: accounts.changed_roles(ds, ds.role_requests),
     "account_onboarding": lambda ds: accounts.register(ds, ds.registration_requests),
     "user_delete": lambda ds: accounts.delete_users(ds, ds.user_delete_requests),
     "user_delete_remaining": _remaining_users,

@@ -4,34 +4,44 @@ With ``s`` the opening balance plus the running sum, the clamped balance is
 ``s - min(0, lowest s so far)``. That turns the step-by-step rule into two
 running aggregates, and lets a run of steps be summarised by its sum and its
 lowest point, so a long history can be cut into slices and stitched together.
+The opening balance only shifts both numbers, so it is joined at the end and the
+steps go through one shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyslot.functions import exprs as X
-from tallyslot.operators.keyed import split_hot
+from tallyslot.operators.keyed import hot_keys
 from tallyslot.settings import Scale
 
 WIDE = "decimal(28,2)"
 
 
-def _clamp(total, lowest):
-    return (total - F.least(F.lit(0).cast(WIDE), lowest)).cast(WIDE)
+def _zero() -> Column:
+    return F.lit(0).cast(WIDE)
+
+
+def _with_opening(rows: DataFrame, key: str, openings: DataFrame | None) -> DataFrame:
+    """Turn relative sum and lowest point into the balance; no opening means zero."""
+    start = _zero()
+    if openings is not None:
+        rows, start = rows.join(openings, key), F.col("opening").cast(WIDE)
+    lowest = start + F.col("_lowest")
+    balance = (start + F.col("_total") - F.least(_zero(), lowest)).cast(WIDE)
+    return rows.withColumn("balance", balance).drop("_total", "_lowest")
 
 
 def _plain(steps: DataFrame, key: str, order: list[str]) -> DataFrame:
     upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.col("opening").cast(WIDE) + F.sum("change").over(upto)
-    return steps.withColumn("_total", total).withColumn(
-        "balance", _clamp(F.col("_total"), F.min("_total").over(upto))
-    ).drop("_total")
+    summed = steps.withColumn("_total", F.sum("change").over(upto).cast(WIDE))
+    return summed.withColumn("_lowest", F.min("_total").over(upto))
 
 
 def _sliced(steps: DataFrame, key: str, order: list[str], bits: int) -> DataFrame:
-    """The same result with every window bounded to a slice of time.
+    """The same two columns with every window bounded to a slice of time.
 
     Slices are ``2**bits`` microseconds wide and grouped into blocks of
     ``2**bits`` slices; both levels pass on (sum, lowest point).
@@ -39,31 +49,21 @@ def _sliced(steps: DataFrame, key: str, order: list[str], bits: int) -> DataFram
     at = X.micros(order[0])
     rows = steps.withColumn("_s1", F.shiftright(at, bits)).withColumn("_s2", F.shiftright(at, 2 * bits))
 
-    def window(*cols):
-        return Window.partitionBy(key, *cols)
-
-    def upto(w, *cols):
-        return w.orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
-
-    def before(w, *cols):
-        return w.orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
-
-    inside = upto(window("_s2", "_s1"), *order)
-    rows = rows.withColumn("_sum", F.sum("change").over(inside).cast(WIDE))
-    rows = rows.withColumn("_low", F.min("_sum").over(inside))
-
-    def summary(df, cols):
-        """Sum and lowest running sum of each group, relative to the group's start."""
-        return df.groupBy(key, *cols).agg(F.max_by("_sum", "_at").alias("_sum"), F.min("_low").alias("_low"))
+    def before(outer: list[str], col: str):
+        return Window.partitionBy(key, *outer).orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
 
-    def stitched(groups, outer, col):
+    def stitched(groups: DataFrame, outer: list[str], col: str) -> DataFrame:
         """Running sum before each group and lowest point before it, within ``outer``."""
-        w = window(*outer)
-        groups = groups.withColumn("_pre", F.coalesce(F.sum("_sum").over(before(w, col)), F.lit(0).cast(WIDE)))
+        groups = groups.withColumn("_pre", F.coalesce(F.sum("_sum").over(before(outer, col)), _zero()))
         groups = groups.withColumn("_point", F.col("_pre") + F.col("_low"))
-        return groups.withColumn("_pre_low", F.min("_point").over(before(w, col)))
+        return groups.withColumn("_pre_low", F.min("_point").over(before(outer, col)))
 
-    slices = summary(rows.withColumn("_at", F.struct(*order)), ["_s2", "_s1"])
+    inside = Window.partitionBy(key, "_s2", "_s1").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_sum", F.sum("change").over(inside).cast(WIDE))
+    rows = rows.withColumn("_low", F.min("_sum").over(inside))
+    slices = rows.groupBy(key, "_s2", "_s1").agg(
+        F.sum("change").cast(WIDE).alias("_sum"), F.min("_low").alias("_low")
+    )
     slices = stitched(slices, ["_s2"], "_s1")
     blocks = slices.groupBy(key, "_s2").agg(F.sum("_sum").alias("_sum"), F.min("_point").alias("_low"))
     blocks = stitched(blocks, [], "_s2").select(
@@ -76,38 +76,48 @@ def _sliced(steps: DataFrame, key: str, order: list[str], bits: int) -> DataFram
         (F.col("_b_pre") + F.col("_pre")).alias("_off"),
         F.least("_b_low", F.col("_b_pre") + F.col("_pre_low")).alias("_off_low"),
     )
-    total = F.col("opening").cast(WIDE) + F.col("_off") + F.col("_sum")
-    lowest = F.col("opening").cast(WIDE) + F.least(F.col("_off_low"), F.col("_off") + F.col("_low"))
     return (
         rows.join(offsets, [key, "_s2", "_s1"])
-        .withColumn("balance", _clamp(total, lowest))
+        .withColumn("_total", (F.col("_off") + F.col("_sum")).cast(WIDE))
+        .withColumn("_lowest", F.least("_off_low", F.col("_off") + F.col("_low")).cast(WIDE))
         .drop("_s1", "_s2", "_sum", "_low", "_off", "_off_low")
     )
 
 
-def running_balance(steps: DataFrame, key: str, order: list[str], scale: Scale = Scale()) -> DataFrame:
-    """Add ``balance`` after every step.
+def running_balance(
+    steps: DataFrame, key: str, order: list[str], openings: DataFrame | None = None, scale: Scale = Scale()
+) -> DataFrame:
+    """Add ``balance`` after every step, and ``opening`` if ``openings`` (``key, opening``) is given.
 
-    ``steps`` carries ``opening`` (same for all rows of a key) and ``change``;
-    ``order`` starts with a timestamp and ends with a unique id. Keys with more
-    than ``scale.hot_rows`` steps take the sliced form.
+    ``steps`` carries ``change``; ``order`` starts with a timestamp and ends with
+    a unique id. Keys with more than ``scale.hot_rows`` steps take the sliced
+    form; there are so few of them that their openings can be broadcast.
     """
-    cold, hot = split_hot(steps, [key], scale.hot_rows)
-    plain = _plain(cold, key, order)
-    return plain if hot is None else plain.unionByName(_sliced(hot, key, order, scale.slice_bits))
-
-
-def final_balance(steps: DataFrame, key: str, order: list[str], scale: Scale = Scale()) -> DataFrame:
+    hot = hot_keys(steps, [key], scale.hot_rows)
+    if hot.isEmpty():
+        return _with_opening(_plain(steps, key, order), key, openings)
+    hot = F.broadcast(hot)
+    cold_rows = _with_opening(_plain(steps.join(hot, key, "left_anti"), key, order), key, openings)
+    hot_openings = None if openings is None else F.broadcast(openings.join(hot, key, "left_semi"))
+    hot_rows = _sliced(steps.join(hot, key, "left_semi"), key, order, scale.slice_bits)
+    return cold_rows.unionByName(_with_opening(hot_rows, key, hot_openings))
+
+
+def final_balance(
+    steps: DataFrame, key: str, order: list[str], openings: DataFrame, scale: Scale = Scale()
+) -> DataFrame:
     """Balance of each key after all its steps: ``key, opening, balance``."""
-    done = running_balance(steps, key, order, scale)
+    done = running_balance(steps, key, order, openings, scale)
     return done.groupBy(key).agg(
         F.first("opening").alias("opening"), F.max_by("balance", F.struct(*order)).alias("balance")
     )
 
 
-def charge_only(steps: DataFrame, key: str) -> DataFrame:
-    """``final_balance`` when every change has one sign: clamping once equals clamping each step."""
-    total = F.max("opening").cast(WIDE) + F.sum("change")
-    return steps.groupBy(key).agg(
-        F.max("opening").alias("opening"), F.greatest(F.lit(0).cast(WIDE), total).cast(WIDE).alias("balance")
-    )
+def charge_only(steps: DataFrame, key: str, openings: DataFrame) -> DataFrame:
+    """``final_balance`` when no change goes up: clamping once equals clamping each step.
+
+    The changes are summed before they meet the openings.
+    """
+    sums = steps.groupBy(key).agg(F.sum("change").alias("_sum"))
+    balance = F.greatest(_zero(), F.col("opening").cast(WIDE) + F.col("_sum")).cast(WIDE)
+    return sums.join(openings, key).select(key, "opening", balance.alias("balance"))

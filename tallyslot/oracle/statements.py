@@ -322,7 +322,7 @@ history AS (
   SELECT customer_id, datetime_payment, 'payment', CAST(epoch_us(datetime_payment) AS BIGINT), -amount_payment FROM d_payments),
 steps AS (
   SELECT *, 0 AS opening, row_number() OVER (PARTITION BY customer_id ORDER BY step_at, kind, ref) AS turn
-  FROM history WHERE customer_id IN (SELECT customer_id FROM d_customers))"""
+  FROM history)"""
 
 ADDRESS_MATCH = """
 groups AS (

@@ -99,22 +99,25 @@ def change_roles(ds: Dataset, requests: DataFrame) -> DataFrame:
     )
 
 
-def changed_roles(ds: Dataset, answered: DataFrame) -> DataFrame:
+def changed_roles(ds: Dataset, requests: DataFrame) -> DataFrame:
     """Role holdings after the batch.
 
-    Only the last accepted action per user and role matters, except that a role
-    held all along keeps its date while one assigned after a revocation gets the
-    date of the first assignment since.
+    A role held all along keeps its date; one assigned after its last revocation
+    gets the date of the first assignment since. Whether an assignment counts
+    depends on user and role only, so that is checked after the requests have
+    been reduced to one row per user and role.
     """
-    act = answered.where("ok")
     key = ["user_id", "role_code"]
-    revoked = act.where(F.col("action") == "revoke").groupBy(*key).agg(F.max("request_id").alias("_revoked"))
+    acts = requests.withColumn("role_code", F.upper("role_code"))
+    revoked = acts.where(F.col("action") == "revoke").groupBy(*key).agg(F.max("request_id").alias("_revoked"))
     given = (
-        act.where(F.col("action") == "assign")
+        acts.where(F.col("action") == "assign")
         .join(revoked, key, "left")
         .where(F.col("_revoked").isNull() | (F.col("request_id") > F.col("_revoked")))
         .groupBy(*key)
         .agg(F.min_by("requested_at", "request_id").alias("assigned_at"))
+        .join(ds.app_users, "user_id", "left_semi")
+        .join(ds.app_roles, "role_code", "left_semi")
     )
     kept = ds.app_user_roles.join(revoked, key, "left_anti")
     return insert_absent(kept, given, key).select(*ds.app_user_roles.columns)
@@ -131,7 +134,6 @@ def register(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> DataFr
         "role_code", F.upper(F.coalesce("role_code", F.lit(DEFAULT_ROLE)))
     )
     rows = flag_known(rows, "role_code", ds.app_roles, "role_code", "_role")
-    rows = flag_known(rows, "email", ds.app_users, "email", "_registered")
     length = F.coalesce("password_length", F.lit(0))
     missing = X.is_blank("full_name") | X.is_blank("email") | (length == 0)
     rows = rows.withColumn(
@@ -142,12 +144,14 @@ def register(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> DataFr
                 ("email_invalid", ~X.valid_email("email") | (F.locate("@", "email") < 2)),
                 ("password_short", length < S.MIN_PASSWORD_LENGTH),
                 ("role_unknown", ~F.col("_role")),
-                ("already_registered", F.col("_registered")),
             ]
         ),
     )
+    # Either all requests for an e-mail meet a registered account or none does, so the first
+    # valid one can be found before the accounts are joined.
     rows = flag_first(rows, ["email"], "request_id", "_first", where=F.col("_fail").isNull())
-    reason = F.coalesce("_fail", F.when(~F.col("_first"), "already_registered"))
+    rows = flag_known(rows, "email", ds.app_users, "email", "_registered")
+    reason = F.coalesce("_fail", F.when(F.col("_registered") | ~F.col("_first"), "already_registered"))
     rows = materialise(rows.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull()), "registrations")
     last_id = ds.app_users.agg(F.max("user_id")).scalar()
     ids = numbered(rows.where("ok").select("request_id"), "request_id", "user_id", last_id, scale.slice_bits)
@@ -163,21 +167,19 @@ def delete_users(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> Da
     With ``a`` administrators on file, the first ``a - 1`` distinct ones asked for
     can go; the last one stays. A user who is already gone is not found.
     """
-    users = ds.app_users.select("user_id", "email")
     admins = ds.app_user_roles.where(F.col("role_code") == ADMIN).select("user_id").distinct()
-    rows = requests.join(users, "user_id", "left")
-    rows = flag_known(rows, "user_id", admins, "user_id", "_admin")
-    known = F.col("email").isNotNull()
-    first = rows.where(known).groupBy("user_id", "_admin").agg(F.min("request_id").alias("_first"))
+    # One row per user that is asked for; everything about a user is decided there.
+    first = requests.groupBy("user_id").agg(F.min("request_id").alias("_first"))
+    first = flag_known(first.join(ds.app_users.select("user_id", "email"), "user_id"), "user_id", admins, "user_id", "_admin")
     first = materialise(first, "removals")
     turn = numbered(first.where("_admin").select("_first"), "_first", "_turn", F.lit(0), scale.slice_bits)
     spare = admins.agg(F.count(F.lit(1))).scalar() - 1
     fate = first.join(turn, "_first", "left").select(
-        "user_id", "_first", (F.col("_admin") & (F.col("_turn") > spare)).alias("_last_admin")
+        "user_id", "email", "_first", (F.col("_admin") & (F.col("_turn") > spare)).alias("_last_admin")
     )
-    judged = rows.join(fate, "user_id", "left")
+    judged = requests.join(fate, "user_id", "left")
     reason = (
-        F.when(~known, "user_not_found")
+        F.when(F.col("email").isNull(), "user_not_found")
         .when(F.coalesce("_last_admin", F.lit(False)), "last_admin")
         .when(F.col("request_id") != F.col("_first"), "user_not_found")
     )

@@ -134,11 +134,10 @@ def cancel(ds: Dataset, requests: DataFrame, clock: Clock) -> DataFrame:
 
 def cancellation_balances(ds: Dataset, answered: DataFrame) -> DataFrame:
     """Each accepted request takes the price back and adds the fee, never going below zero."""
-    steps = answered.where("ok").join(
-        ds.customers.select("customer_id", F.col("amount_outstanding").alias("opening")), "customer_id"
-    )
-    # fee <= price, so every step goes down and clamping once is enough.
-    return charge_only(steps.withColumn("change", F.col("fee") - F.col("price")), "customer_id")
+    # fee <= price, so no step goes up.
+    steps = answered.where("ok").select("customer_id", (F.col("fee") - F.col("price")).alias("change"))
+    openings = ds.customers.select("customer_id", F.col("amount_outstanding").alias("opening"))
+    return charge_only(steps, "customer_id", openings)
 
 
 def cancelled_lessons(ds: Dataset, answered: DataFrame) -> DataFrame:

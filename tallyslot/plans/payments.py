@@ -62,14 +62,12 @@ def payment_balances(ds: Dataset, answered: DataFrame, double_apply: bool = True
     insert trigger. ``double_apply=False`` subtracts it once.
     """
     times = -2 if double_apply else -1
-    steps = answered.where("ok").join(_opening(ds), "customer_id")
-    # Payments only lower a balance, so clamping the total equals clamping each step.
-    return charge_only(steps.withColumn("change", F.col("amount") * F.lit(times)), "customer_id")
+    steps = answered.where("ok").select("customer_id", (F.col("amount") * F.lit(times)).alias("change"))
+    return charge_only(steps, "customer_id", _opening(ds))
 
 
 def balance_steps(ds: Dataset) -> DataFrame:
-    """Charges and payments of known customers as one history of signed steps, from a zero balance."""
-    known = ds.customers.select("customer_id")
+    """Charges and payments as one history of signed steps, from a zero balance."""
     charges = ds.lessons.select(
         "customer_id", X.lesson_stamp().alias("step_at"), F.lit("lesson").alias("kind"), F.col("lesson_id").alias("ref"),
         F.col("price").cast("decimal(12,2)").alias("change"),
@@ -78,13 +76,12 @@ def balance_steps(ds: Dataset) -> DataFrame:
         "customer_id", F.col("datetime_payment").alias("step_at"), F.lit("payment").alias("kind"),
         X.micros("datetime_payment").alias("ref"), (-F.col("amount_payment")).cast("decimal(12,2)").alias("change"),
     )
-    return charges.unionByName(paid).join(known, "customer_id", "left_semi").withColumn(
-        "opening", F.lit(0).cast("decimal(10,2)")
-    )
+    return charges.unionByName(paid)
 
 
-def running_balances(ds: Dataset, steps: DataFrame, scale: Scale = Scale()) -> DataFrame:
-    return running_balance(steps, "customer_id", ["step_at", "kind", "ref"], scale)
+def running_balances(steps: DataFrame, scale: Scale = Scale()) -> DataFrame:
+    """Balance of each customer after every step."""
+    return running_balance(steps, "customer_id", ["step_at", "kind", "ref"], scale=scale)
 
 
 def correct(ds: Dataset, requests: DataFrame) -> DataFrame:
@@ -132,13 +129,9 @@ def correct(ds: Dataset, requests: DataFrame) -> DataFrame:
 
 def correction_balances(ds: Dataset, answered: DataFrame, scale: Scale = Scale()) -> DataFrame:
     """Old amount back, new amount off, clamped after every correction in time order."""
-    steps = (
-        answered.where("ok")
-        .join(_opening(ds), "customer_id")
-        .withColumn("change", (F.col("old_amount") - F.col("amount")).cast("decimal(12,2)"))
-        .select("customer_id", "original_datetime", "request_id", "opening", "change")
-    )
-    return final_balance(steps, "customer_id", ["original_datetime", "request_id"], scale)
+    change = (F.col("old_amount") - F.col("amount")).cast("decimal(12,2)")
+    steps = answered.where("ok").select("customer_id", "original_datetime", "request_id", change.alias("change"))
+    return final_balance(steps, "customer_id", ["original_datetime", "request_id"], _opening(ds), scale)
 
 
 def corrected_payments(ds: Dataset, answered: DataFrame) -> DataFrame:

@@ -74,10 +74,10 @@ def test_running_balance_equals_loop(spark, scale):
     df = spark.createDataFrame(rows, "k long, us long, ref long, o long, c long").select(
         "k", "ref",
         (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("us") / 1e6).cast("decimal(18,6)"))).alias("at"),
-        F.when(F.col("k") == 4, F.lit(0)).otherwise(F.lit(25)).cast("decimal(10,2)").alias("opening"),
         F.col("c").cast("decimal(12,2)").alias("change"),
     )
-    got = {r.ref: float(r.balance) for r in running_balance(df, "k", ["at", "ref"], scale).collect()}
+    openings = spark.sql("SELECT id AS k, CAST(IF(id = 4, 0, 25) AS DECIMAL(10,2)) AS opening FROM range(9)")
+    got = {r.ref: float(r.balance) for r in running_balance(df, "k", ["at", "ref"], openings, scale).collect()}
     assert len(got) == len(rows)
     ends = {}
     for key in range(5):
@@ -86,12 +86,13 @@ def test_running_balance_equals_loop(spark, scale):
             b = max(0, b + c)
             assert got[ref] == b
         ends[key] = b
-    assert {r.k: float(r.balance) for r in final_balance(df, "k", ["at", "ref"], scale).collect()} == ends
+    assert {r.k: float(r.balance) for r in final_balance(df, "k", ["at", "ref"], openings, scale).collect()} == ends
 
 
 def test_charge_only_clamps_once(spark):
-    df = spark.sql("SELECT * FROM VALUES (1, 10.00, -4.00), (1, 10.00, -9.00), (2, 10.00, -3.00) AS t(k, opening, change)")
-    assert {r.k: float(r.balance) for r in charge_only(df, "k").collect()} == {1: 0.0, 2: 7.0}
+    df = spark.sql("SELECT * FROM VALUES (1, -4.00), (1, -9.00), (2, -3.00) AS t(k, change)")
+    openings = spark.sql("SELECT * FROM VALUES (1, 10.00), (2, 10.00), (3, 5.00) AS t(k, opening)")
+    assert {r.k: float(r.balance) for r in charge_only(df, "k", openings).collect()} == {1: 0.0, 2: 7.0}
 
 
 # --- previous version ---------------------------------------------------------

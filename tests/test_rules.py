@@ -400,7 +400,7 @@ def test_roles(spark, ds):
     )
     done = A.change_roles(d, asked)
     assert reasons(done) == {1: None, 2: "user_missing", 3: "role_missing", 4: None, 5: None, 6: None, 7: None, 8: None}
-    held = {(r.user_id, r.role_code): str(r.assigned_at)[:10] for r in A.changed_roles(d, done).collect()}
+    held = {(r.user_id, r.role_code): str(r.assigned_at)[:10] for r in A.changed_roles(d, asked).collect()}
     assert held == {(1, "ADMIN"): "2024-01-01", (1, "STAFF"): "2024-02-01", (3, "ADMIN"): "2024-03-01"}
 
 
