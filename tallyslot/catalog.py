@@ -76,6 +76,7 @@ PLANS: dict[str, Plan] = {
     # scans, lists and look-ups
     "scan_project": reports.scan_project,
     "lookup_reference": reports.lookup_reference,
+    "list_addresses": reports.list_addresses,
     "list_staff": reports.list_staff,
     "lookup_address": reports.lookup_address,
     "lookup_lesson": reports.edit_lessons,
@@ -217,5 +218,54 @@ def run(name: str, spark: SparkSession, root: str) -> DataFrame:
     return present(plan(ds, bind_star_schema(spark, root, streamed=(source,))))
 
 
+# --- fixed values: the names under which SQL users know the views ------------
+SQL_VIEWS: dict[str, str] = {
+    "view_customers": "view_customers",
+    "view_staff": "view_staff",
+    "view_lessons": "view_lessons",
+    "view_customer_payments": "view_customer_payments",
+    "view_user_roles": "view_user_roles",
+    "view_customer_financials": "customer_financials",
+    "view_lessons_schedule": "lessons_schedule",
+    "vw_active_instructors": "active_instructors",
+    "vw_lesson_details": "lesson_details",
+    "vw_monthly_revenue": "monthly_revenue",
+    "vw_vehicle_utilisation": "vehicle_utilisation",
+    "vw_upcoming_lessons": "upcoming_lessons",
+    "vw_today_lessons": "today_lessons",
+    "vw_customer_full_address": "customer_full_address",
+    "vw_customer_balance": "customer_balance",
+    "vw_instructor_workload": "instructor_workload",
+    "vw_revenue_analysis": "revenue_analysis",
+    "vw_financial_health": "financial_health",
+    "vw_instructor_performance": "instructor_performance",
+    "vw_customer_lifecycle": "customer_lifecycle",
+    "vw_customer_value_segments": "customer_value_segments",
+    "vw_scheduling_efficiency": "scheduling_efficiency",
+    "vw_lesson_completion_metrics": "lesson_completion_metrics",
+    "vw_app_users": "app_users",
+    "vw_user_roles": "user_roles",
+}
+
+
+def register_sql(ds: Dataset, clock: Clock | None = None) -> None:
+    """Make the base tables and all views available to ``spark.sql``.
+
+    Views that depend on the date see ``clock``.
+    """
+    ds.register_views()
+    dated = {
+        "active_instructors": views.active_instructors,
+        "upcoming_lessons": views.upcoming_lessons,
+        "today_lessons": views.today_lessons,
+        "customer_full_address": views.customer_full_address,
+        "instructor_performance": views.instructor_performance,
+        "lesson_completion_metrics": views.lesson_completion_metrics,
+    }
+    for view, plan in SQL_VIEWS.items():
+        df = dated[plan](ds, clock or CLOCK) if plan in dated else PLANS[plan](ds)
+        df.createOrReplaceTempView(view)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, root, name=name: run(name, spark, root)) for name in [*PLANS, *STREAMS]}

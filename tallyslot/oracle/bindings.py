@@ -91,6 +91,13 @@ SELECT event_id AS attempt_id, CONCAT('user', user_id, '@example.ca') AS email,
 SELECT o_orderkey AS lesson_id, CAST(v.version AS BIGINT) AS version,
   CASE (o_orderkey + v.version * (o_orderkey % 3)) % 6 WHEN 0 THEN 'BOOK' WHEN 1 THEN 'CONF' WHEN 2 THEN 'COMP' WHEN 3 THEN 'CANC' WHEN 4 THEN 'NOSH' ELSE 'RESC' END AS lesson_status_code
 FROM orders CROSS JOIN (VALUES (1),(2),(3)) AS v(version)""",
+    "d_app_login_audit": """
+SELECT event_id AS audit_id, CONCAT('user', user_id, '@example.ca') AS email, user_id, event_type IN ('purchase','view') AS success,
+  CASE WHEN event_type IN ('purchase','view') THEN 'ok' ELSE 'bad password' END AS detail, ts AS attempted_at FROM events""",
+    "d_lesson_audit_log": """
+SELECT o_orderkey AS audit_id, CASE WHEN o_orderkey % 1000 = 999 THEN o_orderkey + 100000000 ELSE o_orderkey END AS lesson_id,
+  'BOOK' AS old_status, CASE WHEN o_orderstatus = 'F' THEN 'COMP' ELSE 'CONF' END AS new_status, o_orderdate AS changed_at, 'system' AS changed_by
+FROM orders WHERE o_orderstatus <> 'P'""",
     "d_booking_requests": """
 SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 23 = 0 THEN o_custkey + 10000000 ELSE o_custkey END AS customer_id,
   CASE WHEN o_orderkey % 35 = 0 THEN NULL WHEN o_orderkey % 55 = 0 THEN -1 ELSE (o_orderkey * 3 + o_custkey) % (SELECT COUNT(*) FROM supplier) END AS staff_id,

@@ -449,6 +449,7 @@ def duplicate_keys() -> str:
         ("staff", ["staff_id"]), ("customers", ["customer_id"]), ("customers", ["email_address"]),
         ("payments", ["customer_id", "datetime_payment"]), ("lessons", ["lesson_id"]), ("app_roles", ["role_code"]),
         ("app_users", ["user_id"]), ("app_users", ["email"]), ("app_user_roles", ["user_id", "role_code"]),
+        ("app_login_audit", ["audit_id"]), ("lesson_audit_log", ["audit_id"]),
     ]
     return " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, '{', '.join(k)}' AS key_columns, COUNT(*) AS repeated_keys, "
@@ -474,6 +475,7 @@ def orphans() -> str:
         ("app_users", "customer_id", "customers", "customer_id", "set_null"),
         ("app_user_roles", "user_id", "app_users", "user_id", "cascade"),
         ("app_user_roles", "role_code", "app_roles", "role_code", "restrict"),
+        ("lesson_audit_log", "lesson_id", "lessons", "lesson_id", "cascade"),
     ]
     return " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{p}' AS parent_table, '{action}' AS on_delete, "
@@ -500,6 +502,8 @@ REQUIRED = {
     "app_roles": ["role_code", "role_name"],
     "app_users": ["user_id", "email", "is_active", "created_at"],
     "app_user_roles": ["user_id", "role_code", "assigned_at"],
+    "app_login_audit": ["audit_id", "success", "attempted_at"],
+    "lesson_audit_log": ["audit_id", "lesson_id", "changed_at"],
 }
 LIMITS = {
     "customer_status": {"customer_status_code": 10, "customer_status_description": 100},
@@ -520,6 +524,8 @@ LIMITS = {
     "app_roles": {"role_code": 50, "role_name": 100},
     "app_users": {"email": 255, "full_name": 200},
     "app_user_roles": {"role_code": 50},
+    "app_login_audit": {"email": 255, "detail": 200},
+    "lesson_audit_log": {"old_status": 10, "new_status": 10, "changed_by": 100},
 }
 MONEY_COLUMNS = [("customers", "amount_outstanding"), ("payments", "amount_payment"), ("lessons", "price")]
 
@@ -582,6 +588,13 @@ SELECT 'lesson_status', s.lesson_status_code, s.lesson_status_description, {LESS
 UNION ALL
 SELECT 'payment_methods', m.payment_method_code, m.payment_method_description, NULL,
   (SELECT COUNT(*) FROM d_payments p WHERE p.payment_method_code = m.payment_method_code) FROM d_payment_methods m""",
+    ),
+    "list_addresses": (
+        "",
+        """
+SELECT address_id, line_1_number_building, line_2_number_street, line_3_area_locality, city, zip_postcode, state_province_county,
+  country, other_address_details, (SELECT COUNT(*) FROM d_customers c WHERE c.customer_address_id = a.address_id) AS customers_there
+FROM d_addresses a""",
     ),
     "list_staff": (
         "",

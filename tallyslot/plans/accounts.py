@@ -9,6 +9,7 @@ from tallyslot import settings as S
 from tallyslot.functions import exprs as X
 from tallyslot.operators.keyed import flag_first, flag_known, insert_absent
 from tallyslot.operators.lockout import lockout
+from tallyslot.operators.references import delete_rows
 from tallyslot.operators.sequence import numbered
 from tallyslot.settings import Scale
 from tallyslot.sources.dataset import Dataset
@@ -196,8 +197,5 @@ def removal_audit(answered: DataFrame) -> DataFrame:
 
 
 def without_users(ds: Dataset, answered: DataFrame) -> Dataset:
-    gone = answered.where("ok").select("user_id").distinct()
-    return ds.replace(
-        app_users=ds.app_users.join(gone, "user_id", "left_anti"),
-        app_user_roles=ds.app_user_roles.join(gone, "user_id", "left_anti"),
-    )
+    """The dataset after the accepted removals; role holdings go with the user."""
+    return delete_rows(ds, "app_users", "user_id", answered.where("ok"))

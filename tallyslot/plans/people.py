@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyslot.functions import exprs as X
 from tallyslot.operators.keyed import apply_changes, flag_first, flag_known
+from tallyslot.operators.references import delete_rows, restricting_keys
 from tallyslot.operators.sequence import numbered
 from tallyslot.settings import Scale
 from tallyslot.sources.dataset import Dataset, conform
@@ -156,7 +157,7 @@ def delete_customers(ds: Dataset, requests: DataFrame) -> DataFrame:
 
     ``request_id, customer_id, ok, reason, payments_removed, users_unlinked``.
     """
-    rows = flag_known(requests, "customer_id", ds.lessons, "customer_id", "_has_lessons")
+    rows = flag_known(requests, "customer_id", restricting_keys(ds, "customers"), "_key", "_has_lessons")
     paid = ds.payments.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_payments"))
     linked = ds.app_users.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("_users")
@@ -182,19 +183,7 @@ def delete_customers(ds: Dataset, requests: DataFrame) -> DataFrame:
 
 def without_customers(ds: Dataset, answered: DataFrame) -> Dataset:
     """The dataset after the accepted deletions."""
-    gone = answered.where("ok").select("customer_id").distinct()
-    return ds.replace(
-        customers=ds.customers.join(gone, "customer_id", "left_anti"),
-        payments=ds.payments.join(gone, "customer_id", "left_anti"),
-        app_users=_clear_link(ds.app_users, gone, "customer_id"),
-    )
-
-
-def _clear_link(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """Set ``key`` to NULL where the row it points to is gone."""
-    marks = gone.withColumn("_gone", F.lit(True))
-    kept = F.when(F.col("_gone").isNull(), F.col(key)).alias(key)
-    return df.join(marks, key, "left").select(*[kept if c == key else F.col(c) for c in df.columns])
+    return delete_rows(ds, "customers", "customer_id", answered.where("ok"))
 
 
 # --- staff -------------------------------------------------------------------
@@ -240,9 +229,4 @@ def changed_staff(ds: Dataset, answered: DataFrame) -> DataFrame:
 
 def delete_staff(ds: Dataset, doomed: DataFrame) -> Dataset:
     """The dataset without the doomed staff; their lessons and users stay, unassigned."""
-    gone = doomed.select("staff_id").distinct()
-    return ds.replace(
-        staff=ds.staff.join(gone, "staff_id", "left_anti"),
-        lessons=_clear_link(ds.lessons, gone, "staff_id"),
-        app_users=_clear_link(ds.app_users, gone, "staff_id"),
-    )
+    return delete_rows(ds, "staff", "staff_id", doomed)

@@ -46,6 +46,16 @@ def lookup_reference(ds: Dataset) -> DataFrame:
     )
 
 
+def list_addresses(ds: Dataset) -> DataFrame:
+    """Addresses by id, with how many customers live there."""
+    used = ds.customers.groupBy(F.col("customer_address_id").alias("address_id")).agg(
+        F.count(F.lit(1)).alias("customers_there")
+    )
+    counted = ds.addresses.join(used, "address_id", "left")
+    there = F.coalesce("customers_there", F.lit(0).cast("long")).alias("customers_there")
+    return counted.select(*ds.addresses.columns, there).orderBy("address_id")
+
+
 def list_staff(ds: Dataset) -> DataFrame:
     return ds.staff.select(
         "staff_id",

@@ -124,6 +124,22 @@ TABLES: dict[str, list[Col]] = {
         _text("role_code", 50, True),
         Col("assigned_at", STAMP, True),
     ],
+    "app_login_audit": [
+        Col("audit_id", LONG, True),
+        _text("email", 255),
+        Col("user_id", LONG),
+        Col("success", FLAG, True),
+        _text("detail", 200),
+        Col("attempted_at", STAMP, True),
+    ],
+    "lesson_audit_log": [
+        Col("audit_id", LONG, True),
+        Col("lesson_id", LONG, True),
+        _text("old_status", 10),
+        _text("new_status", 10),
+        Col("changed_at", STAMP, True),
+        _text("changed_by", 100, default="system"),
+    ],
 }
 
 # Written in lower case without surrounding blanks.
@@ -174,6 +190,8 @@ KEYS: list[tuple[str, tuple[str, ...]]] = [
     ("app_users", ("user_id",)),
     ("app_users", ("email",)),
     ("app_user_roles", ("user_id", "role_code")),
+    ("app_login_audit", ("audit_id",)),
+    ("lesson_audit_log", ("audit_id",)),
 ]
 
 
@@ -204,6 +222,7 @@ REFS: list[Ref] = [
     Ref("app_users", "customer_id", "customers", "customer_id", "set_null"),
     Ref("app_user_roles", "user_id", "app_users", "user_id", "cascade"),
     Ref("app_user_roles", "role_code", "app_roles", "role_code", "restrict"),
+    Ref("lesson_audit_log", "lesson_id", "lessons", "lesson_id", "cascade"),
 ]
 
 # --- fixed values: row checks; a check that is NULL passes -------------------

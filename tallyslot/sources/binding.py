@@ -145,6 +145,27 @@ DERIVED: dict[str, tuple[str, list[str]]] = {
             "WHEN 3 THEN 'CANC' WHEN 4 THEN 'NOSH' ELSE 'RESC' END AS lesson_status_code",
         ],
     ),
+    "app_login_audit": (
+        "events",
+        [
+            "event_id AS audit_id",
+            "concat('user', user_id, '@example.ca') AS email",
+            "user_id",
+            "event_type IN ('purchase', 'view') AS success",
+            "IF(event_type IN ('purchase', 'view'), 'ok', 'bad password') AS detail",
+            "ts AS attempted_at",
+        ],
+    ),
+    "lesson_audit_log": (
+        "order_changes",
+        [
+            "o_orderkey AS audit_id",
+            "o_orderkey + IF(o_orderkey % 1000 = 999, 100000000, 0) AS lesson_id",
+            "'BOOK' AS old_status",
+            "IF(o_orderstatus = 'F', 'COMP', 'CONF') AS new_status",
+            "o_orderdate AS changed_at",
+        ],
+    ),
     "booking_requests": (
         "orders",
         [
@@ -347,6 +368,7 @@ def bind_star_schema(
         "order_repeats": lambda: src("orders").selectExpr(
             "o_orderkey", "explode(IF(o_orderkey % 4 = 0, array(0, 1), array(0))) AS i"
         ),
+        "order_changes": lambda: src("orders").where("o_orderstatus <> 'P'"),
         "lessons": lambda: derive("lessons"),
     }
 

@@ -85,5 +85,7 @@ def seed_dataset(spark: SparkSession) -> Dataset:
         "payments": values(PAYMENTS, "customer_id, datetime_payment, payment_method_code, amount_payment"),
         "app_users": empty("app_users"),
         "app_user_roles": empty("app_user_roles"),
+        "app_login_audit": empty("app_login_audit"),
+        "lesson_audit_log": empty("lesson_audit_log"),
     }
     return Dataset(spark, {n: (lambda n=n, df=df: conform(df, n)) for n, df in tables.items()})

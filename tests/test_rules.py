@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tallyslot.catalog import register_sql
 from tallyslot.functions import exprs as X
 from tallyslot.plans import accounts as A
 from tallyslot.plans import lessons as L
@@ -445,8 +446,10 @@ def test_loader_checks_schema_and_fills_defaults(spark, ds, tmp_path):
         write_table(ds[name], str(tmp_path), name)
     again = read_parquet_dataset(spark, str(tmp_path))
     assert R.report_debtors(again).collect() == R.report_debtors(ds).collect()
-    again.register_views()
+    register_sql(again, CLOCK)
     assert spark.sql("SELECT count(*) AS n FROM lessons").first().n == 14
+    assert [r.customer_id for r in spark.sql("SELECT customer_id FROM vw_customer_balance WHERE calculated_outstanding > 60").collect()] == [5]
+    assert spark.sql("SELECT lesson_id FROM vw_today_lessons").first().lesson_id == 3
 
 
 def test_drift_is_reported(ds):
