@@ -19,7 +19,8 @@ DEFAULT_ROLE, ADMIN = "STAFF", "ADMIN"
 
 
 # --- sign-in -----------------------------------------------------------------
-def _with_account(ds: Dataset, attempts: DataFrame) -> DataFrame:
+def with_account(ds: Dataset, attempts: DataFrame) -> DataFrame:
+    """Attempts with their account, its stored failure count and its stored lock (-1 for none)."""
     users = ds.app_users.select(
         F.col("email").alias("_email"), "user_id", "is_active",
         F.col("failed_attempts").cast("long").alias("failures_in"),
@@ -45,7 +46,7 @@ def sign_in(
     Unknown and inactive accounts are told apart by the join; only attempts on
     live accounts go through the ordered lockout rule.
     """
-    rows = _with_account(ds, attempts)
+    rows = with_account(ds, attempts)
     ruled = _ruled(rows, lock_minutes, scale).select(
         "attempt_id", "email", "user_id", F.col("status").alias("detail"), X.from_micros("at").alias("attempted_at")
     )
@@ -59,7 +60,7 @@ def account_states(
     ds: Dataset, attempts: DataFrame, lock_minutes: int = S.LOCK_MINUTES, scale: Scale = Scale()
 ) -> DataFrame:
     """Failure count, lock and last good sign-in of accounts after the attempts."""
-    ruled = _ruled(_with_account(ds, attempts), lock_minutes, scale)
+    ruled = _ruled(with_account(ds, attempts), lock_minutes, scale)
     last = F.struct("at", "attempt_id")
     ended = ruled.groupBy("user_id", "email").agg(
         F.max_by("failures", last).alias("failed_attempts"),

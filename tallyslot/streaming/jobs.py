@@ -7,6 +7,7 @@ are bounded by what a trigger admits.
 
 from __future__ import annotations
 
+import calendar
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tallyslot import settings as S
 from tallyslot.functions import exprs as X
 from tallyslot.operators import slots
+from tallyslot.plans.accounts import with_account
 from tallyslot.settings import Clock
 from tallyslot.sources.dataset import Dataset
 from tallyslot.streaming.runner import drain, latest
@@ -106,7 +108,7 @@ def stream_lesson_audit(versions: DataFrame) -> DataFrame:
 def _lockout(after: int, lock: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = _rows(batches, ["at", "attempt_id"])
-        failures, until = state.get if state.exists else (0, -1)
+        failures, until = state.get if state.exists else (int(rows["failures_in"].iloc[0]), int(rows["locked_in"].iloc[0]))
         detail = []
         for at, good in zip(rows["at"].tolist(), rows["password_ok"].tolist()):
             if until > at:
@@ -126,12 +128,10 @@ def _lockout(after: int, lock: int):
 
 def stream_login_lockout(ds: Dataset, attempts: DataFrame, lock_minutes: int = S.LOCK_MINUTES) -> DataFrame:
     """``attempt_id, email, detail`` of a sign-in stream; attempts of an e-mail arrive in order."""
-    users = ds.app_users.select(F.col("email").alias("_email"), "user_id", "is_active")
-    email = X.normal_email("email")
-    rows = attempts.withColumn("email", email).join(users, F.col("email") == F.col("_email"), "left")
+    rows = with_account(ds, attempts)
     ruled = (
         rows.where("user_id IS NOT NULL AND is_active")
-        .select("attempt_id", "email", X.micros("attempted_at").alias("at"), "password_ok")
+        .select("attempt_id", "email", X.micros("attempted_at").alias("at"), "password_ok", "failures_in", "locked_in")
         .groupBy("email")
         .applyInPandasWithState(
             _lockout(S.LOCK_AFTER_FAILURES, lock_minutes * 60_000_000),
@@ -148,7 +148,21 @@ def stream_login_lockout(ds: Dataset, attempts: DataFrame, lock_minutes: int = S
 
 
 # --- bookings ----------------------------------------------------------------
-def _book(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _book(as_of: int, expire: bool):
+    """``as_of``: seconds since 1970. With ``expire`` a slot's state goes once the slot has passed."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        yield _settle_slot(batches, state)
+        if expire:
+            state.setTimeoutDuration(max(1, int(key[0]) - as_of) * 1000)
+
+    return run
+
+
+def _settle_slot(batches: Iterator[pd.DataFrame], state: GroupState) -> pd.DataFrame:
     rows = _rows(batches, ["request_id"])
     staff, vehicles = (set(state.get[0]), set(state.get[1])) if state.exists else (set(), set())
     reasons = []
@@ -169,14 +183,16 @@ def _book(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
             if v >= 0:
                 vehicles.add(v)
     state.update((sorted(staff), sorted(vehicles)))
-    yield pd.DataFrame({"request_id": rows["request_id"], "reason": pd.Series(reasons, dtype=object, index=rows.index)})
+    return pd.DataFrame({"request_id": rows["request_id"], "reason": pd.Series(reasons, dtype=object, index=rows.index)})
 
 
-def stream_booking(ds: Dataset, requests: DataFrame, clock: Clock) -> DataFrame:
-    """``request_id, ok, reason`` of a booking stream; requests arrive in request order.
+def booking_answers(ds: Dataset, requests: DataFrame, clock: Clock, expire: bool = False) -> DataFrame:
+    """The streaming plan ``request_id, reason``; requests arrive in request order.
 
     State per slot is the staff and vehicles taken, at most one entry each. The
-    checks against stored tables are stream-static joins.
+    checks against stored tables are stream-static joins. A stream that runs on
+    sets ``expire``; one that stops at the end of its input must not, because a
+    pending timeout keeps it running.
     """
     today = F.lit(clock.date)
     active = ds.customers.where("customer_status_code = 'ACT'").select(
@@ -220,12 +236,17 @@ def stream_booking(ds: Dataset, requests: DataFrame, clock: Clock) -> DataFrame:
         )
         .groupBy("_slot")
         .applyInPandasWithState(
-            _book,
+            _book(calendar.timegm(clock.as_of.timetuple()), expire),
             "request_id long, reason string",
             "staff array<long>, vehicles array<long>",
             "append",
-            NO_TIMEOUT,
+            GroupStateTimeout.ProcessingTimeTimeout if expire else NO_TIMEOUT,
         )
     )
-    answers = drain(settled.unionByName(rejected), "stream-booking", "append")
+    return settled.unionByName(rejected)
+
+
+def stream_booking(ds: Dataset, requests: DataFrame, clock: Clock) -> DataFrame:
+    """``request_id, ok, reason`` of all bookings that have arrived."""
+    answers = drain(booking_answers(ds, requests, clock), "stream-booking", "append")
     return answers.select("request_id", F.col("reason").isNull().alias("ok"), "reason")
