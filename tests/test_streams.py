@@ -79,3 +79,22 @@ def test_stream_audit(stored, live_orders):
 def test_stream_booking(stored, live_orders):
     got = J.stream_booking(stored, live_orders.booking_requests, CLOCK)
     same(got, L.book(stored, stored.booking_requests, CLOCK).select("request_id", "ok", "reason"))
+
+
+def test_expiring_slots_answer_the_same(spark, stored, live_orders):
+    """A stream that runs on, with slot timeouts set; stopped once every answer is there."""
+    import time
+
+    want = L.book(stored, stored.booking_requests, CLOCK).select("request_id", "reason")
+    n = want.count()
+    query = (
+        J.booking_answers(stored, live_orders.booking_requests, CLOCK, expire=True)
+        .writeStream.outputMode("append").format("memory").queryName("expiring").start()
+    )
+    try:
+        deadline = time.time() + 60
+        while time.time() < deadline and query.isActive and spark.table("expiring").count() < n:
+            time.sleep(1)
+    finally:
+        query.stop()
+    same(spark.table("expiring"), want)
