@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyslot.llm import phrase_index, token_resync
+from tallyslot.llm import jaccard_segments, phrase_index, token_resync
 from tallyslot.llm.common import table, vocabulary_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op7_phrase_index(spark: SparkSession, folder: str) -> DataFrame:
     return phrase_index.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
 
 
+def op8_jaccard_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_segments.jaccard_components(table(spark, folder, "documents"))
+
+
 def op10_token_resync(spark: SparkSession, folder: str) -> DataFrame:
     return token_resync.token_counts(table(spark, folder, "documents"), vocabulary_file("word_bpe_49k.json"))
 
@@ -23,6 +27,7 @@ def op10_token_resync(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op7_phrase_index": op7_phrase_index,
+        "op8_jaccard_segments": op8_jaccard_segments,
         "op10_token_resync": op10_token_resync,
     }
 
