@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyslot.llm import jaccard_segments, phrase_index, token_resync
-from tallyslot.llm.common import table, vocabulary_file
+from tallyslot.llm import jaccard_segments, language_spans, phrase_index, repetition, token_resync
+from tallyslot.llm.common import column, held_out, table, vocabulary_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_language_spans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language_spans.identify(docs, language_spans.train(docs))
+    return found.select("doc_id", held_out(column("doc_id")).alias("held_out"), "lang_pred", "score", "n_spans")
+
+
+def op3_repetition(spark: SparkSession, folder: str) -> DataFrame:
+    return repetition.quality(table(spark, folder, "documents"))
+
+
 def op7_phrase_index(spark: SparkSession, folder: str) -> DataFrame:
     return phrase_index.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
 
@@ -26,6 +36,8 @@ def op10_token_resync(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_language_spans": op2_language_spans,
+        "op3_repetition": op3_repetition,
         "op7_phrase_index": op7_phrase_index,
         "op8_jaccard_segments": op8_jaccard_segments,
         "op10_token_resync": op10_token_resync,
