@@ -433,12 +433,16 @@ def rest(big, links, docs, nodes, doc_id, text, per_cent) -> DataFrame:
     rows = big.join(named, "node")
     mixed_keys = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
     rows = materialise(rows.join(mixed_keys, "key", "left_semi"), "jaccard-mixed")
+    # a pair is emitted under the smallest of its common keys only, not under each
+    rows = rows.join(rows.groupBy("node").agg(F.collect_set("key").alias("all")), "node")
     a, b = rows.alias("a"), rows.alias("b")
+    shared = F.array_intersect("a.all", "b.all")
     fits = 100 * F.least("a.n", "b.n") >= per_cent * F.greatest("a.n", "b.n")
     most = F.least(F.expr("a.n - a.rare"), F.expr("b.n - b.rare"))
-    blind = F.expr("a.key & 1") == 1
-    could = ~blind | (100 * most >= per_cent * (F.col("a.n") + F.col("b.n") - most))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & F.expr("a.root != b.root") & fits & could)
+    sighted = F.exists(shared, lambda k: k.bitwiseAND(1) == 0)
+    could = sighted | (100 * most >= per_cent * (F.col("a.n") + F.col("b.n") - most))
+    once = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & F.expr("a.root != b.root")
+    pairs = a.join(b, once & fits & (F.array_min(shared) == F.col("a.key")) & could)
     pairs = materialise(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "jaccard-pairs")
     return materialise(verified(pairs, docs, nodes, doc_id, text, per_cent), "jaccard-links")
 
