@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyslot.llm import jaccard_segments, language_spans, phrase_index, repetition, token_resync
+from tallyslot.llm import (
+    jaccard_segments, language_spans, phrase_index, piece_trie, repair_store, repetition, token_resync,
+)
 from tallyslot.llm.common import column, held_out, table, vocabulary_file
+from tallyslot.sources.workdir import fresh_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +25,16 @@ def op3_repetition(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.quality(table(spark, folder, "documents"))
 
 
+def op4_piece_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_trie.digests(table(spark, folder, "documents"), vocabulary_file("piece_bpe_32k.model"))
+
+
+def op5_repair_store(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_folder(spark, "id-store")
+    repair_store.write(table(spark, folder, "documents"), vocabulary_file("byte_bpe_50k.json"), path)
+    return repair_store.read_back(repair_store.read(spark, path))
+
+
 def op7_phrase_index(spark: SparkSession, folder: str) -> DataFrame:
     return phrase_index.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
 
@@ -38,6 +51,8 @@ def queries() -> dict[str, Query]:
     return {
         "op2_language_spans": op2_language_spans,
         "op3_repetition": op3_repetition,
+        "op4_piece_trie": op4_piece_trie,
+        "op5_repair_store": op5_repair_store,
         "op7_phrase_index": op7_phrase_index,
         "op8_jaccard_segments": op8_jaccard_segments,
         "op10_token_resync": op10_token_resync,
