@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyslot.llm import (
-    jaccard_segments, language_spans, phrase_index, piece_trie, repair_store, repetition, token_resync,
+    jaccard_segments, language_spans, license_rules, phrase_index, piece_trie, repair_store, repetition, token_resync,
+    toxic_lm,
 )
 from tallyslot.llm.common import column, held_out, table, vocabulary_file
 from tallyslot.sources.workdir import fresh_folder
@@ -15,6 +16,10 @@ from tallyslot.sources.workdir import fresh_folder
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return license_rules.scan(table(spark, folder, "documents"))
+
+
 def op2_language_spans(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = language_spans.identify(docs, language_spans.train(docs))
@@ -35,6 +40,12 @@ def op5_repair_store(spark: SparkSession, folder: str) -> DataFrame:
     return repair_store.read_back(repair_store.read(spark, path))
 
 
+def op6_toxic_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = toxic_lm.toxicity(docs, toxic_lm.train(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", held_out(column("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_phrase_index(spark: SparkSession, folder: str) -> DataFrame:
     return phrase_index.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
 
@@ -49,10 +60,12 @@ def op10_token_resync(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_license_rules": op1_license_rules,
         "op2_language_spans": op2_language_spans,
         "op3_repetition": op3_repetition,
         "op4_piece_trie": op4_piece_trie,
         "op5_repair_store": op5_repair_store,
+        "op6_toxic_lm": op6_toxic_lm,
         "op7_phrase_index": op7_phrase_index,
         "op8_jaccard_segments": op8_jaccard_segments,
         "op10_token_resync": op10_token_resync,
