@@ -86,7 +86,7 @@ def shingle_set(text: str | None, hashes: WordHashes, size: int = SHINGLE) -> np
     n = max(1, len(words) - size + 1)
     out = np.full(n, np.uint64(min(len(words), size)), np.uint64)
     for i in range(min(size, len(words))):
-        out = mixed(out ^ (h[i : i + n] * MIX[i % 4]), i)
+        out = mixed(out ^ (h[i : i + n] * MIX[i % len(MIX)]), i)
     return np.unique(out)
 
 
@@ -199,14 +199,14 @@ def may_link(na, nb, ra, rb, blind, per_cent: int):
 # Steps over the documents
 
 
-def described(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def described(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
     """doc_id, n_shingles, class, text_hash of every row."""
 
     def make():
         hashes = WordHashes()
 
         def score(texts):
-            sets = [shingle_set(t, hashes) for t in texts]
+            sets = [shingle_set(t, hashes, shingle) for t in texts]
             return {"n_shingles": [len(s) for s in sets], "class": [class_key(s) for s in sets]}
 
         return score
@@ -216,7 +216,7 @@ def described(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return annotate(rows, make, "n_shingles long, class binary", "text", ["doc_id", "text_hash"])
 
 
-def frequent_shingles(docs: DataFrame, text: str, least: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, text: str, shingle: int, least: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
     """The most frequent shingles, from counts within tasks that are then added up."""
 
     def count(batches):
@@ -238,7 +238,7 @@ def frequent_shingles(docs: DataFrame, text: str, least: int = FREQUENT, most: i
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                pending.append(shingle_set(t, hashes))
+                pending.append(shingle_set(t, hashes, shingle))
                 size += len(pending[-1])
                 if size > 4_000_000:
                     fold()
@@ -252,7 +252,7 @@ def frequent_shingles(docs: DataFrame, text: str, least: int = FREQUENT, most: i
     return np.unique(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def indexed(docs: DataFrame, text: str, frequent: np.ndarray, per_cent: int) -> DataFrame:
+def indexed(docs: DataFrame, text: str, frequent: np.ndarray, per_cent: int, shingle: int) -> DataFrame:
     """key, node (64 bits of the class), n, rare: one row per key and set; a task leaves out sets it has seen."""
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -261,7 +261,7 @@ def indexed(docs: DataFrame, text: str, frequent: np.ndarray, per_cent: int) ->
         for batch in batches:
             keys, nodes, sizes, rares, counts = [], [], [], [], []
             for t in batch.column(0).to_pylist():
-                tokens = shingle_set(t, hashes)
+                tokens = shingle_set(t, hashes, shingle)
                 if not len(tokens):
                     continue
                 node = int.from_bytes(class_key(tokens)[:8], "big", signed=True)
@@ -343,7 +343,7 @@ def met(rows: DataFrame, per_cent: int, small: int, pivots: int) -> DataFrame:
     return rows.mapInArrow(group, "kind string, a long, b long, key long, n long, rare long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, per_cent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, per_cent: int, shingle: int) -> DataFrame:
     """The links among candidate pairs, as classes a < b; texts are fetched once per class."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     reps = materialise(nodes.join(wanted, "node", "left_semi"), "jaccard-reps")
@@ -361,7 +361,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, doc_id: str, t
 
     def check(batches):
         hashes = WordHashes()
-        made = lru_cache(maxsize=256)(lambda t: shingle_set(t, hashes))
+        made = lru_cache(maxsize=256)(lambda t: shingle_set(t, hashes, shingle))
         for b in batches:
             keep = []
             for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -396,21 +396,21 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
 
 def judged(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per_cent: int = PER_CENT, least: int = FREQUENT,
-    small: int = SMALL_KEY, pivots: int = PIVOTS,
+    small: int = SMALL_KEY, pivots: int = PIVOTS, shingle: int = SHINGLE,
 ) -> DataFrame:
     """doc_id, text_hash, n_shingles, root (the component's smallest class, null for the empty set) of every row."""
-    known = materialise(described(docs, doc_id, text), "jaccard-sets")
+    known = materialise(described(docs, doc_id, text, shingle), "jaccard-sets")
     node = F.conv(F.hex(F.substring("class", 1, 8)), 16, -10).cast("long")
     nodes = known.filter("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
     nodes = materialise(nodes.withColumn("node", node), "jaccard-classes")
-    frequent = frequent_shingles(docs, text, least)
-    rows = indexed(docs, text, frequent, per_cent).repartition("key")
+    frequent = frequent_shingles(docs, text, shingle, least)
+    rows = indexed(docs, text, frequent, per_cent, shingle).repartition("key")
     found = materialise(met(rows, per_cent, small, pivots), "jaccard-met")
     pairs = materialise(found.filter("kind = 'pair'").select("a", "b").distinct(), "jaccard-pairs")
-    links = materialise(verified(pairs, docs, nodes, doc_id, text, per_cent), "jaccard-links")
+    links = materialise(verified(pairs, docs, nodes, doc_id, text, per_cent, shingle), "jaccard-links")
     big = found.filter("kind = 'big'").select("key", F.col("a").alias("node"), "n", "rare")
     if not big.isEmpty():
-        links = links.union(rest(big, links, docs, nodes, doc_id, text, per_cent))
+        links = links.union(rest(big, links, docs, nodes, doc_id, text, per_cent, shingle))
     roots = components(links)
     out = known.join(roots, F.col("class") == F.col("node"), "left")
     return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("root", "class").alias("root"))
@@ -425,7 +425,7 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def rest(big, links, docs, nodes, doc_id, text, per_cent) -> DataFrame:
+def rest(big, links, docs, nodes, doc_id, text, per_cent, shingle) -> DataFrame:
     """Links between members of large keys that the pivots left in different components."""
     roots = components(links)
     named = nodes.select("node", "class").join(roots.withColumnRenamed("node", "class"), "class", "left")
@@ -444,7 +444,7 @@ def rest(big, links, docs, nodes, doc_id, text, per_cent) -> DataFrame:
     once = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & F.expr("a.root != b.root")
     pairs = a.join(b, once & fits & (F.array_min(shared) == F.col("a.key")) & could)
     pairs = materialise(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "jaccard-pairs")
-    return materialise(verified(pairs, docs, nodes, doc_id, text, per_cent), "jaccard-links")
+    return materialise(verified(pairs, docs, nodes, doc_id, text, per_cent, shingle), "jaccard-links")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from tallyslot.llm import (
-    jaccard_segments, language_spans, license_rules, phrase_index, piece_trie, repair_store, repetition, token_resync,
+    jaccard_segments, language_spans, license_rules, phrase_index, pii_segments, piece_trie, repair_store, repetition, token_resync,
     toxic_lm,
 )
 from tallyslot.llm.common import column, held_out, table, vocabulary_file
@@ -54,6 +56,11 @@ def op8_jaccard_segments(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_segments.jaccard_components(table(spark, folder, "documents"))
 
 
+def op9_pii_segments(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pii_segments.find(docs, pii_segments.train(docs))
+
+
 def op10_token_resync(spark: SparkSession, folder: str) -> DataFrame:
     return token_resync.token_counts(table(spark, folder, "documents"), vocabulary_file("word_bpe_49k.json"))
 
@@ -68,7 +75,9 @@ def queries() -> dict[str, Query]:
         "op6_toxic_lm": op6_toxic_lm,
         "op7_phrase_index": op7_phrase_index,
         "op8_jaccard_segments": op8_jaccard_segments,
+        "op9_pii_segments": op9_pii_segments,
         "op10_token_resync": op10_token_resync,
+        "pipeline": corpus_pipeline.run,
     }
 
 
