@@ -20,8 +20,8 @@ EXTRA = "found by the stage"
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go; all others stay as they are."""
     model = language_spans.train(docs)
-    found = language_spans.identify(docs, model, keep=docs.columns)
-    return found.filter(F.col("lang_pred") != "und").select(*[column(c) for c in docs.columns])
+    found = language_spans.identify(docs, model, keep=docs.columns, prefix=EXTRA)
+    return found.filter(column(EXTRA + "lang_pred") != "und").select(*[column(c) for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

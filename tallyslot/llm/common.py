@@ -50,19 +50,20 @@ def annotate(
     added: str,
     text: str = "text",
     keep: list[str] | None = None,
+    prefix: str = "",
 ) -> DataFrame:
-    """One row per row of ``df``: the columns of ``keep`` and those of the DDL ``added``.
+    """One row per row of ``df``: the columns of ``keep`` and those of the DDL ``added``, with ``prefix`` before their names.
 
     ``make`` is called once a task and gives the scorer: from a list of texts to a dict with one sequence per
     added column. Columns are passed on by position, so names in ``df`` outside ``keep`` never clash.
     """
     keep = ["doc_id"] if keep is None else keep
     new = T._parse_datatype_string(added)
-    schema = T.StructType([df.schema[k] for k in keep] + new.fields)
-    source = df.select(*[column(k) for k in keep], column(text).cast("string").alias("text of the row"))
+    schema = T.StructType([df.schema[k] for k in keep] + [T.StructField(prefix + f.name, f.dataType) for f in new.fields])
+    source = df.select(*[column(k).alias(f"c{i}") for i, k in enumerate(keep)], column(text).cast("string").alias("whole"))
     kinds = [to_arrow_type(f.dataType) for f in new.fields]
     names = [f.name for f in new.fields]
-    shown = [*keep, *names]
+    shown = [*keep, *(prefix + n for n in names)]
 
     def run(batches):
         score = None

@@ -246,7 +246,7 @@ class SpanLabeller:
         }
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """The columns of ``keep`` (doc_id), lang_pred, score, n_spans (spans of one language) of every whole text."""
     known = docs.sparkSession.sparkContext.broadcast(model)
-    return annotate(docs, lambda: SpanLabeller(known.value), "lang_pred string, score double, n_spans long", text, keep)
+    return annotate(docs, lambda: SpanLabeller(known.value), "lang_pred string, score double, n_spans long", text, keep, prefix)
