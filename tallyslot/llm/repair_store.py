@@ -2,8 +2,9 @@
 
 Documents are dealt out by ranges of doc_id and sorted, so files hold them in ascending order. A task encodes its
 texts and cuts the id stream, each document ended by id 0, into blocks of about BLOCK ids. A block's grammar grows
-in rounds: the pairs at least a quarter as frequent as the most frequent one become nonterminals and all their
-occurrences that do not overlap are replaced, until no pair is frequent. The file format is a Parquet table with one row per block:
+in rounds: the pairs at least a SHARE as frequent as the most frequent one become nonterminals and all their
+occurrences that do not overlap are replaced, until no pair is frequent. The file format is a Parquet table with
+one row per block:
 
     shard, block            place in the order of files
     start                   ids of the shard before the block
@@ -39,6 +40,8 @@ END = 0
 BLOCK = 1_000_000
 #: Pairs seen fewer times in a block are not replaced; rounds of replacement at most.
 LEAST_PAIR, ROUNDS = 24, 12
+#: Pairs of one round: those at least 1 / SHARE as frequent as the most frequent one.
+SHARE = 32
 REMEMBERED = 300_000
 
 FORMAT = (
@@ -137,7 +140,7 @@ def compress(ids: np.ndarray, terminals: int, least: int = LEAST_PAIR, rounds: i
             break
         pair = (seq[:-1] << 32) | seq[1:]
         kinds, times = np.unique(pair, return_counts=True)
-        enough = max(least, int(times.max()) // 4)
+        enough = max(least, int(times.max()) // SHARE)
         chosen = kinds[times >= enough]
         if not len(chosen):
             break
