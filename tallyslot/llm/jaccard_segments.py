@@ -50,6 +50,8 @@ SMALL_KEY = 32
 PIVOTS = 4
 #: Representatives looked up by broadcast up to so many (24 bytes each), else by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Shingles that a counting task holds at once, and pairs that a pairing task holds at once.
+HELD_SHINGLES, HELD_PAIRS = 1_000_000, 1_000_000
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 FNV = np.uint64(0x100000001B3)
@@ -58,7 +60,7 @@ FNV = np.uint64(0x100000001B3)
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 120_000
 
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
@@ -227,7 +229,7 @@ def frequent_shingles(docs: DataFrame, text: str, shingle: int, least: int = FRE
             nonlocal held, counts, pending, size
             new, got = np.unique(np.concatenate(pending), return_counts=True)
             pending, size = [], 0
-            # once seen among a few million shingles says nothing; that keeps this table small
+            # once seen among a million shingles says little; that keeps this table small
             new, got = new[got > 1], got[got > 1]
             both = np.concatenate([held, new])
             held, at = np.unique(both, return_inverse=True)
@@ -240,7 +242,7 @@ def frequent_shingles(docs: DataFrame, text: str, shingle: int, least: int = FRE
             for t in batch.column(0).to_pylist():
                 pending.append(shingle_set(t, hashes, shingle))
                 size += len(pending[-1])
-                if size > 4_000_000:
+                if size > HELD_SHINGLES:
                     fold()
         if pending:
             fold()
@@ -308,32 +310,48 @@ def met(rows: DataFrame, per_cent: int, small: int, pivots: int) -> DataFrame:
         key, node, n, rare = key[new], node[new], n[new], rare[new]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(starts, len(key)))
-        left, right = [], []
+        left, right, waiting = [], [], 0
 
         def pair(i, j):
+            nonlocal waiting
             ok = may_link(n[i], n[j], rare[i], rare[j], (key[i] & 1).astype(bool), per_cent)
             left.append(np.minimum(node[i[ok]], node[j[ok]]))
             right.append(np.maximum(node[i[ok]], node[j[ok]]))
+            waiting += len(left[-1])
+
+        def given():
+            nonlocal waiting
+            a, b = (np.concatenate([node[:0], *side]) for side in (left, right))
+            left.clear(), right.clear()
+            waiting = 0
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            a, b = a[new], b[new]
+            for lo in range(0, len(a), 100_000):
+                z = np.zeros(len(a[lo : lo + 100_000]), np.int64)
+                yield batch("pair", a[lo : lo + 100_000], b[lo : lo + 100_000], z, z, z)
 
         for s in np.unique(sizes[(sizes > 1) & (sizes <= small)]):
             at = starts[sizes == s]
             a, b = np.triu_indices(int(s), 1)
-            for lo in range(0, len(at), max(1, 1_000_000 // len(a))):
-                some = at[lo : lo + max(1, 1_000_000 // len(a)), None]
+            step = max(1, HELD_PAIRS // 4 // len(a))
+            for lo in range(0, len(at), step):
+                some = at[lo : lo + step, None]
                 pair((some + a).ravel(), (some + b).ravel())
+                if waiting > HELD_PAIRS:
+                    yield from given()
         for at, s in zip(starts[sizes > small], sizes[sizes > small], strict=True):
             members = at + np.lexsort((node[at : at + s], n[at : at + s]))
             for p in range(min(pivots, s - 1)):
                 pair(np.full(s - p - 1, members[p]), members[p + 1 :])
+                if waiting > HELD_PAIRS:
+                    yield from given()
             for lo in range(0, s, 100_000):
                 some = members[lo : lo + 100_000]
                 yield batch("big", node[some], node[some], key[some], n[some], rare[some])
-        if left:
-            both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-            for lo in range(0, len(both), 100_000):
-                some = both[lo : lo + 100_000]
-                z = np.zeros(len(some), np.int64)
-                yield batch("pair", np.ascontiguousarray(some[:, 0]), np.ascontiguousarray(some[:, 1]), z, z, z)
+        yield from given()
 
     def batch(kind, a, b, key, n, rare):
         return pa.RecordBatch.from_arrays(
