@@ -130,6 +130,7 @@ PLANS: dict[str, Plan] = {
     "booking_batch": lambda ds: lessons.book(ds, ds.booking_requests, CLOCK).select(
         "request_id", "ok", "reason", "lesson_id"
     ),
+    "booked_lessons": lambda ds: lessons.booked_lessons(lessons.book(ds, ds.booking_requests, CLOCK)),
     "booking_balances": lambda ds: lessons.booking_balances(ds, lessons.book(ds, ds.booking_requests, CLOCK)),
     "cancellation_batch": lambda ds: lessons.cancel(ds, ds.cancel_requests, CLOCK).select(
         "request_id", "lesson_id", "ok", "reason", "fee"
@@ -144,6 +145,7 @@ PLANS: dict[str, Plan] = {
     "slot_conflicts": lessons.slot_conflicts,
     # payment jobs
     "payment_batch": lambda ds: payments.record(ds, ds.payment_requests).select("request_id", "ok", "reason"),
+    "recorded_payments": lambda ds: payments.recorded_payments(payments.record(ds, ds.payment_requests)),
     "payment_balances": lambda ds: payments.payment_balances(ds, payments.record(ds, ds.payment_requests)),
     "payment_balances_once": lambda ds: payments.payment_balances(
         ds, payments.record(ds, ds.payment_requests), double_apply=False

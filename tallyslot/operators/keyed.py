@@ -21,10 +21,18 @@ def flag_first(df: DataFrame, keys: Iterable[str], unique_id: str, out: str, whe
     return joined.withColumn(out, F.col("_first_id").isNotNull()).drop("_first_id")
 
 
-def flag_known(df: DataFrame, column: str, known: DataFrame, known_key: str, out: str, where: Column | None = None) -> DataFrame:
-    """Add ``out``: true when ``column`` occurs among the keys of ``known``."""
+def flag_known(
+    df: DataFrame, column: str, known: DataFrame, known_key: str, out: str, where: Column | None = None, unique: bool = False
+) -> DataFrame:
+    """Add ``out``: true when ``column`` occurs among the keys of ``known``.
+
+    ``unique`` says that ``known_key`` is a key of ``known``. The join then takes
+    both sides straight from their shuffles, which is what lets adaptive
+    execution split a value (or NULL) that very many rows of ``df`` share.
+    """
     keys = known if where is None else known.where(where)
-    keys = keys.select(F.col(known_key).alias("_key")).distinct().withColumn("_hit", F.lit(True))
+    keys = keys.select(F.col(known_key).alias("_key"))
+    keys = (keys if unique else keys.distinct()).withColumn("_hit", F.lit(True))
     joined = df.join(keys, F.col(column) == F.col("_key"), "left")
     return joined.withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_key", "_hit")
 

@@ -97,7 +97,7 @@ SELECT event_id AS audit_id, CONCAT('user', user_id, '@example.ca') AS email, us
     "d_lesson_audit_log": """
 SELECT o_orderkey AS audit_id, CASE WHEN o_orderkey % 1000 = 999 THEN o_orderkey + 100000000 ELSE o_orderkey END AS lesson_id,
   'BOOK' AS old_status, CASE WHEN o_orderstatus = 'F' THEN 'COMP' ELSE 'CONF' END AS new_status, o_orderdate AS changed_at, 'system' AS changed_by
-FROM orders WHERE o_orderstatus <> 'P'""",
+FROM orders""",
     "d_booking_requests": """
 SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 23 = 0 THEN o_custkey + 10000000 ELSE o_custkey END AS customer_id,
   CASE WHEN o_orderkey % 35 = 0 THEN NULL WHEN o_orderkey % 55 = 0 THEN -1 ELSE (o_orderkey * 3 + o_custkey) % (SELECT COUNT(*) FROM supplier) END AS staff_id,
@@ -109,7 +109,8 @@ FROM orders""",
     "d_payment_requests": f"""
 SELECT event_id AS request_id, CASE WHEN event_id % 11 = 0 THEN user_id + 10000000 ELSE user_id END AS customer_id,
   ts AS datetime_payment, {EVENT_METHOD.format(other='XXX')} AS payment_method_code,
-  CASE WHEN event_id % 13 = 0 THEN CAST(0 AS DECIMAL(10,2)) WHEN event_id % 17 = 0 THEN NULL ELSE CAST(value AS DECIMAL(10,2)) END AS amount
+  CASE WHEN event_id % 13 = 0 THEN CAST(0 AS DECIMAL(10,2)) WHEN event_id % 17 = 0 THEN NULL ELSE CAST(value AS DECIMAL(10,2)) END AS amount,
+  CASE WHEN event_id % 4 <> 0 THEN props END AS details
 FROM events""",
     "d_payment_corrections": f"""
 SELECT event_id AS request_id, user_id AS customer_id,
@@ -117,7 +118,8 @@ SELECT event_id AS request_id, user_id AS customer_id,
   {PAYMENT_TIME} + CASE WHEN event_id % 4 = 1 THEN INTERVAL '5' MINUTE ELSE INTERVAL '0' MINUTE END AS new_datetime,
   {EVENT_METHOD.format(other='CASH')} AS payment_method_code,
   CASE WHEN event_id % 13 = 0 THEN CAST(0 AS DECIMAL(10,2)) WHEN event_id % 19 = 0 THEN NULL
-       ELSE CAST(value + (event_id % 5 - 2) * 10 AS DECIMAL(10,2)) END AS amount
+       ELSE CAST(value + (event_id % 5 - 2) * 10 AS DECIMAL(10,2)) END AS amount,
+  CASE WHEN event_id % 3 <> 0 THEN CONCAT('corrected ', event_id) END AS details
 FROM events""",
     "d_cancel_requests": """
 SELECT o_orderkey * 2 + k.i AS request_id, CASE WHEN o_orderkey % 31 = 0 THEN o_orderkey + 100000000 ELSE o_orderkey END AS lesson_id
@@ -157,13 +159,14 @@ SELECT c_custkey AS request_id, CASE c_custkey % 3 WHEN 0 THEN 'add' WHEN 1 THEN
   CASE WHEN c_custkey % 4 <> 0 THEN CONCAT('T', c_custkey % 90) END AS zip_postcode
 FROM customer""",
     "d_staff_changes": """
-SELECT s_suppkey AS request_id, CASE s_suppkey % 4 WHEN 0 THEN 'add' WHEN 3 THEN 'delete' ELSE 'update' END AS op,
+SELECT s_suppkey * 4 + i AS request_id,
+  CASE WHEN s_suppkey % 4 = 0 THEN 'add' WHEN s_suppkey % 4 = 3 AND i = s_suppkey % 3 THEN 'delete' ELSE 'update' END AS op,
   CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey END AS staff_id,
-  CASE WHEN s_suppkey % 18 = 0 THEN 'NOPE' ELSE 'ACT' END AS customer_status_code,
-  CASE WHEN s_suppkey % 15 <> 0 THEN CONCAT('First', s_suppkey) END AS first_name, s_name AS last_name,
+  CASE WHEN (s_suppkey + i) % 18 = 0 THEN 'NOPE' ELSE 'ACT' END AS customer_status_code,
+  CASE WHEN (s_suppkey + i) % 5 <> 0 THEN CONCAT('First', s_suppkey, '-', i) END AS first_name, s_name AS last_name,
   CASE WHEN s_suppkey % 22 <> 0 THEN CAST(DATE '2010-01-01' + CAST(s_suppkey % 900 AS INT) AS TIMESTAMP) END AS date_joined_staff,
   CASE WHEN s_suppkey % 6 = 1 THEN TIMESTAMP '2011-01-01 00:00:00' END AS date_left_staff
-FROM supplier""",
+FROM supplier JOIN (VALUES (0), (1), (2), (3)) AS n(i) ON i <= s_suppkey // 2 % 4""",
     "d_role_requests": """
 SELECT event_id AS request_id, user_id,
   CASE event_id % 5 WHEN 0 THEN 'admin' WHEN 1 THEN 'Staff' WHEN 2 THEN 'REPORT' WHEN 3 THEN 'report' ELSE 'owner' END AS role_code,

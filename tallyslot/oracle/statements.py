@@ -236,8 +236,7 @@ staff_load AS (SELECT staff_id, lesson_date, lesson_time_sec, COUNT(*) AS n, MIN
 vehicle_load AS (SELECT vehicle_id, lesson_date, lesson_time_sec, COUNT(*) AS n, MIN(lesson_id) AS one FROM busy WHERE vehicle_id IS NOT NULL GROUP BY 1, 2, 3),
 judged AS (
   SELECT r.*, l.lesson_status_code AS was,
-    CASE WHEN l.lesson_id IS NULL THEN 'lesson_missing'
-      WHEN row_number() OVER (PARTITION BY r.lesson_id ORDER BY r.request_id) > 1 THEN 'repeated_request' END AS early,
+    CASE WHEN l.lesson_id IS NULL THEN 'lesson_missing' END AS early,
     COALESCE(s.n > 1 OR s.one <> r.lesson_id, false) AS s_held, COALESCE(v.n > 1 OR v.one <> r.lesson_id, false) AS v_held,
     r.customer_id NOT IN (SELECT customer_id FROM d_customers)
       OR COALESCE(r.staff_id NOT IN (SELECT staff_id FROM d_staff), false)
@@ -364,8 +363,7 @@ form AS (
 wanted AS (SELECT * FROM form WHERE op <> 'delete' AND fault IS NULL AND line_1_number_building IS NOT NULL),
 {ADDRESS_MATCH.format(requests='wanted').strip()},
 stored AS (
-  SELECT *, CASE WHEN given IS NOT NULL AND row_number() OVER (PARTITION BY given ORDER BY request_id) > 1 THEN 'repeated_request'
-      WHEN op = 'delete' AND given IN (SELECT customer_id FROM d_lessons) THEN 'has_lessons'
+  SELECT *, CASE WHEN op = 'delete' AND given IN (SELECT customer_id FROM d_lessons) THEN 'has_lessons'
       WHEN fault IS NOT NULL THEN fault
       WHEN op <> 'delete' AND customer_status_code NOT IN (SELECT customer_status_code FROM d_customer_status) THEN 'status_unknown'
       WHEN op <> 'delete' AND EXISTS (SELECT 1 FROM d_customers c WHERE c.email_address = form.email AND c.customer_id IS DISTINCT FROM form.given) THEN 'email_taken' END AS fail
@@ -887,6 +885,14 @@ FROM balance WHERE calculated <> stored""",
 SELECT request_id, reason IS NULL AS ok, reason,
   CASE WHEN reason IS NULL THEN (SELECT MAX(lesson_id) FROM d_lessons) + row_number() OVER (PARTITION BY reason IS NULL ORDER BY request_id) END AS lesson_id
 FROM answer""",
+    ),
+    "booked_lessons": (
+        BOOKED,
+        f"""
+SELECT (SELECT MAX(lesson_id) FROM d_lessons) + row_number() OVER (ORDER BY r.request_id) AS lesson_id, r.customer_id,
+  'BOOK' AS lesson_status_code, r.staff_id, r.vehicle_id, r.lesson_date, r.lesson_time_sec, {money('r.price')} AS price,
+  CAST(NULL AS VARCHAR) AS other_lesson_details
+FROM answer a JOIN d_booking_requests r USING (request_id) WHERE a.reason IS NULL""",
     ),
     "booking_balances": (
         BOOKED,
@@ -941,6 +947,12 @@ FROM d_lessons l JOIN d_lessons o ON o.vehicle_id = l.vehicle_id AND o.lesson_da
   AND o.lesson_id <> l.lesson_id AND o.lesson_status_code <> 'CANC' GROUP BY ALL""",
     ),
     "payment_batch": (RECORDED, "SELECT request_id, reason IS NULL AS ok, reason FROM answer"),
+    "recorded_payments": (
+        RECORDED,
+        f"""
+SELECT customer_id, datetime_payment, payment_method_code, {money('amount')} AS amount_payment, details AS other_payment_details
+FROM answer WHERE reason IS NULL""",
+    ),
     "payment_balances": payment_balances(2),
     "payment_balances_once": payment_balances(1),
     "payment_correction": (
@@ -964,7 +976,7 @@ FROM (SELECT customer_id, opening, MAX(turn) AS turn FROM steps GROUP BY 1, 2) s
         f"""
 SELECT p.customer_id, COALESCE(a.new_datetime, p.datetime_payment) AS datetime_payment,
   COALESCE(a.payment_method_code, p.payment_method_code) AS payment_method_code, {money('COALESCE(a.amount, p.amount_payment)')} AS amount_payment,
-  CASE WHEN a.request_id IS NULL THEN p.other_payment_details END AS other_payment_details
+  CASE WHEN a.request_id IS NULL THEN p.other_payment_details ELSE a.details END AS other_payment_details
 FROM d_payments p LEFT JOIN (SELECT * FROM answer WHERE reason IS NULL) a ON a.customer_id = p.customer_id AND a.original_datetime = p.datetime_payment""",
     ),
     "running_balance": (
@@ -1000,9 +1012,9 @@ FROM put p LEFT JOIN d_customers c ON c.customer_id = p.customer_id WHERE p.op =
         "",
         """
 SELECT r.request_id, r.customer_id, l.customer_id IS NULL AS ok, CASE WHEN l.customer_id IS NOT NULL THEN 'has_lessons' END AS reason,
-  CASE WHEN l.customer_id IS NULL THEN (SELECT COUNT(*) FROM d_payments p WHERE p.customer_id = r.customer_id) ELSE 0 END AS payments_removed,
-  CASE WHEN l.customer_id IS NULL THEN (SELECT COUNT(*) FROM d_app_users u WHERE u.customer_id = r.customer_id) ELSE 0 END AS users_unlinked
-FROM d_payment_requests r LEFT JOIN (SELECT DISTINCT customer_id FROM d_lessons) l ON l.customer_id = r.customer_id""",
+  CASE WHEN l.customer_id IS NULL AND r.turn = 1 THEN (SELECT COUNT(*) FROM d_payments p WHERE p.customer_id = r.customer_id) ELSE 0 END AS payments_removed,
+  CASE WHEN l.customer_id IS NULL AND r.turn = 1 THEN (SELECT COUNT(*) FROM d_app_users u WHERE u.customer_id = r.customer_id) ELSE 0 END AS users_unlinked
+FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY request_id) AS turn FROM d_payment_requests) r LEFT JOIN (SELECT DISTINCT customer_id FROM d_lessons) l ON l.customer_id = r.customer_id""",
     ),
     "staff_change_batch": (STAFF_ANSWER, "SELECT request_id, op, reason IS NULL AS ok, reason, staff_id FROM answer"),
     "apply_staff_changes": (
@@ -1011,7 +1023,8 @@ FROM d_payment_requests r LEFT JOIN (SELECT DISTINCT customer_id FROM d_lessons)
 SELECT * FROM d_staff s WHERE s.staff_id NOT IN (SELECT staff_id FROM answer WHERE reason IS NULL)
 UNION ALL
 SELECT a.staff_id, NULL, a.customer_status_code, NULL, a.first_name, NULL, a.last_name, NULL, a.date_joined_staff, a.date_left_staff, 'changed'
-FROM answer a WHERE a.reason IS NULL AND a.op <> 'delete'""",
+FROM answer a WHERE a.reason IS NULL AND a.op <> 'delete'
+  AND NOT EXISTS (SELECT 1 FROM answer b WHERE b.staff_id = a.staff_id AND b.reason IS NULL AND (b.op = 'delete' OR b.request_id > a.request_id))""",
     ),
     "staff_delete": (
         "",

@@ -82,8 +82,8 @@ def change_roles(ds: Dataset, requests: DataFrame) -> DataFrame:
     is the answer as JSON.
     """
     rows = requests.withColumn("role_code", F.upper("role_code"))
-    rows = flag_known(rows, "user_id", ds.app_users, "user_id", "_user")
-    rows = flag_known(rows, "role_code", ds.app_roles, "role_code", "_role")
+    rows = flag_known(rows, "user_id", ds.app_users, "user_id", "_user", unique=True)
+    rows = flag_known(rows, "role_code", ds.app_roles, "role_code", "_role", unique=True)
     assigns = F.col("action") == "assign"
     reason = X.first_failure([("user_missing", assigns & ~F.col("_user")), ("role_missing", assigns & ~F.col("_role"))])
     ok = F.col("reason").isNull()
@@ -135,7 +135,7 @@ def register(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> DataFr
     rows = requests.withColumn("email", X.normal_email("email")).withColumn(
         "role_code", F.upper(F.coalesce("role_code", F.lit(DEFAULT_ROLE)))
     )
-    rows = flag_known(rows, "role_code", ds.app_roles, "role_code", "_role")
+    rows = flag_known(rows, "role_code", ds.app_roles, "role_code", "_role", unique=True)
     length = F.coalesce("password_length", F.lit(0))
     missing = X.is_blank("full_name") | X.is_blank("email") | (length == 0)
     rows = rows.withColumn(

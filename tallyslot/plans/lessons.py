@@ -29,11 +29,11 @@ def book(ds: Dataset, requests: DataFrame, clock: Clock, scale: Scale = Scale())
     today = F.lit(clock.date)
     same_day_over = (F.col("lesson_date") == today) & (F.col("lesson_time_sec") <= clock.second_of_day)
     checked = flag_known(
-        requests, "customer_id", ds.customers, "customer_id", "_customer",
+        requests, "customer_id", ds.customers, "customer_id", "_customer", unique=True,
         where=F.col("customer_status_code") == ACTIVE_CUSTOMER,
     )
-    checked = flag_known(checked, "staff_id", ds.staff, "staff_id", "_staff")
-    checked = flag_known(checked, "vehicle_id", ds.vehicles, "vehicle_id", "_vehicle")
+    checked = flag_known(checked, "staff_id", ds.staff, "staff_id", "_staff", unique=True)
+    checked = flag_known(checked, "vehicle_id", ds.vehicles, "vehicle_id", "_vehicle", unique=True)
     checked = checked.withColumn(
         "_early",
         X.first_failure(
@@ -152,11 +152,10 @@ def update_lessons(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) ->
     """Answer lesson updates: adds ``ok, reason``.
 
     A batch is judged against the lessons as they stood before it: a slot that
-    one request vacates opens for the next batch, and a second request for the
-    same lesson is refused. Requests that want the same free slot are settled in
-    request order.
+    one request vacates opens for the next batch. Of the requests for a lesson
+    that pass their own checks the first counts. Requests that want the same free
+    slot are settled in request order.
     """
-    rows = flag_first(requests, ["lesson_id"], "request_id", "_first")
     own = ds.lessons.select(
         "lesson_id",
         F.col("lesson_status_code").alias("_old_status"),
@@ -164,11 +163,11 @@ def update_lessons(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) ->
         F.col("vehicle_id").alias("_old_vehicle"),
         slots.slot_key().alias("_old_slot"),
     )
-    rows = rows.join(own, "lesson_id", "left")
-    rows = flag_known(rows, "customer_id", ds.customers, "customer_id", "_customer")
-    rows = flag_known(rows, "staff_id", ds.staff, "staff_id", "_staff")
-    rows = flag_known(rows, "vehicle_id", ds.vehicles, "vehicle_id", "_vehicle")
-    rows = flag_known(rows, "lesson_status_code", ds.lesson_status, "lesson_status_code", "_status")
+    rows = requests.join(own, "lesson_id", "left")
+    rows = flag_known(rows, "customer_id", ds.customers, "customer_id", "_customer", unique=True)
+    rows = flag_known(rows, "staff_id", ds.staff, "staff_id", "_staff", unique=True)
+    rows = flag_known(rows, "vehicle_id", ds.vehicles, "vehicle_id", "_vehicle", unique=True)
+    rows = flag_known(rows, "lesson_status_code", ds.lesson_status, "lesson_status_code", "_status", unique=True)
     rows = rows.withColumn("_slot", slots.slot_key())
     rows = slots.with_holders(rows, ds.lessons, "staff_id", S.CANCELLED, "_staff_held")
     rows = slots.with_holders(rows, ds.lessons, "vehicle_id", S.CANCELLED, "_vehicle_held")
@@ -193,26 +192,24 @@ def update_lessons(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) ->
             [
                 ("date_time_required", F.col("lesson_date").isNull() | F.col("lesson_time_sec").isNull()),
                 ("lesson_missing", F.col("_old_slot").isNull()),
-                ("repeated_request", ~F.col("_first")),
             ]
         ),
     )
+    sound = F.col("_early").isNull() & ~unknown_ref & ~bad_row & ~F.col("_staff_taken") & ~F.col("_vehicle_taken")
+    rows = rows.withColumn("_unknown", unknown_ref).withColumn("_bad", bad_row).withColumn("_sound", sound)
+    rows = flag_first(materialise(rows, "update-checked"), ["lesson_id"], "request_id", "_first", where=F.col("_sound"))
     new_status = F.coalesce("lesson_status_code", "_old_status")
-    takes = (
-        F.col("_early").isNull() & ~unknown_ref & ~bad_row & ~F.col("_staff_taken") & ~F.col("_vehicle_taken")
-        & (new_status != S.CANCELLED)
-    )
-    rows = rows.withColumn("_unknown", unknown_ref).withColumn("_bad", bad_row).withColumn("takes_slot", takes)
+    rows = rows.withColumn("takes_slot", F.col("_sound") & F.col("_first") & (new_status != S.CANCELLED))
     settled = slots.settle(materialise(rows, "update-open"), scale)
     reason = X.first_failure(
         [
             ("date_time_required", F.col("_early") == "date_time_required"),
             ("lesson_missing", F.col("_early") == "lesson_missing"),
-            ("repeated_request", F.col("_early") == "repeated_request"),
             ("staff_conflict", F.col("_staff_taken") | (F.col("slot_conflict") == "staff_conflict")),
             ("vehicle_conflict", F.col("_vehicle_taken") | (F.col("slot_conflict") == "vehicle_conflict")),
             ("price_invalid", F.col("_bad")),
             ("unknown_reference", F.col("_unknown")),
+            ("repeated_request", ~F.col("_first")),
         ]
     )
     return settled.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull()).select(

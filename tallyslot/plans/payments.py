@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyslot.functions import exprs as X
@@ -13,14 +13,19 @@ from tallyslot.sources.dataset import Dataset
 from tallyslot.sources.workdir import materialise
 
 
+def _note(df: DataFrame) -> Column:
+    """The note that requests may carry in ``details``."""
+    return F.col("details") if "details" in df.columns else F.lit(None).cast("string")
+
+
 def record(ds: Dataset, requests: DataFrame) -> DataFrame:
     """Answer payment requests: adds ``ok, reason``.
 
     A customer can have one payment per instant. A request that repeats a stored
     instant, or that of an earlier accepted request, is a duplicate key.
     """
-    rows = flag_known(requests, "customer_id", ds.customers, "customer_id", "_customer")
-    rows = flag_known(rows, "payment_method_code", ds.payment_methods, "payment_method_code", "_method")
+    rows = flag_known(requests, "customer_id", ds.customers, "customer_id", "_customer", unique=True)
+    rows = flag_known(rows, "payment_method_code", ds.payment_methods, "payment_method_code", "_method", unique=True)
     stored = ds.payments.select("customer_id", "datetime_payment").distinct().withColumn("_stored", F.lit(True))
     rows = rows.join(stored, ["customer_id", "datetime_payment"], "left")
     rows = rows.withColumn(
@@ -45,9 +50,10 @@ def record(ds: Dataset, requests: DataFrame) -> DataFrame:
 
 
 def recorded_payments(answered: DataFrame) -> DataFrame:
+    """The payment rows that accepted requests create, with their notes."""
     return answered.where("ok").select(
         "customer_id", "datetime_payment", "payment_method_code", F.col("amount").alias("amount_payment"),
-        F.lit(None).cast("string").alias("other_payment_details"),
+        _note(answered).alias("other_payment_details"),
     )
 
 
@@ -97,7 +103,7 @@ def correct(ds: Dataset, requests: DataFrame) -> DataFrame:
     taken = ds.payments.select(
         "customer_id", F.col("datetime_payment").alias("new_datetime"), F.lit(True).alias("_taken")
     )
-    rows = flag_known(requests, "payment_method_code", ds.payment_methods, "payment_method_code", "_method")
+    rows = flag_known(requests, "payment_method_code", ds.payment_methods, "payment_method_code", "_method", unique=True)
     rows = rows.join(stored, ["customer_id", "original_datetime"], "left")
     rows = rows.join(taken, ["customer_id", "new_datetime"], "left")
     moves = F.col("new_datetime") != F.col("original_datetime")
@@ -142,13 +148,14 @@ def corrected_payments(ds: Dataset, answered: DataFrame) -> DataFrame:
         F.col("new_datetime").alias("_at"),
         F.col("payment_method_code").alias("_method"),
         F.col("amount").alias("_amount"),
+        _note(answered).alias("_details"),
     )
     changed = F.col("_at").isNotNull()
-    # A correction also replaces the note; these requests carry none, so it becomes NULL.
+    # A correction also replaces the note; one without a note clears it.
     return ds.payments.join(new, ["customer_id", "datetime_payment"], "left").select(
         "customer_id",
         F.coalesce("_at", "datetime_payment").alias("datetime_payment"),
         F.when(changed, F.col("_method")).otherwise(F.col("payment_method_code")).alias("payment_method_code"),
         F.when(changed, F.col("_amount")).otherwise(F.col("amount_payment")).alias("amount_payment"),
-        F.when(~changed, F.col("other_payment_details")).alias("other_payment_details"),
+        F.when(changed, F.col("_details")).otherwise(F.col("other_payment_details")).alias("other_payment_details"),
     )

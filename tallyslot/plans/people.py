@@ -76,8 +76,9 @@ def change_customers(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -
     """Answer customer adds, updates and deletes: ``request_id, op, ok, reason, customer_id, address_id``
     plus the cleaned form fields.
 
-    The batch is judged against the stored tables: one request per stored
-    customer, and of the requests that want one e-mail address the first wins.
+    The batch is judged against the stored tables: of the requests that pass
+    their own checks, the first per stored customer counts, and of those that
+    want one e-mail address the first wins.
     An update or delete of an unknown id is accepted and does nothing.
     """
     is_form = F.col("op").isin("add", "update")
@@ -102,32 +103,26 @@ def change_customers(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -
     found = resolve_addresses(ds, asks, scale).select("request_id", "address_id")
     rows = rows.join(found, "request_id", "left")
 
-    rows = flag_known(rows, "customer_status_code", ds.customer_status, "customer_status_code", "_status")
+    rows = flag_known(rows, "customer_status_code", ds.customer_status, "customer_status_code", "_status", unique=True)
     owners = ds.customers.where(F.col("email_address").isNotNull()).select(
         "email_address", F.col("customer_id").alias("_owner")
     )
     rows = rows.join(owners, "email_address", "left")
-    rows = flag_first(rows, ["customer_id"], "request_id", "_once", where=F.col("customer_id").isNotNull())
     rows = flag_known(rows, "customer_id", ds.lessons, "customer_id", "_has_lessons")
     email_held = F.col("_owner").isNotNull() & ~F.col("_owner").eqNullSafe(F.col("customer_id"))
-    rows = rows.withColumn(
-        "_fail",
-        X.first_failure(
-            [
-                ("repeated_request", F.col("customer_id").isNotNull() & ~F.col("_once")),
-                ("has_lessons", ~is_form & F.col("_has_lessons")),
-            ]
-        ),
-    )
     rows = rows.withColumn(
         "_fail",
         F.coalesce(
-            F.col("_fail"),
+            F.when(~is_form & F.col("_has_lessons"), "has_lessons"),
             F.col("_form"),
             F.when(is_form, X.first_failure([("status_unknown", ~F.col("_status")), ("email_taken", email_held)])),
         ),
     )
-    rows = materialise(rows, "customer-changes")
+    rows = materialise(rows, "customer-checks")
+    stored = F.col("customer_id").isNotNull()
+    rows = flag_first(rows, ["customer_id"], "request_id", "_once", where=stored & F.col("_fail").isNull())
+    again = F.when(stored & ~F.col("_once"), "repeated_request")
+    rows = materialise(rows.withColumn("_fail", F.coalesce("_fail", again)), "customer-changes")
     competes = F.col("_fail").isNull() & is_form & F.col("email_address").isNotNull()
     rows = flag_first(rows, ["email_address"], "request_id", "_email_first", where=competes)
     reason = F.coalesce("_fail", F.when(competes & ~F.col("_email_first"), "email_taken"))
@@ -155,7 +150,8 @@ def changed_customers(ds: Dataset, answered: DataFrame) -> DataFrame:
 def delete_customers(ds: Dataset, requests: DataFrame) -> DataFrame:
     """Answer deletions: lessons block a customer; payments go with it and user links are cleared.
 
-    ``request_id, customer_id, ok, reason, payments_removed, users_unlinked``.
+    ``request_id, customer_id, ok, reason, payments_removed, users_unlinked``. A
+    repeated request finds the customer gone: it is accepted and removes nothing.
     """
     rows = flag_known(requests, "customer_id", restricting_keys(ds, "customers"), "_key", "_has_lessons")
     paid = ds.payments.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_payments"))
@@ -163,9 +159,10 @@ def delete_customers(ds: Dataset, requests: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_users")
     )
     ok = ~F.col("_has_lessons")
+    rows = flag_first(rows, ["customer_id"], "request_id", "_first", where=ok)
 
     def count_if_deleted(c: str) -> Column:
-        return F.when(ok, F.coalesce(c, F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+        return F.when(ok & F.col("_first"), F.coalesce(c, F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
 
     return (
         rows.join(paid, "customer_id", "left")
@@ -194,18 +191,20 @@ STAFF_FIELDS = [
 
 
 def change_staff(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> DataFrame:
-    """Answer staff adds, updates and deletes: ``request_id, op, ok, reason, staff_id`` plus the fields."""
+    """Answer staff adds, updates and deletes: ``request_id, op, ok, reason, staff_id`` plus the fields.
+
+    Requests share nothing but their row, so each is judged by itself; an update
+    or delete of a row that is not there, or no longer there, does nothing.
+    """
     is_form = F.col("op").isin("add", "update")
     rows = requests
     for c in ["nickname", "first_name", "middle_name", "last_name", "other_staff_details"]:
         rows = rows.withColumn(c, X.blank_to_null(F.trim(c)))
     lacks = F.col("first_name").isNull() | F.col("last_name").isNull() | F.col("date_joined_staff").isNull()
-    rows = flag_known(rows, "customer_status_code", ds.customer_status, "customer_status_code", "_status")
-    rows = flag_first(rows, ["staff_id"], "request_id", "_once", where=F.col("staff_id").isNotNull())
+    rows = flag_known(rows, "customer_status_code", ds.customer_status, "customer_status_code", "_status", unique=True)
     left_early = F.coalesce(F.col("date_left_staff") < F.col("date_joined_staff"), F.lit(False))
     reason = X.first_failure(
         [
-            ("repeated_request", F.col("staff_id").isNotNull() & ~F.col("_once")),
             ("required_missing", is_form & lacks),
             ("left_before_joined", is_form & left_early),
             ("status_unknown", is_form & ~F.col("_status")),
@@ -223,8 +222,11 @@ def change_staff(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> Da
 
 
 def changed_staff(ds: Dataset, answered: DataFrame) -> DataFrame:
-    changes = answered.where("ok").drop("request_id", "reason", "ok")
-    return conform(apply_changes(ds.staff, changes, "staff_id"), "staff")
+    """The staff table after the batch: a deletion is final, else the last accepted update stands."""
+    rank = F.struct(F.col("op") == "delete", F.col("request_id"))
+    row = F.struct("op", *STAFF_FIELDS)
+    last = answered.where("ok").groupBy("staff_id").agg(F.max_by(row, rank).alias("_row"))
+    return conform(apply_changes(ds.staff, last.select("staff_id", "_row.*"), "staff_id"), "staff")
 
 
 def delete_staff(ds: Dataset, doomed: DataFrame) -> Dataset:

@@ -157,7 +157,7 @@ DERIVED: dict[str, tuple[str, list[str]]] = {
         ],
     ),
     "lesson_audit_log": (
-        "order_changes",
+        "orders",
         [
             "o_orderkey AS audit_id",
             "o_orderkey + IF(o_orderkey % 1000 = 999, 100000000, 0) AS lesson_id",
@@ -187,6 +187,7 @@ DERIVED: dict[str, tuple[str, list[str]]] = {
             "ts AS datetime_payment",
             f"{EVENT_METHOD.format(other='XXX')} AS payment_method_code",
             "CAST(CASE WHEN event_id % 13 = 0 THEN 0 WHEN event_id % 17 = 0 THEN NULL ELSE value END AS DECIMAL(10,2)) AS amount",
+            "CASE WHEN event_id % 4 <> 0 THEN props END AS details",
         ],
     ),
     "payment_corrections": (
@@ -199,6 +200,7 @@ DERIVED: dict[str, tuple[str, list[str]]] = {
             f"{EVENT_METHOD.format(other='CASH')} AS payment_method_code",
             "CAST(CASE WHEN event_id % 13 = 0 THEN 0 WHEN event_id % 19 = 0 THEN NULL ELSE value + (event_id % 5 - 2) * 10 END "
             "AS DECIMAL(10,2)) AS amount",
+            "CASE WHEN event_id % 3 <> 0 THEN concat('corrected ', event_id) END AS details",
         ],
     ),
     "cancel_requests": (
@@ -271,15 +273,15 @@ DERIVED: dict[str, tuple[str, list[str]]] = {
         ],
     ),
     "staff_changes": (
-        "supplier",
+        "supplier_repeats",
         [
-            "s_suppkey AS request_id",
-            "CASE s_suppkey % 4 WHEN 0 THEN 'add' WHEN 3 THEN 'delete' ELSE 'update' END AS op",
+            "s_suppkey * 4 + i AS request_id",
+            "CASE WHEN s_suppkey % 4 = 0 THEN 'add' WHEN s_suppkey % 4 = 3 AND i = s_suppkey % 3 THEN 'delete' ELSE 'update' END AS op",
             "CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey END AS staff_id",
             "CAST(NULL AS BIGINT) AS staff_address_id",
-            "IF(s_suppkey % 18 = 0, 'NOPE', 'ACT') AS customer_status_code",
+            "IF((s_suppkey + i) % 18 = 0, 'NOPE', 'ACT') AS customer_status_code",
             "CAST(NULL AS STRING) AS nickname",
-            "IF(s_suppkey % 15 = 0, '', concat('First', s_suppkey)) AS first_name",
+            "IF((s_suppkey + i) % 5 = 0, '', concat('First', s_suppkey, '-', i)) AS first_name",
             "CAST(NULL AS STRING) AS middle_name",
             "s_name AS last_name",
             "CAST(NULL AS DATE) AS date_of_birth",
@@ -337,8 +339,9 @@ def bind_star_schema(
 ) -> Dataset:
     """A dataset whose base and request tables are derived from ``root``.
 
-    Source tables named in ``streamed`` are read as streams: every file of that
-    name under ``root`` is one arrival, and a trigger admits a bounded number.
+    Source tables named in ``streamed`` are read as streams: every file of the
+    table is one arrival, and a trigger admits a bounded number. A table is one
+    file or a folder of part files; nothing beside it is read.
     """
 
     def layout(name: str) -> StructType:
@@ -352,10 +355,9 @@ def bind_star_schema(
             return stored(name)
         return (
             spark.readStream.schema(layout(name))
-            .option("pathGlobFilter", f"{name}*.parquet")
-            .option("recursiveFileLookup", "true")
             .option("maxFilesPerTrigger", files_per_trigger)
-            .parquet(root)
+            # The pattern matches this one name; without a pattern a stream refuses a table that is a single file.
+            .parquet(f"{root}/{name}.parque[t]")
         )
 
     def places() -> DataFrame:
@@ -365,10 +367,11 @@ def bind_star_schema(
         "places": places,
         "customer_places": lambda: src("customer").join(places(), F.expr("c_nationkey = n_nationkey")),
         "order_versions": lambda: src("orders").selectExpr("o_orderkey", "explode(array(1L, 2L, 3L)) AS version"),
+        # One to four requests per staff member.
+        "supplier_repeats": lambda: src("supplier").selectExpr("*", "explode(sequence(0, CAST(s_suppkey div 2 % 4 AS INT))) AS i"),
         "order_repeats": lambda: src("orders").selectExpr(
             "o_orderkey", "explode(IF(o_orderkey % 4 = 0, array(0, 1), array(0))) AS i"
         ),
-        "order_changes": lambda: src("orders").where("o_orderstatus <> 'P'"),
         "lessons": lambda: derive("lessons"),
     }
 

@@ -83,16 +83,49 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 
 def read_parquet_dataset(spark: SparkSession, root: str) -> Dataset:
-    """Open a folder that holds one parquet table per declared name."""
+    """Open a folder that holds one parquet table per declared name, each at its newest version."""
     return Dataset(
         spark,
-        {name: (lambda name=name: conform(spark.read.parquet(f"{root}/{name}"), name)) for name in schema.TABLES},
+        {
+            name: (lambda name=name: conform(spark.read.parquet(table_path(spark, root, name)), name))
+            for name in schema.TABLES
+        },
     )
 
 
+VERSIONS, COMPLETE = "_versions", "_complete"
+
+
+def _versions(spark: SparkSession, root: str, table: str) -> dict[int, bool]:
+    """Versions ever begun, and whether each was finished."""
+    new_path = spark._jvm.org.apache.hadoop.fs.Path
+    home = new_path(f"{root}/{table}/{VERSIONS}")
+    fs = home.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(home):
+        return {}
+    found = [entry.getPath() for entry in fs.listStatus(home)]
+    return {int(path.getName()): fs.exists(new_path(path, COMPLETE)) for path in found}
+
+
+def table_path(spark: SparkSession, root: str, table: str) -> str:
+    """The folder of a table's newest finished version; a table without versions is its own first one."""
+    done = [number for number, finished in _versions(spark, root, table).items() if finished]
+    return f"{root}/{table}/{VERSIONS}/{max(done):08d}" if done else f"{root}/{table}"
+
+
 def write_table(df: DataFrame, root: str, table: str, partition_by: list[str] | None = None) -> None:
-    """Write a new version of a table as parquet."""
-    writer = df.write.mode("overwrite")
+    """Write a new version of a table as parquet, and only then make it the one that is read.
+
+    Files of earlier versions stay as they are, so ``df`` may read the table it
+    replaces, running readers are not disturbed, and a write that fails leaves
+    the version before it in force. Of two writers at once, one fails. Old
+    versions may be deleted once no reader uses them.
+    """
+    spark = df.sparkSession
+    path = f"{root}/{table}/{VERSIONS}/{max(_versions(spark, root, table), default=0) + 1:08d}"
+    writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(f"{root}/{table}")
+    writer.parquet(path)
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{COMPLETE}")
+    mark.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(mark, False).close()

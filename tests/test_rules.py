@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyslot.catalog import register_sql
 from tallyslot.functions import exprs as X
+from tallyslot.operators.keyed import flag_known
 from tallyslot.plans import accounts as A
 from tallyslot.plans import lessons as L
 from tallyslot.plans import payments as P
@@ -228,11 +229,12 @@ def test_update_lessons(spark, ds):
         """(1L, 3L, 1L, 1L, 1L, DATE'2026-06-15', 32400, 90.00, 'n', CAST(NULL AS STRING)), (2L, 99L, 1L, 1L, 1L, DATE'2026-06-15', 32400, 90.00, 'n', 'COMP'),
         (3L, 9L, 4L, 1L, 3L, DATE'2026-06-15', 32400, 70.00, NULL, 'COMP'), (4L, 12L, 6L, 2L, 5L, DATE'2026-07-01', 32400, 75.00, NULL, 'CONF'),
         (5L, 5L, 2L, 2L, 4L, DATE'2026-07-01', 32400, 75.00, NULL, 'CONF'), (6L, 12L, 6L, 2L, 5L, DATE'2026-07-02', 32400, 75.00, NULL, 'CONF'),
-        (7L, 14L, 8L, 3L, 6L, DATE'2024-06-02', 54000, -1.00, NULL, 'COMP') AS t(request_id, lesson_id, customer_id, staff_id, vehicle_id, lesson_date, lesson_time_sec, price, other_lesson_details, lesson_status_code)""",
+        (7L, 14L, 8L, 3L, 6L, DATE'2024-06-02', 54000, -1.00, NULL, 'COMP'), (8L, 14L, 8L, 3L, 6L, DATE'2024-06-02', 54000, 5.00, NULL, 'COMP') AS t(request_id, lesson_id, customer_id, staff_id, vehicle_id, lesson_date, lesson_time_sec, price, other_lesson_details, lesson_status_code)""",
     )
     done = L.update_lessons(ds, asked)
     assert reasons(done) == {
         1: None, 2: "lesson_missing", 3: "staff_conflict", 4: None, 5: "staff_conflict", 6: "repeated_request", 7: "price_invalid",
+        8: None,  # a refused request for the same lesson does not stand in its way
     }
     after = {r.lesson_id: (r.lesson_status_code, float(r.price), r.other_lesson_details) for r in L.updated_lessons(ds, done).collect()}
     assert after[3] == ("BOOK", 90.0, "n") and after[12] == ("CONF", 75.0, None) and len(after) == 14
@@ -262,6 +264,8 @@ def test_payment_reasons_and_double_subtraction(spark, ds):
         7: "duplicate_key", 8: None,
     }
     assert P.recorded_payments(done).count() == 2
+    noted = P.record(d, asked.withColumn("details", F.concat(F.lit("note "), "request_id")))
+    assert {r.other_payment_details for r in P.recorded_payments(noted).collect()} == {"note 6", "note 8"}
     assert {r.customer_id: float(r.balance) for r in P.payment_balances(d, done).collect()} == {1: 80.0, 2: 0.0}
     assert {r.customer_id: float(r.balance) for r in P.payment_balances(d, done, False).collect()} == {1: 90.0, 2: 40.0}
 
@@ -283,6 +287,9 @@ def test_corrections(spark, ds):
     assert {r.customer_id: float(r.balance) for r in P.correction_balances(ds, done).collect()} == {1: 0.0}
     table = P.corrected_payments(ds, done)
     assert table.count() == 8
+    noted = P.correct(ds, asked.withColumn("details", F.when(F.col("request_id") == 2, "cash after all")))
+    notes = {str(r.datetime_payment): r.other_payment_details for r in P.corrected_payments(ds, noted).where("customer_id = 1").collect()}
+    assert notes == {"2024-06-03 09:45:00": "cash after all", "2024-06-11 09:45:00": None}
     assert {(str(r.datetime_payment), r.payment_method_code, float(r.amount_payment)) for r in table.where("customer_id = 1").collect()} == {
         ("2024-06-03 09:45:00", "CASH", 60.0), ("2024-06-11 09:45:00", "CARD", 90.0)
     }
@@ -306,9 +313,9 @@ def test_addresses_found_or_created_once(spark, ds):
 def test_customer_delete_and_link_clearing(spark, ds):
     users = conform(sql(spark, "(1, 'a@x.ca', 5, '2024-01-01'), (2, 'b@x.ca', 1, '2024-01-01') AS t(user_id, email, customer_id, created_at)"), "app_users")
     d = ds.replace(lessons=ds.lessons.where("customer_id NOT IN (4, 5)"), app_users=users)
-    done = PE.delete_customers(d, sql(spark, "(1L, 4L), (2L, 5L), (3L, 1L), (4L, 77L) AS t(request_id, customer_id)"))
+    done = PE.delete_customers(d, sql(spark, "(1L, 4L), (2L, 5L), (3L, 1L), (4L, 77L), (5L, 4L), (6L, 5L) AS t(request_id, customer_id)"))
     got = {r.request_id: (r.ok, r.reason, r.payments_removed, r.users_unlinked) for r in done.collect()}
-    assert got == {1: (True, None, 1, 0), 2: (True, None, 0, 1), 3: (False, "has_lessons", 0, 0), 4: (True, None, 0, 0)}
+    assert got == {1: (True, None, 1, 0), 2: (True, None, 0, 1), 3: (False, "has_lessons", 0, 0), 4: (True, None, 0, 0), 5: (True, None, 0, 0), 6: (True, None, 0, 0)}
     after = PE.without_customers(d, done)
     assert after.customers.count() == 6 and after.payments.count() == 7
     assert {r.user_id: r.customer_id for r in after.app_users.collect()} == {1: None, 2: 1}
@@ -319,6 +326,37 @@ def test_staff_delete_clears_lessons(ds):
     assert after.staff.count() == 5 and after.lessons.where("staff_id IS NULL").count() == 5
 
 
+def test_staff_changes_count_in_request_order(spark, ds):
+    """Against a plain loop: several requests per row, refused ones among them, none after a deletion has an effect."""
+    asked = [
+        (1, "update", 1, " "), (2, "update", 1, "Uma"), (3, "update", 1, "Una"), (4, "update", 1, ""), (5, "update", 2, "Vic"),
+        (6, "delete", 2, None), (7, "update", 2, "Val"), (8, "add", None, "New"), (9, "delete", 88, None), (10, "update", 88, "No"),
+        (11, "delete", 3, None), (12, "delete", 3, None),
+    ]
+    columns = {"staff_address_id": "long", "nickname": "string", "middle_name": "string", "other_staff_details": "string",
+               "date_of_birth": "date", "date_left_staff": "timestamp_ntz"}
+    rows = spark.createDataFrame(asked, "request_id long, op string, staff_id long, first_name string").withColumn("last_name", F.lit("Lee"))
+    rows = rows.withColumn("customer_status_code", F.lit("ACT")).withColumn("date_joined_staff", F.lit("2020-01-01").cast("timestamp_ntz"))
+    for c, kind in columns.items():
+        rows = rows.withColumn(c, F.lit(None).cast(kind))
+    done = PE.change_staff(ds, rows)
+    table = {r.staff_id: r.first_name for r in ds.staff.collect()}
+    want, next_id = {}, max(table) + 1
+    for request, op, staff, name in asked:
+        blank = op != "delete" and not name.strip()
+        want[request] = "required_missing" if blank else None
+        if blank:
+            continue
+        if op == "add":
+            table[next_id] = name
+        elif op == "delete":
+            table.pop(staff, None)
+        elif staff in table:
+            table[staff] = name
+    assert reasons(done) == want
+    assert {r.staff_id: r.first_name for r in PE.changed_staff(ds, done).collect()} == table
+
+
 def test_customer_changes(spark, ds):
     form = "DATE'2000-01-01', DATE'2026-01-01', 'ACT'"
     asked = sql(
@@ -452,5 +490,51 @@ def test_loader_checks_schema_and_fills_defaults(spark, ds, tmp_path):
     assert spark.sql("SELECT lesson_id FROM vw_today_lessons").first().lesson_id == 3
 
 
+def test_a_table_replaces_itself(spark, ds, tmp_path):
+    root = str(tmp_path)
+    write_table(ds.lessons, root, "lessons")
+    first = read_parquet_dataset(spark, root).lessons
+    write_table(first.where("lesson_id > 5"), root, "lessons")
+    assert read_parquet_dataset(spark, root).lessons.count() == 9 and first.count() == 14
+    broken = first.withColumn("price", F.expr("IF(lesson_id = 7, raise_error('stop'), price)"))
+    with pytest.raises(Exception, match="stop"):
+        write_table(broken, root, "lessons")
+    assert read_parquet_dataset(spark, root).lessons.count() == 9
+    write_table(read_parquet_dataset(spark, root).lessons.where("lesson_id > 9"), root, "lessons")
+    assert read_parquet_dataset(spark, root).lessons.count() == 5
+
+
+def test_a_plain_folder_is_the_first_version(spark, ds, tmp_path):
+    ds.lessons.write.parquet(f"{tmp_path}/lessons")
+    write_table(read_parquet_dataset(spark, str(tmp_path)).lessons.limit(3), str(tmp_path), "lessons")
+    assert read_parquet_dataset(spark, str(tmp_path)).lessons.count() == 3
+
+
+def test_look_ups_split_a_hot_key(spark):
+    """Two thirds of the requests on one key, and on NULL: adaptive execution splits the join."""
+    known = spark.range(2000).select(F.col("id").alias("customer_id"))
+    limits = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+    }
+    old = {k: spark.conf.get(k, None) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        for hot in (F.lit(7), F.lit(None)):
+            key = F.when(F.col("id") % 3 > 0, hot).otherwise(F.col("id") % 3000).cast("long")
+            asked = spark.range(0, 300_000, 1, 8).select(key.alias("customer_id"), F.sha2(F.col("id").cast("string"), 256).alias("pad"))
+            got = flag_known(asked, "customer_id", known, "customer_id", "found", unique=True)
+            got.write.format("noop").mode("overwrite").save()
+            rows = got.groupBy("found").count().collect()
+            assert sum(r["count"] for r in rows) == 300_000
+            kept = got.select("pad", "found")
+            kept.collect()
+            assert "skew=true" in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_drift_is_reported(ds):
     assert {r.customer_id for r in R.balance_drift(ds).collect()} == {4, 5, 6, 8}

@@ -36,7 +36,7 @@ def live_orders(spark, tmp_path_factory):
 
 
 def _live(spark, tmp_path_factory, table, order):
-    """Files named after the table, one admitted per trigger, oldest first."""
+    """A folder of part files, one admitted per trigger, oldest first, beside a table whose name begins alike."""
     import os
     import time
 
@@ -44,10 +44,12 @@ def _live(spark, tmp_path_factory, table, order):
     rows = spark.read.parquet(f"{ROOT}/{table}.parquet").toPandas().sort_values(order)
     for other in ("supplier", "part"):
         os.symlink(f"{ROOT}/{other}.parquet", f"{folder}/{other}.parquet")
+    os.symlink(f"{ROOT}/{table}.parquet", f"{folder}/{table}_archive.parquet")
+    os.mkdir(f"{folder}/{table}.parquet")
     step = len(rows) // 4 + 1
     now = time.time()
     for i in range(4):
-        name = f"{folder}/{table}.parquet" if i == 0 else f"{folder}/{table}-{i}.parquet"
+        name = f"{folder}/{table}.parquet/part-{i}.parquet"
         rows.iloc[i * step : (i + 1) * step].to_parquet(name, coerce_timestamps="us", index=False)
         os.utime(name, (now - 100 + i, now - 100 + i))
     return bind_star_schema(spark, folder, streamed=(table,), files_per_trigger=1)
@@ -81,6 +83,13 @@ def test_stream_booking(stored, live_orders):
     same(got, L.book(stored, stored.booking_requests, CLOCK).select("request_id", "ok", "reason"))
 
 
+def test_a_stream_to_which_nothing_came(spark, stored, tmp_path):
+    for name in ("supplier", "part", "events"):
+        spark.read.parquet(f"{ROOT}/{name}.parquet").limit(0 if name == "events" else 5).write.parquet(f"{tmp_path}/{name}.parquet")
+    live = bind_star_schema(spark, str(tmp_path), streamed=("events",))
+    assert J.stream_monthly_revenue(stored.replace(payments=live.payments)).count() == 0
+
+
 def test_expiring_slots_answer_the_same(spark, stored, live_orders):
     """A stream that runs on, with slot timeouts set; stopped once every answer is there."""
     import time
