@@ -171,6 +171,9 @@ PLANS: dict[str, Plan] = {
     "apply_customer_changes": lambda ds: people.changed_customers(
         ds, people.change_customers(ds, ds.customer_changes)
     ),
+    "created_addresses": lambda ds: people.form_addresses(
+        ds, ds.customer_changes, people.change_customers(ds, ds.customer_changes)
+    ),
     "customer_delete": lambda ds: people.delete_customers(ds, ds.payment_requests.select("request_id", "customer_id")),
     "staff_change_batch": lambda ds: people.change_staff(ds, ds.staff_changes).select(
         "request_id", "op", "ok", "reason", "staff_id"
@@ -185,6 +188,10 @@ PLANS: dict[str, Plan] = {
     ),
     "role_holdings": lambda ds: accounts.changed_roles(ds, ds.role_requests),
     "account_onboarding": lambda ds: accounts.register(ds, ds.registration_requests),
+    "registered_users": lambda ds: accounts.registered_users(
+        accounts.register(ds, ds.registration_requests), CLOCK
+    ).select("user_id", "email", "full_name", "is_active", "failed_attempts", "created_at"),
+    "registered_roles": lambda ds: accounts.registered_roles(accounts.register(ds, ds.registration_requests), CLOCK),
     "user_delete": lambda ds: accounts.delete_users(ds, ds.user_delete_requests),
     "user_delete_remaining": _remaining_users,
     # data quality

@@ -1007,6 +1007,13 @@ UNION ALL
 SELECT p.customer_id, p.address_id, p.customer_status_code, p.date_became_customer, p.date_of_birth, p.first_name, p.last_name,
   {money('COALESCE(c.amount_outstanding, 0)')}, p.email, c.phone_number, p.cell, c.other_customer_details
 FROM put p LEFT JOIN d_customers c ON c.customer_id = p.customer_id WHERE p.op = 'add' OR c.customer_id IS NOT NULL""",
+    ),
+    "created_addresses": (
+        customer_changes("op", "customer_id"),
+        """
+SELECT address_id, l1 AS line_1_number_building, l2 AS line_2_number_street, l3 AS line_3_area_locality, city, zip AS zip_postcode,
+  prov AS state_province_county, land AS country, CAST(NULL AS VARCHAR) AS other_address_details
+FROM placed WHERE found IS NULL""",
     ),
     "customer_delete": (
         "",
@@ -1070,6 +1077,18 @@ WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.user_id = g.user_id AND k.role_co
 SELECT request_id, reason IS NULL AS ok, reason,
   CASE WHEN reason IS NULL THEN (SELECT MAX(user_id) FROM d_app_users) + row_number() OVER (PARTITION BY reason IS NULL ORDER BY request_id) END AS user_id,
   email, full_name, role_code FROM final""",
+    ),
+    "registered_users": (
+        REGISTERED,
+        f"""
+SELECT (SELECT MAX(user_id) FROM d_app_users) + row_number() OVER (ORDER BY request_id) AS user_id, email, full_name, true AS is_active,
+  CAST(0 AS BIGINT) AS failed_attempts, {NOW} AS created_at FROM final WHERE reason IS NULL""",
+    ),
+    "registered_roles": (
+        REGISTERED,
+        f"""
+SELECT (SELECT MAX(user_id) FROM d_app_users) + row_number() OVER (ORDER BY request_id) AS user_id, role_code, {NOW} AS assigned_at
+FROM final WHERE reason IS NULL""",
     ),
     "user_delete": (
         REMOVED,

@@ -11,8 +11,8 @@ from tallyslot.operators.keyed import flag_first, flag_known, insert_absent
 from tallyslot.operators.lockout import lockout
 from tallyslot.operators.references import delete_rows
 from tallyslot.operators.sequence import numbered
-from tallyslot.settings import Scale
-from tallyslot.sources.dataset import Dataset
+from tallyslot.settings import Clock, Scale
+from tallyslot.sources.dataset import Dataset, conform
 from tallyslot.sources.workdir import materialise
 
 DEFAULT_ROLE, ADMIN = "STAFF", "ADMIN"
@@ -162,6 +162,18 @@ def register(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> DataFr
     )
 
 
+def registered_users(answered: DataFrame, clock: Clock) -> DataFrame:
+    """The user rows that accepted registrations create."""
+    made = answered.where("ok").select("user_id", "email", "full_name", X.stamp(clock.as_of).alias("created_at"))
+    return conform(made, "app_users")
+
+
+def registered_roles(answered: DataFrame, clock: Clock) -> DataFrame:
+    """The role each new user starts with."""
+    made = answered.where("ok").select("user_id", "role_code", X.stamp(clock.as_of).alias("assigned_at"))
+    return conform(made, "app_user_roles")
+
+
 # --- removal -----------------------------------------------------------------
 def delete_users(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> DataFrame:
     """Answer removals in request order: ``request_id, user_id, ok, reason, email``.

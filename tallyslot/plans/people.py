@@ -72,6 +72,13 @@ def created_addresses(requests: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 # --- customers ---------------------------------------------------------------
+def _cleaned(requests: DataFrame) -> DataFrame:
+    """Form fields without outer blanks; what is blank is missing."""
+    for c in ["first_name", "last_name", "email_address", "cell_mobile_phone_number", *ADDRESS]:
+        requests = requests.withColumn(c, X.blank_to_null(F.trim(c)))
+    return requests
+
+
 def change_customers(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> DataFrame:
     """Answer customer adds, updates and deletes: ``request_id, op, ok, reason, customer_id, address_id``
     plus the cleaned form fields.
@@ -82,9 +89,7 @@ def change_customers(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -
     An update or delete of an unknown id is accepted and does nothing.
     """
     is_form = F.col("op").isin("add", "update")
-    rows = requests
-    for c in ["first_name", "last_name", "email_address", "cell_mobile_phone_number", *ADDRESS]:
-        rows = rows.withColumn(c, X.blank_to_null(F.trim(c)))
+    rows = _cleaned(requests)
     gave_address = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in ADDRESS if c != "country"])
     lacks_part = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in ADDRESS_REQUIRED])
     required = ["first_name", "last_name", "date_of_birth", "date_became_customer"]
@@ -147,6 +152,14 @@ def changed_customers(ds: Dataset, answered: DataFrame) -> DataFrame:
     return conform(apply_changes(ds.customers, changes, "customer_id"), "customers")
 
 
+def form_addresses(ds: Dataset, requests: DataFrame, answered: DataFrame) -> DataFrame:
+    """The address rows that the forms of ``change_customers`` add, also those of refused requests."""
+    new = answered.where(F.col("address_id").isNotNull()).join(ds.addresses, "address_id", "left_anti")
+    opener = new.groupBy("address_id").agg(F.min("request_id").alias("request_id"))
+    made = _cleaned(requests).join(opener, "request_id").select("address_id", *ADDRESS)
+    return conform(made, "addresses")
+
+
 def delete_customers(ds: Dataset, requests: DataFrame) -> DataFrame:
     """Answer deletions: lessons block a customer; payments go with it and user links are cleared.
 

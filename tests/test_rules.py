@@ -378,6 +378,10 @@ def test_customer_changes(spark, ds):
     }
     after = {r.customer_id: r for r in PE.changed_customers(ds, done).collect()}
     assert set(after) == {1, 2, 3, 4, 5, 6, 7, 8, 9}
+    made = PE.form_addresses(ds, asked, done).collect()
+    assert [(r.address_id, r.line_1_number_building, r.city, r.country) for r in made] == [(11, "7", "Oslo", "Canada")]
+    known = {r.address_id for r in ds.addresses.collect()} | {r.address_id for r in made}
+    assert {r.customer_address_id for r in after.values()} - {None} <= known
     assert (after[9].first_name, after[9].customer_address_id, float(after[9].amount_outstanding)) == ("Ann", 11, 0.0)
     assert (after[1].first_name, after[1].customer_address_id) == ("Jim", None)
 
