@@ -23,7 +23,9 @@ HEADLINE = [
     "customer_lifecycle", "customer_value_segments_repeated", "scheduling_efficiency", "financial_health",
     "lesson_completion_metrics", "payment_history", "slot_conflicts", "running_balance", "payment_batch",
     "cancellation_batch", "booking_batch", "address_resolve", "lesson_audit", "login_lockout", "user_delete",
-    "dq_orphans", "stream_balance", "stream_monthly_revenue",
+    "dq_orphans", "stream_balance", "stream_monthly_revenue", "apply_customer_changes", "booking_balances",
+    "customer_change_batch", "customer_onboarding", "apply_lesson_changes", "lesson_update_batch", "stream_lesson_audit",
+    "stream_booking",
 ]
 
 
