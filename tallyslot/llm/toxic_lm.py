@@ -9,9 +9,11 @@ pair, by evidence per word, by that of its most toxic stretch of SPAN words, by
 evidence, and by its length; a logistic curve over these, fitted on labelled texts the counts have not seen, gives
 the score.
 
-Learning uses labelled rows outside the held-out fifth: at most ROWS of each class, those of the smallest hash of
-their id; counts come from three of the four other fifths, the curve from the fourth. The counts are summed by
-Spark and tables of fixed size come back: arrays over the 2^20 numbers and at most PAIRS bigrams seen twice or more.
+Learning uses labelled rows outside the held-out fifth. Counts come from all of them in three of the four other
+fifths, the curve from the fourth: at most ROWS texts of each class, those of the smallest hash of their id. The
+counts are summed by Spark; arrays over the 2^20 numbers come back. All bigrams stay in a Spark table: while they take
+at most BROADCAST_BYTES they are sent to all tasks, beyond that the texts are dealt into blocks, the table is joined
+to the distinct bigrams of each block, and every block meets its own bigrams.
 
 Defined cases. Null and empty texts get the score of a text without evidence. Without labels of both classes every
 score is 0. A document labelled twice is toxic if one label says so. Every input row gives one row.
@@ -20,20 +22,27 @@ score is 0. A document labelled twice is toxic if one label says so. Every input
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyslot.llm.common import Numbering, annotate, column, held_out, number_words, slices, sums_by_row
 from tallyslot.sources.workdir import materialise
 
+#: Texts of a class from which the curve is fitted; counts have no bound.
 ROWS = 8_000
 BITS = 20
 SIZE = 1 << BITS
-PAIRS = 400_000
+#: Bigrams are sent to all tasks up to this size, labels too; beyond it Spark joins by shuffle.
+BROADCAST_BYTES, PAIR_BYTES, MARK_BYTES = 96 << 20, 16, 32
+#: Characters of the texts that meet their bigrams together when these are not sent to all tasks.
+BLOCK_CHARS = 8_000_000
 SPAN, STRONG = 4, 2.5
 LOWEST, HIGHEST = -4.0, 8.0
 REMEMBERED = 300_000
@@ -102,6 +111,18 @@ class KneserNey:
     kept: np.ndarray  # discounted share of each bigram among its context, one column per class
     rest: np.ndarray  # per context: what is left for the unigrams
     unigram: np.ndarray  # log-free unigram probabilities, one column per class
+    seen: np.ndarray  # per context: its count, one column per class
+    discount: np.ndarray
+
+    def holding(self, keys: np.ndarray, counts: np.ndarray) -> KneserNey:
+        """The same model with these bigrams: keys, and counts with one column per class."""
+        order = np.argsort(keys)
+        keys = keys[order]
+        kept = counts.astype(np.float32)[order]
+        kept -= self.discount.astype(np.float32)
+        np.maximum(kept, 0, out=kept)
+        kept /= np.maximum(1, self.seen[keys >> BITS])
+        return replace(self, pairs=keys, kept=kept)
 
     def evidence(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
         p = self.rest[before] * self.unigram[words]
@@ -136,6 +157,14 @@ class ToxicModel:
     units: KneserNey
     weights: np.ndarray
     scale: np.ndarray
+    #: m, k, n0, n1: all bigrams of both pairs of models, where they are too many to be sent to all tasks
+    stored: DataFrame | None = None
+
+    def holding(self, pairs: pa.Table) -> ToxicModel:
+        """The same model with the bigrams of a table m, k, n0, n1."""
+        m, k, *n = (pairs.column(c).to_numpy() for c in ("m", "k", "n0", "n1"))
+        n = np.stack(n, axis=1)
+        return replace(self, words=self.words.holding(k[m == 0], n[m == 0]), units=self.units.holding(k[m == 1], n[m == 1]), stored=None)
 
     def features(self, read: Words, texts: list[str | None]) -> np.ndarray:
         at, sizes = read.read(texts)
@@ -164,20 +193,28 @@ def fitted(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.1) -> t
     return b, scale
 
 
-def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """t, y, fold of the bounded sample of labelled texts."""
+def marked(labels: DataFrame) -> DataFrame:
+    """i, y, fold of the labelled documents that may be learned from."""
     marks = labels.select(column("doc_id").alias("i"), column("toxic").cast("int").alias("y"))
     marks = marks.filter(F.col("i").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("i"))).groupBy("i").agg(F.max("y").alias("y"))
-    marks = marks.withColumn("o", F.xxhash64(F.col("i").cast("string")))
-    one = marks.filter("y = 1").orderBy("o", "i").limit(rows)
-    none = marks.filter("y = 0").orderBy("o", "i").limit(rows)
-    texts = docs.select(column("doc_id").alias("i"), column("text").cast("string").alias("t"))
-    fold = F.crc32(F.col("i").cast("string").cast("binary")) % 5
-    return texts.join(F.broadcast(one.union(none)), "i").select("t", "y", fold.cast("int").alias("fold"))
+    return marks.withColumn("fold", F.crc32(F.col("i").cast("string").cast("binary")) % 5)
+
+
+def labelled(docs: DataFrame, marks: DataFrame, small: bool) -> DataFrame:
+    """t, y of the texts of ``marks``, which are sent to all tasks if they are small."""
+    texts = docs.select(column("doc_id").alias("i"), column("text").cast("string").alias("t")).filter(F.col("i").isNotNull())
+    marks = marks.select("i", "y")
+    return texts.join(F.broadcast(marks) if small else marks, "i").select("t", "y")
+
+
+def curve_marks(marks: DataFrame, rows: int) -> DataFrame:
+    marks = marks.filter("fold = 4").withColumn("o", F.xxhash64(F.col("i").cast("string")))
+    one, none = (marks.filter(F.col("y") == y).orderBy("o", "i").limit(rows) for y in (1, 0))
+    return one.union(none)
 
 
 def kneser_ney(pairs: DataFrame) -> KneserNey | None:
-    """The models of both classes from bigram counts c, v, w, n; only tables of bounded size are collected."""
+    """The models of both classes from bigram counts c, v, w, n, without bigrams; what is collected has a fixed size."""
     many = pairs.groupBy("c").agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).collect()
     discount = {r["c"]: r["one"] / max(1, r["one"] + 2 * r["two"]) for r in many}
     if set(discount) != {0, 1}:
@@ -185,32 +222,28 @@ def kneser_ney(pairs: DataFrame) -> KneserNey | None:
     d = np.array([discount[0], discount[1]])
     d = np.where((d > 0) & (d < 1), d, 0.75)
 
-    def dense(df: DataFrame, at: str, value: str) -> np.ndarray:
-        got, out = df.select("c", at, value).toArrow(), np.zeros((SIZE, 2))
-        out[got.column(1).to_numpy(), got.column(0).to_numpy()] = got.column(2).to_numpy()
+    def dense(df: DataFrame, at: str) -> list[np.ndarray]:
+        got = df.toArrow()
+        out = [np.zeros((SIZE, 2)) for _ in range(got.num_columns - 2)]
+        for i, values in enumerate(out):
+            values[got.column(at).to_numpy(), got.column("c").to_numpy()] = got.column(i + 2).to_numpy()
         return out
 
-    seen = dense(pairs.groupBy("c", "v").agg(F.sum("n").alias("n")), "v", "n")
-    after = dense(pairs.groupBy("c", "w").agg(F.count("*").alias("n")), "w", "n")
-    twice = pairs.filter("n > 1").groupBy("v", "w").pivot("c", [0, 1]).agg(F.sum("n")).fillna(0)
-    twice = twice.orderBy(F.desc(F.col("0") + F.col("1")), "v", "w").limit(PAIRS).toArrow()
-    v, w = (twice.column(i).to_numpy().astype(np.int64) for i in (0, 1))
-    n = np.stack([twice.column(i).to_numpy().astype(float) for i in (2, 3)], axis=1)
-    order = np.argsort((v << BITS) | w)
-    v, w, n = v[order], w[order], np.maximum(n[order] - d, 0)
-    kept = n / np.maximum(1, seen[v])
-    rest = np.ones((SIZE, 2))
-    np.subtract.at(rest, v, kept)
+    seen, kinds = dense(pairs.groupBy("c", "v").agg(F.sum("n"), F.count("*")), "v")
+    (after,) = dense(pairs.groupBy("c", "w").agg(F.count("*")), "w")
+    rest = np.where(seen > 0, d * kinds / np.maximum(1, seen), 1.0)  # every bigram gives up the discount
     both = after.sum(axis=1)
     shared = (both + 1) / (both.sum() + SIZE)
     total = np.maximum(1, after.sum(axis=0))
     left = (np.minimum(after, d).sum(axis=0) / total) * shared[:, None]
     unigram = np.maximum(after - d, 0) / total + left
-    return KneserNey((v << BITS) | w, *(x.astype(np.float32) for x in (kept, np.maximum(rest, 1e-6), unigram)))
+    rest, unigram, seen = (x.astype(np.float32) for x in (np.maximum(rest, 1e-6), unigram, seen))
+    return KneserNey(np.zeros(0, np.int64), np.zeros((0, 2), np.float32), rest, unigram, seen, d)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> ToxicModel | None:
-    sample = labelled(docs, labels, rows)
+def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most_bytes: int = BROADCAST_BYTES) -> ToxicModel | None:
+    marks = materialise(marked(labels), "toxic-marks")
+    small = marks.count() * MARK_BYTES <= BROADCAST_BYTES
 
     def count(batches):
         read = Words()
@@ -229,7 +262,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> ToxicModel |
                 n = np.bincount(where, np.repeat(times, per), len(keys)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.array(keys), pa.array(n)], names=["m", "k", "n"])
 
-    pairs = sample.filter("fold < 4").select("t", "y").mapInArrow(count, "m int, k long, n long").groupBy("m", "k").agg(F.sum("n").alias("n"))
+    texts = labelled(docs, marks.filter("fold < 4"), small)
+    pairs = texts.mapInArrow(count, "m int, k long, n long").groupBy("m", "k").agg(F.sum("n").alias("n"))
     pairs = materialise(
         pairs.select(
             "m", F.shiftright("k", 2 * BITS).cast("int").alias("c"), F.shiftright("k", BITS).bitwiseAND(SIZE - 1).cast("int").alias("v"),
@@ -241,21 +275,25 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> ToxicModel |
     if words is None or units is None:
         return None
     model = ToxicModel(words, units, np.zeros(FEATURES + 1), np.ones(FEATURES))
-    known = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["y", *(f"f{i}" for i in range(FEATURES))]
-
-    def describe(batches):
-        read = Words(known.value.units)
-        for batch in batches:
-            t, y = batch.column(0).to_pylist(), batch.column(1)
-            for lo, hi in slices(t):
-                x = known.value.features(read, t[lo:hi])
-                yield pa.RecordBatch.from_arrays([y.slice(lo, hi - lo), *map(pa.array, x.T)], names=names)
-
-    unseen = sample.filter("fold = 4").select("t", "y")
-    got = unseen.mapInArrow(describe, "y int, " + ", ".join(f"{n} double" for n in names[1:])).toArrow()
-    x = np.stack([got.column(i).to_numpy() for i in range(1, FEATURES + 1)], axis=1)
-    y = got.column(0).to_numpy()
+    key = F.shiftleft(F.col("v").cast("long"), BITS).bitwiseOR(F.col("w")).alias("k")
+    of = [F.coalesce(F.sum(F.when(F.col("c") == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in (0, 1)]
+    stored = materialise(pairs.groupBy("m", key).agg(*of), "toxic-bigrams")
+    if stored.count() * PAIR_BYTES <= most_bytes:
+        # one pair of models after the other, in narrow columns: the driver holds little more than what it sends
+        for m, name in enumerate(("words", "units")):
+            got = stored.filter(F.col("m") == m).select("k", *[F.col(c).cast("float") for c in ("n0", "n1")]).toArrow()
+            counts = np.empty((len(got), 2), np.float32)
+            counts[:, 0], counts[:, 1] = got.column("n0").to_numpy(), got.column("n1").to_numpy()
+            keys = got.column("k").to_numpy()
+            del got
+            model = replace(model, **{name: getattr(model, name).holding(keys, counts)})
+    else:
+        model.stored = stored
+    names = [f"f{i}" for i in range(FEATURES)]
+    sample = labelled(docs, curve_marks(marks, rows), True)
+    got = told(sample, model, lambda _, x: dict(zip(names, x.T, strict=True)), ", ".join(f"{n} double" for n in names), "t", ["y"]).toArrow()
+    x = np.stack([got.column(n).to_numpy() for n in names], axis=1)
+    y = got.column("y").to_numpy()
     if len(set(y.tolist())) == 2:
         # the sample holds up to as many rows of either class; each counts as often as it is labelled
         share = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
@@ -264,19 +302,58 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> ToxicModel |
     return model
 
 
-def toxicity(docs: DataFrame, model: ToxicModel | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """doc_id, score (0 to 1), predicted (1 from 0.5 on) of every whole text."""
-    known = docs.sparkSession.sparkContext.broadcast(model)
+def told(df: DataFrame, model: ToxicModel, say: Callable[[ToxicModel, np.ndarray], dict], added: str, text: str, keep: list[str] | None) -> DataFrame:
+    """The columns of ``keep`` and those that ``say`` makes of the features of every whole text."""
+    known = df.sparkSession.sparkContext.broadcast(replace(model, stored=None))
+    if model.stored is None:
 
-    def make():
-        read = Words(known.value.units if known.value else None)
+        def make():
+            read = Words(known.value.units)
+            return lambda texts: say(known.value, known.value.features(read, texts))
 
-        def score(texts):
-            if known.value is None:
-                return {"score": [0.0] * len(texts), "predicted": [0] * len(texts)}
-            p = known.value.score(known.value.features(read, texts))
-            return {"score": p, "predicted": (p >= 0.5).astype(np.int32)}
+        return annotate(df, make, added, text, keep)
+    keep = ["doc_id"] if keep is None else keep
+    held = [f"c{i}" for i in range(len(keep))]
+    rows = df.select(*[column(k).alias(c) for k, c in zip(keep, held, strict=True)], column(text).cast("string").alias("whole"))
+    size = rows.agg(F.sum(F.coalesce(F.char_length("whole"), F.lit(0)) + 64)).first()[0] or 0
+    rows = rows.withColumn("b", F.pmod(F.xxhash64(*rows.columns), F.lit(size // BLOCK_CHARS + 1)))
+    blocks = rows.groupBy("b")
+
+    def bigrams(block: pa.Table) -> pa.Table:
+        k = distinct_bigrams(block.column("whole").to_pylist())
+        m = np.repeat(np.arange(2, dtype=np.int32), [len(x) for x in k])
+        return pa.table({"b": np.full(len(m), block.column("b")[0].as_py()), "m": m, "k": np.concatenate(k)})
+
+    schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keep] + T._parse_datatype_string(added).fields)
+    shown = to_arrow_schema(schema)
+
+    def meet(block: pa.Table, pairs: pa.Table) -> pa.Table:
+        mine = known.value.holding(pairs)
+        got = say(mine, mine.features(Words(mine.units), block.column("whole").to_pylist()))
+        values = [block.column(c) for c in held] + [pa.array(got[f.name], type=f.type) for f in list(shown)[len(keep) :]]
+        return pa.Table.from_arrays(values, names=shown.names)
+
+    wanted = blocks.applyInArrow(bigrams, "b long, m int, k long")
+    met = wanted.join(model.stored, ["m", "k"]).select("b", "m", "k", "n0", "n1")
+    return blocks.cogroup(met.groupBy("b")).applyInArrow(meet, schema)
+
+
+def distinct_bigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bigrams of words and of units in texts."""
+    read = Words()
+    words, before = read.numbered(*read.read(texts))
+    units, behind, _ = units_of(list(read.places))
+    return np.unique((before << BITS) | words), np.unique((behind << BITS) | units)
+
+
+def toxicity(docs: DataFrame, model: ToxicModel | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """doc_id, score (0 to 1), predicted (1 from 0.5 on) of every whole text."""
+    added = "score double, predicted int"
+    if model is None:
+        return annotate(docs, lambda: lambda texts: {"score": [0.0] * len(texts), "predicted": [0] * len(texts)}, added, text, keep)
 
-        return score
+    def say(known: ToxicModel, features: np.ndarray) -> dict:
+        p = known.score(features)
+        return {"score": p, "predicted": (p >= 0.5).astype(np.int32)}
 
-    return annotate(docs, make, "score double, predicted int", text, keep)
+    return told(docs, model, say, added, text, keep)

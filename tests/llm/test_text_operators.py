@@ -377,6 +377,24 @@ def test_toxicity(spark, docs, odd, none):
     assert {r["score"] for r in toxic_lm.toxicity(odd, None).collect()} == {0.0}
 
 
+def test_toxic_counts_have_no_bound(spark, odd, monkeypatch):
+    """Counts come from all labelled texts, bigrams seen once too; joined by shuffle or sent, they say the same."""
+    ids = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"we met w{i} v{i} and " + ("vile scum" if i % 4 == 0 else "kind folk")) for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in ids], "doc_id long, toxic int")
+    counted = [i for i in ids if zlib.crc32(str(i).encode()) % 5 < 4]
+    sent = toxic_lm.train(docs, labels, rows=5)
+    keys = set(sent.words.pairs.tolist())
+    assert all((toxic_lm.word_number(f"w{i}") << toxic_lm.BITS) | toxic_lm.word_number(f"v{i}") in keys for i in counted)
+    monkeypatch.setattr(toxic_lm, "BLOCK_CHARS", 2_000)
+    dealt = toxic_lm.train(docs, labels, rows=5, most_bytes=0)
+    assert dealt.stored is not None and np.allclose(dealt.weights, sent.weights, atol=1e-5)
+    for table in (docs, odd):
+        a, b = (sorted((str(r["doc_id"]), r["predicted"], round(r["score"], 4)) for r in toxic_lm.toxicity(table, m).collect()) for m in (sent, dealt))
+        assert a == b and len(a) == table.count()
+
+
 # pipeline and registry
 
 
