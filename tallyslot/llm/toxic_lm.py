@@ -4,7 +4,9 @@ Both classes have bigram models with absolute discounts; their unigrams are cont
 contexts a token was seen), and these back off to the continuation counts of both classes together, so an expression
 rare in one class is judged by what both have seen. There are two such pairs of models: over words, and over the
 overlapping UNIT-character units inside words, which knows inflected and compounded expressions. Tokens are hashed
-to 2^20 numbers. A word's evidence is the difference of its two log-likelihoods. A text is described, by either
+to 2^20 numbers. A word's evidence is the difference of its two log-likelihoods. A blank-free piece of more than
+LONG units (a text in Chinese or Thai, words joined by marks) is judged by all of its units, in consecutive parts of
+PART units that each stand for a word; units that cross from part to part count. A text is described, by either
 pair, by evidence per word, by that of its most toxic stretch of SPAN words, by the number of words of strong
 evidence, and by its length; a logistic curve over these, fitted on labelled texts the counts have not seen, gives
 the score.
@@ -22,7 +24,7 @@ score is 0. A document labelled twice is toxic if one label says so. Every input
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyslot.llm.common import Numbering, annotate, column, held_out, number_words, slices, sums_by_row
+from tallyslot.llm.common import Numbering, annotate, column, flat_ranges, held_out, number_words, slices, sums_by_row
 from tallyslot.sources.workdir import materialise
 
 #: Texts of a class from which the curve is fitted; counts have no bound.
@@ -46,8 +48,10 @@ BLOCK_CHARS = 8_000_000
 SPAN, STRONG = 4, 2.5
 LOWEST, HIGHEST = -4.0, 8.0
 REMEMBERED = 300_000
-#: Characters of a unit, and of a word that are looked at.
-UNIT, WORD_CHARS = 5, 64
+#: Characters of a unit; units of a piece that is judged in parts, and of such a part.
+UNIT, LONG, PART = 5, 64, 16
+#: Units that are made at once, and characters of distinct words that a task remembers before it starts over.
+RUN, REMEMBERED_CHARS = 1 << 19, 1 << 24
 EDGES = ".,;:!?\"'()[]{}«»„“”"
 
 
@@ -55,22 +59,61 @@ def word_number(word: str) -> int:
     return zlib.crc32(word.lower().strip(EDGES).encode("utf-8", "replace")) & (SIZE - 1)
 
 
-def units_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed numbers of the units of all words, those of the units before them (0 at a word's start), units per word."""
-    marked = ["^^" + w.lower().strip(EDGES)[:WORD_CHARS] + "$" for w in words]
-    raw = [w.ljust(UNIT, "$").encode("utf-16-le", "surrogatepass") for w in marked]
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 2
-    data = np.frombuffer(b"".join(raw), "<u2").astype(np.uint64)
-    h = np.zeros(max(0, len(data) - UNIT + 1), np.uint64)
+def unit_runs(words: list[str], most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """All units of all words, in consecutive runs of about ``most``: the word of each, its place in the word, its hashed
+    number and that of the unit before it (0 at a word's start)."""
+    most = most or RUN
+    held, size = [], 0
+    for i, w in enumerate(words):
+        raw = ("^^" + w.lower().strip(EDGES) + "$").ljust(UNIT, "$").encode("utf-16-le", "surrogatepass")
+        units = len(raw) // 2 - UNIT + 1
+        for at in range(0, units, most):
+            back = min(at, 1)  # the unit before the first
+            held.append((i, at, back, raw[2 * (at - back) : 2 * (at + most + UNIT - 1)]))
+            size += min(most, units - at)
+            if size >= most:
+                yield units_in(held)
+                held, size = [], 0
+    if held:
+        yield units_in(held)
+
+
+def units_in(held: list[tuple[int, int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    owner, start, back = (np.array(x, np.int64) for x in list(zip(*held, strict=True))[:3])
+    sizes = np.array([len(r) for *_, r in held], np.int64) // 2
+    data = np.frombuffer(b"".join(r for *_, r in held), "<u2").astype(np.uint64)
+    h = np.zeros(len(data) - UNIT + 1, np.uint64)
     for k in range(UNIT):
         h = h * np.uint64(0x100000001B3) + data[k : k + len(h)] + np.uint64(k + 1)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))
     inside = np.flatnonzero(left[: len(h)] >= UNIT)
     units = ((h[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
     per = sizes - UNIT + 1
-    before = np.concatenate([[0], units[:-1]]) if len(units) else units
+    before = np.concatenate([[0], units[:-1]])
     before[np.cumsum(per) - per] = 0
-    return units, before, per
+    wanted = np.ones(len(units), bool)
+    wanted[(np.cumsum(per) - per)[back > 0]] = False
+    return np.repeat(owner, per)[wanted], flat_ranges(start - back, per)[wanted], units[wanted], before[wanted]
+
+
+def parts_said(words: list[str], model: KneserNey) -> tuple[np.ndarray, np.ndarray]:
+    """The unit models' evidence of each part of each word, and the number of parts per word."""
+    units = np.array([unit_count(w) for w in words], np.int64)
+    parts = np.where(units > LONG, -(-units // PART), 1)
+    first = np.cumsum(parts) - parts
+    said = np.zeros(int(parts.sum()))
+    for owner, place, unit, before in unit_runs(words):
+        at = first[owner] + np.where(parts[owner] > 1, place // PART, 0)
+        low = int(at[0])
+        of = np.bincount(at - low, model.evidence(unit, before))
+        said[low : low + len(of)] += of
+    return said, parts
+
+
+def unit_count(word: str) -> int:
+    marked = word.lower().strip(EDGES)
+    length = len(marked) if marked.isascii() else len(marked.encode("utf-16-le", "surrogatepass")) // 2
+    return max(1, length + 3 - UNIT + 1)
 
 
 class Words:
@@ -81,22 +124,32 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        self.places, self.known, self.said = Numbering(), np.zeros(0, np.int64), np.zeros(0)
+        self.places, self.known, self.chars = Numbering(), np.zeros(0, np.int64), 0
+        self.said, self.parts = np.zeros(0), np.zeros(0, np.int64)
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Places of all words among the distinct ones, and words per text."""
-        if len(self.places) > REMEMBERED:
+        if len(self.places) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.forget()
         split = [(t or "").split() for t in texts]
         at = number_words([w for ws in split for w in ws], self.places)
         if len(self.places) > len(self.known):
             new = list(self.places)[len(self.known) :]
+            self.chars += sum(map(len, new))
             self.known = np.concatenate([self.known, np.fromiter(map(word_number, new), np.int64, len(new))])
             if self.units is not None:
-                units, before, per = units_of(new)
-                self.said = np.concatenate([self.said, sums_by_row(self.units.evidence(units, before), per)])
+                said, parts = parts_said(new, self.units)
+                self.said, self.parts = np.concatenate([self.said, said]), np.concatenate([self.parts, parts])
+                self.first = np.cumsum(self.parts) - self.parts
         return at, np.array([len(ws) for ws in split], np.int64)
 
+    def by_units(self, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The unit models' evidence of the parts of all words, and parts per text."""
+        if not len(at):
+            return np.zeros(0), sizes
+        parts = self.parts[at]
+        return self.said[flat_ranges(self.first[at], parts)], sums_by_row(parts, sizes)
+
     def numbered(self, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all words and of the words before them (0 at a text's start)."""
         words = self.known[at]
@@ -169,8 +222,9 @@ class ToxicModel:
     def features(self, read: Words, texts: list[str | None]) -> np.ndarray:
         at, sizes = read.read(texts)
         by_words = self.words.evidence(*read.numbered(at, sizes))
-        by_units = np.clip(read.said[at], 2 * LOWEST, 2 * HIGHEST)
-        return np.stack([*described(by_words, sizes), *described(by_units, sizes), np.log(np.maximum(1, sizes))], axis=1)
+        by_units, parts = read.by_units(at, sizes)
+        by_units = np.clip(by_units, 2 * LOWEST, 2 * HIGHEST)
+        return np.stack([*described(by_words, sizes), *described(by_units, parts), np.log(np.maximum(1, sizes))], axis=1)
 
     def score(self, features: np.ndarray) -> np.ndarray:
         x = np.hstack([features / self.scale, np.ones((len(features), 1))])
@@ -257,10 +311,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most_bytes: int
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), pa.array(keys), pa.array(n)], names=["m", "k", "n"])
                 pair, times = np.unique((at << 1) | of, return_counts=True)
                 spelled = list(read.places)
-                units, before, per = units_of([spelled[i] for i in (pair >> 1).tolist()])
-                keys, where = np.unique((np.repeat(pair & 1, per) << (2 * BITS)) | (before << BITS) | units, return_inverse=True)
-                n = np.bincount(where, np.repeat(times, per), len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.array(keys), pa.array(n)], names=["m", "k", "n"])
+                for owner, _, units, behind in unit_runs([spelled[i] for i in (pair >> 1).tolist()]):
+                    keys, where = np.unique(((pair & 1)[owner] << (2 * BITS)) | (behind << BITS) | units, return_inverse=True)
+                    n = np.bincount(where, times[owner], len(keys)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.array(keys), pa.array(n)], names=["m", "k", "n"])
 
     texts = labelled(docs, marks.filter("fold < 4"), small)
     pairs = texts.mapInArrow(count, "m int, k long, n long").groupBy("m", "k").agg(F.sum("n").alias("n"))
@@ -342,8 +396,8 @@ def distinct_bigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the bigrams of words and of units in texts."""
     read = Words()
     words, before = read.numbered(*read.read(texts))
-    units, behind, _ = units_of(list(read.places))
-    return np.unique((before << BITS) | words), np.unique((behind << BITS) | units)
+    runs = [np.unique((behind << BITS) | units) for _, _, units, behind in unit_runs(list(read.places))]
+    return np.unique((before << BITS) | words), np.unique(np.concatenate([np.zeros(0, np.int64), *runs]))
 
 
 def toxicity(docs: DataFrame, model: ToxicModel | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:

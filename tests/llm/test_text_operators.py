@@ -395,6 +395,25 @@ def test_toxic_counts_have_no_bound(spark, odd, monkeypatch):
         assert a == b and len(a) == table.count()
 
 
+def test_whole_pieces_are_judged(spark):
+    """What stands late in a run without blanks counts, and does not depend on how the run is cut for memory."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    kind = ["we", "met", "some", "kindly", "folk", "near", "green", "hills"]
+    rows = [(i, " ".join(kind[(i + j) % 8] for j in range(20)) + (" vilescum dirtbags" if i % 4 == 0 else "")) for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxic_lm.train(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in ids], "doc_id long, toxic int"))
+    plain = "_".join(kind * 6)
+    bad = plain + "_vilescum_dirtbags_" + plain
+    x = model.features(toxic_lm.Words(model.units), [plain + "_" + plain, bad, plain])
+    assert x[1, 6] > x[0, 6] + 1 and x[1, 7] > x[0, 7] + 1  # the most toxic stretch and part
+    p = model.score(x)
+    assert p[1] > 0.5 and p[1] > p[0]
+    words = ["", "a", "kind", bad, "\U0001f600日本語" * 50, bad[:67]]
+    whole, cut = ([np.concatenate(c) for c in zip(*toxic_lm.unit_runs(words, n), strict=True)] for n in (1 << 20, 7))
+    assert all(np.array_equal(a, b) for a, b in zip(whole, cut, strict=True))
+    assert np.bincount(whole[0]).tolist() == [toxic_lm.unit_count(w) for w in words]
+
+
 # pipeline and registry
 
 
