@@ -350,7 +350,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most_bytes: int
     y = got.column("y").to_numpy()
     if len(set(y.tolist())) == 2:
         # the sample holds up to as many rows of either class; each counts as often as it is labelled
-        share = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
+        share = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
         weight = np.where(y == 1, share.get(1, 1) / max(1, (y == 1).sum()), share.get(0, 1) / max(1, (y == 0).sum()))
         model.weights, model.scale = fitted(x, y, weight * len(y) / weight.sum())
     return model

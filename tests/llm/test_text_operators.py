@@ -414,6 +414,16 @@ def test_whole_pieces_are_judged(spark):
     assert np.bincount(whole[0]).tolist() == [toxic_lm.unit_count(w) for w in words]
 
 
+def test_held_out_labels_change_nothing(spark):
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(300)}
+    docs = spark.createDataFrame([(i, f"we met w{i % 9} " + ("vile scum" if i % 4 == 0 else "kind folk")) for i in held], "doc_id long, text string")
+    a, b = (
+        toxic_lm.train(docs, spark.createDataFrame([(i, y if h else int(i % 4 == 0)) for i, h in held.items()], "doc_id long, toxic int"))
+        for y in (0, 1)
+    )
+    assert np.array_equal(a.weights, b.weights)
+
+
 # pipeline and registry
 
 
