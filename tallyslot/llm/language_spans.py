@@ -1,8 +1,9 @@
 """Language identification of mixed-language texts: Viterbi over per-word scores with a switching penalty.
 
-A word's scripts (ranges of code points) narrow the languages it may belong to: those that wrote a fair share of
-their training letters in the script. Its score for each of them is the log-likelihood of its padded byte n-grams,
-from hashed counts with additive smoothing. The best sequence of labels pays PENALTY for every change of language,
+Words are cut at changes of script, and what is longer than PIECE characters (text in Chinese or Thai, words joined by
+marks) into consecutive pieces; each piece is labelled. Its script (a range of code points) narrows the languages it may
+belong to: those that wrote a fair share of their training letters in the script. Its score for each of them is the log-likelihood of the
+padded byte n-grams that begin in it, also those that end in the next piece, from hashed counts with additive smoothing. The best sequence of labels pays PENALTY for every change of language,
 which gives spans; the language of a text is the one whose spans hold the most letters, its score their share,
 tempered by how clearly the spans' own words speak for it.
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyslot.llm.common import Numbering, annotate, column, held_out, number_words, slices
+from tallyslot.llm.common import Numbering, annotate, column, flat_ranges, held_out, number_words, slices, sums_by_row
 
 TRAIN_ROWS, TRAIN_CHARS = 20_000, 4_000
 BUCKETS = 1 << 16
@@ -31,10 +32,12 @@ ORDERS = (1, 2, 3, 4)
 PENALTY = 6.0
 #: Share of a language's letters that a script must hold for the language to be a candidate for it.
 SCRIPT_SHARE = 0.02
-#: Words longer than this are scored by their first bytes; what counts for the label is their letters.
-WORD_BYTES = 48
-#: Words whose scores a task remembers before it starts over.
-REMEMBERED = 300_000
+#: Characters of a piece that gets a label of its own.
+PIECE = 24
+#: Words, and characters of them, whose scores a task remembers before it starts over.
+REMEMBERED, REMEMBERED_CHARS = 300_000, 1 << 24
+#: Pieces whose n-grams are made at once.
+RUN = 1 << 15
 
 # First code points of the letters of scripts, in order; a script reaches to the next entry.
 SCRIPT_STARTS = [
@@ -64,21 +67,50 @@ def letters_of(word: str) -> tuple[int, int]:
     return len(found), bits
 
 
-def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of all words, one word after the other within each order, and the word of each."""
-    raw = [b"\x02" + w.lower().encode("utf-8", "replace")[:WORD_BYTES] + b"\x03" for w in words]
+def script_runs(word: str) -> list[str]:
+    """A word cut where its letters change script; other characters stay with the letters before them."""
+    if word.isascii():
+        return [word]
+    points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4")
+    at = np.flatnonzero(np.fromiter(map(str.isalpha, word), bool, len(word)))
+    script = SCRIPT_AT[np.searchsorted(STARTS, points[at], side="right")]
+    cuts = at[1:][script[1:] != script[:-1]].tolist()
+    return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+
+
+def pieces_of(word: str) -> list[tuple[str, bytes, int]]:
+    """The pieces of a word: text, its bytes with up to three that follow, and how many of these it owns."""
+    out = []
+    for run in script_runs(word):
+        for at in range(0, len(run), PIECE):
+            own = run[at : at + PIECE]
+            raw = own.lower().encode("utf-8", "replace")
+            if not at:
+                raw = b"\x02" + raw
+            if at + PIECE >= len(run):
+                out.append((own, raw + b"\x03", len(raw) + 1))
+            else:
+                ahead = run[at + PIECE : at + PIECE + 3].lower().encode("utf-8", "replace") + b"\x03"
+                out.append((own, raw + ahead[: max(ORDERS) - 1], len(raw)))
+    return out
+
+
+def gram_buckets(raw: list[bytes], owned: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams that begin in the owned bytes of each piece, within each order one piece after the other,
+    and the piece of each."""
     lengths = np.fromiter(map(len, raw), np.int64, len(raw))
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
     ends = np.cumsum(lengths)
-    left = np.repeat(ends, lengths) - np.arange(len(data))  # bytes from here to the word's end
+    left = np.repeat(ends, lengths) - np.arange(len(data))  # bytes from here to the end
     of = np.repeat(np.arange(len(raw)), lengths)
+    mine = left > np.repeat(lengths - np.array(owned, np.int64), lengths)
     buckets, owners, h = [], [], np.zeros(len(data), np.uint64)
     for n in range(1, max(ORDERS) + 1):
         if n > len(data):
             break
         h = h[: len(data) - n + 1] * np.uint64(0x100000001B3) + data[n - 1 :] + np.uint64(n)
         if n in ORDERS:
-            inside = left[: len(h)] >= n
+            inside = (left[: len(h)] >= n) & mine[: len(h)]
             mixed = h[inside] * np.uint64(0x9E3779B97F4A7C15)
             buckets.append((mixed >> np.uint64(48)).astype(np.int64) % BUCKETS)
             owners.append(of[: len(h)][inside])
@@ -93,20 +125,21 @@ class LanguageModel:
     #: may a language's word be written in the script: scripts x languages
     allowed: np.ndarray
 
-    def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores (words x languages; 0 for all where a word says nothing) and numbers of letters."""
-        counts, bits = np.array([letters_of(w) for w in words], np.int64).reshape(-1, 2).T
-        out = np.zeros((len(words), len(self.languages)), np.float32)
+    def piece_scores(self, pieces: list[tuple[str, bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores (pieces x languages; 0 for all where a piece says nothing) and numbers of letters."""
+        counts, bits = np.array([letters_of(p) for p, _, _ in pieces], np.int64).reshape(-1, 2).T
+        out = np.zeros((len(pieces), len(self.languages)), np.float32)
         speaking = np.flatnonzero(counts)
-        if len(speaking):
-            buckets, owners = gram_buckets([words[i] for i in speaking])
+        for lo in range(0, len(speaking), RUN):
+            some = speaking[lo : lo + RUN]
+            buckets, owners = gram_buckets([pieces[i][1] for i in some], [pieces[i][2] for i in some])
             for k in range(len(self.languages)):
-                out[speaking, k] = np.bincount(owners, self.table[buckets, k], len(speaking))
-            for b in np.unique(bits[speaking]).tolist():
-                may = np.all([self.allowed[s] for s in range(len(SCRIPTS)) if b >> s & 1], axis=0)
-                if may.any() and not may.all():
-                    out[np.ix_(np.flatnonzero((bits == b) & (counts > 0)), np.flatnonzero(~may))] -= 1e4
-        # only differences matter; the best is 0 and one word cannot outvote many
+                out[some, k] = np.bincount(owners, self.table[buckets, k], len(some))
+        for b in np.unique(bits[speaking]).tolist():
+            may = np.all([self.allowed[s] for s in range(len(SCRIPTS)) if b >> s & 1], axis=0)
+            if may.any() and not may.all():
+                out[np.ix_(np.flatnonzero((bits == b) & (counts > 0)), np.flatnonzero(~may))] -= 1e4
+        # only differences matter; the best is 0 and one piece cannot outvote many
         best = out.max(axis=1, keepdims=True)
         return np.maximum(out - best, -12.0), counts
 
@@ -128,8 +161,11 @@ def train(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", rows: int
             for lo, hi in slices(batch.column(1).to_pylist()):
                 for l, t in zip(batch.column(0).to_pylist()[lo:hi], batch.column(1).to_pylist()[lo:hi], strict=True):
                     words = t.split()
+                    pieces = [p for w in words for p in pieces_of(w)]
+                    for at in range(0, len(pieces), RUN):
+                        _, raw, owned = zip(*pieces[at : at + RUN], strict=True)
+                        grams[l] = grams.get(l, 0) + np.bincount(gram_buckets(raw, owned)[0], minlength=BUCKETS)
                     if words:
-                        grams[l] = grams.get(l, 0) + np.bincount(gram_buckets(words)[0], minlength=BUCKETS)
                         held = scripts.setdefault(l, np.zeros(len(SCRIPTS), np.int64))
                         points = [ord(c) for c in "".join(words) if c.isalpha()]
                         held += np.bincount(SCRIPT_AT[np.searchsorted(STARTS, points, side="right")].astype(np.int64), minlength=len(SCRIPTS))
@@ -197,28 +233,36 @@ class SpanLabeller:
         self.forget()
 
     def forget(self) -> None:
-        self.numbers = Numbering()
+        self.numbers, self.chars = Numbering(), 0
+        self.first, self.parts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.scores, self.letters = np.zeros((0, len(self.model.languages)), np.float32), np.zeros(0, np.int64)
 
-    def labelled(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
-        """Words of each text; labels, letters and scores of all words, one text after the other."""
-        if len(self.numbers) > REMEMBERED:
+    def labelled(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of each text and pieces of each word; labels, letters and scores of all pieces, one text after the other."""
+        if len(self.numbers) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.forget()
         words = [(t or "").split() for t in texts]
         at = number_words([w for ws in words for w in ws], self.numbers)
-        if len(self.numbers) > len(self.letters):
-            scores, letters = self.model.word_scores(list(self.numbers)[len(self.letters):])
+        if len(self.numbers) > len(self.parts):
+            new = list(self.numbers)[len(self.parts):]
+            self.chars += sum(map(len, new))
+            cut = [pieces_of(w) for w in new]
+            scores, letters = self.model.piece_scores([p for ps in cut for p in ps])
             self.scores = np.concatenate([self.scores, scores])
             self.letters = np.concatenate([self.letters, letters])
+            self.parts = np.concatenate([self.parts, np.fromiter(map(len, cut), np.int64, len(cut))])
+            self.first = np.cumsum(self.parts) - self.parts
+        parts = self.parts[at]
+        at = flat_ranges(self.first[at], parts)
         scores, letters = self.scores[at], self.letters[at]
-        lengths = np.array([len(ws) for ws in words], np.int64)
-        return words, best_labels(scores, lengths, self.penalty), letters, scores
+        lengths = sums_by_row(parts, np.array([len(ws) for ws in words], np.int64))
+        return words, parts, best_labels(scores, lengths, self.penalty), letters, scores
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
-        """(first word, word after the last, language) of each span of a text."""
+        """(first piece, piece after the last, language) of each span of a text; most words are one piece."""
         if not self.model.languages or not (text or "").split():
             return []
-        _, labels, _, _ = self.labelled([text])
+        _, _, labels, _, _ = self.labelled([text])
         cuts = np.flatnonzero(np.diff(labels)) + 1
         edges = [0, *cuts.tolist(), len(labels)]
         return [(a, b, self.model.languages[labels[a]]) for a, b in zip(edges, edges[1:], strict=False)]
@@ -228,8 +272,8 @@ class SpanLabeller:
         none = {"lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts), "n_spans": [0] * len(texts)}
         if not k:
             return none
-        words, labels, letters, scores = self.labelled(texts)
-        row = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
+        words, parts, labels, letters, scores = self.labelled(texts)
+        row = np.repeat(np.repeat(np.arange(len(texts)), [len(ws) for ws in words]), parts)
         held = np.bincount(row * k + labels, letters, len(texts) * k).reshape(-1, k)
         total = held.sum(axis=1)
         best = held.argmax(axis=1)

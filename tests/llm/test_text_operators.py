@@ -133,6 +133,24 @@ def test_mixed_text_has_two_spans(docs, texts):
     assert [s[2] for s in spans if s[1] - s[0] > 20] == ["en", "de"]
 
 
+def test_runs_without_blanks_are_read_whole(spark, docs, texts):
+    """Two languages and two scripts inside one run give two spans; every n-gram of a run counts once."""
+    labeller = language_spans.SpanLabeller(language_spans.train(docs))
+    of = {r["lang"]: texts[r["doc_id"]] for r in docs.collect() if r["text"] and len(r["text"]) > 600}
+    found = labeller(["_".join(of["en"].split()[:5] + of["de"].split()[:60]), "_".join(of["en"].split()[:60] + of["de"].split()[:60])])
+    assert found["lang_pred"][0] == "de" and found["n_spans"].tolist()[1] >= 2
+    scripts = spark.createDataFrame([(i, t, l) for i in range(40) for t, l in [("漢字文章" * 9, "zh"), ("ภาษาไทย" * 9, "th")]], "doc_id long, text string, lang string")
+    two = language_spans.SpanLabeller(language_spans.train(scripts))
+    spans = two.spans("漢字文章" * 20 + "ภาษาไทย" * 40)
+    assert [s[2] for s in spans] == ["zh", "th"]
+    assert two(["漢字文章" * 20 + "ภาษาไทย" * 40])["lang_pred"] == ["th"]
+    long = "ab-cd_" * 30
+    (raw,) = [b"\x02" + long.encode() + b"\x03"]
+    cut, _ = language_spans.gram_buckets(*[list(x) for x in list(zip(*language_spans.pieces_of(long), strict=True))[1:]])
+    whole, _ = language_spans.gram_buckets([raw], [len(raw)])
+    assert Counter(cut.tolist()) == Counter(whole.tolist())
+
+
 # tokens and pieces
 
 
