@@ -103,6 +103,10 @@ def stretches(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, i
             a -= 1
             while a > lo and not text[a - 1].isspace() and m.start() - a < 96:
                 a -= 1
+        if m.group().endswith("@") and b < hi and text[b] == " ":  # after an at-sign, one more word to the right too
+            b += 1
+            while b < hi and not text[b].isspace() and b - m.end() < 96:
+                b += 1
         if out and a <= out[-1][1] + 1:
             out[-1][1] = max(b, out[-1][1])
         else:

@@ -363,6 +363,18 @@ def test_field(spark, docs, odd, none):
     assert pii_segments.find(none, pii_segments.train(none)).count() == 0
 
 
+def test_field_finds_looser_writings(spark):
+    """Each writing that the training makes is found."""
+    field = pii_segments.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    parts = [("john@example.com", 0), ("mary.poe@mail.example.org", 0), ("4111 1111 1111 1111", 2), ("+1 (255) 555-8013", 3)]
+    for part, kind in parts:
+        for new in {pii_segments.loosened(part, kind, random.Random(n)) for n in range(40)}:
+            text = f"please write to {new} about the meeting"
+            a = text.index(new)
+            assert (a, a + len(new), kind) in pii_segments.all_spans(text, field)[1], new
+    assert pii_segments.redacted("at john @ example.com now", pii_segments.all_spans("at john @ example.com now", field)[1]) == "at [EMAIL] now"
+
+
 def test_field_sums_over_all_divisions():
     """The best division by the dynamic programme is the best of all divisions."""
     field = pii_segments.Field({"card|digits=4": 4.0, "phone|digits=8": 7.0, "ip|digits=4": 3.5})
