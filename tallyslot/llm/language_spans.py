@@ -8,8 +8,7 @@ which gives spans; the language of a text is the one whose spans hold the most l
 tempered by how clearly the spans' own words speak for it.
 
 Learning sees text and non-null lang of documents outside the held-out fifth, from a bounded sample of them: at
-most TRAIN_ROWS rows, those of the smallest hash of their id, TRAIN_CHARS characters of each. Prediction reads
-nothing but the text.
+most TRAIN_ROWS rows, those of the smallest hash of their id and text, each with its whole text. Prediction reads nothing but the text.
 
 Defined cases. Null texts and texts without letters are `und` with score 0. With no language learned, everything
 is `und`. Ties go to the language that comes first by name. Every input row gives one row.
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tallyslot.llm.common import Numbering, annotate, column, flat_ranges, held_out, number_words, slices, sums_by_row
 
-TRAIN_ROWS, TRAIN_CHARS = 20_000, 4_000
+TRAIN_ROWS = 20_000
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 PENALTY = 6.0
@@ -148,12 +147,9 @@ def train(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", rows: int
     """Count n-grams and scripts per language over a bounded sample, inside the tasks; only tables come back."""
     known = docs.select(column(doc_id).alias("i"), column(text).cast("string").alias("t"), column(lang).cast("string").alias("l"))
     known = known.filter(F.col("t").isNotNull() & F.col("l").isNotNull() & ~held_out(F.col("i")))
-    order = F.xxhash64(F.col("i").cast("string"))
-    total = known.count()
-    if total > rows:  # a threshold on the hash with some room, then exactly the smallest; never the texts of all
-        edge = -(1 << 63) + int((1 << 64) * min(1.0, 1.3 * rows / total + 100 / total))
-        known = known.filter(order <= min(edge, (1 << 63) - 1))
-    known = known.select("l", F.substring("t", 1, TRAIN_CHARS).alias("t"), order.alias("o")).orderBy("o").limit(rows)
+    known = known.withColumn("o", F.xxhash64(F.col("i").cast("string"), "t"))
+    edge = known.select("o").orderBy("o").limit(rows).agg(F.max("o")).first()[0]  # of the hashes only, never of the texts
+    known = known.filter(F.col("o") <= edge) if edge is not None else known
 
     def count(batches):
         grams, scripts = {}, {}
@@ -179,7 +175,7 @@ def train(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", rows: int
                 [pa.array([l] * len(at)), pa.array((BUCKETS + at).astype(np.int32)), pa.array(scripts[l][at])], names=["l", "b", "n"]
             )
 
-    counts = known.repartition(16).select("l", "t").mapInArrow(count, "l string, b int, n long")
+    counts = known.select("l", "t").mapInArrow(count, "l string, b int, n long")
     got = counts.groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(got.column(0).to_pylist()))
     full = np.zeros((BUCKETS + len(SCRIPTS), len(names)))

@@ -10,8 +10,9 @@ are over MARGIN.
 
 The weights are learned by gradient steps on the log-likelihood (forward and backward sums over all divisions) of
 stretches whose labels the patterns give, and of variants of them in looser writing, which the patterns would miss:
-cards and phones with other separators, phones without plus, addresses with blanks around their marks. The sample
-is bounded: at most TRAIN_ROWS texts with a digit or at-sign, of the smallest hashes of their texts.
+cards and phones with other separators, phones without plus, addresses with blanks around their marks. The texts
+are cut into windows that together hold every digit and at-sign; at most TRAIN_ROWS of these, of the smallest hashes,
+are learned from.
 
 Defined cases. Null texts are empty: no spans. Where patterns of different kinds overlap all spans stay. Every input
 row gives one row; other columns are never read.
@@ -20,11 +21,13 @@ row gives one row; other columns are never read.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -259,12 +262,30 @@ def trained(texts: list[str], epochs: int = EPOCHS, rate: float = RATE) -> Field
     return field
 
 
+def windows(text: str) -> list[str]:
+    """Pieces of a text that hold all its digits and at-signs; signs close to each other stay together up to a bound."""
+    out, first, last = [], None, 0
+    for m in SIGNS.finditer(text):
+        if first is not None and m.start() - first > (300 if m.start() - last > 24 else 1000):
+            out.append(text[max(0, first - 100) : last + 100])
+            first = None
+        first, last = m.start() if first is None else first, m.end()
+    if first is not None:
+        out.append(text[max(0, first - 100) : last + 100])
+    return out
+
+
 def train(docs: DataFrame, text: str = "text", rows: int = TRAIN_ROWS) -> Field:
-    """Learn from the bounded sample; the texts that reach the driver are cut to the surroundings of their signs."""
-    t = column(text).cast("string")
-    some = docs.select(t.alias("t")).filter(F.col("t").rlike("[0-9@]"))
-    cut = F.expr("substring(t, greatest(1, regexp_instr(t, '[0-9@]') - 100), 400)")
-    some = some.select(cut.alias("t")).distinct().orderBy(F.xxhash64("t"), "t").limit(rows)
+    """Learn from the bounded sample of the windows of all texts."""
+
+    def cut(batches):
+        for batch in batches:
+            found = {w for t in batch.column(0).to_pylist() for w in windows(t)}
+            some = heapq.nsmallest(rows, ((hashlib.sha256(w.encode("utf-8", "replace")).hexdigest(), w) for w in found))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in some], pa.string()) for i in (0, 1)], names=["o", "t"])
+
+    some = docs.select(column(text).cast("string").alias("t")).filter(F.col("t").rlike("[0-9@]"))
+    some = some.mapInArrow(cut, "o string, t string").distinct().orderBy("o", "t").limit(rows)
     return trained(sorted(r["t"] for r in some.collect()))
 
 

@@ -151,6 +151,18 @@ def test_runs_without_blanks_are_read_whole(spark, docs, texts):
     assert Counter(cut.tolist()) == Counter(whole.tolist())
 
 
+def test_training_reads_whole_texts(spark):
+    """What comes late in a text is learned from."""
+    rows = [(i, "the cat sat " * 400 + "der hund lief " * 800, "zz") for i in range(8)] + [(i, "the cat sat " * 50, "en") for i in range(8, 16)]
+    model = language_spans.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert language_spans.SpanLabeller(model)(["der hund lief"])["lang_pred"] == ["zz"]
+    text = "x 1 " + "word " * 400 + "mail joe@example.com now " + "word " * 400 + "and 1.2.3.4 " * 300
+    got = pii_segments.windows(text)
+    assert any("joe@example.com" in w for w in got) and max(map(len, got)) < 1300
+    assert sum(len(re.findall(r"1\.2\.3\.4", w)) for w in got) >= 300
+    assert pii_segments.windows("no sign") == []
+
+
 # tokens and pieces
 
 
