@@ -18,8 +18,11 @@ EXTRA = "found by the stage"
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go; all others stay as they are."""
+    """Documents without a recognisable language go; all others stay as they are. With no language learned, all that
+    have letters stay."""
     model = language_spans.train(docs)
+    if not model.languages:
+        return docs.filter(column("text").cast("string").rlike(r"\p{L}"))
     found = language_spans.identify(docs, model, keep=docs.columns, prefix=EXTRA)
     return found.filter(column(EXTRA + "lang_pred") != "und").select(*[column(c) for c in docs.columns])
 

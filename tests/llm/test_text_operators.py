@@ -484,6 +484,12 @@ def test_pipeline_stages(spark, none, odd):
         stage(spark, odd, SF).count()
 
 
+def test_no_language_learned_drops_no_letters(spark):
+    rows = [(1, "plain words", None, "x", 11), (2, "", None, "x", 0), (3, None, None, "x", None), (4, "12 !", None, "x", 4), (5, "漢字", None, "x", 2)]
+    kept = corpus_pipeline.known_language(spark, spark.createDataFrame(rows, DDL), SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 5] and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
 def test_oracles(spark):
     from tests.compare import connect, differences
 
