@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from tallyslot.llm import (
-    jaccard_segments, language_spans, license_rules, phrase_index, pii_segments, piece_trie, repair_store, repetition, token_resync,
-    toxic_lm,
+    collocations, exact_copies, filter_audit, jaccard_segments, language_spans, license_rules, phrase_index, pii_segments, piece_trie,
+    repair_store, repetition, token_resync, toxic_lm,
 )
 from tallyslot.llm.common import column, held_out, table, vocabulary_file
 from tallyslot.sources.workdir import fresh_folder
@@ -65,6 +65,18 @@ def op10_token_resync(spark: SparkSession, folder: str) -> DataFrame:
     return token_resync.token_counts(table(spark, folder, "documents"), vocabulary_file("word_bpe_49k.json"))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.top_phrases(table(spark, folder, "documents"))
+
+
+def op13_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_copies.copies(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_license_rules": op1_license_rules,
@@ -77,6 +89,9 @@ def queries() -> dict[str, Query]:
         "op8_jaccard_segments": op8_jaccard_segments,
         "op9_pii_segments": op9_pii_segments,
         "op10_token_resync": op10_token_resync,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_collocations": op12_collocations,
+        "op13_exact_copies": op13_exact_copies,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -113,7 +128,61 @@ SELECT d.doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, min(reach.b) AS
 FROM d LEFT JOIN sizes ON sizes.doc_id = d.doc_id JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id
 """
 
+AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t),
+              regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)] AS fails
+      FROM d LEFT JOIN m ON d.doc_id = m.doc_id),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || e.x || g.x AS filter_order FROM letters a, letters b, letters c, letters e, letters g
+           WHERE len(list_distinct([a.x, b.x, c.x, e.x, g.x])) = 5),
+steps AS (SELECT filter_order, CAST(s AS INTEGER) AS step, ascii(filter_order[s]) - 64 AS k,
+                 [ascii(filter_order[i]) - 64 FOR i IN range(1, s)] AS prior FROM orders, range(1, 6) r(s)),
+g AS (SELECT part, fails, good, toxic, count(*) AS n, len(list_filter(fails, lambda x: x)) AS n_fails FROM f GROUP BY ALL),
+r AS (SELECT part, filter_order, step, k, fails[k] AS hit, len(list_filter(prior, lambda i: fails[i])) > 0 AS gone, good, toxic, n, n_fails FROM g, steps),
+s AS (SELECT part, filter_order, step, k, coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS removed,
+             coalesce(sum(n) FILTER (hit AND gone), 0) AS redundant, coalesce(sum(n) FILTER (hit AND n_fails = 1), 0) AS unique_fails,
+             coalesce(sum(n) FILTER (hit AND NOT gone AND good), 0) AS good_lost, coalesce(sum(n) FILTER (hit AND NOT gone AND toxic), 0) AS toxic_lost
+      FROM r GROUP BY part, filter_order, step, k)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley FROM s
+"""
+
+COLLOCATIONS = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all({LOWERED}, '[^.,;:!?\x0A-\x0D]+') AS pieces FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS w FROM d),
+c AS (SELECT lang, k, g, count(*) AS f FROM (
+          SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS g
+          FROM p, range(1, 4) r(k) WHERE len(w) >= k) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM c WHERE k > 1 AND f >= 10),
+cuts AS (SELECT lang, k, g, a, unnest(range(1, k)) AS cut, w FROM cand),
+scored AS (SELECT cuts.lang, cuts.k, cuts.g, a, cut, x.f AS l, y.f AS r,
+                  CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+           FROM cuts JOIN c x ON x.lang = cuts.lang AND x.g = array_to_string(w[1 : cut], ' ') AND x.k = cut
+                     JOIN c y ON y.lang = cuts.lang AND y.g = array_to_string(w[cut + 1 : cuts.k], ' ') AND y.k = cuts.k - cut),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+covers AS (SELECT lang, part, max(a) AS longer FROM (
+               SELECT lang, a, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' ')]) AS part FROM cand WHERE k = 3) GROUP BY ALL)
+SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score
+FROM best JOIN totals ON totals.lang = best.lang LEFT JOIN covers ON k = 2 AND covers.lang = best.lang AND covers.part = g
+WHERE longer IS NULL OR 100 * longer < 50 * a QUALIFY rank <= 2000
+"""
+
+COPIES = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express a query on whole tables; the others are tested against brute force and libraries."""
-    return {"op7_phrase_index": PHRASES, "op8_jaccard_segments": COMPONENTS}
+    return {
+        "op7_phrase_index": PHRASES, "op8_jaccard_segments": COMPONENTS, "op11_filter_audit": AUDIT, "op12_collocations": COLLOCATIONS,
+        "op13_exact_copies": COPIES,
+    }
