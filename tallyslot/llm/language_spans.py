@@ -197,10 +197,10 @@ def best_labels(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.n
     order = np.argsort(-lengths, kind="stable")
     steps = int(lengths.max()) if len(lengths) else 0
     running = np.searchsorted(-lengths[order], -np.arange(steps), side="left")  # texts longer than each step
-    back = np.zeros((n, k), np.int8)
+    back = np.zeros((n, k), np.int16)
     state = np.zeros((len(lengths), k), np.float32)
     begin = starts[order]
-    stay = np.arange(k, dtype=np.int8)
+    stay = np.arange(k, dtype=np.int16)
     for step in range(steps):
         m = running[step]
         at = begin[:m] + step
@@ -209,12 +209,12 @@ def best_labels(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.n
             best = now.argmax(axis=1)
             top = now[np.arange(m), best] - penalty
             switch = top[:, None] > now
-            back[at] = np.where(switch, best[:, None].astype(np.int8), stay)
+            back[at] = np.where(switch, best[:, None].astype(np.int16), stay)
             state[:m] = np.maximum(now, top[:, None]) + scores[at]
         else:
             state[:m] = scores[at]
-    label = np.zeros(n, np.int8)
-    current = state.argmax(axis=1).astype(np.int8)
+    label = np.zeros(n, np.int16)
+    current = state.argmax(axis=1).astype(np.int16)
     for step in range(steps - 1, -1, -1):
         m = running[step]
         at = begin[:m] + step

@@ -1,24 +1,27 @@
 """Quality rules by repetition: how much of a text lies inside n-grams and lines that the text has already shown.
 
-The words of a slice of texts are numbered together and each word gets a fixed 64-bit value; the hash of an n-gram
-is a polynomial of the values of its words, rolled over the whole slice at once in numpy for each length. Within
-a document equal hashes mark duplicated n-grams, and the characters of all words they cover are summed. The base
-rule's 3-word windows are compared by the word numbers themselves, so they are exact.
+Each word has a 64-bit value that hangs on its bytes alone; the hash of an n-gram is a polynomial of the values of its
+words, rolled over the whole text at once in numpy for each length. Within a document equal hashes mark duplicated
+n-grams, and the characters of all words they cover are summed. The base rule's 3-word windows are compared by
+numbers of the words, so they are exact. All results are functions of the text alone, whatever texts stand beside it.
 
 The verdict: a text is kept if it passes the base rule and none of these shares is over its limit:
 - characters inside duplicated n-grams, later occurrences only, n = 5 .. 10 (limits fall from 0.15 to 0.10);
 - characters of the most frequent n-gram, all its occurrences, n = 2 .. 4 (0.20, 0.18, 0.16), if it occurs three
-  times or more;
-- characters inside lines equal to an earlier line (0.30), and such lines among lines with a word (0.30);
-- symbols per word (0.10).
+  times or more; of equally frequent ones the one that covers most;
+- characters inside lines equal to an earlier line (0.30), and such lines among lines with a word (0.30).
 
 Defined cases. Null and empty texts have no words, fail the base rule and are not kept. A text of fewer words than
-n has no n-gram. Every input row gives one row; other columns are never read.
+n has no n-gram. Every input row gives one row, also a repeated one; an empty table gives none; columns outside
+``keep`` are never read, and names in ``keep`` may not be those of the results. A very long text is judged whole.
 """
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 
 from tallyslot.llm.common import Numbering, annotate, number_words
@@ -27,7 +30,7 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 DUPLICATE_SHARE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 TOP_SHARE = {2: 0.20, 3: 0.18, 4: 0.16}
-LINE_CHARS, LINE_SHARE, SYMBOL_SHARE = 0.30, 0.30, 0.10
+LINE_CHARS, LINE_SHARE = 0.30, 0.30
 
 ADDED = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
@@ -35,11 +38,22 @@ ADDED = (
 )
 
 
-def spread_out(numbers: np.ndarray) -> np.ndarray:
-    """A fixed 64-bit value for each word number, by a bijective scramble."""
-    x = numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+class Values:
+    """The 64-bit values of numbered words, from their bytes; each distinct word is hashed once."""
+
+    def __init__(self, numbers: Numbering):
+        self.numbers, self.held, self.n = numbers, np.zeros(1024, np.uint64), 0
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        n = len(self.numbers)
+        if n > self.n:
+            if n > len(self.held):
+                self.held = np.concatenate([self.held[: self.n], np.zeros(2 * n - self.n, np.uint64)])
+            # The numbering keeps the order of its words, so the new ones are the last.
+            new = islice(reversed(self.numbers), n - self.n)
+            self.held[self.n : n] = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, n - self.n)[::-1]
+            self.n = n
+        return self.held[at]
 
 
 def rolled(values: np.ndarray, before: np.ndarray, n: int) -> np.ndarray:
@@ -64,6 +78,18 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return group, sizes, later
 
 
+def most_covered(group: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, n: int) -> int:
+    """Characters inside the occurrences of an n-gram, for that of the most frequent ones that covers most."""
+    at = np.flatnonzero(sizes[group] == sizes.max())
+    at = at[np.argsort(group[at], kind="stable")]
+    before = np.concatenate([[0], np.cumsum(lengths)])
+    starts = at.copy()
+    again = group[at[1:]] == group[at[:-1]]
+    # what the occurrence before already covers counts once
+    starts[1:][again] = np.maximum(at[1:], at[:-1] + n)[again]
+    return int(np.bincount(group[at], before[at + n] - before[starts]).max())
+
+
 def exact_windows(numbers: np.ndarray) -> np.ndarray:
     """A number per 3-word window, equal only for equal windows."""
     if int(numbers.max()) >= 1 << 21:
@@ -89,8 +115,7 @@ def judged(numbers: np.ndarray, values: np.ndarray, lengths: np.ndarray) -> tupl
             break  # no 3-gram twice, so no longer one either
         group, sizes, later = grouped(h)
         if n in TOP_SHARE and sizes.max() >= 3:
-            marks = group == np.argmax(sizes)
-            top = max(top, int(lengths[covered(marks, n, n_words)].sum()) / total / TOP_SHARE[n])
+            top = max(top, most_covered(group, sizes, lengths, n) / total / TOP_SHARE[n])
         if n in DUPLICATE_SHARE:
             dup = max(dup, int(lengths[covered(later, n, n_words)].sum()) / total / DUPLICATE_SHARE[n])
     return repeated, top, dup
@@ -115,6 +140,7 @@ def lines(text: str) -> tuple[int, int, int, int]:
 
 def score(texts: list[str | None]) -> dict:
     numbers_of, rows = Numbering(), []
+    values = Values(numbers_of)
     for text in texts:
         text = text or ""
         words = text.encode("utf-8", "surrogatepass").split()
@@ -131,10 +157,10 @@ def score(texts: list[str | None]) -> dict:
                 lengths = np.fromiter(map(len, text.translate(BLANKS).split(" ")), np.int64)
                 lengths = lengths[lengths > 0]
             word_chars = int(lengths.sum())
-            repeated, top, dup = judged(numbers, spread_out(numbers), lengths)
+            repeated, top, dup = judged(numbers, values.of(numbers), lengths)
         failed = n_words < LEAST_WORDS or 100 * repeated > MOST_REPEATED * n_words
         line_share = max(twice / chars / LINE_CHARS, again / n_lines / LINE_SHARE) if n_lines else 0.0
-        bad = max(top, dup, line_share) > 1 or n_symbols > SYMBOL_SHARE * n_words
+        bad = max(top, dup, line_share) > 1
         rows.append((n_words, word_chars, n_symbols, again, repeated, failed, not failed and not bad, top, dup, line_share))
     names = [c.split()[0] for c in ADDED.split(", ")]
     return dict(zip(names, zip(*rows, strict=True), strict=True))

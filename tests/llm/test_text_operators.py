@@ -93,6 +93,53 @@ def test_repetition_verdict():
     assert list(got["kept"]) == [True, True, False, False]
 
 
+def brute_shares(text):
+    """The shares by plain loops over tuples of words, in units of their limits."""
+    w = words(text)
+    total, out = sum(map(len, w)), [0.0, 0.0]
+
+    def inside(starts, n):
+        return sum(len(w[i]) for i in {i + k for i in starts for k in range(n)})
+
+    for n in range(2, 11):
+        places = {}
+        for i in range(len(w) - n + 1):
+            places.setdefault(tuple(w[i : i + n]), []).append(i)
+        if not places:
+            break
+        most = max(map(len, places.values()))
+        if n in repetition.TOP_SHARE and most >= 3:
+            out[0] = max(out[0], max(inside(p, n) for p in places.values() if len(p) == most) / total / repetition.TOP_SHARE[n])
+        if n in repetition.DUPLICATE_SHARE:
+            out[1] = max(out[1], inside([i for p in places.values() for i in p[1:]], n) / total / repetition.DUPLICATE_SHARE[n])
+    said = [x for x in text.split("\n") if words(x)]
+    twice = [x for i, x in enumerate(said) if x in said[:i]]
+    lines = max(sum(map(len, twice)) / sum(map(len, said)) / repetition.LINE_CHARS, len(twice) / len(said) / repetition.LINE_SHARE) if said else 0.0
+    return [*out, lines]
+
+
+REPEATING = st.lists(st.sampled_from(["a", "b", "cc", "ddd", "日", "é#", "a\n", "b\nb", "cc\n"]), min_size=1, max_size=90).map(" ".join)
+
+
+@settings(max_examples=120, deadline=None)
+@given(REPEATING, st.lists(REPEATING, max_size=5), st.randoms())
+def test_repetition_verdict_hangs_on_the_text_alone(text, others, rng):
+    alone = repetition.score([text])
+    np.testing.assert_allclose([alone[c][0] for c in ("top_share", "dup_share", "dup_line_share")], brute_shares(text))
+    assert alone["kept"][0] == (not alone["base_failed"][0] and max(brute_shares(text)) <= 1)
+    beside = [*others, text]
+    rng.shuffle(beside)
+    got = repetition.score(beside)
+    at = beside.index(text)
+    assert all(got[c][at] == alone[c][0] for c in got)
+
+
+def test_repetition_verdict_over_partitions(spark, docs):
+    want = {tuple(r) for r in repetition.quality(docs).collect()}
+    for n in (1, 3, 7):
+        assert {tuple(r) for r in repetition.quality(docs.repartition(n, "n_chars")).collect()} == want
+
+
 # language
 
 
