@@ -182,6 +182,9 @@ PLANS: dict[str, Plan] = {
     "staff_delete": _left_staff_removed,
     # account jobs
     "login_lockout": lambda ds: accounts.sign_in(ds, ds.login_attempts, TEST_LOCK_MINUTES),
+    "login_lockout_resets": lambda ds: accounts.sign_in(
+        ds, ds.login_attempts.withColumn("reset", F.col("attempt_id") % 40 == 7), TEST_LOCK_MINUTES
+    ),
     "account_states": lambda ds: accounts.account_states(ds, ds.login_attempts, TEST_LOCK_MINUTES),
     "role_assign_batch": lambda ds: accounts.change_roles(ds, ds.role_requests).select(
         "request_id", "user_id", "role_code", "ok", "reason", "result"

@@ -13,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyslot.functions import exprs as X
 from tallyslot.operators.keyed import hot_keys
+from tallyslot.operators.slices import cut_by_rank
 from tallyslot.settings import Scale
+from tallyslot.sources.workdir import materialise
 
 WIDE = "decimal(28,2)"
 
@@ -40,47 +41,26 @@ def _plain(steps: DataFrame, key: str, order: list[str]) -> DataFrame:
     return summed.withColumn("_lowest", F.min("_total").over(upto))
 
 
-def _sliced(steps: DataFrame, key: str, order: list[str], bits: int) -> DataFrame:
-    """The same two columns with every window bounded to a slice of time.
+def _sliced(steps: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
+    """The same two columns with every window bounded to a slice of ``most`` steps.
 
-    Slices are ``2**bits`` microseconds wide and grouped into blocks of
-    ``2**bits`` slices; both levels pass on (sum, lowest point).
+    A slice passes on its sum and its lowest point; those of a key are chained,
+    and there are only steps / ``most`` of them.
     """
-    at = X.micros(order[0])
-    rows = steps.withColumn("_s1", F.shiftright(at, bits)).withColumn("_s2", F.shiftright(at, 2 * bits))
-
-    def before(outer: list[str], col: str):
-        return Window.partitionBy(key, *outer).orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-
-    def stitched(groups: DataFrame, outer: list[str], col: str) -> DataFrame:
-        """Running sum before each group and lowest point before it, within ``outer``."""
-        groups = groups.withColumn("_pre", F.coalesce(F.sum("_sum").over(before(outer, col)), _zero()))
-        groups = groups.withColumn("_point", F.col("_pre") + F.col("_low"))
-        return groups.withColumn("_pre_low", F.min("_point").over(before(outer, col)))
-
-    inside = Window.partitionBy(key, "_s2", "_s1").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = cut_by_rank(steps, key, order, most, "balance-slices")
+    inside = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_sum", F.sum("change").over(inside).cast(WIDE))
     rows = rows.withColumn("_low", F.min("_sum").over(inside))
-    slices = rows.groupBy(key, "_s2", "_s1").agg(
-        F.sum("change").cast(WIDE).alias("_sum"), F.min("_low").alias("_low")
-    )
-    slices = stitched(slices, ["_s2"], "_s1")
-    blocks = slices.groupBy(key, "_s2").agg(F.sum("_sum").alias("_sum"), F.min("_point").alias("_low"))
-    blocks = stitched(blocks, [], "_s2").select(
-        key, "_s2", F.col("_pre").alias("_b_pre"), F.col("_pre_low").alias("_b_low")
-    )
-    offsets = slices.join(blocks, [key, "_s2"]).select(
-        key,
-        "_s2",
-        "_s1",
-        (F.col("_b_pre") + F.col("_pre")).alias("_off"),
-        F.least("_b_low", F.col("_b_pre") + F.col("_pre_low")).alias("_off_low"),
-    )
+    slices = rows.groupBy(key, "_slice").agg(F.sum("change").cast(WIDE).alias("_all"), F.min("_low").alias("_least"))
+    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("_off", F.coalesce(F.sum("_all").over(before), _zero()))
+    slices = slices.withColumn("_point", F.col("_off") + F.col("_least"))
+    offsets = slices.select(key, "_slice", "_off", F.min("_point").over(before).alias("_off_low"))
     return (
-        rows.join(offsets, [key, "_s2", "_s1"])
+        rows.join(offsets, [key, "_slice"])
         .withColumn("_total", (F.col("_off") + F.col("_sum")).cast(WIDE))
         .withColumn("_lowest", F.least("_off_low", F.col("_off") + F.col("_low")).cast(WIDE))
-        .drop("_s1", "_s2", "_sum", "_low", "_off", "_off_low")
+        .drop("_slice", "_sum", "_low", "_off", "_off_low")
     )
 
 
@@ -89,17 +69,17 @@ def running_balance(
 ) -> DataFrame:
     """Add ``balance`` after every step, and ``opening`` if ``openings`` (``key, opening``) is given.
 
-    ``steps`` carries ``change``; ``order`` starts with a timestamp and ends with
-    a unique id. Keys with more than ``scale.hot_rows`` steps take the sliced
-    form; there are so few of them that their openings can be broadcast.
+    ``steps`` carries ``change``; ``order`` ends with a unique id. Keys with more
+    than ``scale.hot_rows`` steps take the sliced form, with slices of at most so
+    many steps.
     """
     hot = hot_keys(steps, [key], scale.hot_rows)
     if hot.isEmpty():
         return _with_opening(_plain(steps, key, order), key, openings)
-    hot = F.broadcast(hot)
+    hot = materialise(hot, "balance-hot")
     cold_rows = _with_opening(_plain(steps.join(hot, key, "left_anti"), key, order), key, openings)
-    hot_openings = None if openings is None else F.broadcast(openings.join(hot, key, "left_semi"))
-    hot_rows = _sliced(steps.join(hot, key, "left_semi"), key, order, scale.slice_bits)
+    hot_openings = None if openings is None else openings.join(hot, key, "left_semi")
+    hot_rows = _sliced(steps.join(hot, key, "left_semi"), key, order, scale.hot_rows)
     return cold_rows.unionByName(_with_opening(hot_rows, key, hot_openings))
 
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyslot.sources.workdir import materialise
+
 
 def flag_first(df: DataFrame, keys: Iterable[str], unique_id: str, out: str, where: Column | None = None) -> DataFrame:
     """Add ``out``: true on the row with the lowest ``unique_id`` of its key.
@@ -21,20 +24,73 @@ def flag_first(df: DataFrame, keys: Iterable[str], unique_id: str, out: str, whe
     return joined.withColumn(out, F.col("_first_id").isNotNull()).drop("_first_id")
 
 
-def flag_known(
-    df: DataFrame, column: str, known: DataFrame, known_key: str, out: str, where: Column | None = None, unique: bool = False
+class HotKeys:
+    """Values of some key columns that more than ``most`` rows share, each with the number of cuts that it needs.
+
+    All key columns are counted by one job, combined before the shuffle. Values
+    are told apart by their hash: another value of one hash is cut without need,
+    which changes no result. There are at most rows / ``most`` of them a key.
+    """
+
+    def __init__(self, df: DataFrame, keys: Iterable[Iterable[str]], most: int):
+        self.session, self.keys = df.sparkSession, [tuple(k) for k in keys]
+        named = [
+            F.when(_complete(k), F.struct(F.lit(i).alias("i"), F.xxhash64(*k).alias("h"))) for i, k in enumerate(self.keys)
+        ]
+        counted = df.select(F.explode(F.array_compact(F.array(*named))).alias("k")).groupBy("k.i", "k.h").agg(F.count(F.lit(1)).alias("n"))
+        found = counted.where(F.col("n") > most).select("i", "h", F.ceil(F.col("n") / most).cast("int").alias("cuts"))
+        self.found = materialise(found, "hot-keys")
+        self.any = {r["i"] for r in self.found.select("i").distinct().collect()}
+
+    def of(self, keys: Iterable[str]) -> DataFrame | None:
+        """``_h, _cuts`` of the hot values of ``keys``; None when there are none."""
+        i = self.keys.index(tuple(keys))
+        return self.found.where(F.col("i") == i).select(F.col("h").alias("_h"), F.col("cuts").alias("_cuts")) if i in self.any else None
+
+
+def _complete(keys: Iterable[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+
+
+def look_up(
+    df: DataFrame, keys: list[str], known: DataFrame, known_keys: list[str], hot: HotKeys | None = None, row_id: str | None = None
 ) -> DataFrame:
-    """Add ``out``: true when ``column`` occurs among the keys of ``known``.
+    """``df`` with the other columns of ``known``, NULL where no row of ``known`` has the key.
 
-    ``unique`` says that ``known_key`` is a key of ``known``. The join then takes
-    both sides straight from their shuffles, which is what lets adaptive
-    execution split a value (or NULL) that very many rows of ``df`` share.
+    ``known`` is grouped by its keys, so it has one row a key, and adaptive
+    execution cannot split a join with it. So the values in ``hot`` are cut here:
+    their rows are dealt out by ``row_id``, and the row of ``known`` is copied to
+    each cut. Rows without a key match nothing and are dealt out as well.
     """
+    spread = F.xxhash64(row_id) if row_id else F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t])
+    cuts = hot.of(keys) if hot else None
+    side = known.select(
+        *[F.col(k).cast(df.schema[d].dataType).alias(f"_k{i}") for i, (d, k) in enumerate(zip(keys, known_keys, strict=True))],
+        *[c for c in known.columns if c not in known_keys],
+    )
+    names = [f"_k{i}" for i in range(len(keys))]
+    if cuts is None:
+        dealt, side = df.withColumn("_cuts", F.lit(1)), side.withColumn("_cut", F.lit(0).cast("long"))
+    else:
+        dealt = df.withColumn("_h", F.xxhash64(*keys)).join(cuts, "_h", "left").drop("_h")
+        side = side.withColumn("_h", F.xxhash64(*names)).join(cuts, "_h", "left").drop("_h")
+        side = side.withColumn("_cut", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_cuts"), F.lit(1)).cast("long") - 1)))
+        side = side.drop("_cuts")
+    cut = F.when(_complete(keys), F.pmod(spread, F.coalesce("_cuts", F.lit(1)).cast("long"))).otherwise(spread)
+    dealt = dealt.withColumn("_at", cut).drop("_cuts")
+    met = [F.col(k) == F.col(n) for k, n in zip(keys, names, strict=True)] + [F.col("_at") == F.col("_cut")]
+    return dealt.join(side, reduce(lambda a, b: a & b, met), "left").drop("_at", "_cut", *names)
+
+
+def flag_known(
+    df: DataFrame, column: str, known: DataFrame, known_key: str, out: str, where: Column | None = None, hot: HotKeys | None = None,
+    row_id: str | None = None,
+) -> DataFrame:
+    """Add ``out``: true when ``column`` occurs among the keys of ``known``, however often it occurs there."""
     keys = known if where is None else known.where(where)
-    keys = keys.select(F.col(known_key).alias("_key"))
-    keys = (keys if unique else keys.distinct()).withColumn("_hit", F.lit(True))
-    joined = df.join(keys, F.col(column) == F.col("_key"), "left")
-    return joined.withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_key", "_hit")
+    keys = keys.select(F.col(known_key).alias("_key")).distinct().withColumn("_hit", F.lit(True))
+    joined = look_up(df, [column], keys, ["_key"], hot, row_id)
+    return joined.withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def insert_absent(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,10 +128,10 @@ def split_hot(df: DataFrame, keys: list[str], more_than: int) -> tuple[DataFrame
     """``(cold, hot)`` rows; ``hot`` is None when no key is hot, which leaves the plain plan.
 
     The check is one map-side combined count over the key columns. The key list
-    has at most rows / ``more_than`` entries, so it is small enough to broadcast.
+    has at most rows / ``more_than`` entries; it is written, so Spark knows its
+    size and broadcasts it while it is under the session's limit.
     """
-    hot = hot_keys(df, keys, more_than)
+    hot = materialise(hot_keys(df, keys, more_than), "hot-keys")
     if hot.isEmpty():
         return df, None
-    hot = F.broadcast(hot)
     return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyslot.operators.keyed import HotKeys, look_up
 from tallyslot.settings import Scale
 from tallyslot.sources.workdir import materialise
 
@@ -34,14 +35,19 @@ def slot_counts(lessons: DataFrame, resource: str, cancelled: str) -> DataFrame:
     )
 
 
-def with_holders(df: DataFrame, lessons: DataFrame, resource: str, cancelled: str, out: str) -> DataFrame:
+def with_holders(
+    df: DataFrame, lessons: DataFrame, resource: str, cancelled: str, out: str, of: str | None = None, at: str = "_slot",
+    hot: HotKeys | None = None, row_id: str | None = None,
+) -> DataFrame:
     """Add ``out``: number of stored, not cancelled lessons in this row's slot of ``resource``.
 
     The stored side is counted first and so has one row per slot. ``df`` must
-    carry ``_slot``.
+    carry the slot in ``at`` and the resource in ``of`` (by default of its own
+    name); slots in ``hot`` are split.
     """
-    counts = slot_counts(lessons, resource, cancelled).withColumnRenamed("_holders", out)
-    return df.join(counts, [resource, "_slot"], "left").withColumn(out, F.coalesce(out, F.lit(0)))
+    counts = slot_counts(lessons, resource, cancelled)
+    met = look_up(df, [of or resource, at], counts, [resource, "_slot"], hot, row_id)
+    return met.withColumn(out, F.coalesce("_holders", F.lit(0).cast("long"))).drop("_holders")
 
 
 def _winners_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

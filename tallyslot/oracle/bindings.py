@@ -113,24 +113,27 @@ SELECT event_id AS request_id, CASE WHEN event_id % 11 = 0 THEN user_id + 100000
   CASE WHEN event_id % 4 <> 0 THEN props END AS details
 FROM events""",
     "d_payment_corrections": f"""
-SELECT event_id AS request_id, user_id AS customer_id,
-  {PAYMENT_TIME} + CASE WHEN event_id % 10 = 7 THEN INTERVAL '1' SECOND ELSE INTERVAL '0' SECOND END AS original_datetime,
-  {PAYMENT_TIME} + CASE WHEN event_id % 4 = 1 THEN INTERVAL '5' MINUTE ELSE INTERVAL '0' MINUTE END AS new_datetime,
+SELECT event_id + n.i * 10000000000 AS request_id, user_id AS customer_id,
+  {PAYMENT_TIME} + CASE WHEN event_id % 10 = 7 THEN INTERVAL '1' SECOND ELSE INTERVAL '0' SECOND END
+    + to_minutes(CAST(CASE WHEN event_id % 4 = 1 THEN 5 * n.i ELSE 0 END AS INT)) AS original_datetime,
+  {PAYMENT_TIME} + to_minutes(CAST(CASE event_id % 4 WHEN 1 THEN 5 * (n.i + 1) WHEN 2 THEN -5 * n.i ELSE 0 END AS INT)) AS new_datetime,
   {EVENT_METHOD.format(other='CASH')} AS payment_method_code,
-  CASE WHEN event_id % 13 = 0 THEN CAST(0 AS DECIMAL(10,2)) WHEN event_id % 19 = 0 THEN NULL
-       ELSE CAST(value + (event_id % 5 - 2) * 10 AS DECIMAL(10,2)) END AS amount,
-  CASE WHEN event_id % 3 <> 0 THEN CONCAT('corrected ', event_id) END AS details
-FROM events""",
+  CASE WHEN (event_id + n.i) % 13 = 0 THEN CAST(0 AS DECIMAL(10,2)) WHEN (event_id + n.i) % 19 = 0 THEN NULL
+       ELSE CAST(value + (event_id % 5 - 2 + n.i) * 10 AS DECIMAL(10,2)) END AS amount,
+  CASE WHEN event_id % 3 <> 0 THEN CONCAT('corrected ', event_id, ' ', n.i) END AS details
+FROM events JOIN (VALUES (0), (1), (2)) AS n(i) ON n.i <= event_id % 3 // 2 + event_id % 5 // 4""",
     "d_cancel_requests": """
 SELECT o_orderkey * 2 + k.i AS request_id, CASE WHEN o_orderkey % 31 = 0 THEN o_orderkey + 100000000 ELSE o_orderkey END AS lesson_id
 FROM orders CROSS JOIN (VALUES (0),(1)) AS k(i) WHERE k.i = 0 OR o_orderkey % 4 = 0""",
     "d_lesson_changes": """
-SELECT lesson_id AS request_id, CASE WHEN lesson_id % 37 = 0 THEN lesson_id + 100000000 ELSE lesson_id END AS lesson_id,
-  customer_id, staff_id, vehicle_id, CASE WHEN lesson_id % 3 = 0 THEN lesson_date + 1 ELSE lesson_date END AS lesson_date,
-  lesson_time_sec, CAST(CASE WHEN lesson_id % 41 = 0 THEN -1 ELSE price + lesson_id % 3 END AS DECIMAL(10,2)) AS price,
-  'changed' AS other_lesson_details,
-  CASE WHEN lesson_id % 3 = 1 THEN 'CANC' WHEN lesson_id % 6 = 2 THEN 'COMP' END AS lesson_status_code
-FROM d_lessons""",
+SELECT lesson_id + n.i * 10000000000 AS request_id, CASE WHEN (lesson_id + n.i) % 37 = 0 THEN lesson_id + 100000000 ELSE lesson_id END AS lesson_id,
+  customer_id, staff_id - CASE WHEN n.i = 1 THEN staff_id % 3 ELSE 0 END AS staff_id,
+  CASE WHEN n.i = 2 THEN vehicle_id - vehicle_id % 2 ELSE vehicle_id END AS vehicle_id,
+  lesson_date + CAST((lesson_id + n.i) % 3 * CASE WHEN lesson_id % 2 = 0 THEN 1 ELSE -1 END AS INT) AS lesson_date,
+  lesson_time_sec, CAST(CASE WHEN (lesson_id + n.i) % 41 = 0 THEN -1 ELSE price + lesson_id % 3 + n.i END AS DECIMAL(10,2)) AS price,
+  CONCAT('change ', n.i) AS other_lesson_details,
+  CASE (lesson_id + n.i) % 6 WHEN 1 THEN 'CANC' WHEN 2 THEN 'COMP' WHEN 4 THEN 'BOOK' END AS lesson_status_code
+FROM d_lessons JOIN (VALUES (0), (1), (2), (3)) AS n(i) ON n.i <= lesson_id % 4""",
     "d_address_requests": """
 SELECT c_custkey AS request_id, r_name AS city, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'Canada' END AS country,
   CONCAT('', n_nationkey) AS line_1_number_building, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_name END AS line_2_number_street,
@@ -143,21 +146,22 @@ SELECT c_custkey AS search_id, CASE WHEN c_custkey % 7 = 0 THEN '  ' WHEN c_cust
   WHEN c_custkey % 3 = 0 THEN CONCAT('ation_', c_nationkey % 10) ELSE SUBSTR(c_mktsegment, 1, 2) END AS needle
 FROM customer""",
     "d_customer_changes": """
-SELECT c_custkey AS request_id, CASE c_custkey % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'update' ELSE 'delete' END AS op,
-  CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS customer_id,
+SELECT c_custkey + n.i * 10000000000 AS request_id,
+  CASE (c_custkey + n.i * (c_custkey % 5)) % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'update' ELSE 'delete' END AS op,
+  CASE WHEN (c_custkey + n.i * (c_custkey % 5)) % 3 <> 0 THEN c_custkey END AS customer_id,
   CASE WHEN c_custkey % 21 <> 0 THEN CONCAT('New', c_custkey) END AS first_name, c_name AS last_name,
   CASE WHEN c_custkey % 25 <> 0 THEN DATE '1985-01-01' + CAST(c_custkey % 5000 AS INT) END AS date_of_birth,
   DATE '2024-01-01' + CAST(c_custkey % 300 AS INT) AS date_became_customer,
   CASE WHEN c_custkey % 26 = 0 THEN 'NOPE' ELSE 'ACT' END AS customer_status_code,
-  CASE WHEN c_custkey % 12 = 0 THEN 'not-an-address' WHEN c_custkey % 10 = 1 THEN NULL
-       WHEN c_custkey % 9 = 2 THEN CONCAT('shared', c_custkey // 50, '@example.ca')
-       WHEN c_custkey % 8 = 3 THEN CONCAT(LOWER(c_mktsegment), '.', c_custkey, '@example.ca')
+  CASE WHEN (c_custkey + n.i) % 12 = 0 THEN 'not-an-address' WHEN (c_custkey + n.i) % 10 = 1 THEN NULL
+       WHEN (c_custkey + n.i) % 9 = 2 THEN CONCAT('shared', c_custkey // 50, '@example.ca')
+       WHEN (c_custkey + n.i) % 8 = 3 THEN CONCAT(LOWER(c_mktsegment), '.', c_custkey + CASE WHEN n.i = 2 THEN 3 ELSE 0 END, '@example.ca')
        ELSE CONCAT('new', c_custkey, '@example.ca') END AS email_address,
   CASE c_custkey % 14 WHEN 3 THEN 'call me' WHEN 4 THEN '12345' WHEN 5 THEN NULL ELSE '+1 587 555 0100' END AS cell_mobile_phone_number,
   CASE WHEN c_custkey % 16 <> 0 THEN CONCAT('B', c_custkey % 90) END AS line_1_number_building,
   CASE WHEN c_custkey % 4 <> 0 THEN 'Calgary' END AS city,
   CASE WHEN c_custkey % 4 <> 0 THEN CONCAT('T', c_custkey % 90) END AS zip_postcode
-FROM customer""",
+FROM customer JOIN (VALUES (0), (1), (2)) AS n(i) ON n.i <= c_custkey % 3""",
     "d_staff_changes": """
 SELECT s_suppkey * 4 + i AS request_id,
   CASE WHEN s_suppkey % 4 = 0 THEN 'add' WHEN s_suppkey % 4 = 3 AND i = s_suppkey % 3 THEN 'delete' ELSE 'update' END AS op,

@@ -230,37 +230,67 @@ answer AS (
     CASE WHEN begins > {NOW} + INTERVAL '24' HOUR THEN 0 ELSE ({cents('price')} + 1) // 2 / 100.0 END AS fee
   FROM seen)"""
 
-UPDATED = """
-busy AS (SELECT lesson_id, staff_id, vehicle_id, lesson_date, lesson_time_sec FROM d_lessons WHERE lesson_status_code <> 'CANC'),
-staff_load AS (SELECT staff_id, lesson_date, lesson_time_sec, COUNT(*) AS n, MIN(lesson_id) AS one FROM busy WHERE staff_id IS NOT NULL GROUP BY 1, 2, 3),
-vehicle_load AS (SELECT vehicle_id, lesson_date, lesson_time_sec, COUNT(*) AS n, MIN(lesson_id) AS one FROM busy WHERE vehicle_id IS NOT NULL GROUP BY 1, 2, 3),
+def linked(touched: str) -> str:
+    """``queue``: the rows of ``touched`` (``request_id, keys``) with the component that shared keys put them in, and their turn there."""
+    return f"""
+spots AS (SELECT request_id, unnest(keys) AS key FROM {touched}),
+firsts AS (SELECT key, MIN(request_id) AS first FROM spots GROUP BY key),
+ties AS (SELECT DISTINCT s.request_id AS a, f.first AS b FROM spots s JOIN firsts f USING (key) WHERE s.request_id <> f.first),
+ways AS (SELECT a, b FROM ties UNION SELECT b, a FROM ties),
+reach(a, b) AS (SELECT request_id, request_id FROM {touched} UNION SELECT r.a, w.b FROM reach r JOIN ways w ON w.a = r.b),
+tied AS (SELECT a AS request_id, MIN(b) AS component FROM reach GROUP BY a),
+queue AS (SELECT t.*, p.component, row_number() OVER (PARTITION BY p.component ORDER BY request_id) AS turn FROM {touched} t JOIN tied p USING (request_id))"""
+
+
+def named(kind: str, resource: str, date: str = "lesson_date", time: str = "lesson_time_sec") -> str:
+    return f"CONCAT('{kind}', {resource}, '@', {date}, ' ', {time})"
+
+
+# Requests of a component are walked one by one with a map of what the tables hold under their keys.
+UPDATED = f"""
+busy AS (SELECT * FROM d_lessons WHERE lesson_status_code <> 'CANC'),
+slot_load AS (
+  SELECT {named('S', 'staff_id')} AS key, COUNT(*) AS n FROM busy WHERE staff_id IS NOT NULL GROUP BY 1
+  UNION ALL SELECT {named('V', 'vehicle_id')}, COUNT(*) FROM busy WHERE vehicle_id IS NOT NULL GROUP BY 1),
 judged AS (
-  SELECT r.*, l.lesson_status_code AS was,
-    CASE WHEN l.lesson_id IS NULL THEN 'lesson_missing' END AS early,
-    COALESCE(s.n > 1 OR s.one <> r.lesson_id, false) AS s_held, COALESCE(v.n > 1 OR v.one <> r.lesson_id, false) AS v_held,
-    r.customer_id NOT IN (SELECT customer_id FROM d_customers)
+  SELECT r.*, CASE WHEN l.lesson_id IS NULL THEN 'lesson_missing' END AS early,
+    CASE WHEN r.price < 0 THEN 'price_invalid' WHEN r.customer_id NOT IN (SELECT customer_id FROM d_customers)
       OR COALESCE(r.staff_id NOT IN (SELECT staff_id FROM d_staff), false)
-      OR COALESCE(r.vehicle_id NOT IN (SELECT vehicle_id FROM d_vehicles), false) AS stray
-  FROM d_lesson_changes r LEFT JOIN d_lessons l ON l.lesson_id = r.lesson_id
-  LEFT JOIN staff_load s ON s.staff_id = r.staff_id AND s.lesson_date = r.lesson_date AND s.lesson_time_sec = r.lesson_time_sec
-  LEFT JOIN vehicle_load v ON v.vehicle_id = r.vehicle_id AND v.lesson_date = r.lesson_date AND v.lesson_time_sec = r.lesson_time_sec),
-queue AS (SELECT *, row_number() OVER (PARTITION BY lesson_date, lesson_time_sec ORDER BY request_id) AS turn FROM judged WHERE early IS NULL),
+      OR COALESCE(r.vehicle_id NOT IN (SELECT vehicle_id FROM d_vehicles), false) THEN 'unknown_reference' END AS late,
+    CASE WHEN r.staff_id IS NOT NULL THEN {named('S', 'r.staff_id', 'r.lesson_date', 'r.lesson_time_sec')} ELSE 'S' END AS s,
+    CASE WHEN r.vehicle_id IS NOT NULL THEN {named('V', 'r.vehicle_id', 'r.lesson_date', 'r.lesson_time_sec')} ELSE 'V' END AS v,
+    CASE WHEN l.staff_id IS NOT NULL THEN {named('S', 'l.staff_id', 'l.lesson_date', 'l.lesson_time_sec')} ELSE 'S' END AS own_s,
+    CASE WHEN l.vehicle_id IS NOT NULL THEN {named('V', 'l.vehicle_id', 'l.lesson_date', 'l.lesson_time_sec')} ELSE 'V' END AS own_v,
+    l.lesson_status_code AS was
+  FROM d_lesson_changes r LEFT JOIN d_lessons l ON l.lesson_id = r.lesson_id),
+touched AS (
+  SELECT *, list_filter(list_distinct([CONCAT('L', lesson_id), s, v, own_s, own_v]), lambda k: k NOT IN ('S', 'V')) AS keys FROM judged WHERE early IS NULL),
+{linked('touched').strip()},
+held AS (
+  SELECT component, map_from_entries(list((key, n))) AS load FROM (
+    SELECT DISTINCT q.component, x.key, COALESCE(x.n, 0) AS n
+    FROM queue q JOIN spots USING (request_id) JOIN (SELECT DISTINCT p.key, n FROM spots p LEFT JOIN slot_load USING (key)) x ON x.key = spots.key) GROUP BY component),
+owned AS (
+  SELECT component, map_from_entries(list((lesson_id, row(own_s, own_v, was)))) AS own FROM (
+    SELECT DISTINCT component, lesson_id, own_s, own_v, was FROM queue) GROUP BY component),
 walk AS (
-  SELECT DISTINCT lesson_date, lesson_time_sec, CAST(0 AS BIGINT) AS turn, CAST([] AS BIGINT[]) AS staff, CAST([] AS BIGINT[]) AS cars,
-    CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS VARCHAR) AS reason FROM queue
+  SELECT component, CAST(0 AS BIGINT) AS turn, load, own, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS found
+  FROM held JOIN owned USING (component)
   UNION ALL
-  SELECT lesson_date, lesson_time_sec, turn,
-    CASE WHEN takes AND reason IS NULL AND staff_id IS NOT NULL THEN list_append(staff, staff_id) ELSE staff END,
-    CASE WHEN takes AND reason IS NULL AND vehicle_id IS NOT NULL THEN list_append(cars, vehicle_id) ELSE cars END, request_id, reason
+  SELECT component, turn,
+    CASE WHEN reason IS NULL THEN map_concat(freed, CASE WHEN status <> 'CANC' THEN map_from_entries([(s, COALESCE(freed[s], 0) + 1), (v, COALESCE(freed[v], 0) + 1)]) ELSE map_from_entries([(s, COALESCE(freed[s], 0))]) END) ELSE load END,
+    CASE WHEN reason IS NULL THEN map_concat(own, map_from_entries([(lesson_id, row(s, v, status))])) ELSE own END, request_id, reason, found
   FROM (
-    SELECT q.lesson_date, q.lesson_time_sec, q.turn, q.request_id, q.staff_id, q.vehicle_id, w.staff, w.cars,
-      COALESCE(q.lesson_status_code, q.was) <> 'CANC' AS takes,
-      CASE WHEN q.s_held OR COALESCE(list_contains(w.staff, q.staff_id), false) THEN 'staff_conflict'
-        WHEN q.v_held OR COALESCE(list_contains(w.cars, q.vehicle_id), false) THEN 'vehicle_conflict'
-        WHEN q.price < 0 THEN 'price_invalid' WHEN q.stray THEN 'unknown_reference' END AS reason
-    FROM walk w JOIN queue q ON q.lesson_date = w.lesson_date AND q.lesson_time_sec = w.lesson_time_sec AND q.turn = w.turn + 1) AS step),
+    SELECT component, turn, load, own, request_id, lesson_id, s, v, COALESCE(lesson_status_code, now[3]) AS status, now[3] AS found, freed,
+      CASE WHEN s <> 'S' AND COALESCE(freed[s], 0) > 0 AND NOT (s = now[1] AND COALESCE(load[s], 0) = 1 AND now[3] <> 'CANC') THEN 'staff_conflict'
+        WHEN v <> 'V' AND COALESCE(freed[v], 0) > 0 AND NOT (v = now[2] AND COALESCE(load[v], 0) = 1 AND now[3] <> 'CANC') THEN 'vehicle_conflict' ELSE late END AS reason
+    FROM (
+      SELECT w.component, q.turn, w.load, w.own, q.request_id, q.lesson_id, q.s, q.v, q.lesson_status_code, q.late, w.own[q.lesson_id] AS now,
+        CASE WHEN w.own[q.lesson_id][3] <> 'CANC' THEN map_concat(w.load, map_from_entries([
+          (w.own[q.lesson_id][1], COALESCE(w.load[w.own[q.lesson_id][1]], 0) - 1), (w.own[q.lesson_id][2], COALESCE(w.load[w.own[q.lesson_id][2]], 0) - 1)])) ELSE w.load END AS freed
+      FROM walk w JOIN queue q ON q.component = w.component AND q.turn = w.turn + 1) AS step) AS ruled),
 verdict AS (
-  SELECT request_id, reason FROM walk WHERE turn > 0 UNION ALL SELECT request_id, early FROM judged WHERE early IS NOT NULL)"""
+  SELECT request_id, reason, found FROM walk WHERE turn > 0 UNION ALL SELECT request_id, early, NULL FROM judged WHERE early IS NOT NULL)"""
 
 AUDIT = """
 steps AS (SELECT lesson_id, version, lesson_status_code AS now, lag(lesson_status_code) OVER (PARTITION BY lesson_id ORDER BY version) AS was FROM d_lesson_versions),
@@ -289,19 +319,32 @@ FROM answer a JOIN d_customers c ON c.customer_id = a.customer_id WHERE a.reason
     )
 
 
-CORRECTED = """
+CORRECTED = f"""
 checked AS (
-  SELECT r.*, p.amount_payment AS old_amount,
+  SELECT r.*, CONCAT(customer_id, '@', original_datetime) AS here, CONCAT(customer_id, '@', new_datetime) AS there,
     CASE WHEN r.amount <= 0 THEN 'amount_not_positive'
-      WHEN r.payment_method_code NOT IN (SELECT payment_method_code FROM d_payment_methods) THEN 'method_unknown'
-      WHEN p.customer_id IS NULL THEN 'payment_not_found' WHEN r.amount IS NULL THEN 'amount_null'
-      WHEN r.new_datetime <> r.original_datetime AND EXISTS (SELECT 1 FROM d_payments t WHERE t.customer_id = r.customer_id AND t.datetime_payment = r.new_datetime) THEN 'duplicate_key' END AS fail
-  FROM d_payment_corrections r LEFT JOIN d_payments p ON p.customer_id = r.customer_id AND p.datetime_payment = r.original_datetime),
-once AS (SELECT *, row_number() OVER (PARTITION BY customer_id, original_datetime, fail IS NULL ORDER BY request_id) AS nth FROM checked),
+      WHEN r.payment_method_code NOT IN (SELECT payment_method_code FROM d_payment_methods) THEN 'method_unknown' END AS early
+  FROM d_payment_corrections r),
+touched AS (SELECT *, list_distinct([here, there]) AS keys FROM checked WHERE early IS NULL),
+{linked('touched').strip()},
+paid AS (SELECT CONCAT(customer_id, '@', datetime_payment) AS key, struct_pack(a := CAST(amount_payment AS DECIMAL(10,2)), b := CAST(datetime_payment AS TIMESTAMP)) AS held FROM d_payments),
+books AS (
+  SELECT component, map_from_entries(list((key, held)) FILTER (held IS NOT NULL)) AS book FROM (
+    SELECT DISTINCT q.component, s.key, p.held FROM queue q JOIN spots s USING (request_id) LEFT JOIN paid p USING (key)) GROUP BY component),
+book_walk AS (
+  SELECT component, CAST(0 AS BIGINT) AS turn, COALESCE(book, map_from_entries([]::STRUCT(k VARCHAR, v STRUCT(a DECIMAL(10,2), b TIMESTAMP))[])) AS book, CAST(NULL AS BIGINT) AS request_id,
+    CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS DECIMAL(10,2)) AS old_amount, CAST(NULL AS TIMESTAMP) AS stored_datetime FROM books
+  UNION ALL
+  SELECT component, turn, CASE WHEN reason IS NULL THEN map_concat(map_concat(book, map_from_entries([(here, CAST(NULL AS STRUCT(a DECIMAL(10,2), b TIMESTAMP)))])), map_from_entries([(there, struct_pack(a := amount, b := now.b))])) ELSE book END,
+    request_id, reason, now.a, now.b
+  FROM (
+    SELECT w.component, q.turn, w.book, q.request_id, q.here, q.there, q.amount, w.book[q.here] AS now,
+      CASE WHEN w.book[q.here] IS NULL THEN 'payment_not_found' WHEN q.amount IS NULL THEN 'amount_null'
+        WHEN q.here <> q.there AND w.book[q.there] IS NOT NULL THEN 'duplicate_key' END AS reason
+    FROM book_walk w JOIN queue q ON q.component = w.component AND q.turn = w.turn + 1) AS step),
 answer AS (
-  SELECT *, CASE WHEN fail IS NOT NULL THEN fail WHEN nth > 1 THEN 'repeated_request'
-      WHEN row_number() OVER (PARTITION BY customer_id, new_datetime, fail IS NULL AND nth = 1 ORDER BY request_id) > 1 THEN 'duplicate_key' END AS reason
-  FROM once)"""
+  SELECT c.*, w.old_amount, w.stored_datetime, COALESCE(c.early, w.reason) AS reason
+  FROM checked c LEFT JOIN book_walk w ON w.request_id = c.request_id)"""
 
 
 def clamped(source: str) -> str:
@@ -363,17 +406,41 @@ form AS (
 wanted AS (SELECT * FROM form WHERE op <> 'delete' AND fault IS NULL AND line_1_number_building IS NOT NULL),
 {ADDRESS_MATCH.format(requests='wanted').strip()},
 stored AS (
-  SELECT *, CASE WHEN op = 'delete' AND given IN (SELECT customer_id FROM d_lessons) THEN 'has_lessons'
-      WHEN fault IS NOT NULL THEN fault
-      WHEN op <> 'delete' AND customer_status_code NOT IN (SELECT customer_status_code FROM d_customer_status) THEN 'status_unknown'
-      WHEN op <> 'delete' AND EXISTS (SELECT 1 FROM d_customers c WHERE c.email_address = form.email AND c.customer_id IS DISTINCT FROM form.given) THEN 'email_taken' END AS fail
-  FROM form),
+  SELECT f.*, CASE WHEN op = 'delete' AND given IN (SELECT customer_id FROM d_lessons) THEN 'has_lessons' ELSE fault END AS refused,
+    CASE WHEN f.customer_status_code NOT IN (SELECT customer_status_code FROM d_customer_status) THEN 'status_unknown' END AS late,
+    CASE WHEN op <> 'add' AND given IS NOT NULL THEN CONCAT('C', given) END AS ckey, CASE WHEN op <> 'delete' THEN email END AS wanted,
+    c.customer_id IS NOT NULL AS known, COALESCE(c.email_address, '') AS own
+  FROM form f LEFT JOIN d_customers c ON c.customer_id = f.given AND f.op <> 'add'),
+touched AS (
+  SELECT *, list_filter(list_distinct([ckey, CONCAT('E', wanted), CONCAT('E', own)]), lambda k: k IS NOT NULL AND k <> 'E') AS keys
+  FROM stored WHERE refused IS NULL),
+{linked('touched').strip()},
+people AS (
+  SELECT component, map_from_entries(list((ckey, own)) FILTER (known)) AS own FROM (SELECT DISTINCT component, ckey, known, own FROM queue) GROUP BY component),
+mail AS (
+  SELECT component, map_from_entries(list((key, n))) AS held FROM (
+    SELECT DISTINCT q.component, s.key, COALESCE(o.n, 0) AS n FROM queue q JOIN spots s USING (request_id)
+    LEFT JOIN (SELECT CONCAT('E', email_address) AS key, COUNT(*) AS n FROM d_customers WHERE email_address IS NOT NULL GROUP BY 1) o ON o.key = s.key
+    UNION SELECT component, 'E', 0 FROM queue) GROUP BY component),
+walk AS (
+  SELECT component, CAST(0 AS BIGINT) AS turn, COALESCE(own, map_from_entries([]::STRUCT(k VARCHAR, v VARCHAR)[])) AS own, held,
+    CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS VARCHAR) AS reason FROM people JOIN mail USING (component)
+  UNION ALL
+  SELECT component, turn, CASE WHEN acts AND op <> 'add' THEN map_concat(own, map_from_entries([(ckey, CASE WHEN op = 'update' THEN COALESCE(wanted, '') END)])) ELSE own END,
+    CASE WHEN acts AND op = 'delete' THEN freed WHEN acts AND wanted IS NOT NULL THEN map_concat(freed, map_from_entries([(CONCAT('E', wanted), freed[CONCAT('E', wanted)] + 1)])) ELSE held END,
+    request_id, reason
+  FROM (
+    SELECT *, reason IS NULL AND (op = 'add' OR before IS NOT NULL) AS acts FROM (
+      SELECT *, CASE WHEN op = 'delete' OR (op = 'update' AND before IS NULL) THEN NULL WHEN late IS NOT NULL THEN late
+          WHEN wanted IS NOT NULL AND wanted <> COALESCE(before, '') AND held[CONCAT('E', wanted)] > 0 THEN 'email_taken' END AS reason
+      FROM (
+        SELECT w.component, q.turn, w.own, w.held, q.request_id, q.op, q.ckey, q.wanted, q.late, w.own[q.ckey] AS before,
+          CASE WHEN COALESCE(w.own[q.ckey], '') <> '' THEN map_concat(w.held, map_from_entries([(CONCAT('E', w.own[q.ckey]), w.held[CONCAT('E', w.own[q.ckey])] - 1)])) ELSE w.held END AS freed
+        FROM walk w JOIN queue q ON q.component = w.component AND q.turn = w.turn + 1) AS step) AS ruled) AS done),
 final AS (
-  SELECT *, COALESCE(fail, CASE WHEN op <> 'delete' AND email IS NOT NULL
-      AND row_number() OVER (PARTITION BY email, fail IS NULL AND op <> 'delete' ORDER BY request_id) > 1 THEN 'email_taken' END) AS reason
-  FROM stored),
+  SELECT s.*, COALESCE(s.refused, w.reason) AS reason FROM stored s LEFT JOIN walk w ON w.request_id = s.request_id),
 answer AS (
-  SELECT f.*, x.address_id, COALESCE(f.given, CASE WHEN f.reason IS NULL AND f.op = 'add' THEN (SELECT MAX(customer_id) FROM d_customers)
+  SELECT f.*, x.address_id, COALESCE(CASE WHEN f.op <> 'add' THEN f.given END, CASE WHEN f.reason IS NULL AND f.op = 'add' THEN (SELECT MAX(customer_id) FROM d_customers)
       + row_number() OVER (PARTITION BY f.reason IS NULL AND f.op = 'add' ORDER BY f.request_id) END) AS customer_id
   FROM final f LEFT JOIN located x USING (request_id))"""
 
@@ -389,26 +456,33 @@ answer AS (
       + row_number() OVER (PARTITION BY staff_id IS NULL AND reason IS NULL ORDER BY request_id) END) AS staff_id)
   FROM final)"""
 
-SIGN_IN = """
+def sign_in(reset: str) -> str:
+    """``ruled``: what became of each attempt; rows that meet the condition ``reset`` set a new password."""
+    return f"""
 tries AS (
-  SELECT a.*, u.user_id, CASE WHEN u.user_id IS NULL THEN 'no such user' WHEN NOT u.is_active THEN 'inactive' END AS shut
+  SELECT a.*, {reset} AS reset, u.user_id, CASE WHEN u.user_id IS NULL THEN 'no such user' WHEN NOT u.is_active THEN 'inactive' END AS shut
   FROM d_login_attempts a LEFT JOIN d_app_users u ON u.email = a.email),
-queue AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY attempted_at, attempt_id) AS turn FROM tries WHERE shut IS NULL),
+queue AS (
+  SELECT *, row_number() OVER (PARTITION BY email ORDER BY attempted_at, attempt_id) AS turn FROM tries
+  WHERE shut IS NULL OR (shut = 'inactive' AND reset)),
 walk AS (
   SELECT DISTINCT email, CAST(0 AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS attempt_id, CAST(0 AS BIGINT) AS failures,
     CAST(NULL AS TIMESTAMP) AS until, CAST(NULL AS VARCHAR) AS detail, CAST(NULL AS TIMESTAMP) AS moment FROM queue
   UNION ALL
   SELECT email, turn, attempt_id,
-    CASE detail WHEN 'ok' THEN 0 WHEN 'locked' THEN failures ELSE failures + 1 END,
-    CASE WHEN detail = 'ok' THEN NULL WHEN detail = 'bad password' AND failures + 1 >= 5 THEN moment + INTERVAL '720' MINUTE ELSE until END,
+    CASE WHEN detail IN ('ok', 'reset') THEN 0 WHEN detail = 'locked' THEN failures ELSE failures + 1 END,
+    CASE WHEN detail IN ('ok', 'reset') THEN NULL WHEN detail = 'bad password' AND failures + 1 >= 5 THEN moment + INTERVAL '720' MINUTE ELSE until END,
     detail, moment
   FROM (
     SELECT q.email, q.turn, q.attempt_id, w.failures, w.until, q.attempted_at AS moment,
-      CASE WHEN w.until > q.attempted_at THEN 'locked' WHEN q.password_ok THEN 'ok' ELSE 'bad password' END AS detail
+      CASE WHEN q.reset THEN 'reset' WHEN w.until > q.attempted_at THEN 'locked' WHEN q.password_ok THEN 'ok' ELSE 'bad password' END AS detail
     FROM walk w JOIN queue q ON q.email = w.email AND q.turn = w.turn + 1) AS step),
 ruled AS (
   SELECT t.attempt_id, t.email, t.user_id, COALESCE(t.shut, w.detail) AS detail, t.attempted_at
-  FROM tries t LEFT JOIN walk w ON w.attempt_id = t.attempt_id)"""
+  FROM tries t LEFT JOIN walk w ON w.attempt_id = t.attempt_id WHERE NOT t.reset)"""
+
+
+SIGN_IN = sign_in("false")
 
 ROLE_ANSWER = """
 answer AS (
@@ -918,7 +992,10 @@ FROM answer a JOIN d_customers c ON c.customer_id = a.customer_id WHERE a.reason
         "SELECT j.request_id, j.lesson_id, v.reason IS NULL AS ok, v.reason FROM judged j JOIN verdict v USING (request_id)",
     ),
     "apply_lesson_changes": (
-        UPDATED + ", done AS (SELECT j.* FROM judged j JOIN verdict v USING (request_id) WHERE v.reason IS NULL)",
+        UPDATED
+        + """, done AS (
+  SELECT j.* REPLACE (COALESCE(j.lesson_status_code, v.found) AS lesson_status_code) FROM judged j JOIN verdict v USING (request_id)
+  WHERE v.reason IS NULL QUALIFY row_number() OVER (PARTITION BY j.lesson_id ORDER BY j.request_id DESC) = 1)""",
         f"""
 SELECT l.lesson_id, CASE WHEN d.lesson_id IS NULL THEN l.customer_id ELSE d.customer_id END AS customer_id,
   COALESCE(d.lesson_status_code, l.lesson_status_code) AS lesson_status_code,
@@ -964,7 +1041,7 @@ FROM answer WHERE reason IS NULL""",
         + """,
 steps AS (
   SELECT a.customer_id, c.amount_outstanding AS opening, a.old_amount - a.amount AS change,
-    row_number() OVER (PARTITION BY a.customer_id ORDER BY a.original_datetime, a.request_id) AS turn
+    row_number() OVER (PARTITION BY a.customer_id ORDER BY a.request_id) AS turn
   FROM answer a JOIN d_customers c ON c.customer_id = a.customer_id WHERE a.reason IS NULL),"""
         + clamped("steps"),
         f"""
@@ -977,7 +1054,9 @@ FROM (SELECT customer_id, opening, MAX(turn) AS turn FROM steps GROUP BY 1, 2) s
 SELECT p.customer_id, COALESCE(a.new_datetime, p.datetime_payment) AS datetime_payment,
   COALESCE(a.payment_method_code, p.payment_method_code) AS payment_method_code, {money('COALESCE(a.amount, p.amount_payment)')} AS amount_payment,
   CASE WHEN a.request_id IS NULL THEN p.other_payment_details ELSE a.details END AS other_payment_details
-FROM d_payments p LEFT JOIN (SELECT * FROM answer WHERE reason IS NULL) a ON a.customer_id = p.customer_id AND a.original_datetime = p.datetime_payment""",
+FROM d_payments p LEFT JOIN (
+  SELECT * FROM answer WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY customer_id, stored_datetime ORDER BY request_id DESC) = 1) a
+  ON a.customer_id = p.customer_id AND a.stored_datetime = p.datetime_payment""",
     ),
     "running_balance": (
         STEPS + "," + clamped("steps"),
@@ -998,7 +1077,9 @@ FROM steps s JOIN walk w USING (customer_id, turn)""",
         customer_changes("op", "customer_id")
         + """,
 gone AS (SELECT customer_id FROM answer WHERE reason IS NULL AND op = 'delete'),
-put AS (SELECT * FROM answer WHERE reason IS NULL AND op <> 'delete')""",
+put AS (
+  SELECT * FROM answer WHERE reason IS NULL AND op <> 'delete' AND customer_id NOT IN (SELECT customer_id FROM gone WHERE customer_id IS NOT NULL)
+  QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY request_id DESC) = 1)""",
         f"""
 SELECT c.customer_id, c.customer_address_id, c.customer_status_code, c.date_became_customer, c.date_of_birth, c.first_name, c.last_name,
   {money('c.amount_outstanding')} AS amount_outstanding, c.email_address, c.phone_number, c.cell_mobile_phone_number, c.other_customer_details
@@ -1040,6 +1121,9 @@ SELECT l.lesson_id, CASE WHEN l.staff_id IN (SELECT staff_id FROM d_staff WHERE
 FROM d_lessons l""",
     ),
     "login_lockout": (SIGN_IN, "SELECT attempt_id, email, user_id, detail = 'ok' AS success, detail, attempted_at FROM ruled"),
+    "login_lockout_resets": (
+        sign_in("a.attempt_id % 40 = 7"), "SELECT attempt_id, email, user_id, detail = 'ok' AS success, detail, attempted_at FROM ruled"
+    ),
     "account_states": (
         SIGN_IN
         + """,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyslot import settings as S
@@ -30,10 +30,15 @@ def with_account(ds: Dataset, attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("email", email).join(users, F.col("email") == F.col("_email"), "left").drop("_email")
 
 
+def is_reset(rows: DataFrame) -> Column:
+    """Rows that set a new password instead of trying one: those with a true ``reset``, where there is such a column."""
+    return F.coalesce("reset", F.lit(False)) if "reset" in rows.columns else F.lit(False)
+
+
 def _ruled(rows: DataFrame, lock_minutes: int, scale: Scale) -> DataFrame:
-    live = rows.where("user_id IS NOT NULL AND is_active").select(
+    live = rows.where(F.col("user_id").isNotNull() & (F.col("is_active") | is_reset(rows))).select(
         "attempt_id", "email", "user_id", X.micros("attempted_at").alias("at"), F.col("password_ok").alias("good"),
-        "failures_in", "locked_in",
+        is_reset(rows).alias("reset"), "failures_in", "locked_in",
     )
     return lockout(live, S.LOCK_AFTER_FAILURES, lock_minutes, scale)
 
@@ -44,14 +49,16 @@ def sign_in(
     """Audit row of every attempt: ``attempt_id, email, user_id, success, detail, attempted_at``.
 
     Unknown and inactive accounts are told apart by the join; only attempts on
-    live accounts go through the ordered lockout rule.
+    live accounts go through the ordered lockout rule. Rows with a true ``reset``
+    set a new password: they clear the account's count and lock and leave no
+    audit row.
     """
     rows = with_account(ds, attempts)
-    ruled = _ruled(rows, lock_minutes, scale).select(
+    ruled = _ruled(rows, lock_minutes, scale).where("status <> 'reset'").select(
         "attempt_id", "email", "user_id", F.col("status").alias("detail"), X.from_micros("at").alias("attempted_at")
     )
     shut = F.when(F.col("user_id").isNull(), "no such user").when(~F.col("is_active"), "inactive")
-    others = rows.withColumn("detail", shut).where(F.col("detail").isNotNull())
+    others = rows.withColumn("detail", shut).where(F.col("detail").isNotNull() & ~is_reset(rows))
     columns = ["attempt_id", "email", "user_id", (F.col("detail") == "ok").alias("success"), "detail", "attempted_at"]
     return ruled.select(*columns).unionByName(others.select(*columns))
 
@@ -82,8 +89,8 @@ def change_roles(ds: Dataset, requests: DataFrame) -> DataFrame:
     is the answer as JSON.
     """
     rows = requests.withColumn("role_code", F.upper("role_code"))
-    rows = flag_known(rows, "user_id", ds.app_users, "user_id", "_user", unique=True)
-    rows = flag_known(rows, "role_code", ds.app_roles, "role_code", "_role", unique=True)
+    rows = flag_known(rows, "user_id", ds.app_users, "user_id", "_user", row_id="request_id")
+    rows = flag_known(rows, "role_code", ds.app_roles, "role_code", "_role", row_id="request_id")
     assigns = F.col("action") == "assign"
     reason = X.first_failure([("user_missing", assigns & ~F.col("_user")), ("role_missing", assigns & ~F.col("_role"))])
     ok = F.col("reason").isNull()
@@ -135,7 +142,7 @@ def register(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> DataFr
     rows = requests.withColumn("email", X.normal_email("email")).withColumn(
         "role_code", F.upper(F.coalesce("role_code", F.lit(DEFAULT_ROLE)))
     )
-    rows = flag_known(rows, "role_code", ds.app_roles, "role_code", "_role", unique=True)
+    rows = flag_known(rows, "role_code", ds.app_roles, "role_code", "_role", row_id="request_id")
     length = F.coalesce("password_length", F.lit(0))
     missing = X.is_blank("full_name") | X.is_blank("email") | (length == 0)
     rows = rows.withColumn(
@@ -152,7 +159,7 @@ def register(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> DataFr
     # Either all requests for an e-mail meet a registered account or none does, so the first
     # valid one can be found before the accounts are joined.
     rows = flag_first(rows, ["email"], "request_id", "_first", where=F.col("_fail").isNull())
-    rows = flag_known(rows, "email", ds.app_users, "email", "_registered")
+    rows = flag_known(rows, "email", ds.app_users, "email", "_registered", row_id="request_id")
     reason = F.coalesce("_fail", F.when(F.col("_registered") | ~F.col("_first"), "already_registered"))
     rows = materialise(rows.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull()), "registrations")
     last_id = ds.app_users.agg(F.max("user_id")).scalar()

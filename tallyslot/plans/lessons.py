@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyslot import settings as S
 from tallyslot.functions import exprs as X
 from tallyslot.operators import slots
 from tallyslot.operators.balance import charge_only
-from tallyslot.operators.keyed import apply_changes, flag_first, flag_known
+from tallyslot.operators.keyed import HotKeys, apply_changes, flag_first, flag_known, look_up
 from tallyslot.operators.previous import with_previous
+from tallyslot.operators.replay import State, entries, replay, sharing
 from tallyslot.operators.sequence import numbered
 from tallyslot.settings import Clock, Scale
 from tallyslot.sources.dataset import Dataset
@@ -19,6 +20,12 @@ from tallyslot.sources.workdir import materialise
 ACTIVE_CUSTOMER, NEW_LESSON = "ACT", "BOOK"
 
 
+def _hot(requests: DataFrame, scale: Scale) -> HotKeys:
+    """The values that very many requests share, of all keys that requests are looked up by."""
+    keys = [["customer_id"], ["staff_id"], ["vehicle_id"], ["staff_id", "_slot"], ["vehicle_id", "_slot"]]
+    return HotKeys(requests.withColumn("_slot", slots.slot_key()), keys, scale.hot_rows)
+
+
 # --- booking -----------------------------------------------------------------
 def book(ds: Dataset, requests: DataFrame, clock: Clock, scale: Scale = Scale()) -> DataFrame:
     """Answer booking requests in request order.
@@ -28,12 +35,12 @@ def book(ds: Dataset, requests: DataFrame, clock: Clock, scale: Scale = Scale())
     """
     today = F.lit(clock.date)
     same_day_over = (F.col("lesson_date") == today) & (F.col("lesson_time_sec") <= clock.second_of_day)
+    hot = _hot(requests, scale)
     checked = flag_known(
-        requests, "customer_id", ds.customers, "customer_id", "_customer", unique=True,
-        where=F.col("customer_status_code") == ACTIVE_CUSTOMER,
+        requests, "customer_id", ds.customers, "customer_id", "_customer", F.col("customer_status_code") == ACTIVE_CUSTOMER, hot, "request_id"
     )
-    checked = flag_known(checked, "staff_id", ds.staff, "staff_id", "_staff", unique=True)
-    checked = flag_known(checked, "vehicle_id", ds.vehicles, "vehicle_id", "_vehicle", unique=True)
+    checked = flag_known(checked, "staff_id", ds.staff, "staff_id", "_staff", None, hot, "request_id")
+    checked = flag_known(checked, "vehicle_id", ds.vehicles, "vehicle_id", "_vehicle", None, hot, "request_id")
     checked = checked.withColumn(
         "_early",
         X.first_failure(
@@ -49,7 +56,7 @@ def book(ds: Dataset, requests: DataFrame, clock: Clock, scale: Scale = Scale())
 
     passed = checked.where(F.col("_early").isNull()).withColumn("_slot", slots.slot_key())
     for resource, out in (("staff_id", "_staff_held"), ("vehicle_id", "_vehicle_held")):
-        passed = slots.with_holders(passed, ds.lessons, resource, S.CANCELLED, out)
+        passed = slots.with_holders(passed, ds.lessons, resource, S.CANCELLED, out, hot=hot, row_id="request_id")
     good_price = F.coalesce(F.col("price") >= 0, F.lit(False))
     held = (F.col("_staff_held") > 0) | (F.col("_vehicle_held") > 0)
     # Read several times below, so it is written once instead of recomputed.
@@ -91,7 +98,7 @@ def booking_balances(ds: Dataset, answered: DataFrame) -> DataFrame:
 
 
 # --- cancellation ------------------------------------------------------------
-def cancel(ds: Dataset, requests: DataFrame, clock: Clock) -> DataFrame:
+def cancel(ds: Dataset, requests: DataFrame, clock: Clock, scale: Scale = Scale()) -> DataFrame:
     """Answer cancellation requests: adds ``ok, reason, fee, customer_id, price``.
 
     Cancelling is an update, so it is also refused while another lesson that is
@@ -105,8 +112,9 @@ def cancel(ds: Dataset, requests: DataFrame, clock: Clock) -> DataFrame:
         X.lesson_stamp().alias("_starts"), F.lit(True).alias("_found"),
     )
     rows = requests.join(lessons, "lesson_id", "left")
+    hot = HotKeys(rows, [["staff_id", "_slot"], ["vehicle_id", "_slot"]], scale.hot_rows)
     for resource, out in (("staff_id", "_staff_held"), ("vehicle_id", "_vehicle_held")):
-        rows = slots.with_holders(rows, ds.lessons, resource, S.CANCELLED, out)
+        rows = slots.with_holders(rows, ds.lessons, resource, S.CANCELLED, out, hot=hot, row_id="request_id")
     status = F.col("lesson_status_code")
     # A lesson that is itself not cancelled is one of the holders.
     rows = rows.withColumn(
@@ -148,13 +156,52 @@ def cancelled_lessons(ds: Dataset, answered: DataFrame) -> DataFrame:
 
 
 # --- update and delete -------------------------------------------------------
+class _Moves:
+    """A lesson update against the lessons that the requests before it left.
+
+    The value of a lesson is its staff slot, vehicle slot and status; that of a
+    slot is the number of lessons that hold it.
+    """
+
+    answer = "reason string, old_status string"
+
+    def step(self, state: State, ask: dict) -> tuple:
+        staff, vehicle, status = state[ask["lesson"]].split("|")
+        held = [staff, vehicle] if self.leads_to(ask["lesson"], state[ask["lesson"]]) else ["", ""]
+        reason = ask["fault"]
+        for wanted, own, conflict in ((ask["vehicle"], held[1], "vehicle_conflict"), (ask["staff"], held[0], "staff_conflict")):
+            if wanted and int(state[wanted] or 0) > (own == wanted):
+                reason = conflict
+        if reason is None:
+            new = [ask["staff"] or "", ask["vehicle"] or "", ask["status"] or status]
+            state[ask["lesson"]] = "|".join(new)
+            for slot in held:
+                if slot:
+                    state[slot] = str(int(state[slot]) - 1)
+            for slot in self.leads_to(ask["lesson"], state[ask["lesson"]]):
+                state[slot] = str(int(state[slot] or 0) + 1)
+        return reason, status or None
+
+    def leads_to(self, key: str, value: str | None) -> list[str]:
+        if not key.startswith("L"):
+            return []
+        *held, status = value.split("|")
+        return [slot for slot in held if slot and status not in ("", S.CANCELLED)]
+
+
+def _slot_name(kind: str, resource: str, slot: str) -> Column:
+    """A slot of a staff member or vehicle as text; NULL where there is none."""
+    return F.concat(F.lit(kind), F.col(resource).cast("string"), F.lit("@"), F.col(slot).cast("string"))
+
+
 def update_lessons(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> DataFrame:
-    """Answer lesson updates: adds ``ok, reason``.
+    """Answer lesson updates in request order: adds ``old_status, ok, reason``.
 
-    A batch is judged against the lessons as they stood before it: a slot that
-    one request vacates opens for the next batch. Of the requests for a lesson
-    that pass their own checks the first counts. Requests that want the same free
-    slot are settled in request order.
+    The answers are those of handling the requests one by one, any number of them
+    per lesson: a slot that an accepted request frees is open to the next one. The
+    reason is the first check that fails; ``old_status`` is the status that the
+    request found. Requests that share neither a lesson nor a slot with another
+    one are judged against the stored tables, the others are replayed.
     """
     own = ds.lessons.select(
         "lesson_id",
@@ -164,67 +211,91 @@ def update_lessons(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) ->
         slots.slot_key().alias("_old_slot"),
     )
     rows = requests.join(own, "lesson_id", "left")
-    rows = flag_known(rows, "customer_id", ds.customers, "customer_id", "_customer", unique=True)
-    rows = flag_known(rows, "staff_id", ds.staff, "staff_id", "_staff", unique=True)
-    rows = flag_known(rows, "vehicle_id", ds.vehicles, "vehicle_id", "_vehicle", unique=True)
-    rows = flag_known(rows, "lesson_status_code", ds.lesson_status, "lesson_status_code", "_status", unique=True)
+    hot = _hot(requests, scale)
+    rows = flag_known(rows, "customer_id", ds.customers, "customer_id", "_customer", None, hot, "request_id")
+    rows = flag_known(rows, "staff_id", ds.staff, "staff_id", "_staff", None, hot, "request_id")
+    rows = flag_known(rows, "vehicle_id", ds.vehicles, "vehicle_id", "_vehicle", None, hot, "request_id")
+    rows = flag_known(rows, "lesson_status_code", ds.lesson_status, "lesson_status_code", "_status", row_id="request_id")
     rows = rows.withColumn("_slot", slots.slot_key())
-    rows = slots.with_holders(rows, ds.lessons, "staff_id", S.CANCELLED, "_staff_held")
-    rows = slots.with_holders(rows, ds.lessons, "vehicle_id", S.CANCELLED, "_vehicle_held")
-    holds = F.coalesce(F.col("_old_status") != S.CANCELLED, F.lit(False)) & (F.col("_old_slot") == F.col("_slot"))
-
-    def others(held: str, resource: str, old: str):
-        mine = F.when(holds & (F.col(old) == F.col(resource)), 1).otherwise(0)
-        return F.col(held) - mine > 0
-
-    rows = rows.withColumn("_staff_taken", others("_staff_held", "staff_id", "_old_staff"))
-    rows = rows.withColumn("_vehicle_taken", others("_vehicle_held", "vehicle_id", "_old_vehicle"))
+    rows = slots.with_holders(rows, ds.lessons, "staff_id", S.CANCELLED, "_staff_held", hot=hot, row_id="request_id")
+    rows = slots.with_holders(rows, ds.lessons, "vehicle_id", S.CANCELLED, "_vehicle_held", hot=hot, row_id="request_id")
     unknown_ref = (
         ~F.col("_customer")
         | (F.col("staff_id").isNotNull() & ~F.col("_staff"))
         | (F.col("vehicle_id").isNotNull() & ~F.col("_vehicle"))
         | (F.col("lesson_status_code").isNotNull() & ~F.col("_status"))
     )
-    bad_row = ~F.coalesce(F.col("price") >= 0, F.lit(False))
-    rows = rows.withColumn(
-        "_early",
+    rows = rows.select(
+        *requests.columns, "_old_status", "_old_staff", "_old_vehicle", "_old_slot", "_slot", "_staff_held", "_vehicle_held",
         X.first_failure(
             [
                 ("date_time_required", F.col("lesson_date").isNull() | F.col("lesson_time_sec").isNull()),
                 ("lesson_missing", F.col("_old_slot").isNull()),
             ]
+        ).alias("_early"),
+        X.first_failure([("price_invalid", ~F.coalesce(F.col("price") >= 0, F.lit(False))), ("unknown_reference", unknown_ref)]).alias("_late"),
+        _slot_name("S", "staff_id", "_slot").alias("_staff_slot"),
+        _slot_name("V", "vehicle_id", "_slot").alias("_vehicle_slot"),
+        _slot_name("S", "_old_staff", "_old_slot").alias("_own_staff_slot"),
+        _slot_name("V", "_old_vehicle", "_old_slot").alias("_own_vehicle_slot"),
+    )
+    rows = rows.withColumn("_holds", F.coalesce(F.col("_old_status") != S.CANCELLED, F.lit(False)))
+    rows = materialise(rows, "update-checked")
+
+    named = F.concat(F.lit("L"), F.col("lesson_id").cast("string"))
+    held = [F.when(F.col("_holds"), F.col(c)) for c in ("_own_staff_slot", "_own_vehicle_slot")]
+    touched = F.array_distinct(F.array_compact(F.array(named, F.col("_staff_slot"), F.col("_vehicle_slot"), *held)))
+    linked = sharing(rows.where(F.col("_early").isNull()).select("request_id", touched.alias("keys")))
+    linked = materialise(linked, "update-linked")
+
+    open_rows = rows.join(linked, "request_id", "left_semi")
+    hot = HotKeys(open_rows, [["_old_staff", "_old_slot"], ["_old_vehicle", "_old_slot"]], scale.hot_rows)
+    for resource, old, out in (("staff_id", "_old_staff", "_own_staff_n"), ("vehicle_id", "_old_vehicle", "_own_vehicle_n")):
+        open_rows = slots.with_holders(open_rows, ds.lessons, resource, S.CANCELLED, out, old, "_old_slot", hot, "request_id")
+    stored = F.concat_ws(
+        "|", *[F.coalesce(c, F.lit("")) for c in ("_own_staff_slot", "_own_vehicle_slot", "_old_status")]
+    )
+    asked = open_rows.select(
+        "request_id",
+        *entries(
+            (named, stored), (F.col("_staff_slot"), F.col("_staff_held")), (F.col("_vehicle_slot"), F.col("_vehicle_held")),
+            (held[0], F.col("_own_staff_n")), (held[1], F.col("_own_vehicle_n")),
         ),
+        F.struct(
+            named.alias("lesson"), F.col("_staff_slot").alias("staff"), F.col("_vehicle_slot").alias("vehicle"),
+            F.col("lesson_status_code").alias("status"), F.col("_late").alias("fault"),
+        ).alias("ask"),
     )
-    sound = F.col("_early").isNull() & ~unknown_ref & ~bad_row & ~F.col("_staff_taken") & ~F.col("_vehicle_taken")
-    rows = rows.withColumn("_unknown", unknown_ref).withColumn("_bad", bad_row).withColumn("_sound", sound)
-    rows = flag_first(materialise(rows, "update-checked"), ["lesson_id"], "request_id", "_first", where=F.col("_sound"))
-    new_status = F.coalesce("lesson_status_code", "_old_status")
-    rows = rows.withColumn("takes_slot", F.col("_sound") & F.col("_first") & (new_status != S.CANCELLED))
-    settled = slots.settle(materialise(rows, "update-open"), scale)
-    reason = X.first_failure(
-        [
-            ("date_time_required", F.col("_early") == "date_time_required"),
-            ("lesson_missing", F.col("_early") == "lesson_missing"),
-            ("staff_conflict", F.col("_staff_taken") | (F.col("slot_conflict") == "staff_conflict")),
-            ("vehicle_conflict", F.col("_vehicle_taken") | (F.col("slot_conflict") == "vehicle_conflict")),
-            ("price_invalid", F.col("_bad")),
-            ("unknown_reference", F.col("_unknown")),
-            ("repeated_request", ~F.col("_first")),
-        ]
+    replayed = replay(asked, _Moves(), scale).select(
+        "request_id", F.col("reason").alias("_said"), F.col("old_status").alias("_found"), F.lit(True).alias("_replayed")
     )
-    return settled.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull()).select(
-        *requests.columns, F.col("_old_status").alias("old_status"), "ok", "reason"
+
+    def taken(count: str, wanted: str, own_slot: str) -> Column:
+        mine = F.when(F.col("_holds") & (F.col(wanted) == F.col(own_slot)), 1).otherwise(0)
+        return F.col(count) - mine > 0
+
+    alone = F.coalesce(
+        F.col("_early"),
+        X.first_failure(
+            [
+                ("staff_conflict", taken("_staff_held", "_staff_slot", "_own_staff_slot")),
+                ("vehicle_conflict", taken("_vehicle_held", "_vehicle_slot", "_own_vehicle_slot")),
+            ]
+        ),
+        F.col("_late"),
     )
+    both = rows.join(replayed, "request_id", "left")
+    reason = F.when(F.col("_replayed"), F.col("_said")).otherwise(alone)
+    status = F.when(F.col("_replayed"), F.col("_found")).otherwise(F.col("_old_status"))
+    return both.select(*requests.columns, status.alias("old_status"), reason.isNull().alias("ok"), reason.alias("reason"))
 
 
 def updated_lessons(ds: Dataset, answered: DataFrame) -> DataFrame:
-    """The lesson table after the accepted updates; a NULL status keeps the old one."""
-    changes = (
-        answered.where("ok")
-        .withColumn("lesson_status_code", F.coalesce("lesson_status_code", "old_status"))
-        .withColumn("op", F.lit("update"))
-    )
-    return apply_changes(ds.lessons, changes, "lesson_id")
+    """The lesson table after the accepted updates: the last one of a lesson stands, and a NULL status keeps the one it found."""
+    fields = [c for c in answered.columns if c not in ("request_id", "lesson_id", "old_status", "ok", "reason")]
+    done = answered.where("ok").withColumn("lesson_status_code", F.coalesce("lesson_status_code", "old_status"))
+    last = done.groupBy("lesson_id").agg(F.max_by(F.struct(*fields), "request_id").alias("_row"))
+    return apply_changes(ds.lessons, last.select("lesson_id", "_row.*", F.lit("update").alias("op")), "lesson_id")
 
 
 def update_audit(answered: DataFrame) -> DataFrame:
@@ -250,17 +321,19 @@ def delete_lessons(ds: Dataset, doomed: DataFrame, audit: DataFrame) -> tuple[Da
 
 
 # --- conflicts ---------------------------------------------------------------
-def slot_conflicts(ds: Dataset) -> DataFrame:
+def slot_conflicts(ds: Dataset, scale: Scale = Scale()) -> DataFrame:
     """Lessons whose staff or vehicle slot is also held by another, not cancelled lesson.
 
-    Slots are counted first and only the contested ones are matched back.
+    Slots are counted first and matched back; a slot that very many lessons hold
+    is split.
     """
     lessons = ds.lessons.withColumn("_slot", slots.slot_key())
+    hot = HotKeys(lessons, [["staff_id", "_slot"], ["vehicle_id", "_slot"]], scale.hot_rows)
     status_holds = F.when(F.col("lesson_status_code") != S.CANCELLED, 1).otherwise(0)
     parts = []
     for resource, label in (("staff_id", "staff"), ("vehicle_id", "vehicle")):
         contested = slots.slot_counts(ds.lessons, resource, S.CANCELLED)
-        found = lessons.where(F.col(resource).isNotNull()).join(contested, [resource, "_slot"])
+        found = look_up(lessons.where(F.col(resource).isNotNull()), [resource, "_slot"], contested, [resource, "_slot"], hot, "lesson_id")
         others = F.col("_holders") - status_holds
         parts.append(
             found.withColumn("other_lessons", others)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyslot.functions import exprs as X
 from tallyslot.operators.balance import charge_only, final_balance, running_balance
-from tallyslot.operators.keyed import flag_first, flag_known
+from tallyslot.operators.keyed import HotKeys, flag_first, flag_known, look_up
+from tallyslot.operators.replay import State, entries, replay, sharing
 from tallyslot.settings import Scale
 from tallyslot.sources.dataset import Dataset
 from tallyslot.sources.workdir import materialise
@@ -18,16 +19,18 @@ def _note(df: DataFrame) -> Column:
     return F.col("details") if "details" in df.columns else F.lit(None).cast("string")
 
 
-def record(ds: Dataset, requests: DataFrame) -> DataFrame:
+def record(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> DataFrame:
     """Answer payment requests: adds ``ok, reason``.
 
     A customer can have one payment per instant. A request that repeats a stored
     instant, or that of an earlier accepted request, is a duplicate key.
     """
-    rows = flag_known(requests, "customer_id", ds.customers, "customer_id", "_customer", unique=True)
-    rows = flag_known(rows, "payment_method_code", ds.payment_methods, "payment_method_code", "_method", unique=True)
+    hot = HotKeys(requests, [["customer_id"], ["customer_id", "datetime_payment"]], scale.hot_rows)
+    rows = flag_known(requests, "customer_id", ds.customers, "customer_id", "_customer", None, hot, "request_id")
+    rows = flag_known(rows, "payment_method_code", ds.payment_methods, "payment_method_code", "_method", row_id="request_id")
     stored = ds.payments.select("customer_id", "datetime_payment").distinct().withColumn("_stored", F.lit(True))
-    rows = rows.join(stored, ["customer_id", "datetime_payment"], "left")
+    key = ["customer_id", "datetime_payment"]
+    rows = look_up(rows, key, stored, key, hot, "request_id")
     rows = rows.withColumn(
         "_fail",
         X.first_failure(
@@ -90,72 +93,126 @@ def running_balances(steps: DataFrame, scale: Scale = Scale()) -> DataFrame:
     return running_balance(steps, "customer_id", ["step_at", "kind", "ref"], scale=scale)
 
 
-def correct(ds: Dataset, requests: DataFrame) -> DataFrame:
-    """Answer payment corrections: adds ``ok, reason, old_amount``.
+class _Corrections:
+    """A correction against the payments that the requests before it left.
 
-    One correction per stored payment and batch; a repeated one is refused. A
-    correction may move a payment to an instant that no stored payment and no
-    earlier correction holds.
+    A key is a customer's instant; its value is the amount paid there and the
+    instant under which that payment is stored, or NULL where there is no payment.
     """
-    stored = ds.payments.select(
-        "customer_id", F.col("datetime_payment").alias("original_datetime"), F.col("amount_payment").alias("old_amount")
-    )
-    taken = ds.payments.select(
-        "customer_id", F.col("datetime_payment").alias("new_datetime"), F.lit(True).alias("_taken")
+
+    answer = "reason string, old_amount string, stored_at string"
+
+    def step(self, state: State, ask: dict) -> tuple:
+        here, there = ask["here"], ask["there"]
+        if ask["early"]:
+            return ask["early"], None, None
+        if here is None or state[here] is None:
+            return "payment_not_found", None, None
+        if ask["amount"] is None:
+            return "amount_null", None, None
+        if there != here and state[there] is not None:
+            return "duplicate_key", None, None
+        old, stored = state[here].split("|")
+        state[here] = None
+        state[there] = f"{ask['amount']}|{stored}"
+        return None, old, stored
+
+    def leads_to(self, key: str, value: str | None) -> list[str]:
+        return []
+
+
+def correct(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> DataFrame:
+    """Answer payment corrections in request order: adds ``ok, reason, old_amount, stored_datetime``.
+
+    The answers are those of handling the requests one by one: a payment may be
+    corrected again at the instant it was moved to, and an instant that a
+    correction leaves is free for the next one. ``old_amount`` is the amount that
+    the request replaced and ``stored_datetime`` the payment's instant before the
+    batch. A request without a new instant is refused with the reason
+    ``datetime_null``. Requests that share no instant with another one are judged
+    against the stored payments, the others are replayed.
+    """
+    rows = flag_known(requests, "payment_method_code", ds.payment_methods, "payment_method_code", "_method", row_id="request_id")
+    places = ["original_datetime", "new_datetime"]
+    hot = HotKeys(requests, [["customer_id", at] for at in places], scale.hot_rows)
+    for at, out in zip(places, ("_here", "_there"), strict=True):
+        paid = ds.payments.groupBy("customer_id", "datetime_payment").agg(F.min("amount_payment").alias(out))
+        rows = look_up(rows, ["customer_id", at], paid, ["customer_id", "datetime_payment"], hot, "request_id")
+    rows = rows.withColumn("_early", X.first_failure([("amount_not_positive", F.col("amount") <= 0), ("method_unknown", ~F.col("_method"))]))
+    rows = materialise(rows, "corrections")
+
+    here, there = (F.concat_ws("@", "customer_id", X.micros(at)) for at in ("original_datetime", "new_datetime"))
+    here = F.when(F.col("original_datetime").isNotNull() & F.col("customer_id").isNotNull(), here)
+    there = F.when(F.col("new_datetime").isNotNull() & F.col("customer_id").isNotNull(), there)
+    moving = rows.where(F.col("_early").isNull() & F.col("original_datetime").isNotNull() & F.col("new_datetime").isNotNull())
+    linked = materialise(
+        sharing(moving.select("request_id", F.array_distinct(F.array_compact(F.array(here, there))).alias("keys"))), "corrections-linked"
     )
-    rows = flag_known(requests, "payment_method_code", ds.payment_methods, "payment_method_code", "_method", unique=True)
-    rows = rows.join(stored, ["customer_id", "original_datetime"], "left")
-    rows = rows.join(taken, ["customer_id", "new_datetime"], "left")
-    moves = F.col("new_datetime") != F.col("original_datetime")
-    rows = rows.withColumn(
-        "_fail",
-        X.first_failure(
-            [
-                ("amount_not_positive", F.col("amount") <= 0),
-                ("method_unknown", ~F.col("_method")),
-                ("payment_not_found", F.col("old_amount").isNull()),
-                ("amount_null", F.col("amount").isNull()),
-                ("duplicate_key", moves & F.col("_taken").isNotNull()),
-            ]
+
+    def stored(amount: str, at: str) -> Column:
+        return F.concat_ws("|", F.col(amount).cast("string"), F.col(at).cast("string"))
+
+    asked = rows.join(linked, "request_id", "left_semi").select(
+        "request_id",
+        *entries(
+            (here, F.when(F.col("_here").isNotNull(), stored("_here", "original_datetime"))),
+            (there, F.when(F.col("_there").isNotNull(), stored("_there", "new_datetime"))),
         ),
+        F.struct(
+            here.alias("here"), there.alias("there"), F.col("amount").cast("string").alias("amount"), F.col("_early").alias("early")
+        ).alias("ask"),
     )
-    passed = F.col("_fail").isNull()
-    rows = flag_first(rows, ["customer_id", "original_datetime"], "request_id", "_first", where=passed)
-    rows = materialise(rows, "corrections")
-    rows = flag_first(rows, ["customer_id", "new_datetime"], "request_id", "_first_there", where=passed & F.col("_first"))
-    reason = (
-        F.when(~passed, F.col("_fail"))
-        .when(~F.col("_first"), "repeated_request")
-        .when(~F.col("_first_there"), "duplicate_key")
+    said = replay(asked, _Corrections(), scale).select(
+        "request_id", F.col("reason").alias("_said"), F.col("old_amount").cast("decimal(10,2)").alias("_old"),
+        F.col("stored_at").cast("timestamp_ntz").alias("_stored"), F.lit(True).alias("_replayed"),
     )
-    return rows.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull()).select(
-        *requests.columns, F.when(F.col("ok"), F.col("old_amount")).alias("old_amount"), "ok", "reason"
+    moves = F.col("new_datetime") != F.col("original_datetime")
+    alone = X.first_failure(
+        [
+            ("amount_not_positive", F.col("_early") == "amount_not_positive"),
+            ("method_unknown", F.col("_early") == "method_unknown"),
+            ("payment_not_found", F.col("_here").isNull()),
+            ("amount_null", F.col("amount").isNull()),
+            ("datetime_null", F.col("new_datetime").isNull()),
+            ("duplicate_key", moves & F.col("_there").isNotNull()),
+        ]
+    )
+    both = rows.join(said, "request_id", "left")
+    both = both.withColumn("reason", F.when(F.col("_replayed"), F.col("_said")).otherwise(alone)).withColumn("ok", F.col("reason").isNull())
+
+    def found(replayed: str, by_itself: str) -> Column:
+        return F.when(F.col("ok"), F.when(F.col("_replayed"), F.col(replayed)).otherwise(F.col(by_itself)))
+
+    return both.select(
+        *requests.columns, found("_old", "_here").alias("old_amount"), found("_stored", "original_datetime").alias("stored_datetime"),
+        "ok", "reason",
     )
 
 
 def correction_balances(ds: Dataset, answered: DataFrame, scale: Scale = Scale()) -> DataFrame:
-    """Old amount back, new amount off, clamped after every correction in time order."""
+    """Old amount back, new amount off, clamped after every correction in request order."""
     change = (F.col("old_amount") - F.col("amount")).cast("decimal(12,2)")
-    steps = answered.where("ok").select("customer_id", "original_datetime", "request_id", change.alias("change"))
-    return final_balance(steps, "customer_id", ["original_datetime", "request_id"], _opening(ds), scale)
+    steps = answered.where("ok").select("customer_id", "request_id", change.alias("change"))
+    return final_balance(steps, "customer_id", ["request_id"], _opening(ds), scale)
 
 
 def corrected_payments(ds: Dataset, answered: DataFrame) -> DataFrame:
-    """The payment table after the accepted corrections."""
-    new = answered.where("ok").select(
-        "customer_id",
-        F.col("original_datetime").alias("datetime_payment"),
-        F.col("new_datetime").alias("_at"),
-        F.col("payment_method_code").alias("_method"),
-        F.col("amount").alias("_amount"),
-        _note(answered).alias("_details"),
+    """The payment table after the accepted corrections: the last one of a payment stands.
+
+    A correction also replaces the note; one without a note clears it.
+    """
+    row = F.struct(
+        F.col("new_datetime").alias("at"), F.col("payment_method_code").alias("method"), "amount", _note(answered).alias("details")
     )
-    changed = F.col("_at").isNotNull()
-    # A correction also replaces the note; one without a note clears it.
-    return ds.payments.join(new, ["customer_id", "datetime_payment"], "left").select(
-        "customer_id",
-        F.coalesce("_at", "datetime_payment").alias("datetime_payment"),
-        F.when(changed, F.col("_method")).otherwise(F.col("payment_method_code")).alias("payment_method_code"),
-        F.when(changed, F.col("_amount")).otherwise(F.col("amount_payment")).alias("amount_payment"),
-        F.when(changed, F.col("_details")).otherwise(F.col("other_payment_details")).alias("other_payment_details"),
+    last = answered.where("ok").groupBy("customer_id", F.col("stored_datetime").alias("datetime_payment")).agg(
+        F.max_by(row, "request_id").alias("_new")
+    )
+    changed = F.col("_new").isNotNull()
+
+    def either(new: str, old: str) -> Column:
+        return F.when(changed, F.col(f"_new.{new}")).otherwise(F.col(old)).alias(old)
+
+    return ds.payments.join(last, ["customer_id", "datetime_payment"], "left").select(
+        "customer_id", either("at", "datetime_payment"), either("method", "payment_method_code"), either("amount", "amount_payment"),
+        either("details", "other_payment_details"),
     )

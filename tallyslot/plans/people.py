@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyslot.functions import exprs as X
-from tallyslot.operators.keyed import apply_changes, flag_first, flag_known
+from tallyslot.operators.keyed import HotKeys, apply_changes, flag_first, flag_known, look_up
+from tallyslot.operators.replay import State, entries, replay, sharing
 from tallyslot.operators.references import delete_rows, restricting_keys
 from tallyslot.operators.sequence import numbered
 from tallyslot.settings import Scale
@@ -79,14 +80,49 @@ def _cleaned(requests: DataFrame) -> DataFrame:
     return requests
 
 
-def change_customers(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> DataFrame:
-    """Answer customer adds, updates and deletes: ``request_id, op, ok, reason, customer_id, address_id``
-    plus the cleaned form fields.
+class _CustomerRows:
+    """A customer change against the customers that the requests before it left.
+
+    The value of a customer is its e-mail address (empty: none) or NULL where there
+    is no such customer; that of an e-mail address is the number of its owners.
+    """
+
+    answer = "reason string, missing boolean"
+
+    def step(self, state: State, ask: dict) -> tuple:
+        row, wanted = ask["row"], ask["email"]
+        if ask["refused"]:
+            return ask["refused"], False
+        if row is not None and state[row] is None:
+            return None, True
+        held = state[row] if row is not None else ""
+        if ask["op"] != "delete":
+            if ask["fault"]:
+                return ask["fault"], False
+            if wanted and wanted != held and int(state[wanted] or 0) > 0:
+                return "email_taken", False
+        if held:
+            state[held] = str(int(state[held]) - 1)
+        if ask["op"] != "delete" and wanted:
+            state[wanted] = str(int(state[wanted] or 0) + 1)
+        if row is not None:
+            state[row] = None if ask["op"] == "delete" else wanted or ""
+        return None, False
+
+    def leads_to(self, key: str, value: str | None) -> list[str]:
+        return [value] if key.startswith("C") and value else []
 
-    The batch is judged against the stored tables: of the requests that pass
-    their own checks, the first per stored customer counts, and of those that
-    want one e-mail address the first wins.
-    An update or delete of an unknown id is accepted and does nothing.
+
+def change_customers(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> DataFrame:
+    """Answer customer adds, updates and deletes in request order: ``request_id, op, ok, reason, customer_id, address_id``
+    plus the cleaned form fields and ``missing``.
+
+    The answers are those of handling the requests one by one, any number of them
+    per customer: an e-mail address that an accepted request gives up is free for
+    the next one. An update or delete of a customer that is not there, or no longer
+    there, is accepted, does nothing and is marked ``missing``; its form is still
+    checked. Requests that share neither a customer nor an address with another one
+    are judged against the stored customers, the others are replayed.
     """
     is_form = F.col("op").isin("add", "update")
     rows = _cleaned(requests)
@@ -108,47 +144,71 @@ def change_customers(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -
     found = resolve_addresses(ds, asks, scale).select("request_id", "address_id")
     rows = rows.join(found, "request_id", "left")
 
-    rows = flag_known(rows, "customer_status_code", ds.customer_status, "customer_status_code", "_status", unique=True)
-    owners = ds.customers.where(F.col("email_address").isNotNull()).select(
-        "email_address", F.col("customer_id").alias("_owner")
+    rows = flag_known(rows, "customer_status_code", ds.customer_status, "customer_status_code", "_status", row_id="request_id")
+    hot = HotKeys(rows, [["customer_id"], ["email_address"]], scale.hot_rows)
+    rows = flag_known(rows, "customer_id", ds.lessons, "customer_id", "_has_lessons", None, hot, "request_id")
+    owners = ds.customers.where(F.col("email_address").isNotNull()).groupBy(F.col("email_address").alias("_email")).agg(
+        F.count(F.lit(1)).alias("_owners")
     )
-    rows = rows.join(owners, "email_address", "left")
-    rows = flag_known(rows, "customer_id", ds.lessons, "customer_id", "_has_lessons")
-    email_held = F.col("_owner").isNotNull() & ~F.col("_owner").eqNullSafe(F.col("customer_id"))
-    rows = rows.withColumn(
-        "_fail",
-        F.coalesce(
-            F.when(~is_form & F.col("_has_lessons"), "has_lessons"),
-            F.col("_form"),
-            F.when(is_form, X.first_failure([("status_unknown", ~F.col("_status")), ("email_taken", email_held)])),
+    stored = ds.customers.groupBy("customer_id").agg(F.min("email_address").alias("_own_email"))
+    stored = look_up(stored, ["_own_email"], owners.withColumnRenamed("_owners", "_owners_own"), ["_email"], row_id="customer_id")
+    stored = stored.withColumn("_own_email", F.coalesce("_own_email", F.lit("")))
+    rows = look_up(rows, ["customer_id"], stored, ["customer_id"], hot, "request_id")
+    rows = look_up(rows, ["email_address"], owners.withColumnRenamed("_owners", "_owners_wanted"), ["_email"], hot, "request_id")
+    deleting = F.col("op") == "delete"
+    rows = rows.withColumn("_refused", F.coalesce(F.when(deleting & F.col("_has_lessons"), "has_lessons"), F.col("_form")))
+    rows = rows.withColumn("_late", F.when(~F.col("_status"), "status_unknown"))
+    rows = materialise(rows, "customer-checks")
+
+    changing = (F.col("op") != "add") & F.col("customer_id").isNotNull()
+    named = F.when(changing, F.concat(F.lit("C"), F.col("customer_id").cast("string")))
+    wanted = F.when(is_form, F.concat(F.lit("E"), F.col("email_address")))
+    own = F.when(F.col("_own_email") != "", F.concat(F.lit("E"), F.col("_own_email")))
+    open_rows = rows.where(F.col("_refused").isNull())
+    linked = sharing(open_rows.select("request_id", F.array_distinct(F.array_compact(F.array(named, wanted, own))).alias("keys")))
+    asked = open_rows.join(materialise(linked, "customer-linked"), "request_id", "left_semi").select(
+        "request_id",
+        *entries(
+            (named, F.when(F.col("_own_email").isNotNull(), F.coalesce(own, F.lit("")))),
+            (wanted, F.coalesce("_owners_wanted", F.lit(0))), (own, F.coalesce("_owners_own", F.lit(0))),
         ),
+        F.struct(
+            "op", named.alias("row"), wanted.alias("email"), F.col("_refused").alias("refused"), F.col("_late").alias("fault")
+        ).alias("ask"),
     )
-    rows = materialise(rows, "customer-checks")
-    stored = F.col("customer_id").isNotNull()
-    rows = flag_first(rows, ["customer_id"], "request_id", "_once", where=stored & F.col("_fail").isNull())
-    again = F.when(stored & ~F.col("_once"), "repeated_request")
-    rows = materialise(rows.withColumn("_fail", F.coalesce("_fail", again)), "customer-changes")
-    competes = F.col("_fail").isNull() & is_form & F.col("email_address").isNotNull()
-    rows = flag_first(rows, ["email_address"], "request_id", "_email_first", where=competes)
-    reason = F.coalesce("_fail", F.when(competes & ~F.col("_email_first"), "email_taken"))
-    answered = materialise(
-        rows.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull()), "customer-answers"
+    said = replay(asked, _CustomerRows(), scale).select(
+        "request_id", F.col("reason").alias("_said"), F.col("missing").alias("_gone"), F.lit(True).alias("_replayed")
+    )
+    absent = changing & F.col("_own_email").isNull()
+    email_held = (F.col("_owners_wanted") > 0) & ~F.col("email_address").eqNullSafe(F.col("_own_email"))
+    alone = F.coalesce(
+        F.col("_refused"),
+        F.when(is_form & ~absent, F.coalesce(F.col("_late"), F.when(email_held, "email_taken"))),
+    )
+    replayed = F.coalesce("_replayed", F.lit(False))
+    answered = rows.join(said, "request_id", "left").withColumn("reason", F.when(replayed, F.col("_said")).otherwise(alone))
+    answered = answered.withColumn("missing", F.when(replayed, F.col("_gone")).otherwise(absent & F.col("reason").isNull()))
+    answered = answered.withColumn("ok", F.col("reason").isNull()).select(
+        "request_id", "op", "ok", "reason", "customer_id", "address_id", "customer_status_code", "date_became_customer",
+        "date_of_birth", "first_name", "last_name", "email_address", "cell_mobile_phone_number", "missing",
     )
+    answered = materialise(answered, "customer-answers")
     last_id = ds.customers.agg(F.max("customer_id")).scalar()
     ids = numbered(
         answered.where(F.col("ok") & (F.col("op") == "add")).select("request_id"), "request_id", "_new_id", last_id,
         scale.slice_bits,
     )
-    return answered.join(ids, "request_id", "left").select(
-        "request_id", "op", "ok", "reason", F.coalesce("customer_id", "_new_id").alias("customer_id"), "address_id",
-        "customer_status_code", "date_became_customer", "date_of_birth", "first_name", "last_name", "email_address",
-        "cell_mobile_phone_number",
-    )
+    return answered.join(ids, "request_id", "left").withColumn(
+        "customer_id", F.when(F.col("op") == "add", F.col("_new_id")).otherwise(F.col("customer_id"))
+    ).drop("_new_id")
 
 
 def changed_customers(ds: Dataset, answered: DataFrame) -> DataFrame:
-    """The customer table after the batch."""
-    changes = answered.where("ok").withColumnRenamed("address_id", "customer_address_id").drop("request_id", "reason", "ok")
+    """The customer table after the batch: a deletion is final, else the last accepted change of a customer stands."""
+    fields = [c for c in answered.columns if c not in ("request_id", "customer_id", "ok", "reason", "missing")]
+    rank = F.struct(F.col("op") == "delete", F.col("request_id"))
+    last = answered.where("ok AND NOT missing").groupBy("customer_id").agg(F.max_by(F.struct(*fields), rank).alias("_row"))
+    changes = last.select("customer_id", "_row.*").withColumnRenamed("address_id", "customer_address_id")
     return conform(apply_changes(ds.customers, changes, "customer_id"), "customers")
 
 
@@ -160,13 +220,14 @@ def form_addresses(ds: Dataset, requests: DataFrame, answered: DataFrame) -> Dat
     return conform(made, "addresses")
 
 
-def delete_customers(ds: Dataset, requests: DataFrame) -> DataFrame:
+def delete_customers(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> DataFrame:
     """Answer deletions: lessons block a customer; payments go with it and user links are cleared.
 
     ``request_id, customer_id, ok, reason, payments_removed, users_unlinked``. A
     repeated request finds the customer gone: it is accepted and removes nothing.
     """
-    rows = flag_known(requests, "customer_id", restricting_keys(ds, "customers"), "_key", "_has_lessons")
+    hot = HotKeys(requests, [["customer_id"]], scale.hot_rows)
+    rows = flag_known(requests, "customer_id", restricting_keys(ds, "customers"), "_key", "_has_lessons", None, hot, "request_id")
     paid = ds.payments.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_payments"))
     linked = ds.app_users.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("_users")
@@ -177,17 +238,11 @@ def delete_customers(ds: Dataset, requests: DataFrame) -> DataFrame:
     def count_if_deleted(c: str) -> Column:
         return F.when(ok & F.col("_first"), F.coalesce(c, F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
 
-    return (
-        rows.join(paid, "customer_id", "left")
-        .join(linked, "customer_id", "left")
-        .select(
-            "request_id",
-            "customer_id",
-            ok.alias("ok"),
-            F.when(~ok, "has_lessons").alias("reason"),
-            count_if_deleted("_payments").alias("payments_removed"),
-            count_if_deleted("_users").alias("users_unlinked"),
-        )
+    for counts in (paid, linked):
+        rows = look_up(rows, ["customer_id"], counts, ["customer_id"], hot, "request_id")
+    return rows.select(
+        "request_id", "customer_id", ok.alias("ok"), F.when(~ok, "has_lessons").alias("reason"),
+        count_if_deleted("_payments").alias("payments_removed"), count_if_deleted("_users").alias("users_unlinked"),
     )
 
 
@@ -214,7 +269,7 @@ def change_staff(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> Da
     for c in ["nickname", "first_name", "middle_name", "last_name", "other_staff_details"]:
         rows = rows.withColumn(c, X.blank_to_null(F.trim(c)))
     lacks = F.col("first_name").isNull() | F.col("last_name").isNull() | F.col("date_joined_staff").isNull()
-    rows = flag_known(rows, "customer_status_code", ds.customer_status, "customer_status_code", "_status", unique=True)
+    rows = flag_known(rows, "customer_status_code", ds.customer_status, "customer_status_code", "_status", row_id="request_id")
     left_early = F.coalesce(F.col("date_left_staff") < F.col("date_joined_staff"), F.lit(False))
     reason = X.first_failure(
         [

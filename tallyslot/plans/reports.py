@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyslot import settings as S
 from tallyslot.functions import exprs as X
+from tallyslot.operators.keyed import HotKeys, look_up
 from tallyslot.plans import views as V
-from tallyslot.settings import Clock
+from tallyslot.settings import Clock, Scale
 from tallyslot.sources.dataset import Dataset
 
 
@@ -101,9 +102,12 @@ def one_lesson(ds: Dataset, lesson_id: int) -> DataFrame:
     return edit_lessons(ds).where(F.col("lesson_id") == lesson_id).limit(2)
 
 
-def payment_history(ds: Dataset, customer_id: int | None = None) -> DataFrame:
-    """Payments newest first, each with its customer's payment count and total."""
-    rows = V.view_customer_payments(ds)
+def payment_history(ds: Dataset, customer_id: int | None = None, scale: Scale = Scale()) -> DataFrame:
+    """Payments newest first, each with its customer's payment count and total.
+
+    A customer with very many payments is split over tasks.
+    """
+    rows = V.view_customer_payments(ds).where(F.col("customer_id").isNotNull())
     paid = ds.payments
     if customer_id is not None:
         rows = rows.where(F.col("customer_id") == customer_id)
@@ -114,8 +118,9 @@ def payment_history(ds: Dataset, customer_id: int | None = None) -> DataFrame:
     name = F.trim(
         F.concat(F.coalesce("first_name", F.lit("")), F.lit(" "), F.coalesce("last_name", F.lit("")))
     )
+    hot = HotKeys(paid, [["customer_id"]], scale.hot_rows)
     return (
-        rows.join(totals, "customer_id")
+        look_up(rows, ["customer_id"], totals, ["customer_id"], hot)
         .select(
             "customer_id",
             name.alias("customer_name"),

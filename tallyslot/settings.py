@@ -55,6 +55,9 @@ class Scale:
     # A booking slot with more distinct candidate pairs than this is settled in
     # distributed rounds instead of one ordered pass.
     hot_slot_pairs: int = 200_000
+    # Requests that depend on each other are replayed by one ordered pass up to
+    # this number, per batch and then per component; above it rounds come first.
+    ordered_rows: int = 100_000
     # log2 of the widest slice a single window partition may cover.
     slice_bits: int = 20
 

@@ -190,37 +190,41 @@ DERIVED: dict[str, tuple[str, list[str]]] = {
             "CASE WHEN event_id % 4 <> 0 THEN props END AS details",
         ],
     ),
+    # One to three corrections per payment, in waves: each next one starts where the one before has moved the payment to,
+    # some move to instants that others leave, some back.
     "payment_corrections": (
-        "events",
+        "event_repeats",
         [
-            "event_id AS request_id",
+            "event_id + i * 10000000000 AS request_id",
             "user_id AS customer_id",
-            f"timestampadd(SECOND, IF(event_id % 10 = 7, 1, 0), {PAYMENT_TIME}) AS original_datetime",
-            f"timestampadd(MINUTE, IF(event_id % 4 = 1, 5, 0), {PAYMENT_TIME}) AS new_datetime",
+            f"timestampadd(MINUTE, CAST(IF(event_id % 4 = 1, 5 * i, 0) AS INT), timestampadd(SECOND, IF(event_id % 10 = 7, 1, 0), {PAYMENT_TIME})) "
+            "AS original_datetime",
+            f"timestampadd(MINUTE, CAST(CASE event_id % 4 WHEN 1 THEN 5 * (i + 1) WHEN 2 THEN -5 * i ELSE 0 END AS INT), {PAYMENT_TIME}) AS new_datetime",
             f"{EVENT_METHOD.format(other='CASH')} AS payment_method_code",
-            "CAST(CASE WHEN event_id % 13 = 0 THEN 0 WHEN event_id % 19 = 0 THEN NULL ELSE value + (event_id % 5 - 2) * 10 END "
+            "CAST(CASE WHEN (event_id + i) % 13 = 0 THEN 0 WHEN (event_id + i) % 19 = 0 THEN NULL ELSE value + (event_id % 5 - 2 + i) * 10 END "
             "AS DECIMAL(10,2)) AS amount",
-            "CASE WHEN event_id % 3 <> 0 THEN concat('corrected ', event_id) END AS details",
+            "CASE WHEN event_id % 3 <> 0 THEN concat('corrected ', event_id, ' ', i) END AS details",
         ],
     ),
     "cancel_requests": (
         "order_repeats",
         ["o_orderkey * 2 + i AS request_id", "o_orderkey + IF(o_orderkey % 31 = 0, 100000000, 0) AS lesson_id"],
     ),
-    # One update per lesson: a third move a day, a third become cancelled, some become completed.
+    # One to four updates per lesson, in waves over all lessons: moves by some days and to fewer staff, so that
+    # lessons hand slots on, cancellations, re-opened lessons, unknown lessons and bad prices.
     "lesson_changes": (
-        "lessons",
+        "lesson_repeats",
         [
-            "lesson_id AS request_id",
-            "lesson_id + IF(lesson_id % 37 = 0, 100000000, 0) AS lesson_id",
+            "lesson_id + i * 10000000000 AS request_id",
+            "lesson_id + IF((lesson_id + i) % 37 = 0, 100000000, 0) AS lesson_id",
             "customer_id",
-            "staff_id",
-            "vehicle_id",
-            "date_add(lesson_date, IF(lesson_id % 3 = 0, 1, 0)) AS lesson_date",
+            "staff_id - IF(i = 1, staff_id % 3, 0) AS staff_id",
+            "IF(i = 2, vehicle_id - vehicle_id % 2, vehicle_id) AS vehicle_id",
+            "date_add(lesson_date, CAST((lesson_id + i) % 3 * IF(lesson_id % 2 = 0, 1, -1) AS INT)) AS lesson_date",
             "lesson_time_sec",
-            "CAST(IF(lesson_id % 41 = 0, -1, price + lesson_id % 3) AS DECIMAL(10,2)) AS price",
-            "'changed' AS other_lesson_details",
-            "CASE WHEN lesson_id % 3 = 1 THEN 'CANC' WHEN lesson_id % 6 = 2 THEN 'COMP' END AS lesson_status_code",
+            "CAST(IF((lesson_id + i) % 41 = 0, -1, price + lesson_id % 3 + i) AS DECIMAL(10,2)) AS price",
+            "concat('change ', i) AS other_lesson_details",
+            "CASE (lesson_id + i) % 6 WHEN 1 THEN 'CANC' WHEN 2 THEN 'COMP' WHEN 4 THEN 'BOOK' END AS lesson_status_code",
         ],
     ),
     "address_requests": (
@@ -245,21 +249,22 @@ DERIVED: dict[str, tuple[str, list[str]]] = {
             "WHEN c_custkey % 3 = 0 THEN concat('ation_', c_nationkey % 10) ELSE substr(c_mktsegment, 1, 2) END AS needle",
         ],
     ),
-    # One add, update or delete per customer, with faults in the form fields.
+    # One to three adds, updates and deletes per customer, in waves, with faults in the form fields; later waves ask for
+    # addresses that earlier ones gave up.
     "customer_changes": (
-        "customer",
+        "customer_repeats",
         [
-            "c_custkey AS request_id",
-            "CASE c_custkey % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'update' ELSE 'delete' END AS op",
-            "CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS customer_id",
+            "c_custkey + i * 10000000000 AS request_id",
+            "CASE (c_custkey + i * (c_custkey % 5)) % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'update' ELSE 'delete' END AS op",
+            "CASE WHEN (c_custkey + i * (c_custkey % 5)) % 3 <> 0 THEN c_custkey END AS customer_id",
             "IF(c_custkey % 21 = 0, '  ', concat('New', c_custkey)) AS first_name",
             "c_name AS last_name",
             f"CASE WHEN c_custkey % 25 <> 0 THEN {day('1985-01-01', 'c_custkey % 5000')} END AS date_of_birth",
             f"{day('2024-01-01', 'c_custkey % 300')} AS date_became_customer",
             "IF(c_custkey % 26 = 0, 'NOPE', 'ACT') AS customer_status_code",
-            "CASE WHEN c_custkey % 12 = 0 THEN 'not-an-address' WHEN c_custkey % 10 = 1 THEN NULL "
-            "WHEN c_custkey % 9 = 2 THEN concat('shared', c_custkey div 50, '@example.ca') "
-            "WHEN c_custkey % 8 = 3 THEN concat(lower(c_mktsegment), '.', c_custkey, '@example.ca') "
+            "CASE WHEN (c_custkey + i) % 12 = 0 THEN 'not-an-address' WHEN (c_custkey + i) % 10 = 1 THEN NULL "
+            "WHEN (c_custkey + i) % 9 = 2 THEN concat('shared', c_custkey div 50, '@example.ca') "
+            "WHEN (c_custkey + i) % 8 = 3 THEN concat(lower(c_mktsegment), '.', c_custkey + IF(i = 2, 3, 0), '@example.ca') "
             "ELSE concat('new', c_custkey, '@example.ca') END AS email_address",
             "CASE c_custkey % 14 WHEN 3 THEN 'call me' WHEN 4 THEN '12345' WHEN 5 THEN NULL ELSE '+1 587 555 0100' END "
             "AS cell_mobile_phone_number",
@@ -372,7 +377,10 @@ def bind_star_schema(
         "order_repeats": lambda: src("orders").selectExpr(
             "o_orderkey", "explode(IF(o_orderkey % 4 = 0, array(0, 1), array(0))) AS i"
         ),
-        "lessons": lambda: derive("lessons"),
+        "lesson_repeats": lambda: derive("lessons").selectExpr("*", "explode(sequence(0L, lesson_id % 4)) AS i"),
+        # One or two corrections per payment request, and up to three changes per customer.
+        "event_repeats": lambda: src("events").selectExpr("*", "explode(sequence(0L, event_id % 3 div 2 + event_id % 5 div 4)) AS i"),
+        "customer_repeats": lambda: src("customer").selectExpr("*", "explode(sequence(0L, c_custkey % 3)) AS i"),
     }
 
     def derive(table: str) -> DataFrame:

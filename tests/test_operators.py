@@ -63,7 +63,7 @@ def test_percentiles_of_nothing_are_null(spark):
 
 
 # --- clamped balances ---------------------------------------------------------
-@pytest.mark.parametrize("scale", [PLAIN, TINY, Scale(hot_rows=3, slice_bits=20)])
+@pytest.mark.parametrize("scale", [PLAIN, TINY, Scale(hot_rows=25)])
 def test_running_balance_equals_loop(spark, scale):
     rng = random.Random(3)
     rows = []
@@ -153,9 +153,12 @@ LOCK = 15 * 60 * 1_000_000
 
 def _lockout_loop(rows):
     state, out = {}, {}
-    for aid, email, at, good, f0, l0 in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+    for aid, email, at, good, f0, l0, reset in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
         f, until = state.get(email, (f0, l0))
-        if until > at:
+        if reset:
+            f, until = 0, -1
+            out[aid] = ("reset", f, until)
+        elif until > at:
             out[aid] = ("locked", f, until)
         elif good:
             f, until = 0, -1
@@ -168,31 +171,46 @@ def _lockout_loop(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("scale", [PLAIN, TINY])
+def _check_lockout(spark, rows, scale):
+    df = spark.createDataFrame(
+        rows, "attempt_id long, email string, at long, good boolean, failures_in long, locked_in long, reset boolean"
+    ).withColumn("user_id", F.lit(1).cast("long"))
+    done = lockout(df, 5, 15, scale).collect()
+    want = _lockout_loop(rows)
+    assert len(done) == len(rows)
+    for r in done:
+        status, failures, until = want[r.attempt_id]
+        assert (r.status, r.failures) == (status, failures), r
+        if status == "locked" or until > r.at:
+            assert r.locked_until == until
+    return want
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("scale", [PLAIN, TINY, Scale(hot_rows=40)])
 def test_lockout_equals_loop(spark, seed, scale):
-    """Dense and sparse attempts, ties, stored failures and stored locks."""
+    """Dense and sparse attempts, ties, stored failures, stored locks and new passwords."""
     rng = random.Random(seed)
     rows = []
     for e in range(6):
         good_share = [0.0, 0.02, 0.1, 0.3, 0.6, 0.0][e]
+        reset_share = [0.0, 0.01, 0.05, 0.1, 0.0, 0.004][e] if seed % 3 else 0.0
         step = [LOCK // 40, LOCK // 7, LOCK // 3, LOCK * 2, LOCK // 11, LOCK // 200][e]
         f0, l0 = rng.choice([0, 0, 3, 7]), rng.choice([-1, -1, LOCK * 3])
         at = 0
         for _ in range(2 if e == 3 and seed == 0 else 250):
             at += 0 if rng.random() < 0.1 else rng.randint(1, 2 * step)
-            rows.append((len(rows), f"u{e}", at, rng.random() < good_share, f0, l0))
-    df = spark.createDataFrame(
-        rows, "attempt_id long, email string, at long, good boolean, failures_in long, locked_in long"
-    ).withColumn("user_id", F.lit(1).cast("long"))
-    done = lockout(df, 5, 15, scale, locks_per_block=2).collect()
-    want = _lockout_loop(rows)
-    assert len(done) == len(rows)
-    for r in done:
-        status, failures, until = want[r.attempt_id]
-        assert (r.status, r.failures) == (status, failures), r
-        if status == "locked" or until > r.at:
-            assert r.locked_until == until
+            rows.append((len(rows), f"u{e}", at, rng.random() < good_share, f0, l0, rng.random() < reset_share))
+    _check_lockout(spark, rows, scale)
+
+
+def test_attack_inside_one_lock_period(spark):
+    """Twenty thousand attempts in one lock period are many blocks; a new password inside it opens the account again."""
+    n = 20_000
+    rows = [(i, "u", 100 + i // 3, False, 0, -1, i == 15_001) for i in range(n)]
+    rows.append((n, "u", 100 + LOCK + 10 + n, True, 0, -1, False))
+    want = _check_lockout(spark, rows, Scale(hot_rows=1500))
+    assert [want[i][0] for i in (4, 5, 15_000, 15_001, 15_002, 15_007, n)] == ["bad password", "locked", "locked", "reset", "bad password", "locked", "ok"]
 
 
 # --- keyed operators ----------------------------------------------------------

@@ -233,11 +233,13 @@ def test_update_lessons(spark, ds):
     )
     done = L.update_lessons(ds, asked)
     assert reasons(done) == {
-        1: None, 2: "lesson_missing", 3: "staff_conflict", 4: None, 5: "staff_conflict", 6: "repeated_request", 7: "price_invalid",
-        8: None,  # a refused request for the same lesson does not stand in its way
+        1: None, 2: "lesson_missing", 3: "staff_conflict", 4: None, 5: "staff_conflict",
+        6: None,  # the second update of a lesson finds what the first has left
+        7: "price_invalid", 8: None,
     }
     after = {r.lesson_id: (r.lesson_status_code, float(r.price), r.other_lesson_details) for r in L.updated_lessons(ds, done).collect()}
     assert after[3] == ("BOOK", 90.0, "n") and after[12] == ("CONF", 75.0, None) and len(after) == 14
+    assert {r.lesson_id: str(r.lesson_date) for r in L.updated_lessons(ds, done).collect()}[12] == "2026-07-02"
     assert [tuple(r) for r in L.update_audit(done).collect()] == [(12, "BOOK", "CONF")]
 
 
