@@ -7,8 +7,8 @@ order, and everything computed for a prefix stays valid for the next word up to
 
 For each prefix the forward state is the best path's score and last piece. The model is a merge model (BPE), whose
 result is the one path all of whose neighbouring pieces survive the merges of the two together; so a transition is
-allowed only for such pairs (remembered per pair), and of the paths allowed the better score stands. Pieces ending
-at a character come from an automaton over all pieces, so that a character costs one step and a few candidates.
+allowed only for such pairs (remembered per pair), which leaves one path at most: scores are carried along but never
+have to decide. Pieces ending at a character come from an automaton over all pieces, so that a character costs one step and a few candidates.
 Characters without a piece become byte pieces. The ids equal the library's.
 
 Defined cases. Null and empty texts have no pieces. A word mark in a text decodes to a blank, as in the library.
@@ -23,12 +23,14 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tallyslot.llm.common import Numbering, annotate, flat_ranges, number_words
+from tallyslot.llm.common import Numbering, annotate, flat_ranges, number_words, slices
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Words whose pieces, and pairs whose fate, a task remembers before it starts over.
-REMEMBERED, PAIRS = 300_000, 600_000
+REMEMBERED, PAIRS = 150_000, 300_000
+#: Characters of text whose words are held at once.
+RUN_CHARS = 1_000_000
 
 
 class Pieces:
@@ -118,7 +120,8 @@ class TrieEncoder:
     def __init__(self, model: str):
         self.pieces = Pieces(model)
         self.spelled = {i: p for p, i in self.pieces.ids.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.size = len(self.pieces.lengths)
+        self.pairs: dict[int, bool] = {}  # by left * size + right
         self.forget()
 
     def forget(self) -> None:
@@ -127,7 +130,7 @@ class TrieEncoder:
 
     def survives(self, left: int, right: int) -> bool:
         """Do the merges of two pieces' characters end in just these two? left < 0: nothing to merge with."""
-        key = (left, right)
+        key = left * self.size + right
         found = self.pairs.get(key)
         if found is None:
             p = self.spelled[right]
@@ -142,7 +145,7 @@ class TrieEncoder:
         """Pieces of each of some distinct words, in the order given."""
         p = self.pieces
         step, ending, lengths, scores = p.step, p.ending, p.lengths, p.scores
-        survives, pairs = self.survives, self.pairs
+        survives, pairs, size = self.survives, self.pairs, self.size
         out: list[list[int]] = [[]] * len(words)
         states, last, total = [0], [-1], [0.0]  # by number of characters read; last -1: a boundary without merges
         before = ""
@@ -162,12 +165,13 @@ class TrieEncoder:
                     if start < 0:
                         continue
                     left = last[start]
-                    ok = pairs.get((left, piece))
+                    ok = pairs.get(left * size + piece)
                     if ok is None:
                         ok = survives(left, piece)
-                    if ok and total[start] + scores[piece] > value:
+                    if ok:
+                        # The merges of a word end in one way only, so no second piece survives here.
                         best, value = piece, total[start] + scores[piece]
-                        break  # only one path survives
+                        break
                 states.append(state)
                 last.append(best)
                 total.append(value)
@@ -191,6 +195,10 @@ class TrieEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
+        got = [self.encode_run(texts[lo:hi]) for lo, hi in slices(texts, RUN_CHARS)]
+        return np.concatenate([np.zeros(0, np.int32), *(i for i, _ in got)]), np.concatenate([np.zeros(0, np.int64), *(n for _, n in got)])
+
+    def encode_run(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.numbers) > REMEMBERED:
             self.forget()
         split = [WORDS.findall(self.pieces.processor.normalize(t)) if t else [] for t in texts]
