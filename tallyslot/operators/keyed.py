@@ -27,13 +27,16 @@ def flag_first(df: DataFrame, keys: Iterable[str], unique_id: str, out: str, whe
 class HotKeys:
     """Values of some key columns that more than ``most`` rows share, each with the number of cuts that it needs.
 
-    All key columns are counted by one job, combined before the shuffle. Values
+    Only a table of more than ``most`` rows can have one. Then all key columns are
+    counted by one job, combined before the shuffle. Values
     are told apart by their hash: another value of one hash is cut without need,
     which changes no result. There are at most rows / ``most`` of them a key.
     """
 
     def __init__(self, df: DataFrame, keys: Iterable[Iterable[str]], most: int):
-        self.session, self.keys = df.sparkSession, [tuple(k) for k in keys]
+        self.keys, self.any = [tuple(k) for k in keys], set()
+        if df.count() <= most:
+            return
         named = [
             F.when(_complete(k), F.struct(F.lit(i).alias("i"), F.xxhash64(*k).alias("h"))) for i, k in enumerate(self.keys)
         ]

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -29,7 +29,8 @@ from tallyslot.sources.workdir import materialise
 LEAST_GAIN = 1 / 16
 ROUNDS_BETWEEN = 4
 
-State = dict[str, str | None]
+#: Values are text or numbers; on the way between tasks they are text.
+State = dict[str, str | int | None]
 
 
 class Machine(Protocol):
@@ -38,6 +39,9 @@ class Machine(Protocol):
     #: The answer's columns, as DDL.
     answer: str
 
+    def held(self, ask: dict) -> list[tuple[str, str | None]]:
+        """The keys that the request names or that its row holds in the stored tables, with their stored values."""
+
     def step(self, state: State, ask: dict) -> tuple:
         """Answer ``ask`` from the state and write what it changes."""
 
@@ -45,23 +49,42 @@ class Machine(Protocol):
         """Keys that a request on ``key`` may also free, given its value."""
 
 
-def entries(*pairs: tuple[Column, Column]) -> list[Column]:
-    """The columns ``keys`` and ``values`` from (key, value) pairs; pairs without a key fall out, a key counts once."""
-    named = F.array(*[F.struct(key.alias("k"), value.cast("string").alias("v")) for key, value in pairs])
-    held = F.array_distinct(F.filter(named, lambda e: e["k"].isNotNull()))
-    return [F.transform(held, lambda e: e["k"]).alias("keys"), F.transform(held, lambda e: e["v"]).alias("values")]
-
-
 def sharing(requests: DataFrame) -> DataFrame:
     """``request_id`` of the requests that share a key with another request; ``requests`` has ``request_id, keys``.
 
     Each key keeps only its least and largest request, so a key that very many
-    requests share is combined before the shuffle.
+    requests share is combined before the shuffle. Keys may be hashes: two keys
+    of one hash only add requests to the result.
     """
     touched = requests.select("request_id", F.explode("keys").alias("key"))
     shared = touched.groupBy("key").agg(F.min("request_id").alias("_a"), F.max("request_id").alias("_b")).where("_a <> _b")
-    shared = materialise(shared.select("key"), "shared-keys")
-    return touched.join(shared, "key", "left_semi").select("request_id").distinct()
+    return touched.join(shared.select("key"), "key", "left_semi").select("request_id").distinct()
+
+
+def _text(value: str | int | None) -> str | None:
+    return None if value is None else str(value)
+
+
+def _dicts(structs: pa.StructArray) -> Iterator[dict]:
+    """The rows of a struct column, made from whole columns."""
+    names = [field.name for field in structs.type]
+    return (dict(zip(names, row)) for row in zip(*(c.to_pylist() for c in structs.flatten()), strict=True))
+
+
+def _with_keys(requests: DataFrame, machine: Machine) -> DataFrame:
+    """``request_id, keys, values``."""
+    schema = T._parse_datatype_string("request_id long, keys array<string>, values array<string>")
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+
+    def run(batches):
+        for batch in batches:
+            held = [dict(machine.held(ask)) for ask in _dicts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([list(h) for h in held], kinds[1]), pa.array([[_text(v) for v in h.values()] for h in held], kinds[2])],
+                names=schema.names,
+            )
+
+    return requests.select("request_id", "ask").mapInArrow(run, schema)
 
 
 def _links(requests: DataFrame) -> DataFrame:
@@ -72,7 +95,7 @@ def _links(requests: DataFrame) -> DataFrame:
 
 
 def _in_order(requests: DataFrame, machine: Machine) -> DataFrame:
-    """Replay components (``component, request_id, keys, values, ask``), each in one streaming pass.
+    """Replay components (``component, request_id, ask``, and ``keys, values`` where they are known), each in one streaming pass.
 
     A task holds the values of the keys of one component at a time.
     """
@@ -85,16 +108,18 @@ def _in_order(requests: DataFrame, machine: Machine) -> DataFrame:
         state, current = {}, None
         for batch in batches:
             out = []
-            for component, request, keys, values, ask in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            component_of, request_of, asked, *rest = batch.columns
+            known_of = [c.to_pylist() for c in rest]
+            for component, request, ask, *known in zip(component_of.to_pylist(), request_of.to_pylist(), _dicts(asked), *known_of, strict=True):
                 if component != current:
                     state, current = {}, component
-                for key, value in zip(keys, values, strict=True):
+                for key, value in zip(*known, strict=True) if known else machine.held(ask):
                     state.setdefault(key, value)
                 out.append((request, *machine.step(state, ask)))
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    placed = requests.select("component", "request_id", "keys", "values", "ask")
+    placed = requests.select("component", "request_id", "ask", *[c for c in ("keys", "values") if c in requests.columns])
     placed = placed.repartition("component").sortWithinPartitions("component", "request_id")
     return placed.mapInArrow(run, schema)
 
@@ -119,14 +144,16 @@ def _round(ready: DataFrame, machine: Machine) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for request, keys, values, ask in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            *plain, asked = batch.columns
+            for request, keys, values, ask in zip(*(c.to_pylist() for c in plain), _dicts(asked), strict=True):
                 before = dict(zip(keys, values, strict=True))
                 state = dict(before)
                 said = dict(zip(fields, machine.step(state, ask), strict=True))
                 changed = {k for k, v in state.items() if v != before.get(k)}
                 more = {k: machine.leads_to(k, state[k]) for k in changed}
                 changed |= {m for ms in more.values() for m in ms}
-                held = [{"key": k, "value": state.get(k), "more": [{"key": m, "value": state.get(m)} for m in more.get(k, ())]} for k in changed]
+                now = {k: _text(state.get(k)) for k in changed}
+                held = [{"key": k, "value": now[k], "more": [{"key": m, "value": now[m]} for m in more.get(k, ())]} for k in changed]
                 out.append((request, said, held))
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=schema.names)
@@ -151,22 +178,17 @@ def _after(requests: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def replay(requests: DataFrame, machine: Machine, scale: Scale = Scale()) -> DataFrame:
-    """``request_id`` and the machine's answer for every request of ``request_id, keys, values, ask``.
+    """``request_id`` and the machine's answer for every request of ``request_id, ask``.
 
-    ``keys`` are the distinct keys that the request names or that the row it
-    changes holds in the stored tables, ``values`` their stored values as text
-    (NULL: absent). A batch of up to ``scale.ordered_rows`` requests is one
-    ordered pass, and so is each component of that size.
+    A batch of up to ``scale.ordered_rows`` requests is one ordered pass, and so is
+    each component of that size.
     """
     requests = materialise(requests, "replay")
-    asks = requests.select("request_id", "ask")
-    answered = []
-
-    def finish(part: DataFrame) -> None:
-        answered.append(_in_order(part, machine))
-
-    opened, gain = requests, 1.0
     n_open = requests.count()
+    if n_open <= scale.ordered_rows:
+        return _in_order(requests.withColumn("component", F.lit(0).cast("long")), machine)
+    answered, gain = [], 1.0
+    asks, opened = requests, materialise(_with_keys(requests, machine), "replay-open")
     while n_open > scale.ordered_rows:
         labels = materialise(
             components(_links(opened), "request_id", "_first").select(F.col("node").alias("request_id"), "component"), "replay-components"
@@ -175,20 +197,20 @@ def replay(requests: DataFrame, machine: Machine, scale: Scale = Scale()) -> Dat
         large = labels.groupBy("component").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > scale.ordered_rows)
         large = materialise(large.select("component"), "replay-large")
         if gain < LEAST_GAIN or large.isEmpty():
-            finish(named)
+            answered.append(_in_order(named.join(asks, "request_id"), machine))
             return _union(answered)
-        finish(named.join(large, "component", "left_anti"))
-        opened = materialise(named.join(large, "component", "left_semi").select("request_id", "keys", "values", "ask"), "replay-open")
+        answered.append(_in_order(named.join(large, "component", "left_anti").join(asks, "request_id"), machine))
+        opened = materialise(named.join(large, "component", "left_semi").select("request_id", "keys", "values"), "replay-open")
         n_open = opened.count()
         for _ in range(ROUNDS_BETWEEN):
             if n_open <= scale.ordered_rows or gain < LEAST_GAIN:
                 break
-            done = materialise(_round(_ready(opened), machine), "replay-done")
+            done = materialise(_round(_ready(opened).join(asks, "request_id"), machine), "replay-done")
             answered.append(done.select("request_id", "_answer.*"))
-            opened = materialise(_after(opened, done).join(asks, "request_id"), "replay-open")
+            opened = materialise(_after(opened, done), "replay-open")
             left = opened.count()
             gain, n_open = (n_open - left) / n_open, left
-    finish(opened.withColumn("component", F.lit(0).cast("long")))
+    answered.append(_in_order(opened.withColumn("component", F.lit(0).cast("long")).join(asks, "request_id"), machine))
     return _union(answered)
 
 

@@ -133,7 +133,7 @@ SELECT lesson_id + n.i * 10000000000 AS request_id, CASE WHEN (lesson_id + n.i)
   lesson_time_sec, CAST(CASE WHEN (lesson_id + n.i) % 41 = 0 THEN -1 ELSE price + lesson_id % 3 + n.i END AS DECIMAL(10,2)) AS price,
   CONCAT('change ', n.i) AS other_lesson_details,
   CASE (lesson_id + n.i) % 6 WHEN 1 THEN 'CANC' WHEN 2 THEN 'COMP' WHEN 4 THEN 'BOOK' END AS lesson_status_code
-FROM d_lessons JOIN (VALUES (0), (1), (2), (3)) AS n(i) ON n.i <= lesson_id % 4""",
+FROM d_lessons JOIN (VALUES (0), (1), (2), (3)) AS n(i) ON n.i <= CASE WHEN lesson_id % 4 = 0 THEN lesson_id // 4 % 4 ELSE 0 END""",
     "d_address_requests": """
 SELECT c_custkey AS request_id, r_name AS city, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'Canada' END AS country,
   CONCAT('', n_nationkey) AS line_1_number_building, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_name END AS line_2_number_street,
@@ -161,7 +161,7 @@ SELECT c_custkey + n.i * 10000000000 AS request_id,
   CASE WHEN c_custkey % 16 <> 0 THEN CONCAT('B', c_custkey % 90) END AS line_1_number_building,
   CASE WHEN c_custkey % 4 <> 0 THEN 'Calgary' END AS city,
   CASE WHEN c_custkey % 4 <> 0 THEN CONCAT('T', c_custkey % 90) END AS zip_postcode
-FROM customer JOIN (VALUES (0), (1), (2)) AS n(i) ON n.i <= c_custkey % 3""",
+FROM customer JOIN (VALUES (0), (1), (2)) AS n(i) ON n.i <= CASE WHEN c_custkey % 2 = 0 THEN c_custkey // 2 % 3 ELSE 0 END""",
     "d_staff_changes": """
 SELECT s_suppkey * 4 + i AS request_id,
   CASE WHEN s_suppkey % 4 = 0 THEN 'add' WHEN s_suppkey % 4 = 3 AND i = s_suppkey % 3 THEN 'delete' ELSE 'update' END AS op,

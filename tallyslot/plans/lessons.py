@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from tallyslot.operators import slots
 from tallyslot.operators.balance import charge_only
 from tallyslot.operators.keyed import HotKeys, apply_changes, flag_first, flag_known, look_up
 from tallyslot.operators.previous import with_previous
-from tallyslot.operators.replay import State, entries, replay, sharing
+from tallyslot.operators.replay import State, replay, sharing
 from tallyslot.operators.sequence import numbered
 from tallyslot.settings import Clock, Scale
 from tallyslot.sources.dataset import Dataset
@@ -165,21 +167,32 @@ class _Moves:
 
     answer = "reason string, old_status string"
 
+    def held(self, ask: dict) -> list[tuple[str, str | int]]:
+        own = f"{ask['own_staff'] or ''}|{ask['own_vehicle'] or ''}|{ask['own_status'] or ''}"
+        slots = [(ask[c], ask[n]) for c, n in self.COUNTED if ask[c]]
+        return [(f"L{ask['lesson']}", own), *slots]
+
+    COUNTED = (("staff", "staff_n"), ("vehicle", "vehicle_n"), ("own_staff", "own_staff_n"), ("own_vehicle", "own_vehicle_n"))
+
     def step(self, state: State, ask: dict) -> tuple:
-        staff, vehicle, status = state[ask["lesson"]].split("|")
-        held = [staff, vehicle] if self.leads_to(ask["lesson"], state[ask["lesson"]]) else ["", ""]
-        reason = ask["fault"]
-        for wanted, own, conflict in ((ask["vehicle"], held[1], "vehicle_conflict"), (ask["staff"], held[0], "staff_conflict")):
-            if wanted and int(state[wanted] or 0) > (own == wanted):
-                reason = conflict
+        row, staff, vehicle, reason = f"L{ask['lesson']}", ask["staff"], ask["vehicle"], ask["fault"]
+        own_staff, own_vehicle, status = state[row].split("|")
+        if status in ("", S.CANCELLED):
+            own_staff = own_vehicle = ""
+        if staff and int(state[staff]) > (own_staff == staff):
+            reason = "staff_conflict"
+        elif vehicle and int(state[vehicle]) > (own_vehicle == vehicle):
+            reason = "vehicle_conflict"
         if reason is None:
-            new = [ask["staff"] or "", ask["vehicle"] or "", ask["status"] or status]
-            state[ask["lesson"]] = "|".join(new)
-            for slot in held:
+            new = ask["status"] or status
+            state[row] = f"{staff or ''}|{vehicle or ''}|{new}"
+            for slot in (own_staff, own_vehicle):
                 if slot:
-                    state[slot] = str(int(state[slot]) - 1)
-            for slot in self.leads_to(ask["lesson"], state[ask["lesson"]]):
-                state[slot] = str(int(state[slot] or 0) + 1)
+                    state[slot] = int(state[slot]) - 1
+            if new not in ("", S.CANCELLED):
+                for slot in (staff, vehicle):
+                    if slot:
+                        state[slot] = int(state[slot]) + 1
         return reason, status or None
 
     def leads_to(self, key: str, value: str | None) -> list[str]:
@@ -189,9 +202,10 @@ class _Moves:
         return [slot for slot in held if slot and status not in ("", S.CANCELLED)]
 
 
-def _slot_name(kind: str, resource: str, slot: str) -> Column:
-    """A slot of a staff member or vehicle as text; NULL where there is none."""
-    return F.concat(F.lit(kind), F.col(resource).cast("string"), F.lit("@"), F.col(slot).cast("string"))
+def _named(kind: str, *columns: str) -> Column:
+    """The hash of a lesson, or of a slot of a staff member or vehicle; NULL where there is none."""
+    there = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    return F.when(there, F.xxhash64(F.lit(kind), *columns))
 
 
 def update_lessons(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> DataFrame:
@@ -234,52 +248,39 @@ def update_lessons(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) ->
             ]
         ).alias("_early"),
         X.first_failure([("price_invalid", ~F.coalesce(F.col("price") >= 0, F.lit(False))), ("unknown_reference", unknown_ref)]).alias("_late"),
-        _slot_name("S", "staff_id", "_slot").alias("_staff_slot"),
-        _slot_name("V", "vehicle_id", "_slot").alias("_vehicle_slot"),
-        _slot_name("S", "_old_staff", "_old_slot").alias("_own_staff_slot"),
-        _slot_name("V", "_old_vehicle", "_old_slot").alias("_own_vehicle_slot"),
     )
     rows = rows.withColumn("_holds", F.coalesce(F.col("_old_status") != S.CANCELLED, F.lit(False)))
     rows = materialise(rows, "update-checked")
 
-    named = F.concat(F.lit("L"), F.col("lesson_id").cast("string"))
-    held = [F.when(F.col("_holds"), F.col(c)) for c in ("_own_staff_slot", "_own_vehicle_slot")]
-    touched = F.array_distinct(F.array_compact(F.array(named, F.col("_staff_slot"), F.col("_vehicle_slot"), *held)))
-    linked = sharing(rows.where(F.col("_early").isNull()).select("request_id", touched.alias("keys")))
-    linked = materialise(linked, "update-linked")
+    touched = [_named("L", "lesson_id"), _named("S", "staff_id", "_slot"), _named("V", "vehicle_id", "_slot")]
+    touched += [F.when(F.col("_holds"), _named(k, c, "_old_slot")) for k, c in (("S", "_old_staff"), ("V", "_old_vehicle"))]
+    linked = sharing(rows.where(F.col("_early").isNull()).select("request_id", F.array_distinct(F.array_compact(F.array(*touched))).alias("keys")))
 
-    open_rows = rows.join(linked, "request_id", "left_semi")
+    open_rows = materialise(rows.join(linked, "request_id", "left_semi"), "update-linked")
     hot = HotKeys(open_rows, [["_old_staff", "_old_slot"], ["_old_vehicle", "_old_slot"]], scale.hot_rows)
     for resource, old, out in (("staff_id", "_old_staff", "_own_staff_n"), ("vehicle_id", "_old_vehicle", "_own_vehicle_n")):
         open_rows = slots.with_holders(open_rows, ds.lessons, resource, S.CANCELLED, out, old, "_old_slot", hot, "request_id")
-    stored = F.concat_ws(
-        "|", *[F.coalesce(c, F.lit("")) for c in ("_own_staff_slot", "_own_vehicle_slot", "_old_status")]
-    )
-    asked = open_rows.select(
-        "request_id",
-        *entries(
-            (named, stored), (F.col("_staff_slot"), F.col("_staff_held")), (F.col("_vehicle_slot"), F.col("_vehicle_held")),
-            (held[0], F.col("_own_staff_n")), (held[1], F.col("_own_vehicle_n")),
-        ),
-        F.struct(
-            named.alias("lesson"), F.col("_staff_slot").alias("staff"), F.col("_vehicle_slot").alias("vehicle"),
-            F.col("lesson_status_code").alias("status"), F.col("_late").alias("fault"),
-        ).alias("ask"),
-    )
+    plain = {
+        "lesson": "lesson_id", "staff_n": "_staff_held", "vehicle_n": "_vehicle_held", "own_staff_n": "_own_staff_n", "own_vehicle_n": "_own_vehicle_n",
+        "own_status": "_old_status", "status": "lesson_status_code", "fault": "_late",
+    }
+    named = {"staff": ("S", "staff_id", "_slot"), "vehicle": ("V", "vehicle_id", "_slot"), "own_staff": ("S", "_old_staff", "_old_slot"), "own_vehicle": ("V", "_old_vehicle", "_old_slot")}
+    named = [F.concat(F.lit(kind), F.col(of).cast("string"), F.lit("@"), F.col(slot).cast("string")).alias(n) for n, (kind, of, slot) in named.items()]
+    asked = open_rows.select("request_id", F.struct(*named, *[F.col(c).alias(n) for n, c in plain.items()]).alias("ask"))
     replayed = replay(asked, _Moves(), scale).select(
         "request_id", F.col("reason").alias("_said"), F.col("old_status").alias("_found"), F.lit(True).alias("_replayed")
     )
 
-    def taken(count: str, wanted: str, own_slot: str) -> Column:
-        mine = F.when(F.col("_holds") & (F.col(wanted) == F.col(own_slot)), 1).otherwise(0)
+    def taken(count: str, wanted: str, own: str) -> Column:
+        mine = F.when(F.col("_holds") & (F.col("_slot") == F.col("_old_slot")) & (F.col(wanted) == F.col(own)), 1).otherwise(0)
         return F.col(count) - mine > 0
 
     alone = F.coalesce(
         F.col("_early"),
         X.first_failure(
             [
-                ("staff_conflict", taken("_staff_held", "_staff_slot", "_own_staff_slot")),
-                ("vehicle_conflict", taken("_vehicle_held", "_vehicle_slot", "_own_vehicle_slot")),
+                ("staff_conflict", taken("_staff_held", "staff_id", "_old_staff")),
+                ("vehicle_conflict", taken("_vehicle_held", "vehicle_id", "_old_vehicle")),
             ]
         ),
         F.col("_late"),

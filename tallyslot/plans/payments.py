@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyslot.functions import exprs as X
 from tallyslot.operators.balance import charge_only, final_balance, running_balance
 from tallyslot.operators.keyed import HotKeys, flag_first, flag_known, look_up
-from tallyslot.operators.replay import State, entries, replay, sharing
+from tallyslot.operators.replay import State, replay, sharing
 from tallyslot.settings import Scale
 from tallyslot.sources.dataset import Dataset
 from tallyslot.sources.workdir import materialise
@@ -102,11 +102,17 @@ class _Corrections:
 
     answer = "reason string, old_amount string, stored_at string"
 
+    @staticmethod
+    def _keys(ask: dict) -> list[str]:
+        return [f"{ask['customer']}@{ask[c]}" for c in ("here", "there")]
+
+    def held(self, ask: dict) -> list[tuple[str, str | None]]:
+        paid = [f"{ask[n]}|{ask[c]}" if ask[n] is not None else None for n, c in (("here_paid", "here"), ("there_paid", "there"))]
+        return list(zip(self._keys(ask), paid, strict=True))
+
     def step(self, state: State, ask: dict) -> tuple:
-        here, there = ask["here"], ask["there"]
-        if ask["early"]:
-            return ask["early"], None, None
-        if here is None or state[here] is None:
+        here, there = self._keys(ask)
+        if state[here] is None:
             return "payment_not_found", None, None
         if ask["amount"] is None:
             return "amount_null", None, None
@@ -141,25 +147,17 @@ def correct(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> DataFra
     rows = rows.withColumn("_early", X.first_failure([("amount_not_positive", F.col("amount") <= 0), ("method_unknown", ~F.col("_method"))]))
     rows = materialise(rows, "corrections")
 
-    here, there = (F.concat_ws("@", "customer_id", X.micros(at)) for at in ("original_datetime", "new_datetime"))
-    here = F.when(F.col("original_datetime").isNotNull() & F.col("customer_id").isNotNull(), here)
-    there = F.when(F.col("new_datetime").isNotNull() & F.col("customer_id").isNotNull(), there)
-    moving = rows.where(F.col("_early").isNull() & F.col("original_datetime").isNotNull() & F.col("new_datetime").isNotNull())
-    linked = materialise(
-        sharing(moving.select("request_id", F.array_distinct(F.array_compact(F.array(here, there))).alias("keys"))), "corrections-linked"
+    moving = rows.where(
+        F.col("_early").isNull() & F.col("customer_id").isNotNull() & F.col("original_datetime").isNotNull() & F.col("new_datetime").isNotNull()
     )
-
-    def stored(amount: str, at: str) -> Column:
-        return F.concat_ws("|", F.col(amount).cast("string"), F.col(at).cast("string"))
-
-    asked = rows.join(linked, "request_id", "left_semi").select(
+    touched = F.array_distinct(F.array(*[F.xxhash64("customer_id", at) for at in places]))
+    linked = sharing(moving.select("request_id", touched.alias("keys")))
+    asked = moving.join(linked, "request_id", "left_semi").select(
         "request_id",
-        *entries(
-            (here, F.when(F.col("_here").isNotNull(), stored("_here", "original_datetime"))),
-            (there, F.when(F.col("_there").isNotNull(), stored("_there", "new_datetime"))),
-        ),
         F.struct(
-            here.alias("here"), there.alias("there"), F.col("amount").cast("string").alias("amount"), F.col("_early").alias("early")
+            F.col("customer_id").alias("customer"), F.col("original_datetime").cast("string").alias("here"),
+            F.col("new_datetime").cast("string").alias("there"), F.col("amount").cast("string").alias("amount"),
+            F.col("_here").cast("string").alias("here_paid"), F.col("_there").cast("string").alias("there_paid"),
         ).alias("ask"),
     )
     said = replay(asked, _Corrections(), scale).select(

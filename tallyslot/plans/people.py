@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyslot.functions import exprs as X
 from tallyslot.operators.keyed import HotKeys, apply_changes, flag_first, flag_known, look_up
-from tallyslot.operators.replay import State, entries, replay, sharing
+from tallyslot.operators.replay import State, replay, sharing
 from tallyslot.operators.references import delete_rows, restricting_keys
 from tallyslot.operators.sequence import numbered
 from tallyslot.settings import Scale
@@ -89,22 +89,31 @@ class _CustomerRows:
 
     answer = "reason string, missing boolean"
 
+    @staticmethod
+    def _keys(ask: dict) -> list[str | None]:
+        return [None if ask[c] is None else f"{k}{ask[c]}" for k, c in (("C", "row"), ("E", "email"))]
+
+    def held(self, ask: dict) -> list[tuple[str, str | None]]:
+        row, wanted = self._keys(ask)
+        own = ask["own_email"]
+        found = [(row, own and f"E{own}")] if row else []
+        found += [(wanted, str(ask["owners"] or 0))] if wanted else []
+        return found + ([(f"E{own}", str(ask["own_owners"] or 0))] if own else [])
+
     def step(self, state: State, ask: dict) -> tuple:
-        row, wanted = ask["row"], ask["email"]
-        if ask["refused"]:
-            return ask["refused"], False
+        row, wanted = self._keys(ask)
         if row is not None and state[row] is None:
             return None, True
         held = state[row] if row is not None else ""
         if ask["op"] != "delete":
             if ask["fault"]:
                 return ask["fault"], False
-            if wanted and wanted != held and int(state[wanted] or 0) > 0:
+            if wanted and wanted != held and int(state[wanted]) > 0:
                 return "email_taken", False
         if held:
             state[held] = str(int(state[held]) - 1)
         if ask["op"] != "delete" and wanted:
-            state[wanted] = str(int(state[wanted] or 0) + 1)
+            state[wanted] = str(int(state[wanted]) + 1)
         if row is not None:
             state[row] = None if ask["op"] == "delete" else wanted or ""
         return None, False
@@ -161,19 +170,17 @@ def change_customers(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -
     rows = materialise(rows, "customer-checks")
 
     changing = (F.col("op") != "add") & F.col("customer_id").isNotNull()
-    named = F.when(changing, F.concat(F.lit("C"), F.col("customer_id").cast("string")))
-    wanted = F.when(is_form, F.concat(F.lit("E"), F.col("email_address")))
-    own = F.when(F.col("_own_email") != "", F.concat(F.lit("E"), F.col("_own_email")))
+    named = F.when(changing, F.col("customer_id"))
+    wanted = F.when(is_form, F.col("email_address"))
+    own = F.when(changing, F.col("_own_email"))
     open_rows = rows.where(F.col("_refused").isNull())
-    linked = sharing(open_rows.select("request_id", F.array_distinct(F.array_compact(F.array(named, wanted, own))).alias("keys")))
-    asked = open_rows.join(materialise(linked, "customer-linked"), "request_id", "left_semi").select(
+    hashed = [F.when(named.isNotNull(), F.xxhash64(F.lit("C"), named)), *[F.when(e != "", F.xxhash64(F.lit("E"), e)) for e in (wanted, own)]]
+    linked = sharing(open_rows.select("request_id", F.array_distinct(F.array_compact(F.array(*hashed))).alias("keys")))
+    asked = open_rows.join(linked, "request_id", "left_semi").select(
         "request_id",
-        *entries(
-            (named, F.when(F.col("_own_email").isNotNull(), F.coalesce(own, F.lit("")))),
-            (wanted, F.coalesce("_owners_wanted", F.lit(0))), (own, F.coalesce("_owners_own", F.lit(0))),
-        ),
         F.struct(
-            "op", named.alias("row"), wanted.alias("email"), F.col("_refused").alias("refused"), F.col("_late").alias("fault")
+            "op", named.alias("row"), wanted.alias("email"), own.alias("own_email"), F.col("_owners_wanted").alias("owners"),
+            F.col("_owners_own").alias("own_owners"), F.col("_late").alias("fault"),
         ).alias("ask"),
     )
     said = replay(asked, _CustomerRows(), scale).select(

@@ -57,7 +57,7 @@ class Scale:
     hot_slot_pairs: int = 200_000
     # Requests that depend on each other are replayed by one ordered pass up to
     # this number, per batch and then per component; above it rounds come first.
-    ordered_rows: int = 100_000
+    ordered_rows: int = 500_000
     # log2 of the widest slice a single window partition may cover.
     slice_bits: int = 20
 

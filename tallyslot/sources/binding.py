@@ -210,7 +210,7 @@ DERIVED: dict[str, tuple[str, list[str]]] = {
         "order_repeats",
         ["o_orderkey * 2 + i AS request_id", "o_orderkey + IF(o_orderkey % 31 = 0, 100000000, 0) AS lesson_id"],
     ),
-    # One to four updates per lesson, in waves over all lessons: moves by some days and to fewer staff, so that
+    # One to four updates of some lessons and one of the others, in waves over all lessons: moves by some days and to fewer staff, so that
     # lessons hand slots on, cancellations, re-opened lessons, unknown lessons and bad prices.
     "lesson_changes": (
         "lesson_repeats",
@@ -377,10 +377,10 @@ def bind_star_schema(
         "order_repeats": lambda: src("orders").selectExpr(
             "o_orderkey", "explode(IF(o_orderkey % 4 = 0, array(0, 1), array(0))) AS i"
         ),
-        "lesson_repeats": lambda: derive("lessons").selectExpr("*", "explode(sequence(0L, lesson_id % 4)) AS i"),
+        "lesson_repeats": lambda: derive("lessons").selectExpr("*", "explode(sequence(0L, IF(lesson_id % 4 = 0, lesson_id div 4 % 4, 0L))) AS i"),
         # One or two corrections per payment request, and up to three changes per customer.
         "event_repeats": lambda: src("events").selectExpr("*", "explode(sequence(0L, event_id % 3 div 2 + event_id % 5 div 4)) AS i"),
-        "customer_repeats": lambda: src("customer").selectExpr("*", "explode(sequence(0L, c_custkey % 3)) AS i"),
+        "customer_repeats": lambda: src("customer").selectExpr("*", "explode(sequence(0L, IF(c_custkey % 2 = 0, c_custkey div 2 % 3, 0L))) AS i"),
     }
 
     def derive(table: str) -> DataFrame:
