@@ -9,6 +9,7 @@ earlier answers through two resources.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,8 @@ from tallyslot.settings import Scale
 from tallyslot.sources.workdir import materialise
 
 SLOT = ["lesson_date", "lesson_time_sec"]
+#: Rounds go on while each settles at least this share of the open candidates.
+LEAST_GAIN = 1 / 16
 
 
 def slot_key() -> Column:
@@ -74,16 +77,23 @@ def _ordered_pass(candidates: DataFrame) -> DataFrame:
     return placed.mapInPandas(_winners_in_order, candidates.schema)
 
 
-def _rounds(candidates: DataFrame) -> DataFrame:
-    """The same winners, found without placing a slot in one task.
+def _rounds(candidates: DataFrame, scale: Scale) -> DataFrame:
+    """The same winners, found without placing a large slot in one task.
 
     A candidate that is the earliest open one both for its staff member and for
     its vehicle wins; the open candidates it blocks drop out; repeat. Minima are
-    combined before the shuffle. Each round settles at least the earliest open
-    candidate of every slot, so the loop ends.
+    combined before the shuffle. What is open does not depend on the winners so
+    far, so the ordered pass takes over once no more than ``hot_slot_pairs`` are
+    open, or once a round settles so few (a chain in which each candidate waits
+    for the one before it) that rounds would go on for as long as the chain. The
+    number of rounds thus grows with the logarithm of the candidates at most.
     """
     opened, won_parts = materialise(candidates, "slot-open"), []
-    while not opened.isEmpty():
+    n_open = opened.count()
+    while True:
+        if n_open <= scale.hot_slot_pairs:
+            won_parts.append(_ordered_pass(opened))
+            break
         marked = opened
         for resource in ("staff_id", "vehicle_id"):
             lead = (
@@ -100,10 +110,12 @@ def _rounds(candidates: DataFrame) -> DataFrame:
             held = won.where(F.col(resource) >= 0).select("_slot", resource)
             rest = rest.join(held, ["_slot", resource], "left_anti")
         opened = materialise(rest.select(*candidates.columns), "slot-open")
-    out = candidates.limit(0)
-    for part in won_parts:
-        out = out.unionByName(part)
-    return out
+        left = opened.count()
+        if left > (1 - LEAST_GAIN) * n_open:
+            won_parts.append(_ordered_pass(opened))
+            break
+        n_open = left
+    return reduce(DataFrame.unionByName, won_parts)
 
 
 def _winners(requests: DataFrame, scale: Scale) -> DataFrame:
@@ -124,9 +136,9 @@ def _winners(requests: DataFrame, scale: Scale) -> DataFrame:
     if big.isEmpty():
         return _ordered_pass(candidates)
     candidates = materialise(candidates, "slot-candidates")
-    hot = F.broadcast(big.select("_slot"))  # at most candidates / hot_slot_pairs rows
+    hot = materialise(big.select("_slot"), "slot-hot")  # at most candidates / hot_slot_pairs rows
     cold_winners = _ordered_pass(candidates.join(hot, "_slot", "left_anti"))
-    return cold_winners.unionByName(_rounds(candidates.join(hot, "_slot", "left_semi")))
+    return cold_winners.unionByName(_rounds(candidates.join(hot, "_slot", "left_semi"), scale))
 
 
 def settle(requests: DataFrame, scale: Scale = Scale()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyslot.operators.balance import charge_only, final_balance, running_balance
 from tallyslot.operators.keyed import apply_changes, flag_first, flag_known, insert_absent
+from tallyslot.operators import slots
 from tallyslot.operators.lockout import lockout
 from tallyslot.operators.previous import with_previous
 from tallyslot.operators.sequence import exact_percentiles, numbered, running_sum
@@ -126,7 +127,7 @@ def _settle_loop(rows):
     return out
 
 
-@pytest.mark.parametrize("scale", [PLAIN, Scale(hot_slot_pairs=0), Scale(hot_slot_pairs=15)])
+@pytest.mark.parametrize("scale", [PLAIN, Scale(hot_slot_pairs=1), Scale(hot_slot_pairs=15)])
 def test_settle_equals_loop(spark, scale):
     rng = random.Random(5)
     rows = []
@@ -140,6 +141,19 @@ def test_settle_equals_loop(spark, scale):
     assert got == _settle_loop(rows)
 
 
+def test_a_chain_shaped_slot_ends_in_few_rounds(spark, monkeypatch):
+    """Each candidate waits for the one before it: the rounds give up and hand over to the ordered pass."""
+    rows, labels = [], []
+    real = slots.materialise
+    monkeypatch.setattr(slots, "materialise", lambda df, label: labels.append(label) or real(df, label))
+    for i in range(3000):
+        rows.append((i, 1, (i + 1) // 2, i // 2, True))
+    df = spark.createDataFrame(rows, "request_id long, _slot long, staff_id long, vehicle_id long, takes_slot boolean")
+    got = {r.request_id: r.slot_conflict for r in settle(df, Scale(hot_slot_pairs=50)).collect()}
+    assert got == _settle_loop(rows)
+    assert labels.count("slot-won") <= 3
+
+
 def test_settle_example_frees_staff_of_refused_vehicle(spark):
     rows = [(1, 7, 1, 5, True), (2, 7, 1, 6, True), (3, 7, 2, 6, True), (4, 7, 2, 7, True), (5, 7, None, 7, True)]
     df = spark.createDataFrame(rows, "request_id long, _slot long, staff_id long, vehicle_id long, takes_slot boolean")

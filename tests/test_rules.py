@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tallyslot.catalog import register_sql
 from tallyslot.functions import exprs as X
-from tallyslot.operators.keyed import flag_known
 from tallyslot.plans import accounts as A
 from tallyslot.plans import lessons as L
 from tallyslot.plans import payments as P
@@ -516,30 +515,32 @@ def test_a_plain_folder_is_the_first_version(spark, ds, tmp_path):
     assert read_parquet_dataset(spark, str(tmp_path)).lessons.count() == 3
 
 
-def test_look_ups_split_a_hot_key(spark):
-    """Two thirds of the requests on one key, and on NULL: adaptive execution splits the join."""
-    known = spark.range(2000).select(F.col("id").alias("customer_id"))
-    limits = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
-    }
-    old = {k: spark.conf.get(k, None) for k in limits}
-    for k, v in limits.items():
-        spark.conf.set(k, v)
-    try:
-        for hot in (F.lit(7), F.lit(None)):
-            key = F.when(F.col("id") % 3 > 0, hot).otherwise(F.col("id") % 3000).cast("long")
-            asked = spark.range(0, 300_000, 1, 8).select(key.alias("customer_id"), F.sha2(F.col("id").cast("string"), 256).alias("pad"))
-            got = flag_known(asked, "customer_id", known, "customer_id", "found", unique=True)
-            got.write.format("noop").mode("overwrite").save()
-            rows = got.groupBy("found").count().collect()
-            assert sum(r["count"] for r in rows) == 300_000
-            kept = got.select("pad", "found")
-            kept.collect()
-            assert "skew=true" in kept._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def test_jobs_split_hot_keys_with_the_same_result(spark, ds):
+    """Two thirds of the rows on one customer, slot or instant: each job gives what it gives without splitting."""
+    tight = Scale(hot_rows=4, slice_bits=3)
+    many = spark.range(60)
+    one = F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 9).cast("long")
+    paid = many.select(
+        F.col("id").alias("request_id"), one.alias("customer_id"), F.lit("CARD").alias("payment_method_code"),
+        F.expr("CAST(5 AS DECIMAL(10,2)) AS amount"), F.expr("TIMESTAMP_NTZ'2026-01-01 00:00:00' + make_dt_interval(0, 0, CAST(id % 2 AS INT)) AS datetime_payment"),
+    )
+    busy = conform(
+        many.select(
+            (F.col("id") + 100).alias("lesson_id"), F.lit(1).cast("long").alias("customer_id"), F.lit("BOOK").alias("lesson_status_code"), one.alias("staff_id"),
+            F.lit(None).cast("long").alias("vehicle_id"), F.expr("DATE'2026-08-01' AS lesson_date"), F.lit(32400).alias("lesson_time_sec"),
+            F.expr("CAST(5 AS DECIMAL(10,2)) AS price"), F.lit(None).cast("string").alias("other_lesson_details"),
+        ),
+        "lessons",
+    )
+    d = ds.replace(lessons=busy)
+    asked = busy.select(F.col("lesson_id").alias("request_id"), "customer_id", "staff_id", "vehicle_id", "lesson_date", "lesson_time_sec", "price")
+    cancels = busy.select(F.col("lesson_id").alias("request_id"), "lesson_id")
+    for job in (
+        lambda s: P.record(d, paid, s), lambda s: L.slot_conflicts(d, s), lambda s: R.payment_history(d, scale=s), lambda s: L.cancel(d, cancels, CLOCK, s),
+        lambda s: PE.delete_customers(d, paid.select("request_id", "customer_id"), s), lambda s: L.book(d, asked, CLOCK, s),
+    ):
+        plain, split = (sorted(map(repr, job(s).collect())) for s in (Scale(), tight))
+        assert plain == split and plain
 
 
 def test_drift_is_reported(ds):
