@@ -340,12 +340,14 @@ def _schema_of(application: str, path: str) -> StructType:
 
 
 def bind_star_schema(
-    spark: SparkSession, root: str, streamed: tuple[str, ...] = (), files_per_trigger: int = 64
+    spark: SparkSession, root: str, streamed: tuple[str, ...] = (), files_per_trigger: int | None = None,
+    bytes_per_trigger: int = 1 << 30,
 ) -> Dataset:
     """A dataset whose base and request tables are derived from ``root``.
 
     Source tables named in ``streamed`` are read as streams: every file of the
-    table is one arrival, and a trigger admits a bounded number. A table is one
+    table is one arrival, and a trigger admits a bounded number of bytes, or of
+    files where that is given. A table is one
     file or a folder of part files; nothing beside it is read.
     """
 
@@ -358,9 +360,10 @@ def bind_star_schema(
     def src(name: str) -> DataFrame:
         if name not in streamed:
             return stored(name)
+        admitted = ("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else ("maxBytesPerTrigger", bytes_per_trigger)
         return (
             spark.readStream.schema(layout(name))
-            .option("maxFilesPerTrigger", files_per_trigger)
+            .option(*admitted)
             # The pattern matches this one name; without a pattern a stream refuses a table that is a single file.
             .parquet(f"{root}/{name}.parque[t]")
         )

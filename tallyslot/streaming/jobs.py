@@ -21,7 +21,7 @@ from tallyslot.operators import slots
 from tallyslot.plans.accounts import with_account
 from tallyslot.settings import Clock
 from tallyslot.sources.dataset import Dataset
-from tallyslot.streaming.runner import drain, latest
+from tallyslot.streaming.runner import drain, kept
 
 NO_TIMEOUT = GroupStateTimeout.NoTimeout
 
@@ -47,7 +47,7 @@ def stream_balance(ds: Dataset) -> DataFrame:
         left = F.greatest(zero, F.col("opening") - F.col("paid")).cast("decimal(28,2)")
         return batch.join(opening, "customer_id").select("customer_id", "opening", left.alias("balance"))
 
-    return latest(drain(sums, "stream-balance", "update", finish), ["customer_id"])
+    return kept(sums, "stream-balance", ["customer_id"], finish)
 
 
 def stream_monthly_revenue(ds: Dataset) -> DataFrame:
@@ -62,7 +62,7 @@ def stream_monthly_revenue(ds: Dataset) -> DataFrame:
             "pay_month", F.col("payment_method_description").alias("method"), "num_payments", "total_collected"
         )
 
-    return latest(drain(sums, "stream-revenue", "update", finish), ["pay_month", "method"])
+    return kept(sums, "stream-revenue", ["pay_month", "method"], finish)
 
 
 # --- lesson changes ----------------------------------------------------------

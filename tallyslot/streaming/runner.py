@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tallyslot.sources.workdir import fresh_folder
+from tallyslot.streaming.sink import KeyedSink
 
 
 def _sink(out: str, finish: Callable[[DataFrame], DataFrame] | None):
@@ -47,8 +47,18 @@ def drain(
     return spark.read.schema(schema).option("basePath", out).parquet(out)
 
 
-def latest(written: DataFrame, keys: list[str]) -> DataFrame:
-    """The newest version of each key of an update-mode result."""
-    values = [c for c in written.columns if c not in (*keys, "batch_id")]
-    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
-    return newest.select(*keys, "_v.*")
+def kept(stream: DataFrame, label: str, keys: list[str], finish: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Process everything that has arrived in update mode and return the newest row of each key."""
+    spark = stream.sparkSession
+    home = fresh_folder(spark, label)
+    shape = finish(spark.createDataFrame([], stream.schema))
+    sink = KeyedSink(spark, f"{home}/out", shape.schema, keys)
+    query = (
+        stream.writeStream.outputMode("update")
+        .option("checkpointLocation", f"{home}/state")
+        .trigger(availableNow=True)
+        .foreachBatch(lambda batch, number: sink.write(finish(batch), number))
+        .start()
+    )
+    query.awaitTermination()
+    return sink.read()

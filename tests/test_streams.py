@@ -107,3 +107,26 @@ def test_expiring_slots_answer_the_same(spark, stored, live_orders):
     finally:
         query.stop()
     same(spark.table("expiring"), want)
+
+
+def test_a_kept_result_stays_small_and_replays_change_nothing(spark, tmp_path):
+    """Forty triggers leave a bounded number of folders; a replayed trigger, merged or not, changes nothing."""
+    from tallyslot.streaming.sink import KeyedSink
+
+    shape = spark.createDataFrame([], "k long, v long, w string")
+    sink, want = KeyedSink(spark, str(tmp_path / "out"), shape.schema, ["k"], every=4), {}
+    assert sink.read().count() == 0
+
+    def batch(n):
+        return spark.range(n % 5, n % 5 + 3, 1, 1).select(F.col("id").alias("k"), F.lit(n).cast("long").alias("v"), F.lit(None).cast("string").alias("w"))
+
+    for n in range(40):
+        sink.write(batch(n), n)
+        want |= {k: n for k in range(n % 5, n % 5 + 3)}
+        if n in (2, 13, 38):
+            for again in (n, max(0, n - 4)):  # the last one, and one that is merged or older
+                sink.write(batch(again), again) if again == n or n > 4 else None
+            assert {r.k: r.v for r in sink.read().collect()} == want
+    assert {r.k: r.v for r in sink.read().collect()} == want
+    folders = {kind: len(list((tmp_path / "out" / kind).iterdir())) for kind in ("base", "changes")}
+    assert folders["base"] <= 2 and folders["changes"] <= 8
