@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyslot import schema
-from tallyslot.sources.dataset import Dataset
+from tallyslot.sources.dataset import Dataset, unreadable
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -55,11 +55,11 @@ def orphans(ds: Dataset) -> DataFrame:
     return _union(parts)
 
 
-def _tally(ds: Dataset, rules: dict[str, list[tuple[str, Column]]], label: str) -> DataFrame:
+def _tally(tables: dict[str, DataFrame], rules: dict[str, list[tuple[str, Column]]], label: str) -> DataFrame:
     """One pass per table that counts the rows breaking each rule, turned into rows."""
     parts = []
     for table, checks in rules.items():
-        counts = ds[table].agg(*[F.count_if(broken).alias(f"_c{i}") for i, (_, broken) in enumerate(checks)])
+        counts = tables[table].agg(*[F.count_if(broken).alias(f"_c{i}") for i, (_, broken) in enumerate(checks)])
         pairs = [
             F.struct(F.lit(name).alias(label), F.col(f"_c{i}").alias("rows_broken"))
             for i, (name, _) in enumerate(checks)
@@ -73,10 +73,14 @@ def _tally(ds: Dataset, rules: dict[str, list[tuple[str, Column]]], label: str)
 
 
 def nulls(ds: Dataset) -> DataFrame:
+    """Stored NULLs of required columns, also of those whose default the loader fills in; a column that the stored
+    table lacks has only defaults."""
+    tables = {table: ds.stored(table) for table in schema.TABLES}
     rules = {
-        table: [(c.name, F.col(c.name).isNull()) for c in cols if c.required] for table, cols in schema.TABLES.items()
+        table: [(c.name, F.col(c.name).isNull() if c.name in tables[table].columns else F.lit(False)) for c in cols if c.required]
+        for table, cols in schema.TABLES.items()
     }
-    return _tally(ds, rules, "column_name")
+    return _tally(tables, rules, "column_name")
 
 
 def checks(ds: Dataset) -> DataFrame:
@@ -84,17 +88,19 @@ def checks(ds: Dataset) -> DataFrame:
     rules: dict[str, list[tuple[str, Column]]] = {}
     for table, name, condition in schema.CHECKS:
         rules.setdefault(table, []).append((name, ~F.coalesce(F.expr(condition), F.lit(True))))
-    return _tally(ds, rules, "check_name")
+    return _tally({table: ds[table] for table in rules}, rules, "check_name")
 
 
 def lengths(ds: Dataset) -> DataFrame:
-    """Text over its length limit and money outside ten digits."""
-    rules = {}
+    """Stored text over its length limit and stored money outside ten digits."""
+    tables, rules = {table: ds.stored(table) for table in schema.TABLES}, {}
     for table, cols in schema.TABLES.items():
-        found = [(f"{c.name} <= {c.length}", F.length(c.name) > c.length) for c in cols if c.length]
-        found += [
-            (f"{c.name} < 10^8", F.abs(F.col(c.name)) >= F.lit(10**8)) for c in cols if c.type == schema.MONEY
-        ]
+
+        def broken(c: schema.Col, rule: Column, there=tables[table].columns) -> Column:
+            return rule if c.name in there else F.lit(False)
+
+        found = [(f"{c.name} <= {c.length}", broken(c, F.length(c.name) > c.length)) for c in cols if c.length]
+        found += [(f"{c.name} < 10^8", broken(c, unreadable(c))) for c in cols if c.type == schema.MONEY]
         if found:
             rules[table] = found
-    return _tally(ds, rules, "limit_rule")
+    return _tally(tables, rules, "limit_rule")

@@ -403,8 +403,11 @@ def bind_star_schema(
         rows = ", ".join("(" + ", ".join(f"'{value}'" for value in pair) + ")" for pair in pairs)
         return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
 
+    def bound(table: str) -> DataFrame:
+        return lookup(table) if table in LOOKUPS else derive(table)
+
     def build(table: str) -> DataFrame:
-        df = lookup(table) if table in LOOKUPS else derive(table)
-        return conform(df, table) if table in schema.TABLES else df
+        return conform(bound(table), table) if table in schema.TABLES else bound(table)
 
-    return Dataset(spark, {t: (lambda t=t: build(t)) for t in [*LOOKUPS, *DERIVED]})
+    names = [*LOOKUPS, *DERIVED]
+    return Dataset(spark, {t: (lambda t=t: build(t)) for t in names}, {t: (lambda t=t: bound(t)) for t in names if t in schema.TABLES})

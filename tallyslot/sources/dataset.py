@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyslot import schema
 
@@ -17,12 +18,16 @@ class Dataset:
     """Named DataFrames; a table is built the first time a plan asks for it.
 
     ``ds.lessons`` and ``ds["lessons"]`` are the same. ``replace`` gives a copy
-    with some tables swapped, which is how a job hands on new state.
+    with some tables swapped, which is how a job hands on new state. ``stored``
+    gives a table as it was before casts and defaults, for jobs that judge that.
     """
 
-    def __init__(self, spark: SparkSession, builders: dict[str, Callable[[], DataFrame]]):
+    def __init__(
+        self, spark: SparkSession, builders: dict[str, Callable[[], DataFrame]], raw: dict[str, Callable[[], DataFrame]] | None = None
+    ):
         self.spark = spark
         self._builders = dict(builders)
+        self._raw = dict(raw or {})
         self._built: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -35,6 +40,9 @@ class Dataset:
             raise AttributeError(name)
         return self[name]
 
+    def stored(self, name: str) -> DataFrame:
+        return self._raw[name]() if name in self._raw else self[name]
+
     def __contains__(self, name: str) -> bool:
         return name in self._builders
 
@@ -42,7 +50,7 @@ class Dataset:
         return list(self._builders)
 
     def replace(self, **tables: DataFrame) -> "Dataset":
-        out = Dataset(self.spark, self._builders)
+        out = Dataset(self.spark, self._builders, {n: b for n, b in self._raw.items() if n not in tables})
         out._built = dict(self._built)
         for name, df in tables.items():
             out._builders[name] = lambda df=df: df
@@ -82,14 +90,54 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     return df.selectExpr(*out)
 
 
-def read_parquet_dataset(spark: SparkSession, root: str) -> Dataset:
-    """Open a folder that holds one parquet table per declared name, each at its newest version."""
+def unreadable(column: schema.Col) -> Column:
+    """True where a stored value is there but does not fit the declared type, such as an amount of too many digits."""
+    name = f"`{column.name}`"
+    return F.col(name).isNotNull() & F.expr(f"try_cast({name} AS {column.type.simpleString()})").isNull()
+
+
+def faults(df: DataFrame, table: str) -> Column:
+    """What is wrong with the values of a stored row, as an array of reasons."""
+    found = []
+    for c in schema.TABLES[table]:
+        if c.name in df.columns:
+            found.append(F.when(unreadable(c), F.lit(f"{c.name}: not {c.type.simpleString()}")))
+            if c.required and c.default is None:
+                found.append(F.when(F.col(f"`{c.name}`").isNull(), F.lit(f"{c.name}: missing")))
+            if c.length:
+                found.append(F.when(F.length(f"`{c.name}`") > c.length, F.lit(f"{c.name}: over {c.length} characters")))
+    return F.array_compact(F.array(*found))
+
+
+def admitted(df: DataFrame, table: str) -> DataFrame:
+    """The stored rows without a fault, conformed."""
+    sound = df.where(F.size(faults(df, table)) == 0)
+    for c in schema.TABLES[table]:
+        if c.name in df.columns:
+            sound = sound.withColumn(c.name, F.expr(f"try_cast(`{c.name}` AS {c.type.simpleString()})"))
+    return conform(sound, table)
+
+
+def quarantined(df: DataFrame, table: str) -> DataFrame:
+    """The other rows as they are stored, with their ``reasons``."""
+    return df.withColumn("reasons", faults(df, table)).where(F.size("reasons") > 0)
+
+
+def read_parquet_dataset(spark: SparkSession, root: str, lenient: bool = False) -> Dataset:
+    """Open a folder that holds one parquet table per declared name, each at its newest version.
+
+    A value that cannot be cast stops the job that reads it; with ``lenient`` rows
+    with a fault are left out, and ``quarantined(ds.stored(name), name)`` has them.
+    """
+
+    def stored(name: str) -> DataFrame:
+        return spark.read.parquet(table_path(spark, root, name))
+
+    fit = admitted if lenient else conform
     return Dataset(
         spark,
-        {
-            name: (lambda name=name: conform(spark.read.parquet(table_path(spark, root, name)), name))
-            for name in schema.TABLES
-        },
+        {name: (lambda name=name: fit(stored(name), name)) for name in schema.TABLES},
+        {name: (lambda name=name: stored(name)) for name in schema.TABLES},
     )
 
 

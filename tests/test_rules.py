@@ -15,7 +15,8 @@ from tallyslot.plans import quality as Q
 from tallyslot.plans import reports as R
 from tallyslot.plans import views as V
 from tallyslot.settings import Clock, Scale, StatusSets
-from tallyslot.sources.dataset import SchemaMismatch, conform, read_parquet_dataset, write_table
+from tallyslot import schema
+from tallyslot.sources.dataset import SchemaMismatch, conform, quarantined, read_parquet_dataset, write_table
 from tests.seed import seed_dataset
 
 CLOCK = Clock(dt.datetime(2026, 6, 15, 8, 0, 0))
@@ -543,5 +544,29 @@ def test_jobs_split_hot_keys_with_the_same_result(spark, ds):
         assert plain == split and plain
 
 
+def test_quality_of_stored_values(spark, ds, tmp_path):
+    """Amounts of twelve digits and NULLs where the loader fills defaults are counted on what is stored; such rows can be set aside."""
+    root = str(tmp_path)
+    for name in ds.names():
+        ds[name].write.parquet(f"{root}/{name}")
+    amount = F.when(F.col("customer_id") == 1, F.lit("123456789012.00")).otherwise(F.col("amount_payment").cast("string"))
+    ds.payments.withColumn("amount_payment", amount).write.mode("overwrite").parquet(f"{root}/payments")
+    country = F.when(F.col("address_id") > 3, F.col("country"))
+    ds.addresses.withColumn("country", country).write.mode("overwrite").parquet(f"{root}/addresses")
+    loaded = read_parquet_dataset(spark, root, lenient=True)
+    over = {(r.table_name, r.limit_rule): r.rows_broken for r in Q.lengths(loaded).collect()}
+    n = ds.payments.where("customer_id = 1").count()
+    assert n > 0 and over["payments", "amount_payment < 10^8"] == n and sum(over.values()) == n
+    required = {(t, c.name) for t, cols in schema.TABLES.items() for c in cols if c.required and c.default is not None}
+    null = {(r.table_name, r.column_name): r.rows_broken for r in Q.nulls(loaded).collect()}
+    assert null.get(("addresses", "country"), 3) == 3 and all(v == 0 for k, v in null.items() if k != ("addresses", "country"))
+    assert required  # there are defaulted columns that must not be NULL
+    assert loaded.payments.count() == ds.payments.count() - n and loaded.addresses.where("country IS NULL").count() == 0
+    aside = quarantined(loaded.stored("payments"), "payments").collect()
+    assert len(aside) == n and all(r.reasons == ["amount_payment: not decimal(10,2)"] for r in aside)
+    with pytest.raises(Exception):
+        read_parquet_dataset(spark, root).payments.agg(F.sum("amount_payment")).collect()
+
+
 def test_drift_is_reported(ds):
     assert {r.customer_id for r in R.balance_drift(ds).collect()} == {4, 5, 6, 8}
