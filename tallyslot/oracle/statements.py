@@ -445,9 +445,15 @@ answer AS (
   FROM final f LEFT JOIN located x USING (request_id))"""
 
 
-STAFF_ANSWER = """
+BOUND = """
+bound AS (
+  SELECT DISTINCT l.staff_id FROM d_lessons l JOIN d_lessons o ON o.vehicle_id = l.vehicle_id AND o.lesson_date = l.lesson_date
+    AND o.lesson_time_sec = l.lesson_time_sec AND o.lesson_id <> l.lesson_id AND o.lesson_status_code <> 'CANC' WHERE l.staff_id IS NOT NULL)"""
+
+STAFF_ANSWER = BOUND + """,
 final AS (
-  SELECT *, CASE WHEN op <> 'delete' AND (first_name IS NULL OR last_name IS NULL OR date_joined_staff IS NULL) THEN 'required_missing'
+  SELECT *, CASE WHEN op = 'delete' AND staff_id IN (SELECT staff_id FROM bound) THEN 'vehicle_conflict'
+      WHEN op <> 'delete' AND (first_name IS NULL OR last_name IS NULL OR date_joined_staff IS NULL) THEN 'required_missing'
       WHEN op <> 'delete' AND date_left_staff < date_joined_staff THEN 'left_before_joined'
       WHEN op <> 'delete' AND customer_status_code NOT IN (SELECT customer_status_code FROM d_customer_status) THEN 'status_unknown' END AS reason
   FROM d_staff_changes),
@@ -1115,9 +1121,9 @@ FROM answer a WHERE a.reason IS NULL AND a.op <> 'delete'
   AND NOT EXISTS (SELECT 1 FROM answer b WHERE b.staff_id = a.staff_id AND b.reason IS NULL AND (b.op = 'delete' OR b.request_id > a.request_id))""",
     ),
     "staff_delete": (
-        "",
+        BOUND,
         """
-SELECT l.lesson_id, CASE WHEN l.staff_id IN (SELECT staff_id FROM d_staff WHERE date_left_staff IS NOT NULL) THEN NULL ELSE l.staff_id END AS staff_id
+SELECT l.lesson_id, CASE WHEN l.staff_id IN (SELECT staff_id FROM d_staff WHERE date_left_staff IS NOT NULL AND staff_id NOT IN (SELECT staff_id FROM bound)) THEN NULL ELSE l.staff_id END AS staff_id
 FROM d_lessons l""",
     ),
     "login_lockout": (SIGN_IN, "SELECT attempt_id, email, user_id, detail = 'ok' AS success, detail, attempted_at FROM ruled"),

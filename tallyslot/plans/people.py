@@ -12,6 +12,7 @@ from tallyslot.operators.keyed import HotKeys, apply_changes, flag_first, flag_k
 from tallyslot.operators.replay import State, replay, sharing
 from tallyslot.operators.references import delete_rows, restricting_keys
 from tallyslot.operators.sequence import numbered
+from tallyslot.plans.lessons import slot_conflicts
 from tallyslot.settings import Scale
 from tallyslot.sources.dataset import Dataset, conform
 from tallyslot.sources.workdir import materialise
@@ -265,11 +266,25 @@ STAFF_FIELDS = [
 ]
 
 
+def bound_staff(ds: Dataset, scale: Scale = Scale()) -> DataFrame:
+    """``staff_id`` of the staff who cannot be deleted.
+
+    Deleting a staff member takes their name off their lessons, and that is an
+    update of each lesson like any other: it fails while another lesson that is
+    not cancelled holds the same vehicle slot. No deletion changes a vehicle slot,
+    so the answer does not hang on the order of deletions.
+    """
+    contested = slot_conflicts(ds, scale).where("conflict = 'vehicle'").select("lesson_id")
+    lessons = ds.lessons.where(F.col("staff_id").isNotNull()).select("lesson_id", "staff_id")
+    return lessons.join(contested, "lesson_id", "left_semi").select("staff_id").distinct()
+
+
 def change_staff(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> DataFrame:
     """Answer staff adds, updates and deletes: ``request_id, op, ok, reason, staff_id`` plus the fields.
 
     Requests share nothing but their row, so each is judged by itself; an update
-    or delete of a row that is not there, or no longer there, does nothing.
+    or delete of a row that is not there, or no longer there, does nothing. A
+    delete is refused while the row rules of a lesson would refuse to let it go.
     """
     is_form = F.col("op").isin("add", "update")
     rows = requests
@@ -277,9 +292,11 @@ def change_staff(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> Da
         rows = rows.withColumn(c, X.blank_to_null(F.trim(c)))
     lacks = F.col("first_name").isNull() | F.col("last_name").isNull() | F.col("date_joined_staff").isNull()
     rows = flag_known(rows, "customer_status_code", ds.customer_status, "customer_status_code", "_status", row_id="request_id")
+    rows = flag_known(rows, "staff_id", bound_staff(ds, scale), "staff_id", "_bound", row_id="request_id")
     left_early = F.coalesce(F.col("date_left_staff") < F.col("date_joined_staff"), F.lit(False))
     reason = X.first_failure(
         [
+            ("vehicle_conflict", (F.col("op") == "delete") & F.col("_bound")),
             ("required_missing", is_form & lacks),
             ("left_before_joined", is_form & left_early),
             ("status_unknown", is_form & ~F.col("_status")),
@@ -305,5 +322,5 @@ def changed_staff(ds: Dataset, answered: DataFrame) -> DataFrame:
 
 
 def delete_staff(ds: Dataset, doomed: DataFrame) -> Dataset:
-    """The dataset without the doomed staff; their lessons and users stay, unassigned."""
-    return delete_rows(ds, "staff", "staff_id", doomed)
+    """The dataset without the doomed staff, save those in ``bound_staff``; their lessons and users stay, unassigned."""
+    return delete_rows(ds, "staff", "staff_id", doomed.join(bound_staff(ds), "staff_id", "left_anti"))

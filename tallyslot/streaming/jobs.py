@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tallyslot import settings as S
 from tallyslot.functions import exprs as X
 from tallyslot.operators import slots
-from tallyslot.plans.accounts import with_account
+from tallyslot.plans.accounts import is_reset, with_account
 from tallyslot.settings import Clock
 from tallyslot.sources.dataset import Dataset
 from tallyslot.streaming.runner import drain, kept
@@ -110,8 +110,11 @@ def _lockout(after: int, lock: int):
         rows = _rows(batches, ["at", "attempt_id"])
         failures, until = state.get if state.exists else (int(rows["failures_in"].iloc[0]), int(rows["locked_in"].iloc[0]))
         detail = []
-        for at, good in zip(rows["at"].tolist(), rows["password_ok"].tolist()):
-            if until > at:
+        for at, good, reset in zip(rows["at"].tolist(), rows["password_ok"].tolist(), rows["reset"].tolist()):
+            if reset:
+                failures, until = 0, -1
+                detail.append("reset")
+            elif until > at:
                 detail.append("locked")
             elif good:
                 failures, until = 0, -1
@@ -127,11 +130,16 @@ def _lockout(after: int, lock: int):
 
 
 def stream_login_lockout(ds: Dataset, attempts: DataFrame, lock_minutes: int = S.LOCK_MINUTES) -> DataFrame:
-    """``attempt_id, email, detail`` of a sign-in stream; attempts of an e-mail arrive in order."""
+    """``attempt_id, email, detail`` of a sign-in stream; attempts of an e-mail arrive in order.
+
+    Rows with a true ``reset`` set a new password and get no answer.
+    """
     rows = with_account(ds, attempts)
     ruled = (
-        rows.where("user_id IS NOT NULL AND is_active")
-        .select("attempt_id", "email", X.micros("attempted_at").alias("at"), "password_ok", "failures_in", "locked_in")
+        rows.where(F.col("user_id").isNotNull() & (F.col("is_active") | is_reset(rows)))
+        .select(
+            "attempt_id", "email", X.micros("attempted_at").alias("at"), "password_ok", is_reset(rows).alias("reset"), "failures_in", "locked_in"
+        )
         .groupBy("email")
         .applyInPandasWithState(
             _lockout(S.LOCK_AFTER_FAILURES, lock_minutes * 60_000_000),
@@ -142,8 +150,8 @@ def stream_login_lockout(ds: Dataset, attempts: DataFrame, lock_minutes: int = S
         )
     )
     shut = F.when(F.col("user_id").isNull(), "no such user").when(~F.col("is_active"), "inactive")
-    others = rows.withColumn("detail", shut).where(F.col("detail").isNotNull())
-    answers = ruled.unionByName(others.select("attempt_id", "email", "detail"))
+    others = rows.withColumn("detail", shut).where(F.col("detail").isNotNull() & ~is_reset(rows))
+    answers = ruled.where("detail <> 'reset'").unionByName(others.select("attempt_id", "email", "detail"))
     return drain(answers, "stream-lockout", "append").drop("batch_id")
 
 

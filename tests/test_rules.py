@@ -328,6 +328,16 @@ def test_staff_delete_clears_lessons(ds):
     assert after.staff.count() == 5 and after.lessons.where("staff_id IS NULL").count() == 5
 
 
+def test_a_contested_vehicle_keeps_staff(spark, ds):
+    """Taking a name off a lesson is an update: it fails while another lesson holds the vehicle slot, unless that one is cancelled."""
+    base = ds.lessons.where("staff_id = 1 AND vehicle_id IS NOT NULL").limit(1)
+    for status, bound in (("BOOK", True), ("CANC", False)):
+        twin = base.withColumn("lesson_id", F.lit(900).cast("long")).withColumn("staff_id", F.lit(None).cast("long")).withColumn("lesson_status_code", F.lit(status))
+        d = ds.replace(lessons=ds.lessons.unionByName(twin))
+        assert ({r.staff_id for r in PE.bound_staff(d).collect()} == {1}) is bound
+        assert PE.delete_staff(d, d.staff.where("staff_id IN (1, 2)")).staff.count() == (5 if bound else 4)
+
+
 def test_staff_changes_count_in_request_order(spark, ds):
     """Against a plain loop: several requests per row, refused ones among them, none after a deletion has an effect."""
     asked = [

@@ -74,6 +74,14 @@ def test_stream_lockout(stored, live_events):
     same(got, A.sign_in(stored, stored.login_attempts, TEST_LOCK_MINUTES).select("attempt_id", "email", "detail"))
 
 
+def test_stream_lockout_with_new_passwords(stored, live_events):
+    def marked(df):
+        return df.withColumn("reset", F.col("attempt_id") % 40 == 7)
+
+    got = J.stream_login_lockout(stored, marked(live_events.login_attempts), TEST_LOCK_MINUTES)
+    same(got, A.sign_in(stored, marked(stored.login_attempts), TEST_LOCK_MINUTES).select("attempt_id", "email", "detail"))
+
+
 def test_stream_audit(stored, live_orders):
     same(J.stream_lesson_audit(live_orders.lesson_versions), L.status_audit(stored.lesson_versions))
 
