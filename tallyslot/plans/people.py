@@ -74,13 +74,21 @@ def created_addresses(requests: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 # --- customers ---------------------------------------------------------------
-def _cleaned(requests: DataFrame) -> DataFrame:
+def _cleaned(requests: DataFrame, fields: tuple[str, ...] = ("first_name", "last_name", "email_address", "cell_mobile_phone_number")) -> DataFrame:
     """Form fields without outer blanks; what is blank is missing."""
-    for c in ["first_name", "last_name", "email_address", "cell_mobile_phone_number", *ADDRESS]:
+    for c in [*fields, *ADDRESS]:
         requests = requests.withColumn(c, X.blank_to_null(F.trim(c)))
     return requests
 
 
+def _gave_address() -> Column:
+    return reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in ADDRESS if c != "country"])
+
+
+def _lacks_part() -> Column:
+    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in ADDRESS_REQUIRED])
+
+
 class _CustomerRows:
     """A customer change against the customers that the requests before it left.
 
@@ -136,8 +144,6 @@ def change_customers(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -
     """
     is_form = F.col("op").isin("add", "update")
     rows = _cleaned(requests)
-    gave_address = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in ADDRESS if c != "country"])
-    lacks_part = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in ADDRESS_REQUIRED])
     required = ["first_name", "last_name", "date_of_birth", "date_became_customer"]
     lacks_required = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in required])
     form_fault = X.first_failure(
@@ -145,12 +151,12 @@ def change_customers(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -
             ("required_missing", lacks_required),
             ("email_invalid", F.col("email_address").isNotNull() & ~X.valid_email("email_address")),
             ("phone_invalid", ~X.valid_phone("cell_mobile_phone_number")),
-            ("address_incomplete", gave_address & lacks_part),
+            ("address_incomplete", _gave_address() & _lacks_part()),
         ]
     )
     rows = rows.withColumn("_form", F.when(is_form, form_fault))
     # The form resolves its address before the row is written, whatever happens to the row.
-    asks = rows.where(is_form & F.col("_form").isNull() & gave_address).select("request_id", *ADDRESS)
+    asks = rows.where(is_form & F.col("_form").isNull() & _gave_address()).select("request_id", *ADDRESS)
     found = resolve_addresses(ds, asks, scale).select("request_id", "address_id")
     rows = rows.join(found, "request_id", "left")
 
@@ -220,11 +226,13 @@ def changed_customers(ds: Dataset, answered: DataFrame) -> DataFrame:
     return conform(apply_changes(ds.customers, changes, "customer_id"), "customers")
 
 
-def form_addresses(ds: Dataset, requests: DataFrame, answered: DataFrame) -> DataFrame:
-    """The address rows that the forms of ``change_customers`` add, also those of refused requests."""
-    new = answered.where(F.col("address_id").isNotNull()).join(ds.addresses, "address_id", "left_anti")
+def form_addresses(ds: Dataset, requests: DataFrame, answered: DataFrame, column: str = "address_id") -> DataFrame:
+    """The address rows that the forms of ``change_customers``, or with ``staff_address_id`` those of ``change_staff``,
+    add, also those of refused requests."""
+    asked = answered.select("request_id", F.col(column).alias("address_id"))
+    new = asked.where(F.col("address_id").isNotNull()).join(ds.addresses, "address_id", "left_anti")
     opener = new.groupBy("address_id").agg(F.min("request_id").alias("request_id"))
-    made = _cleaned(requests).join(opener, "request_id").select("address_id", *ADDRESS)
+    made = _cleaned(requests, ()).join(opener, "request_id").select("address_id", *ADDRESS)
     return conform(made, "addresses")
 
 
@@ -285,12 +293,21 @@ def change_staff(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> Da
     Requests share nothing but their row, so each is judged by itself; an update
     or delete of a row that is not there, or no longer there, does nothing. A
     delete is refused while the row rules of a lesson would refuse to let it go.
+    Requests that carry the parts of an address find or create it as the customer
+    form does, and a form without one leaves the row without an address; requests
+    without these columns bring ``staff_address_id`` themselves.
     """
     is_form = F.col("op").isin("add", "update")
     rows = requests
     for c in ["nickname", "first_name", "middle_name", "last_name", "other_staff_details"]:
         rows = rows.withColumn(c, X.blank_to_null(F.trim(c)))
     lacks = F.col("first_name").isNull() | F.col("last_name").isNull() | F.col("date_joined_staff").isNull()
+    incomplete = F.lit(False)
+    if set(ADDRESS) <= set(requests.columns):
+        rows, incomplete = _cleaned(rows, ()), is_form & _gave_address() & _lacks_part()
+        asks = rows.where(is_form & ~lacks & _gave_address() & ~_lacks_part()).select("request_id", *ADDRESS)
+        found = resolve_addresses(ds, asks, scale).select("request_id", F.col("address_id").alias("staff_address_id"))
+        rows = rows.drop("staff_address_id").join(found, "request_id", "left")
     rows = flag_known(rows, "customer_status_code", ds.customer_status, "customer_status_code", "_status", row_id="request_id")
     rows = flag_known(rows, "staff_id", bound_staff(ds, scale), "staff_id", "_bound", row_id="request_id")
     left_early = F.coalesce(F.col("date_left_staff") < F.col("date_joined_staff"), F.lit(False))
@@ -298,6 +315,7 @@ def change_staff(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> Da
         [
             ("vehicle_conflict", (F.col("op") == "delete") & F.col("_bound")),
             ("required_missing", is_form & lacks),
+            ("address_incomplete", incomplete),
             ("left_before_joined", is_form & left_early),
             ("status_unknown", is_form & ~F.col("_status")),
         ]

@@ -328,6 +328,30 @@ def test_staff_delete_clears_lessons(ds):
     assert after.staff.count() == 5 and after.lessons.where("staff_id IS NULL").count() == 5
 
 
+def test_staff_forms_find_or_create_their_address(spark, ds):
+    known = ds.addresses.where("address_id = 2").first()
+    rows = [
+        (1, "add", None, "Ann", known.line_1_number_building, known.city, known.zip_postcode, "ACT"), (2, "add", None, "Bo", " 7 ", "Oslo", "N1", "ACT"),
+        (3, "update", 1, "Cy", "7", "Oslo", "N1", "ACT"), (4, "update", 2, "Di", "7", None, "N1", "ACT"), (5, "update", 3, "Ed", None, None, None, "ACT"),
+        (6, "add", None, None, "9", "Oslo", "N1", "ACT"), (7, "add", None, "Flo", "8", "Oslo", "N1", "NOPE"),
+    ]
+    asked = spark.createDataFrame(rows, "request_id long, op string, staff_id long, first_name string, line_1_number_building string, city string, zip_postcode string, customer_status_code string")
+    same = {"line_2_number_street": known.line_2_number_street, "line_3_area_locality": known.line_3_area_locality, "state_province_county": known.state_province_county}
+    for c, v in same.items():
+        asked = asked.withColumn(c, F.when(F.col("request_id") == 1, F.lit(v)).cast("string"))
+    asked = asked.withColumn("country", F.when(F.col("request_id") == 1, F.lit(known.country)).cast("string")).withColumn("last_name", F.lit("L"))
+    asked = asked.withColumn("date_joined_staff", F.lit("2026-01-01 09:00:00").cast("timestamp_ntz"))
+    for c, kind in (("nickname", "string"), ("middle_name", "string"), ("date_of_birth", "date"), ("date_left_staff", "timestamp_ntz"), ("other_staff_details", "string")):
+        asked = asked.withColumn(c, F.lit(None).cast(kind))
+    done = PE.change_staff(ds, asked)
+    assert reasons(done) == {1: None, 2: None, 3: None, 4: "address_incomplete", 5: None, 6: "required_missing", 7: "status_unknown"}
+    at = {r.request_id: r.staff_address_id for r in done.collect()}
+    assert at[1] == 2 and at[2] == at[3] == 11 and at[4] is None and at[5] is None and at[6] is None and at[7] == 12
+    made = PE.form_addresses(ds, asked, done, "staff_address_id").orderBy("address_id").collect()
+    assert [(r.address_id, r.line_1_number_building, r.country) for r in made] == [(11, "7", "Canada"), (12, "8", "Canada")]
+    assert {r.staff_id: r.staff_address_id for r in PE.changed_staff(ds, done).collect()}[3] is None
+
+
 def test_a_contested_vehicle_keeps_staff(spark, ds):
     """Taking a name off a lesson is an update: it fails while another lesson holds the vehicle slot, unless that one is cancelled."""
     base = ds.lessons.where("staff_id = 1 AND vehicle_id IS NOT NULL").limit(1)
