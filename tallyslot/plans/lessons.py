@@ -34,10 +34,21 @@ def book(ds: Dataset, requests: DataFrame, clock: Clock, scale: Scale = Scale())
 
     Adds ``ok, reason, lesson_id``. The reason is the first check that fails; a
     bad price is found only after the slot checks and does not take the slot.
+
+    Requests may carry ``lesson_status_code``: the lesson is booked and at once
+    given that status, as the booking form does, so one that is booked as cancelled
+    holds no slot. ``booked_status`` is the status it ends with; a code that is not
+    known leaves the lesson booked and is named in ``status_reason``.
     """
     today = F.lit(clock.date)
     same_day_over = (F.col("lesson_date") == today) & (F.col("lesson_time_sec") <= clock.second_of_day)
     hot = _hot(requests, scale)
+    if "lesson_status_code" in requests.columns:
+        requests = flag_known(requests, "lesson_status_code", ds.lesson_status, "lesson_status_code", "_code", row_id="request_id")
+        strange = F.col("lesson_status_code").isNotNull() & ~F.col("_code")
+        requests = requests.withColumn("booked_status", F.when(F.col("_code"), F.col("lesson_status_code")).otherwise(NEW_LESSON))
+        requests = requests.withColumn("status_reason", F.when(strange, "unknown_reference")).drop("_code")
+    stays = F.col("booked_status") != S.CANCELLED if "booked_status" in requests.columns else F.lit(True)
     checked = flag_known(
         requests, "customer_id", ds.customers, "customer_id", "_customer", F.col("customer_status_code") == ACTIVE_CUSTOMER, hot, "request_id"
     )
@@ -62,13 +73,14 @@ def book(ds: Dataset, requests: DataFrame, clock: Clock, scale: Scale = Scale())
     good_price = F.coalesce(F.col("price") >= 0, F.lit(False))
     held = (F.col("_staff_held") > 0) | (F.col("_vehicle_held") > 0)
     # Read several times below, so it is written once instead of recomputed.
-    passed = materialise(passed.withColumn("takes_slot", good_price & ~held), "booking-open")
+    passed = passed.withColumn("_priced", good_price & ~held)
+    passed = materialise(passed.withColumn("takes_slot", F.col("_priced") & stays), "booking-open")
     settled = slots.settle(passed, scale)
     reason = X.first_failure(
         [
             ("staff_conflict", (F.col("_staff_held") > 0) | (F.col("slot_conflict") == "staff_conflict")),
             ("vehicle_conflict", (F.col("_vehicle_held") > 0) | (F.col("slot_conflict") == "vehicle_conflict")),
-            ("price_invalid", ~F.col("takes_slot")),
+            ("price_invalid", ~F.col("_priced")),
         ]
     )
     base = [c for c in requests.columns]
@@ -83,10 +95,22 @@ def book(ds: Dataset, requests: DataFrame, clock: Clock, scale: Scale = Scale())
 
 
 def booked_lessons(answered: DataFrame) -> DataFrame:
-    """The lesson rows that accepted requests create."""
+    """The lesson rows that accepted requests create; a note is kept only where the booking was given a status."""
+    status, note = F.lit(NEW_LESSON), F.lit(None).cast("string")
+    if "booked_status" in answered.columns:
+        status = F.col("booked_status")
+        if "other_lesson_details" in answered.columns:
+            note = F.when(status != NEW_LESSON, F.col("other_lesson_details"))
     return answered.where("ok").select(
-        "lesson_id", "customer_id", F.lit(NEW_LESSON).alias("lesson_status_code"), "staff_id", "vehicle_id",
-        "lesson_date", "lesson_time_sec", "price", F.lit(None).cast("string").alias("other_lesson_details"),
+        "lesson_id", "customer_id", status.alias("lesson_status_code"), "staff_id", "vehicle_id",
+        "lesson_date", "lesson_time_sec", "price", note.alias("other_lesson_details"),
+    )
+
+
+def booking_audit(answered: DataFrame) -> DataFrame:
+    """Audit rows of bookings that were given a status at once."""
+    return answered.where(F.col("ok") & (F.col("booked_status") != NEW_LESSON)).select(
+        "lesson_id", F.lit(NEW_LESSON).alias("old_status"), F.col("booked_status").alias("new_status")
     )
 
 

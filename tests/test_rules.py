@@ -223,6 +223,23 @@ def test_double_booked_lesson_cannot_be_cancelled(spark, ds):
     assert {(r.conflict, r.lesson_id) for r in L.slot_conflicts(d).collect()} == {("staff", 5), ("staff", 12)}
 
 
+def test_booking_with_a_status(spark, ds):
+    """Booked and updated at once: a cancelled booking holds no slot, an unknown status leaves the lesson booked."""
+    asked = sql(
+        spark,
+        """(1L, 1L, 1L, 1L, DATE'2026-09-01', 32400, 50.00, 'a', 'CANC'), (2L, 1L, 1L, 2L, DATE'2026-09-01', 32400, 50.00, 'b', 'CONF'),
+        (3L, 1L, 1L, 3L, DATE'2026-09-01', 32400, 50.00, 'c', 'CANC'), (4L, 1L, 2L, 4L, DATE'2026-09-01', 32400, 50.00, 'd', 'NOPE'),
+        (5L, 1L, 3L, 5L, DATE'2026-09-01', 32400, -1.00, 'e', 'CANC'), (6L, 1L, 3L, 5L, DATE'2026-09-01', 32400, 50.00, 'f', NULL)
+        AS t(request_id, customer_id, staff_id, vehicle_id, lesson_date, lesson_time_sec, price, other_lesson_details, lesson_status_code)""",
+    )
+    done = L.book(ds, asked, CLOCK)
+    assert reasons(done) == {1: None, 2: None, 3: "staff_conflict", 4: None, 5: "price_invalid", 6: None}
+    made = {r.lesson_id: (r.lesson_status_code, r.other_lesson_details) for r in L.booked_lessons(done).collect()}
+    assert made == {15: ("CANC", "a"), 16: ("CONF", "b"), 17: ("BOOK", None), 18: ("BOOK", None)}
+    assert {tuple(r) for r in L.booking_audit(done).collect()} == {(15, "BOOK", "CANC"), (16, "BOOK", "CONF")}
+    assert {r.request_id for r in done.where("status_reason = 'unknown_reference'").collect()} == {4}
+
+
 def test_update_lessons(spark, ds):
     asked = sql(
         spark,
