@@ -165,18 +165,18 @@ def zero_if_null(c: Column | str) -> Column:
     return F.coalesce(as_col(c), F.lit(0).cast("decimal(10,2)"))
 
 
-def sum_where(cond: Column, c: Column | str) -> Column:
-    """Sum over matching rows, zero when none match."""
-    return zero_if_null(F.sum(F.when(cond, as_col(c))))
+# --- fixed values: words and colours of bands ---------------------------------
+PAID_UP, MINOR, CHASE = "Paid up", "Minor balance", "Chase for payment"
+GOOD, MIDDLING, BAD = "green", "amber", "red"
 
 
 # --- bands -------------------------------------------------------------------
 def balance_band(balance: Column, minor_below: int) -> Column:
-    return F.when(balance <= 0, "Paid up").when(balance < minor_below, "Minor balance").otherwise("Chase for payment")
+    return F.when(balance <= 0, PAID_UP).when(balance < minor_below, MINOR).otherwise(CHASE)
 
 
 def completion_band(pct: Column, green: int, amber: int) -> Column:
-    return F.when(pct >= green, "green").when(pct >= amber, "amber").otherwise("red")
+    return F.when(pct >= green, GOOD).when(pct >= amber, MIDDLING).otherwise(BAD)
 
 
 def _colour(c: Column, colours: dict[str, str]) -> Column:

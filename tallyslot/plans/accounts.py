@@ -16,6 +16,9 @@ from tallyslot.sources.dataset import Dataset, conform
 from tallyslot.sources.workdir import materialise
 
 DEFAULT_ROLE, ADMIN = "STAFF", "ADMIN"
+# --- fixed values: answer messages --------------------------------------------
+NO_USER, NO_ROLE = "No such user.", "No such role."
+ASSIGNED, REVOKED = "Role assigned.", "Role revoked."
 
 
 # --- sign-in -----------------------------------------------------------------
@@ -95,10 +98,10 @@ def change_roles(ds: Dataset, requests: DataFrame) -> DataFrame:
     reason = X.first_failure([("user_missing", assigns & ~F.col("_user")), ("role_missing", assigns & ~F.col("_role"))])
     ok = F.col("reason").isNull()
     message = (
-        F.when(F.col("reason") == "user_missing", "No such user.")
-        .when(F.col("reason") == "role_missing", "No such role.")
-        .when(assigns, "Role assigned.")
-        .otherwise("Role revoked.")
+        F.when(F.col("reason") == "user_missing", NO_USER)
+        .when(F.col("reason") == "role_missing", NO_ROLE)
+        .when(assigns, ASSIGNED)
+        .otherwise(REVOKED)
     )
     return (
         rows.withColumn("reason", reason)
