@@ -17,8 +17,8 @@ one row per block:
 ``decoded`` expands a range of a block: the running sum of expansion lengths finds the symbols that cover it.
 
 Encoding: a blank between two characters that are not white space always begins a token of the vocabulary's
-pre-tokenizer, so the pieces between such blanks are encoded once and remembered. Texts with other white space
-beside a blank are cut at the remaining places of that kind.
+pre-tokenizer, so the pieces between such blanks are encoded once and remembered, Latin words apart from the marks
+that close them. Texts with other white space beside a blank are cut at the remaining places of that kind.
 
 Defined cases. Null texts are empty: one id, the end. Null doc_ids come first. Repeated rows are stored as often as
 they come. An empty table gives an empty store. Other columns are never read.
@@ -26,7 +26,9 @@ they come. An empty table gives an empty store. Other columns are never read.
 
 from __future__ import annotations
 
+import re
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,10 @@ LEAST_PAIR, ROUNDS = 24, 12
 #: Pairs of one round: those at least 1 / SHARE as frequent as the most frequent one.
 SHARE = 32
 REMEMBERED = 300_000
+#: Pieces of Latin letters and closing marks: the pre-tokenizer cuts them between the two, and words come with many marks.
+PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]+)")
+#: log2 of the bins in which the pairs of a block are counted first.
+BINS = 18
 
 FORMAT = (
     "shard int, block int, start long, terminals int, doc_ids array<long>, lengths array<long>, rules binary, spans binary, symbols binary"
@@ -66,34 +72,58 @@ class ChunkEncoder:
     def forget(self) -> None:
         self.numbers, self.clean = Numbering(), np.zeros(0, bool)
         self.flat, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.units = Numbering()
+        self.units[("",)]  # unit 0 has no ids
+        self.unit_flat, self.unit_offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+        (got,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(got.ids, np.int32)
 
     def learn(self) -> None:
         """Encode the pieces met since the last time: strings follow a blank, one-element tuples open a text."""
-        new = list(self.numbers)[len(self.clean) :]
+        new = list(islice(self.numbers, len(self.clean), None))
+        heads, tails = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        clean = np.zeros(len(new), bool)
+        units, plain = self.units, PLAIN.fullmatch
+        for i, p in enumerate(new):
+            if not isinstance(p, str):
+                heads[i] = units[p]
+                clean[i] = not p[0] or not p[0][-1].isspace()
+            elif found := plain(p):
+                heads[i], tails[i] = units[found[1]], units[(found[2],)]
+                clean[i] = True
+            elif p and not p[0].isspace() and not p[-1].isspace():
+                heads[i] = units[p]
+                clean[i] = True
+        self.learn_units()
+        begin, size = self.unit_offsets[:-1], np.diff(self.unit_offsets)
+        both = np.stack([heads, tails], axis=1).ravel()
+        ids = self.unit_flat[flat_ranges(begin[both], size[both])]
+        self.flat = np.concatenate([self.flat, ids])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(size[heads] + size[tails])])
+        self.clean = np.concatenate([self.clean, clean])
+
+    def learn_units(self) -> None:
+        """Encode the units met since the last time: a string stands behind a blank, a tuple holds one that does not."""
+        new = list(islice(self.units, len(self.unit_offsets) - 1, None))
         inner = [p for p in new if isinstance(p, str)]
-        clean = {p: bool(p) and not p[0].isspace() and not p[-1].isspace() for p in inner}
-        sure = [p for p in inner if clean[p]]
-        joined = self.ids("".join([" " + p for p in sure])) if sure else np.zeros(0, np.int32)
+        joined = self.ids("".join([" " + p for p in inner])) if inner else np.zeros(0, np.int32)
         cuts = np.flatnonzero(self.opens[joined])
-        if len(cuts) == len(sure):
-            found = dict(zip(sure, np.split(joined, cuts[1:]) if len(cuts) else [], strict=True))
+        if len(cuts) == len(inner):
+            sizes = np.diff(np.append(cuts, len(joined)))
         else:
-            found = {p: self.ids(" " + p) for p in sure}
-        got, flags = [], []
-        for p in new:
-            if isinstance(p, str):
-                got.append(found.get(p, joined[:0]))
-                flags.append(clean[p])
-            else:
-                got.append(self.ids(p[0]))
-                flags.append(not p[0] or not p[0][-1].isspace())
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        self.flat = np.concatenate([self.flat, *got])
-        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
-        self.clean = np.concatenate([self.clean, np.array(flags, bool)])
+            each = [self.ids(" " + p) for p in inner]
+            joined, sizes = np.concatenate([joined[:0], *each]), np.fromiter(map(len, each), np.int64, len(each))
+        outer = [self.ids(p[0]) for p in new if not isinstance(p, str)]
+        flat = np.concatenate([joined, *outer])
+        at = np.concatenate([sizes, np.fromiter(map(len, outer), np.int64, len(outer))])
+        # strings come first in flat, then tuples; put both in the order of their numbers
+        is_inner = np.fromiter((isinstance(p, str) for p in new), bool, len(new))
+        place = np.where(is_inner, np.cumsum(is_inner) - 1, len(inner) + np.cumsum(~is_inner) - 1)
+        begin = np.cumsum(at) - at
+        self.unit_flat = np.concatenate([self.unit_flat, flat[flat_ranges(begin[place], at[place])]])
+        self.unit_offsets = np.concatenate([self.unit_offsets, self.unit_offsets[-1] + np.cumsum(at[place])])
 
     def whole(self, parts: list[str]) -> np.ndarray:
         """A text with white space beside blanks, cut at the blanks between two other characters."""
@@ -139,19 +169,27 @@ def compress(ids: np.ndarray, terminals: int, least: int = LEAST_PAIR, rounds: i
         if len(seq) < 2:
             break
         pair = (seq[:-1] << 32) | seq[1:]
-        kinds, times = np.unique(pair, return_counts=True)
-        enough = max(least, int(times.max()) // SHARE)
-        chosen = kinds[times >= enough]
-        if not len(chosen):
+        # All occurrences of a pair share a bin, so only those in bins of enough pairs need sorting. What is
+        # enough is at least what the best pair of the fullest bin asks for.
+        bins = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BINS)).view(np.int64)
+        held = np.bincount(bins, minlength=1 << BINS)
+        best = np.unique(pair[bins == held.argmax()], return_counts=True)[1].max()
+        places = np.flatnonzero((held >= max(least, int(best) // SHARE))[bins])
+        some = pair[places]
+        kinds, which, times = np.unique(some, return_inverse=True, return_counts=True)
+        if not len(kinds) or times.max() < least:
             break
-        at = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
-        hits = np.flatnonzero(chosen[at] == pair)
+        taken = times >= max(least, int(times.max()) // SHARE)
+        chosen = kinds[taken]
+        hit = taken[which]
+        hits, at = places[hit], (np.cumsum(taken) - 1)[which[hit]]
         # overlapping hits are runs of neighbouring places; every second one of a run is taken
         new_run = np.concatenate([[True], np.diff(hits) > 1])
         first = np.maximum.accumulate(np.where(new_run, np.arange(len(hits)), 0))
-        hits = hits[(np.arange(len(hits)) - first) % 2 == 0]
+        odd = (np.arange(len(hits)) - first) % 2 == 0
+        hits, at = hits[odd], at[odd]
         base = terminals + len(rules)
-        seq[hits] = base + at[hits]
+        seq[hits] = base + at
         keep = np.ones(len(seq), bool)
         keep[hits + 1] = False
         seq = seq[keep]

@@ -291,6 +291,21 @@ def test_grammar_round_trip(ids):
         assert block.decoded(a, b).tolist() == ids[a:b].tolist()
 
 
+def test_words_are_encoded_apart_from_their_marks():
+    encoder = repair_store.ChunkEncoder(BYTE_BPE)
+    texts = ["Straße, straße. straße; word... word!? can't' can't, a\u00d7, \u01c5. 12. x<|endoftext|>, <|endoftext|>", "word,\nword ,word -word- .", ""]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert sum(u in ("word", "straße") for u in encoder.units) == 2  # each word once, whatever marks close it
+
+
+def test_bins_of_pairs_do_not_change_the_grammar(monkeypatch):
+    ids = np.random.default_rng(1).zipf(1.3, 20_000).clip(0, 99).astype(np.int32)
+    want = repair_store.compress(ids, 100, least=2)
+    monkeypatch.setattr(repair_store, "BINS", 1)  # all pairs are sorted
+    assert all((a == b).all() for a, b in zip(want, repair_store.compress(ids, 100, least=2), strict=True))
+
+
 # benchmark passages
 
 
