@@ -19,7 +19,8 @@ Which shingles count as frequent only decides the cost; every choice gives the s
 Copies are collapsed first: sets are known by a 128-bit hash, and only one row of a class per task is indexed.
 Candidates are verified exactly, on the sets made again from their texts. Links are not needed one by one, only
 the classes they connect: a key of few documents gives all its pairs; a key of many compares all with a few
-pivots, the smallest sets first, and later only members that are still in different components.
+pivots, the smallest sets first, and later only members that are still in different components and whose odd bits
+(is the number of shingles of each of 512 classes odd?) differ in no more places than their sets may.
 
 Defined cases. Null texts and texts without words have the empty set: n_shingles 0, linked with nothing. A text of
 fewer words than a shingle is one shingle. Every input row gives one row; rows are told apart by their sets, so
@@ -29,14 +30,16 @@ its own. Null ids take part in links. Other columns are never read.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyslot.llm.common import annotate, column
+from tallyslot.llm.common import column, slices
 from tallyslot.sources.workdir import materialise
 
 SHINGLE, PER_CENT = 4, 85
@@ -53,6 +56,9 @@ BROADCAST_ROWS = 1_000_000
 #: Shingles that a counting task holds at once, and pairs that a pairing task holds at once.
 HELD_SHINGLES, HELD_PAIRS = 1_000_000, 1_000_000
 
+#: Columns of 64 odd bits each (see ``oddness``); a power of two.
+ODD = [f"odd{i}" for i in range(8)]
+
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 FNV = np.uint64(0x100000001B3)
 
@@ -62,12 +68,16 @@ class WordHashes(dict):
 
     LIMIT = 120_000
 
-    def __missing__(self, word: bytes) -> int:
+    def __init__(self):
         from xxhash import xxh64_intdigest
 
+        super().__init__()
+        self.digest = xxh64_intdigest
+
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
-        self[word] = h = xxh64_intdigest(word)
+        self[word] = h = self.digest(word)
         return h
 
 
@@ -201,55 +211,87 @@ def may_link(na, nb, ra, rb, blind, per_cent: int):
 # Steps over the documents
 
 
-def described(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, class, text_hash of every row."""
-
-    def make():
-        hashes = WordHashes()
-
-        def score(texts):
-            sets = [shingle_set(t, hashes, shingle) for t in texts]
-            return {"n_shingles": [len(s) for s in sets], "class": [class_key(s) for s in sets]}
-
-        return score
-
+def described(docs: DataFrame, doc_id: str, text: str, shingle: int, most: int = MOST_FREQUENT) -> DataFrame:
+    """doc_id, text_hash, n_shingles, class, odd0 .. of every row, and shingle, n counted within tasks in rows of their
+    own: sets are made once for both."""
     rows = docs.select(column(doc_id).alias("doc_id"), column(text).cast("string").alias("text"))
-    rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    return annotate(rows, make, "n_shingles long, class binary", "text", ["doc_id", "text_hash"])
-
-
-def frequent_shingles(docs: DataFrame, text: str, shingle: int, least: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
-    """The most frequent shingles, from counts within tasks that are then added up."""
-
-    def count(batches):
-        hashes, held, counts = WordHashes(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        pending, size = [], 0
-
-        def fold():
-            nonlocal held, counts, pending, size
-            new, got = np.unique(np.concatenate(pending), return_counts=True)
-            pending, size = [], 0
-            # once seen among a million shingles says little; that keeps this table small
-            new, got = new[got > 1], got[got > 1]
-            both = np.concatenate([held, new])
-            held, at = np.unique(both, return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, got])).astype(np.int64)
-            if len(held) > most:
-                best = np.sort(np.argsort(-counts, kind="stable")[:most])
-                held, counts = held[best], counts[best]
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    added = T._parse_datatype_string("text_hash long, n_shingles long, class binary, " + ", ".join(f"{o} long" for o in ODD) + ", shingle long, n long")
+    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *added.fields])
+    shown = to_arrow_schema(schema)
 
+    def run(batches):
+        hashes, counter = WordHashes(), ShingleCounts(most)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                pending.append(shingle_set(t, hashes, shingle))
-                size += len(pending[-1])
-                if size > HELD_SHINGLES:
-                    fold()
-        if pending:
-            fold()
-        yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(counts)], names=["shingle", "n"])
-
-    seen = docs.select(column(text).cast("string")).mapInArrow(count, "shingle long, n long")
-    seen = seen.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+            texts = batch.column(2).to_pylist()
+            for lo, hi in slices(texts):
+                sets = [shingle_set(t, hashes, shingle) for t in texts[lo:hi]]
+                for s in sets:
+                    counter.add(s)
+                odd = np.array([oddness(s) for s in sets])
+                size = hi - lo
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(lo, size), batch.column(1).slice(lo, size), pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([class_key(s) for s in sets], pa.binary()), *(pa.array(odd[:, i]) for i in range(len(ODD))),
+                        pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()),
+                    ],
+                    schema=shown,
+                )
+        held, counts = counter.counted()
+        if len(held):
+            none = [pa.nulls(len(held), f.type) for f in list(shown)[:-2]]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(held.view(np.int64)), pa.array(counts)], schema=shown)
+
+    return rows.mapInArrow(run, schema)
+
+
+class ShingleCounts:
+    """How many sets of a task hold each shingle, as far as it sees them twice or more; the ``most`` most frequent ones."""
+
+    def __init__(self, most: int):
+        self.most, self.held, self.counts = most, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.pending, self.size = [], 0
+
+    def add(self, tokens: np.ndarray) -> None:
+        self.pending.append(tokens)
+        self.size += len(tokens)
+        if self.size > HELD_SHINGLES:
+            self.fold()
+
+    def fold(self) -> None:
+        new, got = np.unique(np.concatenate(self.pending), return_counts=True)
+        self.pending, self.size = [], 0
+        # once seen among a million shingles says little; that keeps this table small
+        new, got = new[got > 1], got[got > 1]
+        self.held, at = np.unique(np.concatenate([self.held, new]), return_inverse=True)
+        self.counts = np.bincount(at, np.concatenate([self.counts, got])).astype(np.int64)
+        if len(self.held) > self.most:
+            best = np.sort(np.argsort(-self.counts, kind="stable")[: self.most])
+            self.held, self.counts = self.held[best], self.counts[best]
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.pending:
+            self.fold()
+        return self.held, self.counts
+
+
+def oddness(tokens: np.ndarray) -> np.ndarray:
+    """For each of some classes of shingles, a bit: is their number in the set odd? Two sets differ in at least as many
+    shingles as in such bits."""
+    bits = np.bincount((tokens & np.uint64(64 * len(ODD) - 1)).astype(np.int64), minlength=64 * len(ODD)) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def differ_little(na: str, nb: str, a: str, b: str, per_cent: int) -> Column:
+    """False for pairs whose odd bits differ in more places than the shingles of linked sets of these sizes may."""
+    differing = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{o}").bitwiseXOR(F.col(f"{b}.{o}"))) for o in ODD])
+    return (100 + per_cent) * differing <= (100 - per_cent) * (F.col(na) + F.col(nb))
+
+
+def frequent_shingles(counted: DataFrame, least: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
+    """The most frequent shingles, from counts within tasks that are added up."""
+    seen = counted.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     rows = seen.orderBy(F.desc("n"), "shingle").limit(most).select("shingle").toArrow()
     return np.unique(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
@@ -417,11 +459,14 @@ def judged(
     small: int = SMALL_KEY, pivots: int = PIVOTS, shingle: int = SHINGLE,
 ) -> DataFrame:
     """doc_id, text_hash, n_shingles, root (the component's smallest class, null for the empty set) of every row."""
-    known = materialise(described(docs, doc_id, text, shingle), "jaccard-sets")
+    seen = materialise(described(docs, doc_id, text, shingle), "jaccard-sets")
+    known, counted = seen.filter("shingle IS NULL").drop("shingle", "n"), seen.filter("shingle IS NOT NULL").select("shingle", "n")
     node = F.conv(F.hex(F.substring("class", 1, 8)), 16, -10).cast("long")
-    nodes = known.filter("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
+    nodes = known.filter("class IS NOT NULL").groupBy("class").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("rep"), *[F.first(o).alias(o) for o in ODD]
+    )
     nodes = materialise(nodes.withColumn("node", node), "jaccard-classes")
-    frequent = frequent_shingles(docs, text, shingle, least)
+    frequent = frequent_shingles(counted, least)
     rows = indexed(docs, text, frequent, per_cent, shingle).repartition("key")
     found = materialise(met(rows, per_cent, small, pivots), "jaccard-met")
     pairs = materialise(found.filter("kind = 'pair'").select("a", "b").distinct(), "jaccard-pairs")
@@ -446,8 +491,8 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
 def rest(big, links, docs, nodes, doc_id, text, per_cent, shingle) -> DataFrame:
     """Links between members of large keys that the pivots left in different components."""
     roots = components(links)
-    named = nodes.select("node", "class").join(roots.withColumnRenamed("node", "class"), "class", "left")
-    named = named.select("node", F.coalesce("root", "class").alias("root"))
+    named = nodes.select("node", "class", *ODD).join(roots.withColumnRenamed("node", "class"), "class", "left")
+    named = named.select("node", F.coalesce("root", "class").alias("root"), *ODD)
     rows = big.join(named, "node")
     mixed_keys = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
     rows = materialise(rows.join(mixed_keys, "key", "left_semi"), "jaccard-mixed")
@@ -460,7 +505,8 @@ def rest(big, links, docs, nodes, doc_id, text, per_cent, shingle) -> DataFrame:
     sighted = F.exists(shared, lambda k: k.bitwiseAND(1) == 0)
     could = sighted | (100 * most >= per_cent * (F.col("a.n") + F.col("b.n") - most))
     once = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & F.expr("a.root != b.root")
-    pairs = a.join(b, once & fits & (F.array_min(shared) == F.col("a.key")) & could)
+    near = differ_little("a.n", "b.n", "a", "b", per_cent)
+    pairs = a.join(b, once & fits & near & (F.array_min(shared) == F.col("a.key")) & could)
     pairs = materialise(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "jaccard-pairs")
     return materialise(verified(pairs, docs, nodes, doc_id, text, per_cent, shingle), "jaccard-links")
 

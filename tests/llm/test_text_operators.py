@@ -14,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tallyslot.llm import (
     common, jaccard_segments, language_spans, license_rules, phrase_index, pii_segments, piece_trie, registry,
     repair_store, repetition, token_resync, toxic_lm,
@@ -400,6 +401,27 @@ def test_components(spark, seed, options):
     assert got == brute_components(rows, options.get("shingle", 4), options.get("per_cent", 85))
 
 
+def test_odd_bits_part_no_linked_sets(spark):
+    rng = np.random.default_rng(7)
+    rows, near = [], []
+    for n in (1, 4, 9, 30, 200, 900):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for _ in range(60):
+            gone, new = rng.integers(0, n // 4 + 1, 2)
+            b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 63, new).astype(np.uint64)]))
+            shared = len(np.intersect1d(a, b))
+            near.append(100 * shared >= 85 * (len(a) + len(b) - shared))
+            rows.append((len(rows), len(a), len(b), *jaccard_segments.oddness(a).tolist(), *jaccard_segments.oddness(b).tolist()))
+        rows.append((len(rows), n, n, *jaccard_segments.oddness(a).tolist(), *jaccard_segments.oddness(a + np.uint64(12345678901)).tolist()))
+        near.append(False)
+    names = ["i", "na", "nb", *(f"{s}_{o}" for s in "ab" for o in jaccard_segments.ODD)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names))
+    sides = [F.struct(*[F.col(f"{s}_{o}").alias(o) for o in jaccard_segments.ODD]).alias(s) for s in "ab"]
+    kept = {r["i"] for r in df.select("i", "na", "nb", *sides).where(jaccard_segments.differ_little("na", "nb", "a", "b", 85)).collect()}
+    assert {i for i, linked in enumerate(near) if linked} <= kept
+    assert len(rows) - 1 not in kept  # 900 shingles that have none in common are told apart
+
+
 def test_one_of_each_stays(spark, none):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, "x"), (3, "x"), (4, None), (5, ""), (6, "other words here now")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
