@@ -160,7 +160,7 @@ def correct(ds: Dataset, requests: DataFrame, scale: Scale = Scale()) -> DataFra
             F.col("_here").cast("string").alias("here_paid"), F.col("_there").cast("string").alias("there_paid"),
         ).alias("ask"),
     )
-    said = replay(asked, _Corrections(), scale).select(
+    said = replay(asked, _Corrections(), scale, within="customer").select(
         "request_id", F.col("reason").alias("_said"), F.col("old_amount").cast("decimal(10,2)").alias("_old"),
         F.col("stored_at").cast("timestamp_ntz").alias("_stored"), F.lit(True).alias("_replayed"),
     )

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tallyslot.operators import replay as replaying
 from tallyslot.operators.components import components
 from tallyslot.operators.keyed import HotKeys, flag_known, look_up
 from tallyslot.operators.replay import sharing
@@ -192,6 +193,20 @@ def test_an_instant_is_handed_along_a_chain(spark, ds, scale, n):
     assert found == {None: n // 2 - 1, "amount_not_positive": 1, "duplicate_key": n - n // 2 + 3}
 
 
+def test_customers_are_replayed_without_linking(spark, monkeypatch):
+    """Customers that never share an instant need no links, however many requests there are in all."""
+    found = []
+    monkeypatch.setattr(replaying, "components", lambda *a: found.append(a) or components(*a))
+    rows = [(i, f"c{i % 7}", "a", "a", "1.00", "5.00", "5.00") for i in range(40)]
+    ddl = "request_id long, ask struct<customer:string,here:string,there:string,amount:string,here_paid:string,there_paid:string>"
+    df = spark.createDataFrame([(r[0], r[1:]) for r in rows], ddl)
+    got = {r.request_id: r.old_amount for r in replaying.replay(df, P._Corrections(), Scale(ordered_rows=10), within="customer").collect()}
+    assert got == {i: "5.00" if i < 7 else "1.00" for i in range(40)} and not found
+    # a customer of more requests than that is taken apart as before
+    got = {r.request_id: r.old_amount for r in replaying.replay(df, P._Corrections(), Scale(ordered_rows=5), within="customer").collect()}
+    assert got == {i: "5.00" if i < 7 else "1.00" for i in range(40)} and found
+
+
 # --- customer changes -----------------------------------------------------------
 CHANGE = "request_id long, op string, customer_id long, first_name string, last_name string, date_of_birth date, date_became_customer date, customer_status_code string, email_address string"
 
