@@ -2,7 +2,8 @@
 
 A text is normalised as the model says and cut into marked words: a run of word marks and the characters up to the
 next one. No piece of a usable model reaches from a character into a mark (checked when the model is loaded), so
-words are independent. The distinct words of a slice are sorted; read in that order they are a trie in depth-first
+words are independent. Where no piece joins a letter to another character, words are cut there too: a word comes with
+many marks and line breaks, but is met once. The distinct words of a slice are sorted; read in that order they are a trie in depth-first
 order, and everything computed for a prefix stays valid for the next word up to their common prefix.
 
 For each prefix the forward state is the best path's score and last piece. The model is a merge model (BPE), whose
@@ -48,6 +49,7 @@ class Pieces:
         self.ids = {p: i for i, p in enumerate(spelled) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece of this model reaches from one word into the next")
+        self.words = self.cuts()
         self.lengths = [len(p) for p in spelled]
         self.text = [p.replace(MARK, " ").encode() for p in spelled]
         for b, i in self.bytes.items():
@@ -55,8 +57,19 @@ class Pieces:
         for i in range(n):
             if sp.is_control(i):
                 self.text[i] = b""
+        self.sizes = np.fromiter(map(len, self.text), np.int64, n)
+        self.begin, self.flat = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(self.text), np.uint8)
         self.build()
 
+    def cuts(self) -> re.Pattern:
+        """The words of a text: letters apart from other characters unless a piece joins the two. Characters without a
+        piece are joined to nothing, so it does not matter where they are."""
+        letters = {c for p in self.ids for c in p if c.isalpha()}
+        if not letters or any((a in letters) != (b in letters) for p in self.ids for a, b in zip(p, p[1:]) if a != MARK):
+            return WORDS
+        some = re.escape("".join(sorted(letters)))
+        return re.compile(f"{MARK}*[{some}]+|{MARK}*[^{some}{MARK}]+|{MARK}+")
+
     def build(self) -> None:
         self.children: list[dict[str, int]] = [{}]
         ends = [0]
@@ -135,7 +148,9 @@ class TrieEncoder:
         if found is None:
             p = self.spelled[right]
             parts = [p] if left < 0 else [self.spelled[left], p]
-            found = self.pieces.merged("".join(parts)) == parts
+            whole = "".join(parts)
+            # two pieces that make a third would have been merged
+            found = (left < 0 or whole not in self.pieces.ids) and self.pieces.merged(whole) == parts
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             self.pairs[key] = found
@@ -201,7 +216,7 @@ class TrieEncoder:
     def encode_run(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.numbers) > REMEMBERED:
             self.forget()
-        split = [WORDS.findall(self.pieces.processor.normalize(t)) if t else [] for t in texts]
+        split = [self.pieces.words.findall(self.pieces.processor.normalize(t)) if t else [] for t in texts]
         at = number_words([w for ws in split for w in ws], self.numbers)
         done = len(self.offsets) - 1
         if len(self.numbers) > done:
@@ -216,7 +231,8 @@ class TrieEncoder:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids; the blank that the model put in front is taken off."""
-        text = b"".join(map(self.pieces.text.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        p = self.pieces
+        text = p.flat[flat_ranges(p.begin[ids], p.sizes[ids])].tobytes().decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 

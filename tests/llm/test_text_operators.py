@@ -244,6 +244,24 @@ def shared_encoder():
     return ENCODER[0]
 
 
+def test_pieces_of_a_word_are_made_once():
+    import sentencepiece
+
+    sp, encoder = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_trie.TrieEncoder(PIECES)
+    texts = ["one, one. one\none!one?\n\none (one) 1one2", "  Éte\u0301 日本one語 x\u0131y\u00aa ▁one▁,▁", "\ufffd\x00a\U0001f600b"]
+    encoder.encode(texts[:1])
+    assert [w for w in encoder.numbers if "one" in w] == ["▁one", "one"]  # behind a blank, and behind another character
+    for text in texts:
+        assert encoder.encode([text])[0].tolist() == sp.encode(text)
+
+
+def test_pieces_that_join_letters_to_marks_keep_words_whole():
+    encoder = shared_encoder()
+    other = object.__new__(piece_trie.Pieces)
+    other.ids = {"a": 0, ".": 1, "a.": 2}
+    assert other.cuts() is piece_trie.WORDS and encoder.pieces.words is not piece_trie.WORDS
+
+
 def test_token_counts(docs, odd, none):
     from tokenizers import Tokenizer
 
