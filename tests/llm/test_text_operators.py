@@ -568,6 +568,27 @@ def test_held_out_labels_change_nothing(spark):
     assert np.array_equal(a.weights, b.weights)
 
 
+def test_models_are_kept_and_sent_once(spark, tmp_path, monkeypatch):
+    """One table of bigrams, and one broadcast for the curve and for all scores, smaller than its arrays."""
+    kept = []
+    monkeypatch.setattr(toxic_lm, "materialise", lambda df, label: kept.append(label) or df.localCheckpoint())
+    docs = spark.createDataFrame([(i, f"we met w{i} and " + ("vile scum" if i % 4 == 0 else "kind folk")) for i in range(300)], "doc_id long, text string")
+    model = toxic_lm.train(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int"))
+    assert kept == ["toxic-marks", "toxic-bigrams"]
+    sent = model.sent
+    toxic_lm.toxicity(docs, model).count()
+    assert sent is not None and model.sent is sent
+    for k in (model.words, model.units):
+        again = toxic_lm.KneserNey.unpacked(k.packed())
+        for name in ("pairs", "counts", "rest", "unigram", "seen", "discount"):
+            a, b = getattr(k, name), getattr(again, name)
+            assert a.dtype == b.dtype and a.shape == b.shape and np.array_equal(a, b)
+        assert sum(len(x[0]) for x in k.packed()[:5]) < k.rest.nbytes // 4
+    assert model.words.counts.dtype == np.uint8 and len(model.words.pairs)
+    for x in (np.zeros((0, 2), np.uint8), np.zeros(0, np.int64), np.arange(7) << 33, np.array([[1.5, -2.0]])):
+        assert np.array_equal(toxic_lm.unpacked(toxic_lm.packed(x)), x)
+
+
 # pipeline and registry
 
 
