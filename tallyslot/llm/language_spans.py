@@ -37,6 +37,8 @@ PIECE = 24
 REMEMBERED, REMEMBERED_CHARS = 300_000, 1 << 24
 #: Pieces whose n-grams are made at once.
 RUN = 1 << 15
+#: Characters of text that are labelled at once; a task holds some 40 bytes for each of them.
+LABELLED_CHARS = 2_000_000
 
 # First code points of the letters of scripts, in order; a script reaches to the next entry.
 SCRIPT_STARTS = [
@@ -52,11 +54,13 @@ SCRIPTS = sorted({s for _, s in SCRIPT_STARTS})
 STARTS = np.array([a for a, _ in SCRIPT_STARTS])
 SCRIPT_AT = np.array([0, *[SCRIPTS.index(s) for _, s in SCRIPT_STARTS]])
 LATIN = SCRIPTS.index("latin")
+#: All letters before this character are Latin.
+GREEK = "\u0370"
 
 
 def letters_of(word: str) -> tuple[int, int]:
     """Letters in a word, and the set of their scripts as bits."""
-    if word.isascii():
+    if max(word, default="") < GREEK:
         n = len(word) if word.isalpha() else sum(map(str.isalpha, word))
         return n, (1 << LATIN) if n else 0
     found = [ord(c) for c in word if c.isalpha()]
@@ -68,7 +72,7 @@ def letters_of(word: str) -> tuple[int, int]:
 
 def script_runs(word: str) -> list[str]:
     """A word cut where its letters change script; other characters stay with the letters before them."""
-    if word.isascii():
+    if max(word, default="") < GREEK:
         return [word]
     points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4")
     at = np.flatnonzero(np.fromiter(map(str.isalpha, word), bool, len(word)))
@@ -289,4 +293,4 @@ class SpanLabeller:
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """The columns of ``keep`` (doc_id), lang_pred, score, n_spans (spans of one language) of every whole text."""
     known = docs.sparkSession.sparkContext.broadcast(model)
-    return annotate(docs, lambda: SpanLabeller(known.value), "lang_pred string, score double, n_spans long", text, keep, prefix)
+    return annotate(docs, lambda: SpanLabeller(known.value), "lang_pred string, score double, n_spans long", text, keep, prefix, LABELLED_CHARS)

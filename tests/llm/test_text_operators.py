@@ -211,6 +211,30 @@ def test_training_reads_whole_texts(spark):
     assert pii_segments.windows("no sign") == []
 
 
+def test_a_kept_text_is_sent_once_and_read_by_slices(spark):
+    rows = [(i, t) for i, t in enumerate(["ab", None, "", "é" * 9, "c" * 4, "d"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+    def make():
+        return lambda texts: {"n": [len(texts)] * len(texts), "c": [None if t is None else t.upper() for t in texts]}
+
+    got = common.annotate(df, make, "n int, c string", keep=["text", "doc_id"], prefix="p ", limit=5)
+    assert got.columns == ["text", "doc_id", "p n", "p c"]
+    assert [(r[1], r[0], r[2], r[3]) for r in got.collect()] == [(i, t, n, t and t.upper()) for (i, t), n in zip(rows, (3, 3, 3, 1, 2, 2))]
+    assert got._jdf.queryExecution().optimizedPlan().children().head().output().size() == 2
+    ids = common.annotate(df, make, "n int, c string", text="doc_id", keep=["doc_id"])  # a text that is no string is sent beside
+    assert [r["c"] for r in ids.collect()] == [str(i) for i in range(6)]
+
+
+def test_latin_words_are_one_script():
+    for w in ("", "12", "x1", "Straße", "\u036f", "\u00aa1", "ab\u0370", "日本", "αβγabc"):
+        letters = [c for c in w if c.isalpha()]
+        kinds = [language_spans.SCRIPT_AT[np.searchsorted(language_spans.STARTS, ord(c), side="right")] for c in letters]
+        assert language_spans.letters_of(w) == (len(letters), sum(1 << int(k) for k in set(kinds)))
+        assert "".join(language_spans.script_runs(w)) == w
+        assert len(language_spans.script_runs(w)) == 1 + sum(a != b for a, b in zip(kinds, kinds[1:]))
+
+
 # tokens and pieces
 
 
