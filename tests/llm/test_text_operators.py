@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import glob
 import hashlib
+import os
 import random
 import re
+import tempfile
+import time
 import zlib
 from collections import Counter
 
@@ -563,6 +567,32 @@ def test_toxic_counts_have_no_bound(spark, odd, monkeypatch):
         assert a == b and len(a) == table.count()
 
 
+def shuffle_files() -> set[str]:
+    """Data of shuffles that Spark holds on this machine."""
+    return set(glob.glob(os.path.join(tempfile.gettempdir(), "blockmgr-*", "*", "shuffle_*.data")))
+
+
+def test_toxic_shuffles_go_with_their_turn(spark, tmp_path, monkeypatch):
+    """Bigrams past the limit: texts are judged in turns, and no turn leaves shuffle files behind."""
+    monkeypatch.setattr(toxic_lm, "BLOCK_CHARS", 2_000)
+    monkeypatch.setattr(toxic_lm, "ROUND_BLOCKS", 2)
+    monkeypatch.setattr(toxic_lm, "PART_PAIRS", 100)
+    kept, materialise = [], toxic_lm.materialise
+    monkeypatch.setattr(toxic_lm, "materialise", lambda df, label: kept.append(label) or materialise(df, label))
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, f"we met w{i} and " + ("vile scum" if i % 4 == 0 else "kind folk")) for i in ids], "doc_id long, text string")
+    before = shuffle_files()
+    model = toxic_lm.train(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in ids], "doc_id long, toxic int"), rows=20, most_bytes=0)
+    got = toxic_lm.toxicity(docs, model)
+    for _ in range(50):  # Spark deletes them in the background
+        if shuffle_files() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffle_files() <= before
+    assert kept.count("toxic-told") > toxic_lm.ROUNDS and model.parts > 8
+    assert sorted(r["doc_id"] for r in got.collect()) == ids
+
+
 def test_whole_pieces_are_judged(spark):
     """What stands late in a run without blanks counts, and does not depend on how the run is cut for memory."""
     ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
