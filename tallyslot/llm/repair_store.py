@@ -17,8 +17,8 @@ one row per block:
 ``decoded`` expands a range of a block: the running sum of expansion lengths finds the symbols that cover it.
 
 Encoding: a blank between two characters that are not white space always begins a token of the vocabulary's
-pre-tokenizer, so the pieces between such blanks are encoded once and remembered, Latin words apart from the marks
-that close them. Texts with other white space beside a blank are cut at the remaining places of that kind.
+pre-tokenizer, so the pieces between such blanks are encoded once a worker and remembered, Latin words apart from the marks
+that close them and by the library's merges alone. Texts with other white space beside a blank are cut at the remaining places of that kind.
 
 Defined cases. Null texts are empty: one id, the end. Null doc_ids come first. Repeated rows are stored as often as
 they come. An empty table gives an empty store. Other columns are never read.
@@ -26,17 +26,22 @@ they come. An empty table gives an empty store. Other columns are never read.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyslot.llm.common import Numbering, column, flat_ranges, number_words, quiet_tokenizers, slices
+from tallyslot.llm.common import Numbering, coded_pieces, column, flat_ranges, number_words, quiet_tokenizers, slices
 
 END = 0
 BLOCK = 1_000_000
@@ -46,7 +51,8 @@ LEAST_PAIR, ROUNDS = 24, 12
 SHARE = 32
 REMEMBERED = 300_000
 #: Pieces of Latin letters and closing marks: the pre-tokenizer cuts them between the two, and words come with many marks.
-PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]+)")
+PLAIN = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: log2 of the bins in which the pairs of a block are counted first.
 BINS = 18
 
@@ -55,18 +61,39 @@ FORMAT = (
 )
 
 
+@contextmanager
+def no_collection() -> Iterator[None]:
+    """Encoding makes no cycles, and Python's collector would walk all remembered pieces again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class ChunkEncoder:
     """Ids of whole texts by the tokenizers library, each distinct piece between blanks encoded once."""
 
     def __init__(self, model: str):
         quiet_tokenizers()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(model)
         size = self.tokenizer.get_vocab_size()
         self.size = size
         # the library writes a blank at a token's start as this letter
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+        # words of Latin letters are one token of the pre-tokenizer, so they go to the library's merges in its byte letters
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        pairs = [(chr(c).encode(), spell(chr(c))[0][0]) for c in range(0x80, 0x250)]
+        self.letters = {b: letter for two, letters in pairs for b, letter in zip(two, letters, strict=True)}
+        added = [t.content.strip() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.bytewise = (
+            isinstance(self.tokenizer.model, models.BPE) and isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel)
+            and self.tokenizer.normalizer is None and not any(map(PLAIN.fullmatch, added))
+        )
         self.forget()
 
     def forget(self) -> None:
@@ -90,8 +117,12 @@ class ChunkEncoder:
             if not isinstance(p, str):
                 heads[i] = units[p]
                 clean[i] = not p[0] or not p[0][-1].isspace()
-            elif found := plain(p):
-                heads[i], tails[i] = units[found[1]], units[(found[2],)]
+                continue
+            word = p.rstrip(MARKS)
+            if word.isascii() and word.isalpha() or plain(word):
+                heads[i] = units[word.encode() if self.bytewise else word]
+                if len(word) < len(p):
+                    tails[i] = units[(p[len(word) :],)]
                 clean[i] = True
             elif p and not p[0].isspace() and not p[-1].isspace():
                 heads[i] = units[p]
@@ -105,7 +136,8 @@ class ChunkEncoder:
         self.clean = np.concatenate([self.clean, clean])
 
     def learn_units(self) -> None:
-        """Encode the units met since the last time: a string stands behind a blank, a tuple holds one that does not."""
+        """Encode the units met since the last time: a string stands behind a blank, a tuple holds one that does not, and bytes
+        are a word of Latin letters behind a blank."""
         new = list(islice(self.units, len(self.unit_offsets) - 1, None))
         inner = [p for p in new if isinstance(p, str)]
         joined = self.ids("".join([" " + p for p in inner])) if inner else np.zeros(0, np.int32)
@@ -115,12 +147,21 @@ class ChunkEncoder:
         else:
             each = [self.ids(" " + p) for p in inner]
             joined, sizes = np.concatenate([joined[:0], *each]), np.fromiter(map(len, each), np.int64, len(each))
-        outer = [self.ids(p[0]) for p in new if not isinstance(p, str)]
-        flat = np.concatenate([joined, *outer])
-        at = np.concatenate([sizes, np.fromiter(map(len, outer), np.int64, len(outer))])
-        # strings come first in flat, then tuples; put both in the order of their numbers
-        is_inner = np.fromiter((isinstance(p, str) for p in new), bool, len(new))
-        place = np.where(is_inner, np.cumsum(is_inner) - 1, len(inner) + np.cumsum(~is_inner) - 1)
+        merge, letters = self.tokenizer.model.tokenize, self.letters
+        words, lengths = [], []
+        for w in new:
+            if not isinstance(w, bytes):
+                continue
+            got = merge("Ġ" + (w.decode() if w.isascii() else w.decode("latin-1").translate(letters)))
+            lengths.append(len(got))
+            words += [t.id for t in got]
+        outer = [self.ids(p[0]) for p in new if isinstance(p, tuple)]
+        flat = np.concatenate([joined, *outer, np.array(words, np.int32)])
+        at = np.concatenate([sizes, np.fromiter(map(len, outer), np.int64, len(outer)), np.array(lengths, np.int64)])
+        # strings come first in flat, then tuples, then bytes; put all in the order of their numbers
+        kind = np.fromiter(((str, tuple, bytes).index(type(p)) for p in new), np.uint8, len(new))
+        place = np.empty(len(new), np.int64)
+        place[np.argsort(kind, kind="stable")] = np.arange(len(new))
         begin = np.cumsum(at) - at
         self.unit_flat = np.concatenate([self.unit_flat, flat[flat_ranges(begin[place], at[place])]])
         self.unit_offsets = np.concatenate([self.unit_offsets, self.unit_offsets[-1] + np.cumsum(at[place])])
@@ -139,27 +180,36 @@ class ChunkEncoder:
         return np.concatenate([np.array(e.ids, np.int32) for e in got])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        with no_collection():
+            return self.encoded(texts)
+
+    def encoded(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.numbers) > REMEMBERED:
             self.forget()
-        split = [(t or "").split(" ") for t in texts]
-        keys = []
-        for parts in split:
-            keys.append((parts[0],))
-            keys += parts[1:]
-        at = number_words(keys, self.numbers)
+        if not texts:
+            return []
+        at, kinds, counts = coded_pieces(pc.split_pattern(pc.fill_null(pa.array(texts, pa.string()), ""), " "))
+        ends = np.cumsum(counts)
+        opening = [(kinds[i],) for i in at[ends - counts].tolist()]
+        at = number_words(kinds, self.numbers)[at]
+        at[ends - counts] = number_words(opening, self.numbers)
         if len(self.numbers) > len(self.clean):
             self.learn()
-        counts = np.array([len(p) for p in split], np.int64)
-        ends = np.cumsum(counts)
         sizes = self.offsets[at + 1] - self.offsets[at]
         ids = self.flat[flat_ranges(self.offsets[at], sizes)]
         edges = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], ends])]
         good = np.logical_and.reduceat(self.clean[at], ends - counts)
         return [
-            ids[edges[i] : edges[i + 1]] if good[i] else self.whole(split[i]) for i in range(len(texts))
+            ids[edges[i] : edges[i + 1]] if good[i] else self.whole((texts[i] or "").split(" ")) for i in range(len(texts))
         ]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(model: str) -> ChunkEncoder:
+    """A worker keeps its encoder, and what that remembers, from task to task."""
+    return ChunkEncoder(model)
+
+
 def compress(ids: np.ndarray, terminals: int, least: int = LEAST_PAIR, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, spans, symbols): the grammar of one stream of ids."""
     seq = ids.astype(np.int64)
@@ -236,7 +286,7 @@ def write(docs: DataFrame, model: str, path: str, doc_id: str = "doc_id", text:
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def store(batches):
-        encoder, shard = ChunkEncoder(model), TaskContext.get().partitionId()
+        encoder, shard = encoder_of(model), TaskContext.get().partitionId()
         held, names, sizes, total, number = [], [], 0, 0, 0
 
         def flush():

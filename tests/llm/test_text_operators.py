@@ -536,6 +536,17 @@ def test_licenses(spark, odd, none):
     assert license_rules.scan(odd).count() == odd.count() and license_rules.scan(none).count() == 0
 
 
+def test_latin_words_go_to_the_merges(monkeypatch):
+    """Words of Latin letters skip the pre-tokenizer, and a worker's next task finds what its last one has learned."""
+    encoder = repair_store.encoder_of(BYTE_BPE)
+    text = "x Ärger, naïve ſtraße Ångström Łódź ǅ ȿ don't and\nmore **marks** ª " + " ".join(f"w{chr(c)}ord" for c in range(0xC0, 0x250))
+    whole = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.encode([text, None, ""])[0].tolist() == whole
+    assert encoder.bytewise and b"and" not in encoder.units and "Ärger".encode() in encoder.units
+    monkeypatch.setattr(encoder, "learn", None)
+    assert repair_store.encoder_of(BYTE_BPE).encode([text])[0].tolist() == whole
+
+
 def test_toxicity(spark, docs, odd, none):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     large = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
