@@ -120,7 +120,7 @@ class ChunkEncoder:
                 continue
             word = p.rstrip(MARKS)
             if word.isascii() and word.isalpha() or plain(word):
-                heads[i] = units[word.encode() if self.bytewise else word]
+                heads[i] = units[word]
                 if len(word) < len(p):
                     tails[i] = units[(p[len(word) :],)]
                 clean[i] = True
@@ -135,11 +135,17 @@ class ChunkEncoder:
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(size[heads] + size[tails])])
         self.clean = np.concatenate([self.clean, clean])
 
+    def kind(self, unit: str | tuple[str]) -> int:
+        if isinstance(unit, tuple):
+            return 1
+        return 2 if self.bytewise and (unit.isascii() and unit.isalpha() or PLAIN.fullmatch(unit)) else 0
+
     def learn_units(self) -> None:
-        """Encode the units met since the last time: a string stands behind a blank, a tuple holds one that does not, and bytes
-        are a word of Latin letters behind a blank."""
+        """Encode the units met since the last time: a string stands behind a blank, a tuple holds one that does not."""
         new = list(islice(self.units, len(self.unit_offsets) - 1, None))
-        inner = [p for p in new if isinstance(p, str)]
+        # 0: a string, 1: a tuple, 2: a string that is a word of Latin letters
+        kind = np.fromiter((self.kind(p) for p in new), np.uint8, len(new))
+        inner = [new[i] for i in np.flatnonzero(kind == 0).tolist()]
         joined = self.ids("".join([" " + p for p in inner])) if inner else np.zeros(0, np.int32)
         cuts = np.flatnonzero(self.opens[joined])
         if len(cuts) == len(inner):
@@ -149,17 +155,15 @@ class ChunkEncoder:
             joined, sizes = np.concatenate([joined[:0], *each]), np.fromiter(map(len, each), np.int64, len(each))
         merge, letters = self.tokenizer.model.tokenize, self.letters
         words, lengths = [], []
-        for w in new:
-            if not isinstance(w, bytes):
-                continue
-            got = merge("Ġ" + (w.decode() if w.isascii() else w.decode("latin-1").translate(letters)))
+        for i in np.flatnonzero(kind == 2).tolist():
+            w = new[i]
+            got = merge("Ġ" + (w if w.isascii() else w.encode().decode("latin-1").translate(letters)))
             lengths.append(len(got))
             words += [t.id for t in got]
         outer = [self.ids(p[0]) for p in new if isinstance(p, tuple)]
         flat = np.concatenate([joined, *outer, np.array(words, np.int32)])
         at = np.concatenate([sizes, np.fromiter(map(len, outer), np.int64, len(outer)), np.array(lengths, np.int64)])
-        # strings come first in flat, then tuples, then bytes; put all in the order of their numbers
-        kind = np.fromiter(((str, tuple, bytes).index(type(p)) for p in new), np.uint8, len(new))
+        # they come by kind in flat; put all in the order of their numbers
         place = np.empty(len(new), np.int64)
         place[np.argsort(kind, kind="stable")] = np.arange(len(new))
         begin = np.cumsum(at) - at
