@@ -51,8 +51,10 @@ MOST_FREQUENT = 200_000
 SMALL_KEY = 32
 #: Sets that all others of a large key are compared with at first.
 PIVOTS = 4
-#: Representatives looked up by broadcast up to so many (24 bytes each), else by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Representatives looked up by broadcast up to so many (some 120 bytes each, of which the driver holds several copies).
+BROADCAST_ROWS = 100_000
+#: Up to so many, only documents with a wanted key (8 bytes each at every task) are shuffled to meet them, else all.
+KEYED_ROWS = 3_000_000
 #: Shingles that a counting task holds at once, and pairs that a pairing task holds at once.
 HELD_SHINGLES, HELD_PAIRS = 1_000_000, 1_000_000
 
@@ -403,14 +405,30 @@ def met(rows: DataFrame, per_cent: int, small: int, pivots: int) -> DataFrame:
     return rows.mapInArrow(group, "kind string, a long, b long, key long, n long, rare long")
 
 
+def among(keys: DataFrame, key: Column) -> Column:
+    """Is a 64-bit key one of some? Only the keys themselves are sent, not the rows they stand for."""
+    known = keys.sparkSession.sparkContext.broadcast(np.unique(keys.toArrow().column(0).to_numpy()))
+
+    @F.arrow_udf("boolean")
+    def there(asked: pa.Array) -> pa.Array:
+        own, held = asked.to_numpy(), known.value
+        return pa.array(held[np.minimum(np.searchsorted(held, own), len(held) - 1)] == own)
+
+    return there(key)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, per_cent: int, shingle: int) -> DataFrame:
     """The links among candidate pairs, as classes a < b; texts are fetched once per class."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     reps = materialise(nodes.join(wanted, "node", "left_semi"), "jaccard-reps")
     asked = reps.select("class", F.col("rep.doc_id").alias("rep id"), F.col("rep.text_hash").alias("rep hash"), "node")
-    if reps.count() <= BROADCAST_ROWS:
-        asked = F.broadcast(asked)
     whole = docs.select(column(doc_id).alias("id"), column(text).cast("string").alias("text"))
+    number = reps.count()
+    if number <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
+    elif number <= KEYED_ROWS:
+        keys = asked.select(F.xxhash64("rep id", "rep hash").alias("key"))
+        whole = whole.filter(among(keys, F.xxhash64("id", F.xxhash64("text"))))
     same = F.xxhash64(whole["text"]).eqNullSafe(asked["rep hash"]) & whole["id"].eqNullSafe(asked["rep id"])
     texts = materialise(whole.join(asked, same).select("node", "class", "text").dropDuplicates(["class"]), "jaccard-texts")
 
@@ -496,9 +514,10 @@ def rest(big, links, docs, nodes, doc_id, text, per_cent, shingle) -> DataFrame:
     rows = big.join(named, "node")
     mixed_keys = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
     rows = materialise(rows.join(mixed_keys, "key", "left_semi"), "jaccard-mixed")
-    # a pair is emitted under the smallest of its common keys only, not under each
-    rows = rows.join(rows.groupBy("node").agg(F.collect_set("key").alias("all")), "node")
-    a, b = rows.alias("a"), rows.alias("b")
+    # a pair is emitted under the smallest of its common keys only, not under each. Spark would take these rows for as
+    # small as their files and broadcast them: they are merged
+    rows = rows.join(rows.groupBy("node").agg(F.collect_set("key").alias("all")).hint("merge"), "node")
+    a, b = rows.alias("a"), rows.hint("merge").alias("b")
     shared = F.array_intersect("a.all", "b.all")
     fits = 100 * F.least("a.n", "b.n") >= per_cent * F.greatest("a.n", "b.n")
     most = F.least(F.expr("a.n - a.rare"), F.expr("b.n - b.rare"))

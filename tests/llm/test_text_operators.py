@@ -447,6 +447,22 @@ def test_components(spark, seed, options):
     assert got == brute_components(rows, options.get("shingle", 4), options.get("per_cent", 85))
 
 
+def test_what_grows_is_not_broadcast(spark, monkeypatch):
+    """Representatives past the limit are looked up by their keys alone, and late pairs are merged, however small their files."""
+    monkeypatch.setattr(jaccard_segments, "BROADCAST_ROWS", 0)
+    plans, materialise = [], jaccard_segments.materialise
+    monkeypatch.setattr(jaccard_segments, "materialise", lambda df, label: plans.append((label, df._jdf.queryExecution().executedPlan().toString())) or materialise(df, label))
+    rows = near_copies(3)
+    docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").repartition(3)
+    options = {"least": 3, "small": 2, "pivots": 1}
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard_segments.jaccard_components(docs, **options).collect())
+    assert got == brute_components(rows, 4, 85)
+    texts, pairs = ([p for label, p in plans if label == f"jaccard-{what}"] for what in ("texts", "pairs"))
+    assert len(texts) == len(pairs) == 2
+    assert "ArrowEvalPython" in texts[0]
+    assert "SortMergeJoin" in pairs[1] and "Broadcast" not in pairs[1]
+
+
 def test_odd_bits_part_no_linked_sets(spark):
     rng = np.random.default_rng(7)
     rows, near = [], []
