@@ -12,6 +12,9 @@ allowed only for such pairs (remembered per pair), which leaves one path at most
 have to decide. Pieces ending at a character come from an automaton over all pieces, so that a character costs one step and a few candidates.
 Characters without a piece become byte pieces. The ids equal the library's.
 
+Many words at once take each step together: the first characters of all, then the second ones and so on, each prefix
+once. Long words, and few, go one by one. A worker keeps its encoder, and what that remembers, from task to task.
+
 Defined cases. Null and empty texts have no pieces. A word mark in a text decodes to a blank, as in the library.
 Every input row gives one row; other columns are never read.
 """
@@ -20,8 +23,12 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tallyslot.llm.common import Numbering, annotate, flat_ranges, number_words, slices
@@ -32,6 +39,52 @@ WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 REMEMBERED, PAIRS = 150_000, 300_000
 #: Characters of text whose words are held at once.
 RUN_CHARS = 1_000_000
+#: Words of up to so many characters, and so many of them, take their steps together.
+TOGETHER_CHARS, TOGETHER = 48, 64
+#: A code point, in a key beside a state of the automaton.
+CODE_BITS = 21
+
+
+class Table:
+    """A hash table from 64-bit integers of at least 0 to integers of at least 0, looked up by arrays."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self, bits: int = 12) -> None:
+        self.bits, self.size = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is, or the free slot that it meets first."""
+        at = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        held = self.keys[at]
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+            held = self.keys[at[open_]]
+            open_ = open_[(held != keys[open_]) & (held >= 0)]
+        return at
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values; -1 where there is none."""
+        at = self.slots(keys)
+        return np.where(self.keys[at] >= 0, self.values[at], np.int32(-1))
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Some distinct keys that are not there yet."""
+        if 2 * (self.size + len(keys)) > len(self.keys):
+            full = self.keys >= 0
+            old, kept = self.keys[full], self.values[full]
+            self.clear((2 * (len(old) + len(keys))).bit_length() + 1)
+            self.put(old, kept)
+        self.size += len(keys)
+        while len(keys):
+            at = self.slots(keys)
+            self.keys[at] = keys  # of keys that meet the same free slot one stays
+            there = self.keys[at] == keys
+            self.values[at[there]] = values[there]
+            keys, values = keys[~there], values[~there]
 
 
 class Pieces:
@@ -101,6 +154,15 @@ class Pieces:
                     below.append(t)
             level = below
         self.steps: dict[tuple[int, str], int] = {}
+        # the same as arrays
+        self.edges, self.stepped = Table(), Table()
+        edges = [((s << CODE_BITS) | ord(c), t) for s, below in enumerate(self.children) for c, t in below.items()]
+        self.edges.put(np.array([k for k, _ in edges], np.int64), np.array([t for _, t in edges], np.int32))
+        self.back_of = np.array(self.back, np.int64)
+        self.many_end = np.fromiter(map(len, self.ending), np.int64, len(self.ending))
+        self.first_end = np.cumsum(self.many_end) - self.many_end
+        self.all_ending = np.fromiter((i for e in self.ending for i in e), np.int64, int(self.many_end.sum()))
+        self.length_of, self.score_of = np.array(self.lengths, np.int64), np.array(self.scores, np.float64)
 
     def step(self, state: int, c: str) -> int:
         """The state after one more character: the longest suffix that begins a piece."""
@@ -114,6 +176,26 @@ class Pieces:
                 self.steps[key] = found
         return found
 
+    def step_many(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """``step`` of many states and code points."""
+        keys = (states << CODE_BITS) | codes
+        found = self.stepped.get(keys).astype(np.int64)
+        if (found < 0).any():
+            new = np.unique(keys[found < 0])
+            at, code, to = new >> CODE_BITS, new & ((1 << CODE_BITS) - 1), np.zeros(len(new), np.int32)
+            left = np.arange(len(new))
+            while len(left):
+                got = self.edges.get((at[left] << CODE_BITS) | code[left])
+                to[left] = np.maximum(got, 0)
+                left = left[(got < 0) & (at[left] > 0)]
+                at[left] = self.back_of[at[left]]
+            if self.stepped.size + len(new) > PAIRS:
+                self.stepped.clear()
+            self.stepped.put(new, to)
+            missing = found < 0
+            found[missing] = to[np.searchsorted(new, keys[missing])]
+        return found
+
     def merged(self, text: str) -> list[str]:
         """The merges themselves on a short text: always the pair of the best score, the leftmost of several."""
         parts = list(text)
@@ -135,6 +217,7 @@ class TrieEncoder:
         self.spelled = {i: p for p, i in self.pieces.ids.items()}
         self.size = len(self.pieces.lengths)
         self.pairs: dict[int, bool] = {}  # by left * size + right
+        self.known_pairs = Table()  # by (left + 1) * size + right
         self.forget()
 
     def forget(self) -> None:
@@ -146,16 +229,120 @@ class TrieEncoder:
         key = left * self.size + right
         found = self.pairs.get(key)
         if found is None:
-            p = self.spelled[right]
-            parts = [p] if left < 0 else [self.spelled[left], p]
-            whole = "".join(parts)
-            # two pieces that make a third would have been merged
-            found = (left < 0 or whole not in self.pieces.ids) and self.pieces.merged(whole) == parts
+            found = self.tried(left, right)
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             self.pairs[key] = found
         return found
 
+    def tried(self, left: int, right: int) -> bool:
+        p = self.spelled[right]
+        parts = [p] if left < 0 else [self.spelled[left], p]
+        whole = "".join(parts)
+        # two pieces that make a third would have been merged
+        return (left < 0 or whole not in self.pieces.ids) and self.pieces.merged(whole) == parts
+
+    def survive(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``survives`` of many pairs."""
+        keys = (left + 1) * self.size + right
+        found = self.known_pairs.get(keys)
+        missing = found < 0
+        if missing.any():
+            new = np.unique(keys[missing])
+            got = np.array([self.tried(k // self.size - 1, k % self.size) for k in new.tolist()], np.int32)
+            if self.known_pairs.size + len(new) > PAIRS:
+                self.known_pairs.clear()
+            self.known_pairs.put(new, got)
+            found[missing] = got[np.searchsorted(new, keys[missing])]
+        return found > 0
+
+    def encode_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of some distinct words, one after the other, and how many each has."""
+        short = np.fromiter(map(len, words), np.int64, len(words)) <= TOGETHER_CHARS
+        if short.sum() < TOGETHER:
+            short[:] = False
+        elif short.all():
+            return self.encode_together(words)
+        alone, short = np.flatnonzero(~short), np.flatnonzero(short)
+        got = self.encode_words([words[i] for i in alone])
+        flat, own = self.encode_together([words[i] for i in short])
+        sizes = np.zeros(len(words), np.int64)
+        sizes[alone], sizes[short] = [len(ids) for ids in got], own
+        starts = np.cumsum(sizes) - sizes
+        out = np.zeros(int(sizes.sum()), np.int32)
+        out[flat_ranges(starts[short], own)] = flat
+        out[flat_ranges(starts[alone], sizes[alone])] = np.fromiter((i for ids in got for i in ids), np.int32, int(sizes[alone].sum()))
+        return out, sizes
+
+    def encode_together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode_words``: row r is the r-th word in the order of their code points, level i what its first i
+        characters have come to. A prefix that a row shares with the one before is taken from there."""
+        if not words:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        p, n = self.pieces, len(words)
+        order = pc.sort_indices(pa.array(words, pa.string())).to_numpy().astype(np.int64)
+        lengths = np.fromiter(map(len, words), np.int64, n)[order]
+        most = int(lengths.max())
+        codes = np.full((most + 1, n), -1, np.int64)
+        flat = np.frombuffer("".join([words[i] for i in order.tolist()]).encode("utf-32-le"), np.uint32)
+        codes[flat_ranges(np.zeros(n, np.int64), lengths), np.repeat(np.arange(n), lengths)] = flat
+        shared = np.zeros(n, np.int64)
+        shared[1:] = np.argmax(codes[:, 1:] != codes[:, :-1], axis=0)
+        state, last, total = np.zeros(n, np.int64), np.full((most + 1, n), -1, np.int32), np.zeros((most + 1, n))
+        rows = np.arange(n)
+        for i in range(most):
+            rows = rows[lengths[rows] > i]
+            fresh = shared[rows] <= i
+            new = rows[fresh]
+            state[new] = now = p.step_many(state[new], codes[i, new])
+            best, value = np.full(len(new), -1, np.int32), total[i, new] - 1e12  # no piece: the character stands alone
+            many, first = p.many_end[now], p.first_end[now]
+            left, k = np.flatnonzero(many), 0
+            while len(left):
+                piece = p.all_ending[first[left] + k]
+                start, row = i + 1 - p.length_of[piece], new[left]
+                ok = self.survive(last[start, row].astype(np.int64), piece)
+                # the merges of a word end in one way only, so no second piece survives here
+                best[left[ok]] = piece[ok]
+                value[left[ok]] = total[start[ok], row[ok]] + p.score_of[piece[ok]]
+                k += 1
+                left = left[~ok & (many[left] > k)]
+            last[i + 1, new], total[i + 1, new] = best, value
+            old, of = rows[~fresh], rows[np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))][~fresh]
+            state[old], last[i + 1, old], total[i + 1, old] = state[of], last[i + 1, of], total[i + 1, of]
+        # back from the ends; a character that stands alone is -1 less its code point
+        at, rows, seen, tokens = lengths.copy(), np.flatnonzero(lengths), [], []
+        while len(rows):
+            piece = last[at[rows], rows].astype(np.int64)
+            lone = piece < 0
+            tokens.append(np.where(lone, -1 - codes[at[rows] - 1, rows], piece))
+            seen.append(rows)
+            at[rows] -= np.where(lone, 1, p.length_of[piece])
+            rows = rows[at[rows] > 0]
+        count = np.zeros(n, np.int64)
+        for r in seen:
+            count[order[r]] += 1
+        ends = np.cumsum(count)
+        out = np.zeros(int(ends[-1]), np.int64)
+        for k, (r, t) in enumerate(zip(seen, tokens, strict=True)):
+            out[ends[order[r]] - 1 - k] = t
+        return self.with_bytes(out, count)
+
+    def with_bytes(self, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters that stand alone, given below 0, as their byte pieces."""
+        if not (tokens < 0).any():
+            return tokens.astype(np.int32), sizes
+        own = {c: self.alone(chr(-1 - c)) for c in np.unique(tokens[tokens < 0]).tolist()}
+        each = np.ones(len(tokens), np.int64)
+        for c, ids in own.items():
+            each[tokens == c] = len(ids)
+        out, starts = np.repeat(tokens, each), np.cumsum(each) - each
+        for c, ids in own.items():
+            at = starts[tokens == c]
+            for k, i in enumerate(ids):
+                out[at + k] = i
+        return out.astype(np.int32), np.bincount(np.repeat(np.arange(len(sizes)), sizes), each, len(sizes)).astype(np.int64)
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Pieces of each of some distinct words, in the order given."""
         p = self.pieces
@@ -220,9 +407,8 @@ class TrieEncoder:
         at = number_words([w for ws in split for w in ws], self.numbers)
         done = len(self.offsets) - 1
         if len(self.numbers) > done:
-            got = self.encode_words(list(self.numbers)[done:])
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in got for i in ids), np.int32, int(sizes.sum()))])
+            flat, sizes = self.encode_all(list(islice(self.numbers, done, None)))
+            self.flat = np.concatenate([self.flat, flat])
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
         sizes = self.offsets[at + 1] - self.offsets[at]
         ids = self.flat[flat_ranges(self.offsets[at], sizes)]
@@ -236,11 +422,16 @@ class TrieEncoder:
         return text[1:] if text.startswith(" ") else text
 
 
+@lru_cache(maxsize=1)
+def encoder_of(model: str) -> TrieEncoder:
+    return TrieEncoder(model)
+
+
 def encoded(docs: DataFrame, model: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns of ``keep`` (doc_id) and piece_ids (array of int) of every whole text."""
 
     def make():
-        encoder = TrieEncoder(model)
+        encoder = encoder_of(model)
 
         def score(texts):
             ids, sizes = encoder.encode(texts)
@@ -257,7 +448,7 @@ def digests(docs: DataFrame, model: str, text: str = "text", keep: list[str] | N
     ids decode to the text?) of every whole text."""
 
     def make():
-        encoder = TrieEncoder(model)
+        encoder = encoder_of(model)
         lone = np.zeros(len(encoder.pieces.text), bool)
         lone[list(encoder.pieces.bytes.values())] = True
 

@@ -283,6 +283,24 @@ def test_pieces_of_a_word_are_made_once():
         assert encoder.encode([text])[0].tolist() == sp.encode(text)
 
 
+def test_words_take_their_steps_together(monkeypatch):
+    """Many words at once have the pieces that each has alone and in the library, also after all that was remembered is gone."""
+    import sentencepiece
+
+    sp, encoder, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_trie.TrieEncoder(PIECES), random.Random(11)
+    letters = "abcdehilnorstß é▁日\U0001f600\x00"
+    words = sorted({"".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 5, 9, 48, 49, 70]))) for _ in range(400)}, key=lambda w: rng.random())
+    alone = encoder.encode_words(words)
+    monkeypatch.setattr(piece_trie, "PAIRS", 500)
+    for chunk in (words, words[:150], words[:7], []):
+        ids, sizes = encoder.encode_all(chunk)
+        assert sizes.tolist() == [len(x) for x in alone[: len(chunk)]]
+        assert ids.tolist() == [i for x in alone[: len(chunk)] for i in x]
+    text = " ".join("".join(rng.choice("theandionß") for _ in range(rng.randrange(1, 14))) for _ in range(800))
+    assert encoder.encode([text, None, text])[0].tolist() == 2 * sp.encode(text)
+    assert piece_trie.encoder_of(PIECES) is piece_trie.encoder_of(PIECES)  # a worker makes it once
+
+
 def test_pieces_that_join_letters_to_marks_keep_words_whole():
     encoder = shared_encoder()
     other = object.__new__(piece_trie.Pieces)
